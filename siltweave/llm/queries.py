@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from siltweave.llm import bpe, lines, packing, quality, sharding
+from siltweave.llm import bpe, jaccard, lines, packing, pii, quality, sharding
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -15,6 +15,10 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(spark, _table(spark, sf_dir, "documents"))
 
 
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.redact(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op4_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.dedup(spark, _table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -23,6 +27,10 @@ def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op6_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.join(spark, _table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     model = quality.train(docs, quality.grades_of(_table(spark, sf_dir, "labels")))
@@ -33,7 +41,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_sharding, op4_lines, op5_bpe, op7_quality, op10_packing)}
+QUERIES = {f.__name__: f for f in (op1_sharding, op2_pii, op4_lines, op5_bpe, op6_jaccard, op7_quality, op10_packing)}
 
 ORACLE_SQL = {
     "op1_sharding": """
