@@ -175,7 +175,7 @@ def similar_sets(docs: DataFrame, sig: DataFrame, id_col: str = "doc_id", text_c
     used = live.select(F.explode(F.array("a", "b")).alias("h")).distinct()
     holder = used.join(sig.groupBy("h").agg(F.min("doc_id").alias("doc_id")), "h")
     d = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("x")).filter("x IS NOT NULL")
-    texts = holder.join(d, "doc_id").select("h", "x")
+    texts = d.join(holder.hint("merge"), "doc_id").select("h", "x")
 
     def verify(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         sets: dict[int, np.ndarray] = {}
@@ -238,4 +238,4 @@ def groups(pairs: DataFrame) -> DataFrame:
 def keep_first(docs: DataFrame, pairs: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """The documents without those that have a smaller id in their group; the others with all columns."""
     gone = groups(pairs).filter("doc_id <> `group`").select(F.col("doc_id").alias("_gone"))
-    return docs.join(gone, F.col(f"`{id_col}`") == F.col("_gone"), "left_anti")
+    return docs.join(gone.hint("merge"), F.col(f"`{id_col}`") == F.col("_gone"), "left_anti")

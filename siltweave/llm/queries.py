@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from siltweave.llm import bpe, jaccard, lines, packing, pii, quality, sharding
+from siltweave.llm import bpe, jaccard, lines, packing, pii, quality, sharding, substrings
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,6 +19,10 @@ def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.redact(_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op3_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.dedup(spark, _table(spark, sf_dir, "documents"))
+
+
 def op4_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.dedup(spark, _table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -41,7 +45,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_sharding, op2_pii, op4_lines, op5_bpe, op6_jaccard, op7_quality, op10_packing)}
+QUERIES = {f.__name__: f for f in (op1_sharding, op2_pii, op3_substrings, op4_lines, op5_bpe, op6_jaccard, op7_quality, op10_packing)}
 
 ORACLE_SQL = {
     "op1_sharding": """
