@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from siltweave.llm import bpe, jaccard, lines, packing, pii, quality, sharding, substrings
+from siltweave.llm import bpe, jaccard, lines, media, packing, perplexity, pii, quality, sharding, substrings
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -41,11 +41,21 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs, model).select("doc_id", F.round("expected_grade", 6).alias("expected_grade"), F.round("tail_prob", 6).alias("tail_prob"), "keep")
 
 
+def op8_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = _table(spark, sf_dir, "pages")
+    payloads = media.payload_index(pages.withColumn("type", F.lit("text/html")), "url", "html", "type")
+    return media.interleave(pages, payloads, links=True)
+
+
+def op9_perplexity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return perplexity.rule(_table(spark, sf_dir, "documents"))
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_sharding, op2_pii, op3_substrings, op4_lines, op5_bpe, op6_jaccard, op7_quality, op10_packing)}
+QUERIES = {f.__name__: f for f in (op1_sharding, op2_pii, op3_substrings, op4_lines, op5_bpe, op6_jaccard, op7_quality, op8_media, op9_perplexity, op10_packing)}
 
 ORACLE_SQL = {
     "op1_sharding": """
