@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from siltweave.llm import lines, packing, quality
+from siltweave.llm import jaccard, lines, packing, pii, quality
 from siltweave.session import ship_package, written
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -17,7 +17,35 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return quality.score(docs.select(*COLUMNS), model).filter("keep").select(*COLUMNS)
 
 
-STAGES = [("quality", quality_stage)]
+def lines_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Lines that an earlier document or line holds go; documents that had words and lose all go as well."""
+    ship_package(spark)
+    d = lines.dedup(spark, docs.select(*COLUMNS))
+    d = d.filter((F.col("lines_dropped") == 0) | F.col("text").rlike(r"[^ \t\n\x0B\f\r]"))
+    return d.select(*[F.length("text").cast("bigint").alias(c) if c == "n_chars" else c for c in COLUMNS])
+
+
+def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near duplicates the document with the smallest id stays."""
+    ship_package(spark)
+    pairs = written(jaccard.join(spark, docs), "pairs")
+    return jaccard.keep_first(docs, pairs).select(*COLUMNS)
+
+
+def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data and secrets are replaced by their types."""
+    ship_package(spark)
+    d = pii.redact(docs.select(*COLUMNS))
+    return d.select(*[F.length("text").cast("bigint").alias(c) if c == "n_chars" else c for c in COLUMNS])
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of the documents and the training sequence each is in."""
+    ship_package(spark)
+    return packing.pack(docs)
+
+
+STAGES = [("quality", quality_stage), ("lines", lines_stage), ("near", near_stage), ("pii", pii_stage), ("packing", packing_stage)]
 ORACLE_SQL = None
 
 
