@@ -2,12 +2,1017 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import uuid
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
+
+from siltweave.functions import bloom, html, urls, vectors
+from siltweave.operators import cluster, crawl, frontier, metrics, semantic, similarity
+from siltweave.session import shared_folder
+from siltweave.sources import crawl_log
+from siltweave.streaming import streams
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE_SQL: dict[str, str] = {}
+
+LOG = """log AS (SELECT event_id AS seq, ts AS "timestamp", 'node-' || ((user_id // 3) % 4) AS node_id,
+ CASE user_id % 3 WHEN 0 THEN 'bfs' WHEN 1 THEN 'link_priority' ELSE 'semantic' END AS mode, CAST(1 + event_id % 3 AS INT) AS run,
+ 'http://h' || (user_id % 50) || '.example.com/' || event_type || '/' || event_id AS url, CAST(round(value * 1000) AS BIGINT) AS bytes_downloaded, value AS fetch_latency_ms,
+ CASE WHEN event_type = 'error' THEN 0 ELSE 200 END AS status_code, (event_type <> 'error' AND CAST(json_extract_string(props, '$.k') AS INT) >= 50) AS is_relevant,
+ CASE WHEN event_type = 'error' THEN 'fetch failed' ELSE '' END AS error FROM events)"""
+COUNTED = LOG + """, counted AS (SELECT *, count(*) OVER w AS cumulative_pages, CAST(sum(CAST(is_relevant AS BIGINT)) OVER w AS BIGINT) AS cumulative_relevant FROM log
+ WINDOW w AS (PARTITION BY mode, run, node_id ORDER BY seq ROWS UNBOUNDED PRECEDING))"""
+FIRST = COUNTED + ", firstrun AS (SELECT * FROM counted WHERE run = (SELECT min(run) FROM counted c WHERE c.mode = counted.mode))"
+LINKS = """hrefs AS (SELECT page_id, url AS src, unnest(regexp_extract_all(html, '<a\\s[^>]*?href="([^"]*)"', 1)) AS href, generate_subscripts(regexp_extract_all(html, '<a\\s[^>]*?href="([^"]*)"', 1), 1) AS n FROM pages),
+resolved AS (SELECT page_id, src, n, regexp_extract(src, '^[^:/?#]+://[^/?#]*') || regexp_replace(href, '#.*$', '') AS dst FROM hrefs WHERE href <> '' AND href <> '#' AND href LIKE '/%'),
+links AS (SELECT src, dst, min(n) AS n, any_value(page_id) AS page_id FROM resolved GROUP BY src, dst)"""
+EDGES = "n AS (SELECT count(*) AS n FROM pages), edges AS (SELECT page_id AS src, (page_id * 7 + k * 13) % n AS dst FROM pages, n, range(1, 5) t(k))"
+SKEWED = EDGES + ", skewed AS (SELECT * FROM edges UNION ALL SELECT page_id, page_id % 10 FROM pages)"
+PART = "CAST(('0x' || substr(md5({0}), 31, 2)) AS INT)"
+RING = "ring AS (SELECT CAST(p AS INT) AS \"partition\", 'node-' || (p % {0}) AS node_id FROM range(256) t(p))"
+V = "v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings)"
+CENTROID = V + """, dims AS (SELECT i, avg(x) AS x FROM (SELECT unnest(e) AS x, generate_subscripts(e, 1) AS i FROM v WHERE label = 0) GROUP BY i), raw AS (SELECT list(x ORDER BY i) AS m FROM dims),
+c AS (SELECT list_transform(m, lambda x: x / (sqrt(list_sum(list_transform(m, lambda y: y * y))) + 1e-10)) AS c FROM raw)"""
+SHINGLES = r"""w AS (SELECT doc_id, lang, lower(text) AS t, regexp_split_to_array(trim(regexp_replace(lower(text), '\s+', ' ', 'g')), ' ') AS ws FROM documents),
+sh AS (SELECT DISTINCT doc_id, lang, s FROM (SELECT doc_id, lang, unnest(CASE WHEN len(ws) < 5 THEN [t] ELSE list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i : i + 4], ' ')) END) AS s FROM w))"""
+SIGS = SHINGLES + """, perm AS (SELECT i, CAST('0x' || substr(md5('a' || i), 1, 7) AS BIGINT) + 1 AS a, CAST('0x' || substr(md5('b' || i), 1, 7) AS BIGINT) AS b FROM range(128) t(i)),
+hs AS (SELECT doc_id, lang, CAST('0x' || substr(md5(s), 1, 8) AS BIGINT) // 2 AS h FROM sh),
+mh AS (SELECT doc_id, lang, i, min((a * h + b) % 2147483647) AS m FROM hs, perm GROUP BY ALL)"""
+PAIRS = SIGS + """, bands AS (SELECT doc_id, lang, i // 13 AS band, list(m ORDER BY i) AS k FROM mh WHERE i < 117 GROUP BY ALL),
+pairs AS (SELECT DISTINCT x.lang AS grp, x.doc_id AS a, y.doc_id AS b FROM bands x JOIN bands y ON x.lang = y.lang AND x.band = y.band AND x.k = y.k AND x.doc_id < y.doc_id)"""
+
+
+def query(sql: str | None = None):
+    """Register a query under its function's name."""
+
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf}/{name}.parquet")
+
+
+def log_of(spark: SparkSession, sf: str) -> DataFrame:
+    return crawl_log.from_events(table(spark, sf, "events"))
+
+
+def counted(spark: SparkSession, sf: str) -> DataFrame:
+    return crawl_log.with_counters(log_of(spark, sf))
+
+
+def traffic(spark: SparkSession, sf: str) -> DataFrame:
+    """Sent and received bytes out of the log: relevant rows count as sent."""
+    return log_of(spark, sf).select("node_id", "timestamp", F.when(F.col("is_relevant"), "sent").otherwise("recv").alias("direction"), F.col("bytes_downloaded").alias("bytes"))
+
+
+TRAFFIC = LOG + ", traffic AS (SELECT node_id, epoch_us(\"timestamp\") // 60000000 * 60 AS \"minute\", CASE WHEN is_relevant THEN 'sent' ELSE 'recv' END AS direction, bytes_downloaded AS bytes FROM log), counters AS (SELECT node_id, \"minute\", direction, CAST(sum(bytes) AS BIGINT) AS bytes FROM traffic GROUP BY ALL)"
+
+
+def links_of(spark: SparkSession, sf: str) -> DataFrame:
+    """(src, dst, n, page_id): links by pattern, resolved, once for each page and target."""
+    p = table(spark, sf, "pages")
+    d = p.select("page_id", F.col("url").alias("src"), F.posexplode(html.hrefs(F.col("html"))).alias("p", "href")).filter(urls.followable(F.col("href")))
+    d = d.select("page_id", "src", (F.col("p") + 1).alias("n"), urls.resolve_rooted(F.col("src"), F.col("href")).alias("dst")).filter(urls.absolute(F.col("dst")))
+    return d.groupBy("src", "dst").agg(F.min("n").alias("n"), F.first("page_id").alias("page_id"))
+
+
+def embeddings_of(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "embeddings").select("vec_id", "label", F.col("embedding").cast("array<double>").alias("embedding"))
+
+
+def topic_of(vectors_: DataFrame) -> DataFrame:
+    return semantic.centroid(vectors_.filter("label = 0"))
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/events.parquet").groupBy("event_type").count()
+    return metrics.summary(log_of(spark, sf_dir))
+
+
+# sources and sinks
+
+
+@query("WITH " + COUNTED + """ SELECT epoch_us("timestamp") AS us, url, bytes_downloaded, fetch_latency_ms, status_code, is_relevant, cumulative_pages, cumulative_relevant, error, mode, node_id, run, CAST(is_relevant AS DOUBLE) AS relevance_score FROM counted""")
+def src_csv_log(spark: SparkSession, sf: str) -> DataFrame:
+    path = f"{shared_folder(spark)}/csv-{uuid.uuid4().hex[:8]}"
+    d = counted(spark, sf)
+    d.withColumn("timestamp", F.format_string("%d.%06d", F.expr("unix_micros(timestamp) div 1000000"), F.pmod(F.unix_micros("timestamp"), F.lit(1000000)))).drop("seq").write.csv(path, header=True, escape='"')
+    return crawl_log.read_csv_log(spark, path).select(F.unix_micros("timestamp").alias("us"), *[c for c in "url bytes_downloaded fetch_latency_ms status_code is_relevant cumulative_pages cumulative_relevant error mode node_id run relevance_score".split()])
+
+
+@query("WITH " + COUNTED + " SELECT url, 'unknown' AS mode, 'node_1' AS node_id, 1 AS run, CAST(is_relevant AS DOUBLE) AS relevance_score FROM counted")
+def src_defaults(spark: SparkSession, sf: str) -> DataFrame:
+    d = counted(spark, sf).drop("mode", "node_id", "run").withColumn("timestamp", F.unix_micros("timestamp") / 1e6)
+    return crawl_log.typed_log(d).select("url", "mode", "node_id", "run", "relevance_score")
+
+
+@query("WITH " + COUNTED + " SELECT mode, run, count(*) AS n, CAST(sum(bytes_downloaded) AS BIGINT) AS bytes FROM counted GROUP BY mode, run")
+def src_multi_mode(spark: SparkSession, sf: str) -> DataFrame:
+    root = f"{shared_folder(spark)}/modes-{uuid.uuid4().hex[:8]}"
+    d = counted(spark, sf).drop("seq").withColumns({"timestamp": F.unix_micros("timestamp") / 1e6, "m": F.col("mode"), "r": F.col("run")})
+    d.write.partitionBy("m", "r").csv(root, header=True, escape='"')
+    return crawl_log.read_modes(spark, {m: [f"{root}/m={m}/r={r}" for r in (1, 2, 3)] for m in crawl_log.MODES}).groupBy("mode", "run").agg(F.count("*").alias("n"), F.sum("bytes_downloaded").alias("bytes"))
+
+
+@query("""WITH g AS (SELECT id, id % 3000 AS i, CAST(1 + (id // 3000) % 3 AS INT) AS run, ['bfs', 'link_priority', 'semantic'][1 + id // 9000] AS mode, md5(CAST(id AS VARCHAR)) AS h FROM range(27000) t(id)),
+d AS (SELECT *, CAST('0x' || substr(h, 1, 7) AS BIGINT) % 10000 < floor(CASE mode WHEN 'bfs' THEN 0.18::DOUBLE WHEN 'link_priority' THEN 0.32::DOUBLE ELSE least(1.0::DOUBLE, 0.61::DOUBLE * (1.4::DOUBLE - 0.8::DOUBLE * i / 3000)) END * 10000) AS is_relevant FROM g)
+SELECT mode, run, is_relevant, 'node_' || (1 + CAST('0x' || substr(h, 22, 7) AS BIGINT) % 4) AS node_id, 5000 + CAST('0x' || substr(h, 8, 7) AS BIGINT) % 195000 AS bytes_downloaded, 'https://example.com/' || mode || '/' || run || '/' || i AS url FROM d""")
+def src_synthetic(spark: SparkSession, sf: str) -> DataFrame:
+    return crawl_log.synthetic_log(spark).select("mode", "run", "is_relevant", "node_id", "bytes_downloaded", "url")
+
+
+@query("""WITH rules AS (SELECT * FROM (VALUES ('view', 1, '/view/1', true), ('view', 2, '/view', false), ('click', 1, '/click/9', false)) t(kind, rule_no, prefix, allow)),
+""" + LOG + """, o AS (SELECT url, regexp_extract(url, '^([^:/?#]+://[^/?#]*)', 1) AS origin, regexp_replace(url, '^[^:/?#]+://[^/?#]*', '') AS path FROM log),
+hit AS (SELECT url, arg_min(allow, rule_no) AS allow FROM o JOIN rules ON starts_with(path, prefix) WHERE CAST(regexp_extract(origin, 'h([0-9]+)', 1) AS INT) % 2 = 0 GROUP BY url)
+SELECT o.url, coalesce(hit.allow, true) AS allowed FROM o LEFT JOIN hit ON hit.url = o.url""")
+def src_robots(spark: SparkSession, sf: str) -> DataFrame:
+    """Robots rules of every second host; the first that fits decides."""
+    hosts = [f"http://h{i}.example.com" for i in range(0, 50, 2)]
+    rules = [(h, n, p, a) for h in hosts for n, p, a in ((1, "/view/1", True), (2, "/view", False), (3, "/click/9", False))]
+    return crawl_log.allowed_by_robots(log_of(spark, sf).select("url"), spark.createDataFrame(rules, "origin STRING, rule_no INT, prefix STRING, allow BOOLEAN"))
+
+
+RATE_SQL = "WITH " + LOG + """, r AS (SELECT seq, regexp_extract(url, '://([^/?#]*)', 1) AS host, epoch_us("timestamp") / 1e6 AS arrival, row_number() OVER (PARTITION BY regexp_extract(url, '://([^/?#]*)', 1) ORDER BY seq) - 1 AS i FROM log)
+SELECT seq, round(max(arrival - i * 2.0::DOUBLE) OVER (PARTITION BY host ORDER BY seq ROWS UNBOUNDED PRECEDING) + i * 2.0::DOUBLE, 3) AS start FROM r"""
+
+
+@query(RATE_SQL)
+def src_ratelimit(spark: SparkSession, sf: str) -> DataFrame:
+    d = log_of(spark, sf).select("seq", "url", (F.unix_micros("timestamp") / 1e6).alias("arrival"))
+    return crawl_log.fetch_times(d, 2.0).select("seq", F.round("start", 3).alias("start"))
+
+
+QUERIES["win_ratelimit"], ORACLE_SQL["win_ratelimit"] = src_ratelimit, RATE_SQL
+
+
+@query("WITH " + LOG + ", k AS (SELECT *, split_part(url, '/', 3) AS host, row_number() OVER (PARTITION BY split_part(url, '/', 3) ORDER BY \"timestamp\" DESC, seq DESC) AS k FROM log) SELECT host AS url, seq, status_code, bytes_downloaded FROM k WHERE k = 1")
+def snk_pages(spark: SparkSession, sf: str) -> DataFrame:
+    """Insert or replace, with hosts as keys: the last page of each."""
+    d = log_of(spark, sf).select(urls.netloc(F.col("url")).alias("url"), F.col("timestamp").alias("fetch_time"), "seq", "status_code", "bytes_downloaded")
+    return crawl_log.latest_pages(d).select("url", "seq", "status_code", "bytes_downloaded")
+
+
+@query("WITH " + LINKS + " SELECT src, dst, n FROM links")
+def snk_links(spark: SparkSession, sf: str) -> DataFrame:
+    p = table(spark, sf, "pages")
+    d = p.select(F.col("url").alias("src"), F.posexplode(html.hrefs(F.col("html"))).alias("p", "href")).filter(urls.followable(F.col("href")))
+    d = d.select("src", urls.resolve_rooted(F.col("src"), F.col("href")).alias("dst"), (F.col("p") + 1).alias("n")).filter("dst IS NOT NULL")
+    return crawl_log.first_links(d, "n")
+
+
+# filters
+
+
+@query("WITH " + LOG + " SELECT seq, url FROM log WHERE status_code BETWEEN 200 AND 299")
+def flt_success(spark: SparkSession, sf: str) -> DataFrame:
+    return log_of(spark, sf).filter(crawl_log.fetched(F.col("status_code"), F.col("url"))).select("seq", "url")
+
+
+@query("WITH " + LOG + " SELECT seq, url FROM log WHERE split_part(url, '/', 3) IN ('h1.example.com', 'h7.example.com')")
+def flt_domain(spark: SparkSession, sf: str) -> DataFrame:
+    return log_of(spark, sf).filter(urls.domain_allowed(F.col("url"), ["h1.example.com", "h7.example.com"])).select("seq", "url")
+
+
+@query("WITH " + LINKS + " SELECT page_id, href FROM hrefs WHERE trim(href) <> '' AND NOT starts_with(trim(href), 'javascript:') AND trim(href) <> '#'")
+def flt_link(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "pages").select("page_id", F.explode(html.hrefs(F.col("html"))).alias("href")).filter(urls.followable(F.col("href")))
+
+
+SCORES = "WITH " + CENTROID + ", s AS (SELECT vec_id, label, list_sum(list_transform(list_zip(e, c), lambda z: z[1] * z[2])) / ((sqrt(list_sum(list_transform(e, lambda x: x * x))) + 1e-10) * (sqrt(list_sum(list_transform(c, lambda x: x * x))) + 1e-10)) AS score FROM v, c) "
+
+
+@query(SCORES + "SELECT vec_id, round(score, 6) AS score FROM s WHERE score >= 0.3")
+def flt_relevant_text(spark: SparkSession, sf: str) -> DataFrame:
+    v = embeddings_of(spark, sf)
+    return semantic.scored(v, topic_of(v)).filter("score >= 0.3").select("vec_id", F.round("score", 6).alias("score"))
+
+
+@query(SCORES + "SELECT vec_id, label FROM s WHERE score >= 0.5")
+def flt_centroid(spark: SparkSession, sf: str) -> DataFrame:
+    v = embeddings_of(spark, sf)
+    return semantic.above(semantic.scored(v, topic_of(v)), 0.5).select("vec_id", "label")
+
+
+BEATS = LOG + ", beats AS (SELECT node_id, seq, \"timestamp\", seq * 3 AS pages_crawled FROM log)"
+
+
+def beats_of(spark: SparkSession, sf: str) -> DataFrame:
+    return log_of(spark, sf).select("node_id", "seq", "timestamp", (F.col("seq") * 3).alias("pages_crawled"))
+
+
+LIVE = BEATS + ", last AS (SELECT node_id, epoch_us(max(\"timestamp\")) AS last_us, arg_max(pages_crawled, \"timestamp\") AS pages_crawled FROM beats GROUP BY node_id), live AS (SELECT *, (SELECT max(last_us) FROM last) - last_us < 30000000 AS alive, (SELECT max(last_us) FROM last) - last_us > 30000000 AS dead FROM last)"
+
+
+@query("WITH " + LIVE + " SELECT node_id, last_us, pages_crawled, alive, dead FROM live")
+def flt_alive(spark: SparkSession, sf: str) -> DataFrame:
+    return cluster.liveness(beats_of(spark, sf)).select("node_id", F.unix_micros("last_seen").alias("last_us"), "pages_crawled", "alive", "dead")
+
+
+ROUTED = "WITH " + RING.format(4) + ", u AS (SELECT url, " + PART.format("url") + " AS \"partition\" FROM pages), r AS (SELECT u.url, u.\"partition\", coalesce(ring.node_id, 'node-0') AS node_id FROM u LEFT JOIN ring USING (\"partition\")) "
+
+
+def routed_of(spark: SparkSession, sf: str) -> DataFrame:
+    owners = cluster.assignment(spark, [f"node-{i}" for i in range(4)])
+    return cluster.routed(table(spark, sf, "pages").select("url"), owners, "node-0")
+
+
+@query(ROUTED + "SELECT url FROM r WHERE node_id = 'node-0'")
+def flt_local(spark: SparkSession, sf: str) -> DataFrame:
+    return routed_of(spark, sf).filter("local").select("url")
+
+
+@query("WITH " + LOG + " SELECT seq, coalesce(nullif(status_code, 0), 0) AS status_code, error FROM log")
+def prj_status_default(spark: SparkSession, sf: str) -> DataFrame:
+    d = log_of(spark, sf).select("seq", F.expr("nullif(status_code, 0)").alias("status_code"), F.expr("nullif(error, '')").alias("error"))
+    return crawl_log.status_defaults(d)
+
+
+# scalar functions
+
+
+@query("SELECT url, " + PART.format("url") + " AS \"partition\" FROM pages")
+def fn_partition(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "pages").select("url", urls.url_partition(F.col("url")).alias("partition"))
+
+
+M, K = bloom.sizing(1_000_000, 0.01)
+BITS = "h AS (SELECT url, i, md5(encode(url) || unhex(printf('%08x', i))) AS d FROM pages, range(6) t(i)), b AS (SELECT url, i, ((((CAST('0x' || substr(d, 1, 8) AS BIGINT) % {m}) * 4294967296 + CAST('0x' || substr(d, 9, 8) AS BIGINT)) % {m} * 4294967296 + CAST('0x' || substr(d, 17, 8) AS BIGINT)) % {m} * 4294967296 + CAST('0x' || substr(d, 25, 8) AS BIGINT)) % {m} AS bit FROM h)".replace("{m}", str(M))
+
+
+@query("WITH " + BITS + " SELECT url, CAST(i AS INT) AS i, bit FROM b")
+def fn_bloom_pos(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "pages").select("url", F.posexplode(bloom.positions(F.col("url"), M, K)).alias("i", "bit"))
+
+
+SIZES = [(1_000_000, 0.01), (1000, 0.001), (50_000, 0.05), (10, 0.5)]
+
+
+@query("SELECT n AS capacity, p AS error_rate, CAST(floor(-n * ln(p) / (ln(2) * ln(2))) AS BIGINT) AS bits, CAST(greatest(1, floor(floor(-n * ln(p) / (ln(2) * ln(2))) / n * ln(2))) AS INT) AS hashes FROM (VALUES (1000000::BIGINT, 0.01::DOUBLE), (1000, 0.001), (50000, 0.05), (10, 0.5)) t(n, p)")
+def fn_bloom_params(spark: SparkSession, sf: str) -> DataFrame:
+    return spark.createDataFrame([(n, p, *bloom.sizing(n, p)) for n, p in SIZES], "capacity BIGINT, error_rate DOUBLE, bits BIGINT, hashes INT")
+
+
+@query(f"SELECT page_id, round(CASE WHEN page_id = 0 THEN 0 ELSE pow(1 - exp(-6.0::DOUBLE * page_id * 10000 / {M}), 6) END, 8) AS rate FROM pages")
+def fn_bloom_fpr(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "pages").select("page_id", F.round(bloom.false_positive_rate(F.col("page_id") * 10000, M, K), 8).alias("rate"))
+
+
+@query("WITH " + LINKS + " SELECT page_id, n, dst FROM resolved")
+def fn_urljoin(spark: SparkSession, sf: str) -> DataFrame:
+    d = table(spark, sf, "pages").select("page_id", "url", F.posexplode(html.hrefs(F.col("html"))).alias("p", "href")).filter(urls.followable(F.col("href")))
+    return d.select("page_id", (F.col("p") + 1).alias("n"), urls.resolve(F.col("url"), F.col("href")).alias("dst"))
+
+
+@query("SELECT url, lower(regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*):', 1)) AS scheme, regexp_extract(url, '^[^:/?#]+://([^/?#]*)', 1) AS netloc, regexp_extract(url, '^([^:/?#]+://[^/?#]*)', 1) AS origin FROM pages")
+def fn_netloc(spark: SparkSession, sf: str) -> DataFrame:
+    u = F.col("url")
+    return table(spark, sf, "pages").select(u, urls.scheme(u).alias("scheme"), urls.netloc(u).alias("netloc"), urls.origin(u).alias("origin"))
+
+
+@query(r"SELECT doc_id, md5(trim(regexp_replace(text, '\s+', ' ', 'g'))) AS digest FROM documents")
+def fn_ws(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "documents").select("doc_id", F.md5(urls.squeeze(F.col("text"))).alias("digest"))
+
+
+@query("SELECT page_id, trim(regexp_extract(html, '<title>([^<]*)</title>', 1)) AS title FROM pages")
+def fn_title(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "pages").select("page_id", html.title(F.col("html")).alias("title"))
+
+
+@query(r"""WITH a AS (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '(?s)<script\b.*?</script>', ' ', 'g'), '(?s)<style\b.*?</style>', ' ', 'g'), '(?s)<noscript\b.*?</noscript>', ' ', 'g'), '(?s)<head\b.*?</head>', ' ', 'g'), '(?s)<svg\b.*?</svg>', ' ', 'g'), '(?s)<iframe\b.*?</iframe>', ' ', 'g') AS t FROM pages)
+SELECT page_id, md5(trim(regexp_replace(regexp_replace(regexp_replace(t, '(?s)<!--.*?-->', ' ', 'g'), '<[^>]*>', ' ', 'g'), '\s+', ' ', 'g'))) AS digest FROM a""")
+def fn_text(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "pages").select("page_id", F.md5(html.visible_text(F.col("html"))).alias("digest"))
+
+
+@query("WITH " + LINKS + " SELECT src, dst FROM links")
+def fn_links(spark: SparkSession, sf: str) -> DataFrame:
+    return links_of(spark, sf).select("src", "dst")
+
+
+@query()
+def fn_block(spark: SparkSession, sf: str) -> DataFrame:
+    """Pages by a parser: title, text, and links with the context of their nearest block."""
+    d = table(spark, sf, "pages").select("page_id", html.parsed(F.col("html"), F.col("url")).alias("p"))
+    return d.select("page_id", F.col("p.title").alias("title"), F.length("p.text").alias("chars"), F.explode_outer("p.links").alias("l")).select("page_id", "title", "chars", "l.*")
+
+
+ANCHORS = "a AS (SELECT doc_id, text AS t, split_part(text, ' ', 1 + CAST(doc_id % 40 AS INT)) AS w FROM documents), p AS (SELECT doc_id, t, w, instr(t, w) AS at FROM a WHERE w <> '')"
+
+
+def anchors_of(spark: SparkSession, sf: str) -> DataFrame:
+    d = table(spark, sf, "documents").select("doc_id", F.col("text").alias("t"), F.split_part("text", F.lit(" "), (1 + F.col("doc_id") % 40).cast("int")).alias("w"))
+    return d.filter("w <> ''")
+
+
+@query("WITH " + ANCHORS + """, q AS (SELECT doc_id, t, w, at, greatest(1, at - 200) AS s, least(length(t), at - 1 + length(w) + 200) AS e FROM p), r AS (SELECT *, substr(t, s, e - s + 1) AS x FROM q)
+SELECT doc_id, md5(CASE WHEN at = 0 THEN substr(t, 1, 400) WHEN s > 1 AND instr(x, ' ') > 0 THEN substr(x, instr(x, ' ') + 1) ELSE x END) AS digest FROM r""")
+def fn_context(spark: SparkSession, sf: str) -> DataFrame:
+    return anchors_of(spark, sf).select("doc_id", F.md5(urls.context_around(F.col("t"), F.col("w"))).alias("digest"))
+
+
+SURROUND = ", q AS (SELECT doc_id, t, w, at, greatest(1, at - 200) AS s, least(length(t), at - 1 + length(w) + 200) AS e FROM p), sur AS (SELECT doc_id, t, w, CASE WHEN at = 0 THEN substr(t, 1, 200) ELSE substr(t, s, e - s + 1) END AS x FROM q)"
+
+
+@query("WITH " + ANCHORS + SURROUND + " SELECT doc_id, md5(x) AS digest FROM sur")
+def fn_surround(spark: SparkSession, sf: str) -> DataFrame:
+    return anchors_of(spark, sf).select("doc_id", F.md5(urls.surrounding(F.col("t"), F.col("w"))).alias("digest"))
+
+
+TOKENS = "array_to_string(list_transform(list_filter(regexp_split_to_array(regexp_replace({0}, 'https?://[^/]+', ''), '[^a-zA-Z0-9]+'), lambda x: length(x) > 1), lambda x: lower(x)), ' ')"
+
+
+@query("SELECT url, " + TOKENS.format("url") + " AS tokens FROM pages")
+def fn_urltokens(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "pages").select("url", urls.url_tokens(F.col("url")).alias("tokens"))
+
+
+@query("WITH x AS (SELECT page_id, trim(regexp_extract(html, '<title>([^<]*)</title>', 1)) AS a, url FROM pages) SELECT page_id, concat_ws(' ', nullif(trim(a), ''), nullif(substr(trim(a || ' ' || url), 1, 400), ''), nullif(" + TOKENS.format("url") + ", '')) AS context FROM x")
+def fn_urlcontext(spark: SparkSession, sf: str) -> DataFrame:
+    d = table(spark, sf, "pages").select("page_id", "url", html.title(F.col("html")).alias("a"))
+    return d.select("page_id", urls.url_context(F.col("a"), F.concat("a", F.lit(" "), "url"), F.col("url")).alias("context"))
+
+
+@query("WITH " + SHINGLES + " SELECT doc_id, count(*) AS n, min(s) AS least, max(s) AS most FROM sh GROUP BY doc_id")
+def fn_shingle(spark: SparkSession, sf: str) -> DataFrame:
+    d = table(spark, sf, "documents").select("doc_id", similarity.shingles()(F.col("text")).alias("s"))
+    return d.select("doc_id", F.size("s").cast("bigint").alias("n"), F.array_min("s").alias("least"), F.array_max("s").alias("most"))
+
+
+@query("WITH " + SIGS + " SELECT doc_id, CAST(i AS INT) AS i, m FROM mh")
+def fn_minhash(spark: SparkSession, sf: str) -> DataFrame:
+    d = table(spark, sf, "documents").select("doc_id", similarity.minhash()(F.col("text")).alias("sig"))
+    return d.select("doc_id", F.posexplode("sig").alias("i", "m"))
+
+
+@query(SCORES + "SELECT vec_id, round(score, 6) AS score FROM s")
+def fn_cosine(spark: SparkSession, sf: str) -> DataFrame:
+    v = embeddings_of(spark, sf)
+    return semantic.scored(v, topic_of(v)).select("vec_id", F.round("score", 6).alias("score"))
+
+
+@query("WITH " + V + ", s AS (SELECT vec_id, e, sqrt(list_sum(list_transform(e, lambda x: x * x))) + 1e-10 AS n FROM v) SELECT vec_id, CAST(i AS INT) AS i, round(e[i] / n, 6) AS x FROM s, range(1, 65) t(i)")
+def fn_normalize(spark: SparkSession, sf: str) -> DataFrame:
+    d = embeddings_of(spark, sf).select("vec_id", F.posexplode(vectors.normalised(F.col("embedding"))).alias("i", "x"))
+    return d.select("vec_id", (F.col("i") + 1).alias("i"), F.round("x", 6).alias("x"))
+
+
+@query()
+def fn_embed(spark: SparkSession, sf: str) -> DataFrame:
+    d = table(spark, sf, "documents").select("doc_id", vectors.hashed_embedding()(F.col("text")).alias("e"))
+    return d.select("doc_id", F.round(vectors.norm(F.col("e")), 6).alias("norm"), F.size("e").alias("dims"))
+
+
+@query(SCORES + "SELECT vec_id, round(-score, 6) AS priority FROM s")
+def fn_negate(spark: SparkSession, sf: str) -> DataFrame:
+    v = embeddings_of(spark, sf)
+    return semantic.scored(v, topic_of(v)).select("vec_id", F.round(-F.col("score"), 6).alias("priority"))
+
+
+@query("WITH " + LOG + " SELECT seq, epoch_us(\"timestamp\") // 60000000 * 60 AS \"minute\" FROM log")
+def fn_minute(spark: SparkSession, sf: str) -> DataFrame:
+    return log_of(spark, sf).select("seq", urls.minute(F.col("timestamp")).alias("minute"))
+
+
+def messages_of(spark: SparkSession, sf: str) -> DataFrame:
+    d = log_of(spark, sf)
+    return d.select("seq", "node_id", urls.encode_message(F.col("url"), F.col("seq") / 4, F.col("run"), F.lit("http://s/"), F.col("node_id")).alias("value"))
+
+
+@query("WITH " + LOG + """ SELECT seq, '{"url":"' || url || '","priority":' || CAST(seq / 4 AS DOUBLE) || ',"metadata":{"depth":"' || run || '","src":"http://s/"},"forwarded_from":"' || node_id || '"}' AS value FROM log""")
+def fn_json_enc(spark: SparkSession, sf: str) -> DataFrame:
+    return messages_of(spark, sf).select("seq", "value")
+
+
+DECODED = "WITH " + LOG + " SELECT url, CASE WHEN seq % 7 = 1 THEN 0 ELSE seq / 4 END::DOUBLE AS priority, CASE WHEN seq % 7 = 1 THEN 'unknown' ELSE node_id END AS forwarded_from FROM log WHERE seq % 7 <> 0"
+
+
+def raw_messages(spark: SparkSession, sf: str) -> DataFrame:
+    """Every seventh message is cut short, and every other seventh has its URL only."""
+    cut = F.when(F.col("seq") % 7 == 0, F.substring("value", 1, 9)).when(F.col("seq") % 7 == 1, F.to_json(F.struct(F.get_json_object("value", "$.url").alias("url")))).otherwise(F.col("value"))
+    return messages_of(spark, sf).select(cut.alias("value"))
+
+
+@query(DECODED)
+def fn_json_dec(spark: SparkSession, sf: str) -> DataFrame:
+    return streams.received(raw_messages(spark, sf)).select("url", "priority", "forwarded_from")
+
+
+@query("WITH " + LOG + " SELECT seq, least(19, greatest(0, CAST(trunc((fetch_latency_ms / 100 - 0.2::DOUBLE) * 20) AS INT))) AS bucket FROM log")
+def fn_bucket(spark: SparkSession, sf: str) -> DataFrame:
+    return log_of(spark, sf).select("seq", urls.bucket(F.col("fetch_latency_ms") / 100 - 0.2).alias("bucket"))
+
+
+@query("WITH " + LOG + ", g AS (SELECT mode, node_id, sum(bytes_downloaded) / 1e6 AS mb, CASE WHEN node_id = 'node-3' THEN 0 ELSE sum(CAST(is_relevant AS BIGINT)) END AS rel FROM log GROUP BY ALL) SELECT CASE mode WHEN 'bfs' THEN 'BFS baseline' WHEN 'link_priority' THEN 'Link-priority' ELSE 'Semantic (ours)' END AS label, node_id, CASE WHEN rel > 0 THEN printf('%.2f', mb / rel) ELSE '∞' END AS shown FROM g")
+def fn_fmt(spark: SparkSession, sf: str) -> DataFrame:
+    g = log_of(spark, sf).groupBy("mode", "node_id").agg((F.sum("bytes_downloaded") / 1e6).alias("mb"), F.sum(metrics.RELEVANT).alias("rel"))
+    rel = F.when(F.col("node_id") == "node-3", 0).otherwise(F.col("rel"))
+    return g.select(urls.mode_label(F.col("mode")).alias("label"), "node_id", urls.per_relevant(F.col("mb"), rel).alias("shown"))
+
+
+# joins
+
+
+@query("WITH " + RING.format(4) + ", u AS (SELECT url, " + PART.format("url") + " AS \"partition\" FROM pages) SELECT url, u.\"partition\", CASE WHEN u.\"partition\" < 200 THEN ring.node_id ELSE 'node-9' END AS node_id FROM u LEFT JOIN ring USING (\"partition\")")
+def join_owner(spark: SparkSession, sf: str) -> DataFrame:
+    owners = cluster.assignment(spark, [f"node-{i}" for i in range(4)]).filter("partition < 200")
+    return cluster.owned(table(spark, sf, "pages").select("url"), owners, "node-9")
+
+
+@query("WITH " + RING.format(4) + ", u AS (SELECT url, " + PART.format("url") + " AS \"partition\" FROM pages) SELECT url, u.\"partition\", CASE WHEN u.\"partition\" < 200 THEN ring.node_id END AS node_id FROM u LEFT JOIN ring USING (\"partition\")")
+def join_owner_ring(spark: SparkSession, sf: str) -> DataFrame:
+    owners = cluster.assignment(spark, [f"node-{i}" for i in range(4)]).filter("partition < 200")
+    return cluster.owned(table(spark, sf, "pages").select("url"), owners)
+
+
+def discovered(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """Link targets, and those that pages with an even id had shown before."""
+    l = links_of(spark, sf)
+    return l.select(F.col("dst").alias("url")).distinct(), l.filter("page_id % 2 = 0").select(F.col("dst").alias("url")).distinct()
+
+
+SEEN = "WITH " + LINKS + ", allurls AS (SELECT DISTINCT dst AS url FROM links), seen AS (SELECT DISTINCT dst AS url FROM links WHERE page_id % 2 = 0) "
+
+
+@query(SEEN + "SELECT url FROM allurls WHERE url NOT IN (SELECT url FROM seen)")
+def join_seen(spark: SparkSession, sf: str) -> DataFrame:
+    return frontier.unseen(*discovered(spark, sf))
+
+
+@query(SEEN + "SELECT url FROM seen")
+def join_seen_semi(spark: SparkSession, sf: str) -> DataFrame:
+    """Membership by a Bloom filter large enough that nothing is found by chance here."""
+    found, seen = discovered(spark, sf)
+    m, k = bloom.sizing(10_000_000, 1e-6)
+    return bloom.contained(found, "url", bloom.bits(seen, "url", m, k), m, k)
+
+
+@query("WITH " + LINKS + " SELECT p.page_id, l.dst FROM pages p JOIN links l ON l.src = p.url WHERE p.page_id % 5 = 0")
+def join_outlinks(spark: SparkSession, sf: str) -> DataFrame:
+    p = table(spark, sf, "pages").filter("page_id % 5 = 0").select("page_id", F.col("url").alias("src"))
+    return p.join(links_of(spark, sf).select("src", "dst"), "src").select("page_id", "dst")
+
+
+@query("SELECT page_id, url, length(html) AS chars FROM pages WHERE url = (SELECT min(url) FROM pages)")
+def join_page(spark: SparkSession, sf: str) -> DataFrame:
+    p = table(spark, sf, "pages")
+    return p.join(F.broadcast(p.agg(F.min("url").alias("url"))), "url", "left_semi").select("page_id", "url", F.length("html").cast("bigint").alias("chars"))
+
+
+@query("WITH " + PAIRS + " SELECT * FROM pairs")
+def join_lsh(spark: SparkSession, sf: str) -> DataFrame:
+    return similarity.candidates(similarity.signatures(table(spark, sf, "documents"), "doc_id", "text", "lang"))
+
+
+JACCARD = "WITH " + SHINGLES + """, size AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY 1), inter AS (SELECT x.lang AS grp, x.doc_id AS a, y.doc_id AS b, count(*) AS k FROM sh x JOIN sh y ON x.s = y.s AND x.lang = y.lang AND x.doc_id < y.doc_id GROUP BY ALL)
+SELECT grp, a, b, round(k / (p.n + q.n - k), 6) AS jaccard FROM inter JOIN size p ON p.doc_id = a JOIN size q ON q.doc_id = b WHERE k / (p.n + q.n - k) > 0.8"""
+
+
+@query(JACCARD)
+def join_jaccard(spark: SparkSession, sf: str) -> DataFrame:
+    """Exact pairs above 0.8."""
+    return similarity.exact_pairs(table(spark, sf, "documents"), "doc_id", "text", "lang").withColumn("jaccard", F.round("jaccard", 6))
+
+
+@query("WITH " + LOG + " SELECT node_id, count(*) AS pages, round(count(*) / (SELECT (max(epoch_us(\"timestamp\")) - min(epoch_us(\"timestamp\"))) / 1e6 FROM log), 6) AS share FROM log GROUP BY node_id")
+def join_stats_global(spark: SparkSession, sf: str) -> DataFrame:
+    d = log_of(spark, sf)
+    whole = d.agg(((F.max(F.unix_micros("timestamp")) - F.min(F.unix_micros("timestamp"))) / 1e6).alias("span"))
+    return d.groupBy("node_id").agg(F.count("*").alias("pages")).crossJoin(F.broadcast(whole)).select("node_id", "pages", F.round(F.col("pages") / F.col("span"), 6).alias("share"))
+
+
+@query("WITH " + TRAFFIC + " SELECT s.node_id, s.\"minute\", s.bytes AS sent_bytes, coalesce(r.bytes, 0) AS recv_bytes FROM counters s LEFT JOIN counters r ON r.node_id = s.node_id AND r.\"minute\" = s.\"minute\" AND r.direction = 'recv' WHERE s.direction = 'sent'")
+def join_minute_sr(spark: SparkSession, sf: str) -> DataFrame:
+    return cluster.sent_received(cluster.minute_counters(traffic(spark, sf)))
+
+
+@query("WITH " + LOG + " SELECT mode, round(max(m) FILTER (run = 1), 6) AS run_1, round(max(m) FILTER (run = 2), 6) AS run_2, round(max(m) FILTER (run = 3), 6) AS run_3 FROM (SELECT mode, run, avg(CAST(is_relevant AS INT)) AS m FROM log GROUP BY ALL) GROUP BY mode")
+def join_metric_runs(spark: SparkSession, sf: str) -> DataFrame:
+    d = log_of(spark, sf).groupBy("mode").pivot("run", [1, 2, 3]).agg(F.avg(metrics.RELEVANT))
+    return d.select("mode", *[F.round(F.col(str(i)), 6).alias(f"run_{i}") for i in (1, 2, 3)])
+
+
+# aggregates
+
+
+@query("WITH " + LOG + " SELECT mode, round(avg(CAST(is_relevant AS INT)), 9) AS harvest_rate FROM log GROUP BY mode")
+def agg_harvest(spark: SparkSession, sf: str) -> DataFrame:
+    return metrics.harvest_rate(log_of(spark, sf)).withColumn("harvest_rate", F.round("harvest_rate", 9))
+
+
+@query("WITH " + LOG + " SELECT mode, count(*) AS pages, CAST(sum(CAST(is_relevant AS INT)) AS BIGINT) AS relevant, round_even(CAST(sum(bytes_downloaded) AS DOUBLE) / 1e6, 1) AS mb FROM log GROUP BY mode")
+def agg_overview(spark: SparkSession, sf: str) -> DataFrame:
+    return metrics.overview(log_of(spark, sf))
+
+
+SPAN = "greatest(1.0::DOUBLE, CASE WHEN max(epoch_us(\"timestamp\")) = min(epoch_us(\"timestamp\")) THEN sum(fetch_latency_ms) / 1000 / count(DISTINCT node_id) ELSE (max(epoch_us(\"timestamp\")) - min(epoch_us(\"timestamp\"))) / 1e6 END)"
+THROUGHPUT = f"round_even(CAST(count(*) / {SPAN} / greatest(count(DISTINCT node_id), 1) AS DOUBLE), 2)"
+CROSS = "CAST(trunc(count(*) * (1 - 1.0::DOUBLE / greatest(count(DISTINCT node_id), 1)) * 0.5::DOUBLE * 100) AS BIGINT)"
+
+
+@query("WITH " + LOG + f" SELECT mode, {THROUGHPUT} AS pages_per_sec_node FROM log GROUP BY mode")
+def agg_throughput(spark: SparkSession, sf: str) -> DataFrame:
+    return metrics.throughput(log_of(spark, sf))
+
+
+@query("WITH " + LOG + f" SELECT mode, {CROSS} AS cross_node_bytes FROM log GROUP BY mode")
+def agg_crossnode(spark: SparkSession, sf: str) -> DataFrame:
+    return metrics.cross_node_bytes(log_of(spark, sf))
+
+
+RANKED = "nodes AS (SELECT lang AS grp, doc_id, row_number() OVER (ORDER BY doc_id) AS k FROM documents WHERE doc_id IN (SELECT a FROM pairs UNION SELECT b FROM pairs))"
+GREEDY = "WITH RECURSIVE " + PAIRS + ", " + RANKED + """, walk(k, kept) AS (SELECT 0::BIGINT, CAST([] AS BIGINT[]) UNION ALL
+SELECT n.k, CASE WHEN EXISTS (SELECT 1 FROM pairs p WHERE p.b = n.doc_id AND list_contains(w.kept, p.a)) THEN w.kept ELSE list_append(w.kept, n.doc_id) END FROM walk w JOIN nodes n ON n.k = w.k + 1),
+final AS (SELECT kept FROM walk ORDER BY k DESC LIMIT 1), dup AS (SELECT grp, count(*) AS d FROM nodes, final WHERE NOT list_contains(kept, doc_id) GROUP BY grp)
+SELECT t.lang AS grp, count(*) AS total, coalesce(any_value(d), 0) AS duplicates, round(coalesce(any_value(d), 0) / count(*), 9) AS redundancy FROM documents t LEFT JOIN dup ON dup.grp = t.lang GROUP BY t.lang"""
+
+
+@query(GREEDY)
+def agg_redundancy(spark: SparkSession, sf: str) -> DataFrame:
+    return similarity.redundancy(table(spark, sf, "documents"), "doc_id", "text", "lang").withColumn("redundancy", F.round("redundancy", 9))
+
+
+@query("WITH " + LOG + " SELECT mode, round(avg(m), 9) AS mean, round(stddev_pop(m), 9) AS std FROM (SELECT mode, run, avg(CAST(is_relevant AS INT)) AS m FROM log GROUP BY ALL) GROUP BY mode")
+def agg_mean_std(spark: SparkSession, sf: str) -> DataFrame:
+    d = metrics.mean_std(log_of(spark, sf), F.avg(metrics.RELEVANT))
+    return d.select("mode", F.round("mean", 9).alias("mean"), F.round("std", 9).alias("std"))
+
+
+SUMMARY = "WITH " + LOG + f""", a AS (SELECT mode, avg(CAST(is_relevant AS INT)) AS hr, CAST(sum(bytes_downloaded) AS DOUBLE) / 1e6 AS mb, sum(CAST(is_relevant AS INT)) AS rel, {THROUGHPUT} AS t, {CROSS} AS c, count(*) AS pages FROM log GROUP BY mode)
+SELECT CAST(list_position(['bfs', 'link_priority', 'semantic'], mode) AS INT) AS place, CASE mode WHEN 'bfs' THEN 'BFS baseline' WHEN 'link_priority' THEN 'Link-priority' ELSE 'Semantic (ours)' END AS mode, printf('%.1f', hr * 100) AS harvest_pct,
+CASE WHEN rel > 0 THEN printf('%.2f', mb / rel) ELSE '∞' END AS mb_per_relevant, printf('%.1f', 0.0::DOUBLE) AS redundancy_pct, printf('%.2f', t) AS throughput, printf('%.1f', c / 1e3) AS cross_node_kb, pages FROM a"""
+
+
+@query(SUMMARY)
+def agg_summary(spark: SparkSession, sf: str) -> DataFrame:
+    return flagship(spark, sf)
+
+
+@query("WITH " + LOG + " SELECT count(*) AS total_pages, CAST(sum(CAST(is_relevant AS INT)) AS BIGINT) AS total_relevant, round_even((max(epoch_us(\"timestamp\")) - min(epoch_us(\"timestamp\"))) / 1e6, 2) AS duration_sec, round_even(count(*) / ((max(epoch_us(\"timestamp\")) - min(epoch_us(\"timestamp\"))) / 1e6), 2) AS pages_per_sec FROM log")
+def agg_run(spark: SparkSession, sf: str) -> DataFrame:
+    return metrics.run_summary(log_of(spark, sf))
+
+
+@query("WITH " + LOG + " SELECT count(*) AS pages FROM log WHERE error = ''")
+def agg_page_count(spark: SparkSession, sf: str) -> DataFrame:
+    return log_of(spark, sf).filter("error = ''").agg(F.count("*").alias("pages"))
+
+
+@query("WITH " + LINKS + " SELECT count(*) AS links FROM links")
+def agg_link_count(spark: SparkSession, sf: str) -> DataFrame:
+    return links_of(spark, sf).agg(F.count("*").alias("links"))
+
+
+@query("WITH " + SKEWED + " SELECT dst AS url, count(*) AS inbound FROM skewed GROUP BY dst")
+def agg_inbound(spark: SparkSession, sf: str) -> DataFrame:
+    return frontier.inbound(crawl.derived_edges(table(spark, sf, "pages"), skew=10))
+
+
+@query("WITH " + LIVE + ", " + RING.format(4) + " SELECT live.node_id, pages_crawled, alive, (SELECT count(*) FROM ring WHERE ring.node_id = live.node_id) AS partitions, (SELECT count(*) FROM live) AS nodes, CAST((SELECT sum(pages_crawled) FROM live) AS BIGINT) AS total_pages FROM live")
+def agg_cluster(spark: SparkSession, sf: str) -> DataFrame:
+    owners = cluster.assignment(spark, [f"node-{i}" for i in range(4)])
+    return cluster.cluster_stats(cluster.liveness(beats_of(spark, sf)), owners).select("node_id", "pages_crawled", "alive", "partitions", "nodes", "total_pages")
+
+
+@query("WITH " + LOG + " SELECT count(*) AS total_pages, CAST(sum(CAST(is_relevant AS INT)) AS BIGINT) AS total_relevant, round_even(sum(CAST(is_relevant AS INT)) / count(*), 4) AS harvest_rate FROM log")
+def agg_dashboard(spark: SparkSession, sf: str) -> DataFrame:
+    return metrics.dashboard(streams.live_stats(log_of(spark, sf)))
+
+
+@query("WITH " + LOG + ", b AS (SELECT least(19, greatest(0, CAST(trunc(fetch_latency_ms / 100 * 20) AS INT))) AS b FROM log), c AS (SELECT b, count(*) AS n FROM b GROUP BY b) SELECT CAST(i AS INT) AS bucket, coalesce(n, 0) AS n, round_even(coalesce(n, 0) / (SELECT count(*) FROM log) * 100, 1) AS pct FROM range(20) t(i) LEFT JOIN c ON c.b = i")
+def agg_hist(spark: SparkSession, sf: str) -> DataFrame:
+    return metrics.histogram(log_of(spark, sf).withColumn("score", F.col("fetch_latency_ms") / 100), "score")
+
+
+@query("WITH " + LOG + ", s AS (SELECT node_id, count(*) / 10000.0::DOUBLE AS pages_per_sec, avg(CAST(is_relevant AS INT)) AS harvest_rate FROM log GROUP BY node_id) SELECT node_id, CAST(floor(pages_per_sec / greatest(1, max(pages_per_sec) OVER ()) * 100 + 0.5) AS BIGINT) AS bar, CASE WHEN harvest_rate > 0.5 THEN 'good' WHEN harvest_rate > 0.3 THEN 'mid' ELSE 'bad' END AS grade FROM s")
+def agg_kpi(spark: SparkSession, sf: str) -> DataFrame:
+    d = log_of(spark, sf).groupBy("node_id").agg((F.count("*") / 10000.0).alias("pages_per_sec"), F.avg(metrics.RELEVANT).alias("harvest_rate"))
+    return metrics.kpis(d).select("node_id", "bar", "grade")
+
+
+@query("WITH " + TRAFFIC + " SELECT node_id, CAST(sum(bytes) FILTER (direction = 'sent') AS BIGINT) AS sent_bytes, CAST(sum(bytes) FILTER (direction = 'recv') AS BIGINT) AS recv_bytes FROM counters GROUP BY node_id")
+def agg_comm_total(spark: SparkSession, sf: str) -> DataFrame:
+    return cluster.totals(cluster.minute_counters(traffic(spark, sf)))
+
+
+@query("WITH " + TRAFFIC + " SELECT node_id, \"minute\", direction, bytes FROM counters")
+def agg_comm_keys(spark: SparkSession, sf: str) -> DataFrame:
+    return cluster.minute_counters(traffic(spark, sf))
+
+
+@query("WITH " + BITS + f", s AS (SELECT (SELECT count(*) FROM pages) AS items, count(DISTINCT bit) AS bits_set FROM b) SELECT items, bits_set, round(bits_set / {M}, 8) AS fill_ratio, round(pow(1 - exp(-6.0::DOUBLE * items / {M}), 6), 8) AS false_positive_rate FROM s")
+def agg_bloom_stats(spark: SparkSession, sf: str) -> DataFrame:
+    return bloom.statistics(table(spark, sf, "pages"), "url", M, K)
+
+
+@query("WITH " + CENTROID + " SELECT CAST(i AS INT) AS i, round(c[i], 6) AS x FROM c, range(1, 65) t(i)")
+def agg_centroid_init(spark: SparkSession, sf: str) -> DataFrame:
+    return topic_of(embeddings_of(spark, sf)).select(F.posexplode("centroid").alias("i", "x")).select((F.col("i") + 1).alias("i"), F.round("x", 6).alias("x"))
+
+
+EMA = "WITH RECURSIVE " + CENTROID + """, o AS (SELECT label, e, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS k FROM v),
+f(label, k, c) AS (SELECT DISTINCT label, 0::BIGINT, c.c FROM v, c UNION ALL SELECT o.label, o.k, list_transform(m.m, lambda x: x / (sqrt(list_sum(list_transform(m.m, lambda y: y * y))) + 1e-10)) FROM f JOIN o ON o.label = f.label AND o.k = f.k + 1, LATERAL (SELECT list_transform(list_zip(f.c, o.e), lambda z: 0.95::DOUBLE * z[1] + 0.05::DOUBLE * z[2]) AS m) m),
+last AS (SELECT label, arg_max(c, k) AS c FROM f GROUP BY label) SELECT label, CAST(i AS INT) AS i, round(c[i], 6) AS x FROM last, range(1, 65) t(i)"""
+
+
+@query(EMA)
+def agg_centroid_ema(spark: SparkSession, sf: str) -> DataFrame:
+    """From the centroid of label 0, each label's vectors move it in order of id."""
+    v = embeddings_of(spark, sf)
+    d = semantic.drifted(v.crossJoin(F.broadcast(topic_of(v).withColumnRenamed("centroid", "c0"))), F.col("c0"), "vec_id", key="label")
+    return d.select("label", F.posexplode("centroid").alias("i", "x")).select("label", (F.col("i") + 1).alias("i"), F.round("x", 6).alias("x"))
+
+
+@query("WITH " + LOG + ", r AS (SELECT mode, fetch_latency_ms AS v, row_number() OVER (PARTITION BY mode ORDER BY fetch_latency_ms) - 1 AS i, count(*) OVER (PARTITION BY mode) AS n FROM log) SELECT mode, round(avg(v), 6) AS mean_ms, round(median(v), 6) AS median_ms, round(stddev_samp(v), 6) AS stdev_ms, max(v) FILTER (i = floor(n * 0.95::DOUBLE)) AS p95_ms, min(v) AS min_ms, max(v) AS max_ms, avg(v) < 10 AS passes_10ms FROM r GROUP BY mode")
+def agg_latency(spark: SparkSession, sf: str) -> DataFrame:
+    d = metrics.latency(log_of(spark, sf), "fetch_latency_ms", "mode")
+    return d.withColumns({c: F.round(c, 6) for c in ("mean_ms", "median_ms", "stdev_ms")})
+
+
+@query("WITH " + LOG + ", t AS (SELECT [1, 10, 50, 100][1 + seq % 4] AS batch_size, fetch_latency_ms AS total_ms FROM log), g AS (SELECT batch_size, avg(total_ms) AS m FROM t GROUP BY 1) SELECT CAST(batch_size AS INT) AS batch_size, round(m, 6) AS mean_total_ms, round(m / batch_size, 6) AS mean_per_url_ms, round((SELECT m FROM g WHERE batch_size = 1) / (m / batch_size), 4) AS speedup FROM g")
+def agg_batch_speedup(spark: SparkSession, sf: str) -> DataFrame:
+    size = F.element_at(F.array(*[F.lit(x) for x in (1, 10, 50, 100)]), (F.col("seq") % 4 + 1).cast("int"))
+    d = metrics.batch_speedup(log_of(spark, sf).select(size.alias("batch_size"), F.col("fetch_latency_ms").alias("total_ms")))
+    return d.select("batch_size", F.round("mean_total_ms", 6).alias("mean_total_ms"), F.round("mean_per_url_ms", 6).alias("mean_per_url_ms"), F.round("speedup", 4).alias("speedup"))
+
+
+CLASSIFIED = SCORES + """, l AS (SELECT label = 0 AS y, round(score, 3) AS s FROM s), t AS (SELECT count(*) FILTER (y AND s >= 0.5) AS tp, count(*) FILTER (s >= 0.5) AS pp, count(*) FILTER (y) AS pos, count(*) FILTER (y = (s >= 0.5)) AS ok, count(*) AS n FROM l),
+auc AS (SELECT sum(CASE WHEN a.s > b.s THEN 1 WHEN a.s = b.s THEN 0.5 ELSE 0 END) AS u FROM l a, l b WHERE a.y AND NOT b.y)
+SELECT round(tp / pp, 6) AS precision, round(tp / pos, 6) AS recall, round(2.0::DOUBLE * tp / (pp + pos), 6) AS f1, round(ok / n, 6) AS accuracy, round(CAST(u AS DOUBLE) / (pos * (n - pos)), 6) AS roc_auc FROM t, auc"""
+
+
+def judged(spark: SparkSession, sf: str) -> DataFrame:
+    v = embeddings_of(spark, sf)
+    s = semantic.scored(v, topic_of(v)).select((F.col("label") == 0).cast("int").alias("y"), F.round("score", 3).alias("s"))
+    d = metrics.scored(s, "y", "s")
+    return d.select(*[F.round(c, 6).alias(c) for c in d.columns])
+
+
+@query(CLASSIFIED)
+def agg_classifier(spark: SparkSession, sf: str) -> DataFrame:
+    return judged(spark, sf)
+
+
+@query(CLASSIFIED)
+def ml_evaluate(spark: SparkSession, sf: str) -> DataFrame:
+    return judged(spark, sf)
+
+
+@query("WITH " + LOG + " SELECT coalesce(mode, 'all') AS mode, coalesce(node_id, 'all') AS node_id, count(*) AS pages, CAST(sum(CAST(is_relevant AS INT)) AS BIGINT) AS relevant FROM log GROUP BY ROLLUP (mode, node_id)")
+def agg_rollup(spark: SparkSession, sf: str) -> DataFrame:
+    """An extension: subtotals by mode and node."""
+    d = log_of(spark, sf).rollup("mode", "node_id").agg(F.count("*").alias("pages"), F.sum(metrics.RELEVANT).alias("relevant"))
+    return d.fillna("all", ["mode", "node_id"])
+
+
+# windows
+
+
+@query("WITH " + COUNTED + " SELECT seq, cumulative_pages, cumulative_relevant FROM counted")
+def win_cum_counters(spark: SparkSession, sf: str) -> DataFrame:
+    return counted(spark, sf).select("seq", "cumulative_pages", "cumulative_relevant")
+
+
+ORDERED = "ORDER BY \"timestamp\", node_id, seq"
+
+
+@query("WITH " + FIRST + f", b AS (SELECT mode, row_number() OVER w - 1 AS position, CAST(sum(bytes_downloaded) OVER w AS DOUBLE) / 1e6 AS b, sum(CAST(is_relevant AS INT)) OVER w AS r FROM firstrun WINDOW w AS (PARTITION BY mode {ORDERED} ROWS UNBOUNDED PRECEDING)) SELECT mode, CAST(position AS INT) AS position, round(CASE WHEN r > 0 THEN b / r END, 6) AS mb_per_relevant FROM b")
+def win_bandwidth(spark: SparkSession, sf: str) -> DataFrame:
+    return metrics.bandwidth(counted(spark, sf)).withColumn("mb_per_relevant", F.round("mb_per_relevant", 6))
+
+
+DEPTH = "WITH " + FIRST + f", d AS (SELECT *, row_number() OVER (PARTITION BY mode {ORDERED}) - 1 AS position, count(*) OVER (PARTITION BY mode) AS n, avg(CAST(is_relevant AS INT)) OVER (PARTITION BY mode {ORDERED} ROWS UNBOUNDED PRECEDING) AS r FROM firstrun), xs AS (SELECT DISTINCT mode, CASE WHEN n = 1 THEN 0 ELSE j * (n - 1) // (least(100, n) - 1) END AS position FROM d, range(100) t(j) WHERE j < least(100, n)) "
+
+
+@query(DEPTH + "SELECT d.mode, CAST(d.position AS INT) AS position, round(CASE WHEN cumulative_pages > 0 THEN cumulative_relevant / cumulative_pages ELSE 0 END, 6) AS rate FROM d JOIN xs USING (mode, position)")
+def win_depth(spark: SparkSession, sf: str) -> DataFrame:
+    return metrics.relevance_at_depth(counted(spark, sf)).withColumn("rate", F.round("rate", 6))
+
+
+@query(DEPTH + "SELECT d.mode, CAST(d.position AS INT) AS position, round(r, 6) AS rate FROM d JOIN xs USING (mode, position)")
+def win_depth_global(spark: SparkSession, sf: str) -> DataFrame:
+    return metrics.relevance_at_depth_global(counted(spark, sf)).withColumn("rate", F.round("rate", 6))
+
+
+@query("WITH " + FIRST + " SELECT seq, mode, run FROM firstrun")
+def win_first_run(spark: SparkSession, sf: str) -> DataFrame:
+    return metrics.first_run(counted(spark, sf)).select("seq", "mode", "run")
+
+
+@query("WITH " + LOG + " SELECT DISTINCT mode, node_id, CAST(dense_rank() OVER (PARTITION BY mode ORDER BY node_id) AS INT) AS run FROM log")
+def win_run_ordinal(spark: SparkSession, sf: str) -> DataFrame:
+    """Files of a mode in order get runs from 1; here a node's log is a file."""
+    d = log_of(spark, sf).select("mode", "node_id").distinct()
+    return d.withColumn("run", F.dense_rank().over(W.partitionBy("mode").orderBy("node_id")))
+
+
+def last_sql(n: int) -> str:
+    return "WITH " + LOG + f" SELECT node_id, seq, fetch_latency_ms AS score FROM (SELECT *, row_number() OVER (PARTITION BY node_id ORDER BY seq DESC) AS k FROM log) WHERE k <= {n}"
+
+
+@query(last_sql(500))
+def win_last_n(spark: SparkSession, sf: str) -> DataFrame:
+    d = log_of(spark, sf).select("node_id", "seq", F.col("fetch_latency_ms").alias("score"))
+    return metrics.last_n(d, "node_id", "seq", 500)
+
+
+@query(last_sql(120))
+def win_history(spark: SparkSession, sf: str) -> DataFrame:
+    d = log_of(spark, sf).select("node_id", "seq", F.col("fetch_latency_ms").alias("score"))
+    return metrics.last_n(d, "node_id", "seq", 120)
+
+
+@query("WITH " + BEATS + ", r AS (SELECT seq, pages_crawled - lag(pages_crawled) OVER w AS dp, (epoch_us(\"timestamp\") - lag(epoch_us(\"timestamp\")) OVER w) / 1e6 AS dt FROM beats WINDOW w AS (PARTITION BY node_id ORDER BY seq)) SELECT seq, round(coalesce(CASE WHEN dt > 0 THEN dp / dt END, 0), 6) AS pages_per_sec FROM r")
+def win_rate_delta(spark: SparkSession, sf: str) -> DataFrame:
+    return metrics.page_rate(beats_of(spark, sf)).select("seq", F.round("pages_per_sec", 6).alias("pages_per_sec"))
+
+
+# orders and limits: positions make the order part of the result
+
+
+def pushes_of(spark: SparkSession, sf: str) -> DataFrame:
+    """Pushes of hosts' pages: every URL several times, with a priority."""
+    e = F.concat(F.lit("u"), F.col("seq") % 977)
+    return log_of(spark, sf).select(e.alias("url"), "seq", F.col("fetch_latency_ms").alias("priority"), "node_id")
+
+
+PUSHES = LOG + ", pushes AS (SELECT 'u' || (seq % 977) AS url, seq, fetch_latency_ms AS priority, node_id FROM log)"
+
+
+@query("WITH " + PUSHES + " SELECT url, seq FROM pushes ORDER BY seq")
+def srt_fifo(spark: SparkSession, sf: str) -> DataFrame:
+    return frontier.ordered(pushes_of(spark, sf), "bfs").select("url", "seq")
+
+
+@query("WITH " + PUSHES + " SELECT url, seq, priority FROM pushes ORDER BY priority, seq")
+def srt_priority(spark: SparkSession, sf: str) -> DataFrame:
+    return frontier.ordered(pushes_of(spark, sf), "priority").select("url", "seq", "priority")
+
+
+@query("WITH " + PUSHES + " SELECT url, count(*) AS inbound, max(seq) AS seq FROM pushes GROUP BY url ORDER BY inbound DESC, seq")
+def srt_link(spark: SparkSession, sf: str) -> DataFrame:
+    return frontier.by_inbound(pushes_of(spark, sf))
+
+
+@query("WITH " + PUSHES + " SELECT url, CAST(1 AS BIGINT) AS inbound, min(seq) AS seq FROM pushes GROUP BY url ORDER BY seq")
+def srt_link_as_implemented(spark: SparkSession, sf: str) -> DataFrame:
+    """The order where repeated sightings never reach the counter."""
+    return frontier.by_inbound(pushes_of(spark, sf), as_implemented=True)
+
+
+MOCK = "WITH " + PUSHES + ", m AS (SELECT url, min(seq) AS seq, arg_min(priority, seq) AS priority FROM pushes GROUP BY url) SELECT url, seq, priority FROM m ORDER BY priority DESC, seq"
+
+
+@query(MOCK)
+def srt_mock(spark: SparkSession, sf: str) -> DataFrame:
+    return frontier.mock(pushes_of(spark, sf)).select("url", "seq", "priority")
+
+
+@query(MOCK + " LIMIT 5")
+def top_k(spark: SparkSession, sf: str) -> DataFrame:
+    return frontier.top_k(pushes_of(spark, sf), 5).select("url", "seq", "priority")
+
+
+@query("WITH " + LOG + " SELECT node_id, seq FROM (SELECT *, row_number() OVER (PARTITION BY node_id ORDER BY seq) AS k FROM log) WHERE k <= 150 // 4")
+def lim_budget(spark: SparkSession, sf: str) -> DataFrame:
+    return frontier.budgeted(log_of(spark, sf), 150, 4).select("node_id", "seq")
+
+
+@query("WITH " + LOG + " SELECT node_id, seq, epoch_us(\"timestamp\") AS us FROM log ORDER BY \"timestamp\", node_id, seq")
+def srt_merge(spark: SparkSession, sf: str) -> DataFrame:
+    d = log_of(spark, sf)
+    logs = [d.filter(F.col("node_id") == f"node-{i}") for i in range(4)]
+    return crawl_log.merged(logs).orderBy("timestamp", "node_id", "seq").select("node_id", "seq", F.unix_micros("timestamp").alias("us"))
+
+
+# sets
+
+
+@query("WITH " + LOG + " SELECT node_id, count(*) AS n FROM log GROUP BY node_id")
+def set_union_all(spark: SparkSession, sf: str) -> DataFrame:
+    d = log_of(spark, sf)
+    return crawl_log.merged([d.filter(F.col("run") == r) for r in (1, 2, 3)]).groupBy("node_id").agg(F.count("*").alias("n"))
+
+
+@query("SELECT * FROM (VALUES ('cumulative_pages'), ('cumulative_relevant')) t(missing)")
+def set_diff_required(spark: SparkSession, sf: str) -> DataFrame:
+    return spark.createDataFrame([(c,) for c in sorted(crawl_log.missing_columns(log_of(spark, sf)))], "missing STRING")
+
+
+@query("WITH " + LINKS + " SELECT src, dst, n FROM links")
+def set_distinct_url(spark: SparkSession, sf: str) -> DataFrame:
+    return links_of(spark, sf).select("src", "dst", "n")
+
+
+@query("WITH " + LOG + " SELECT DISTINCT mode FROM log")
+def set_union_modes(spark: SparkSession, sf: str) -> DataFrame:
+    d = log_of(spark, sf)
+    return crawl_log.merged([d.filter(F.col("run") == r).select("mode") for r in (1, 2, 3)]).distinct()
+
+
+# crawls
+
+
+@query("WITH RECURSIVE " + EDGES + ", bfs(page, depth) AS (SELECT 0::BIGINT, 0 UNION SELECT e.dst, b.depth + 1 FROM bfs b JOIN edges e ON e.src = b.page WHERE b.depth < 60) SELECT page, CAST(min(depth) AS INT) AS depth FROM bfs GROUP BY page")
+def it_crawl_bfs(spark: SparkSession, sf: str) -> DataFrame:
+    e = crawl.derived_edges(table(spark, sf, "pages"))
+    return crawl.crawl_bfs(e, spark.range(1).select(F.col("id").alias("page")))
+
+
+def width_of(pages: DataFrame) -> int:
+    return max(1, -(-pages.count() // 6))
+
+
+@query()
+def it_crawl_link(spark: SparkSession, sf: str) -> DataFrame:
+    p = table(spark, sf, "pages")
+    return crawl.crawl_best_first(crawl.derived_edges(p, skew=10), spark.range(1).select(F.col("id").alias("page")), crawl.inbound_priority, width_of(p))
+
+
+@query()
+def it_crawl_semantic(spark: SparkSession, sf: str) -> DataFrame:
+    p, v = table(spark, sf, "pages"), embeddings_of(spark, sf)
+    n = v.agg(F.count("*").alias("n"))
+    s = semantic.scored(v, topic_of(v)).select("vec_id", "score")
+    scores = p.select(F.col("page_id").alias("page")).crossJoin(F.broadcast(n)).withColumn("vec_id", F.col("page") % F.col("n")).join(s, "vec_id").select("page", "score")
+    return crawl.crawl_best_first(crawl.derived_edges(p), spark.range(1).select(F.col("id").alias("page")), crawl.score_priority(scores), width_of(p))
+
+
+@query("WITH " + LINKS + ", r AS (SELECT page_id, url, CASE WHEN page_id % 7 = 0 THEN 0 ELSE 200 END AS s FROM pages) SELECT DISTINCT dst AS url FROM resolved JOIN r ON r.url = resolved.src AND s = 200 WHERE dst NOT IN (SELECT dst FROM resolved JOIN pages p ON p.url = resolved.src WHERE p.page_id % 3 = 0)")
+def it_process(spark: SparkSession, sf: str) -> DataFrame:
+    """New URLs of the pages that were fetched; every seventh failed, every third was seen before."""
+    p = table(spark, sf, "pages")
+    l = links_of(spark, sf).withColumnRenamed("n", "seq")
+    r = p.select("url", F.when(F.col("page_id") % 7 == 0, 0).otherwise(200).alias("status_code"), "html", F.lit(None).cast("string").alias("error"), F.lit("node-0").alias("node_id"), F.col("page_id").alias("seq"))
+    seen = l.filter("page_id % 3 = 0").select(F.col("dst").alias("url")).distinct()
+    return crawl.process(r, l, seen)[1].select("url")
+
+
+# partitions
+
+
+@query("SELECT CAST(p AS INT) AS \"partition\", ['a', 'b', 'c', 'd', 'e'][p % 5 + 1] AS node_id FROM range(256) t(p)")
+def par_assign(spark: SparkSession, sf: str) -> DataFrame:
+    return cluster.assignment(spark, ["c", "a", "b", "e", "d", "a"])
+
+
+@query("SELECT CAST(p AS INT) AS \"partition\", 'node-' || (p % 4) AS old_node, 'node-' || (p % 5) AS new_node FROM range(256) t(p) WHERE p % 4 <> p % 5")
+def par_moved(spark: SparkSession, sf: str) -> DataFrame:
+    four, five = ([f"node-{i}" for i in range(n)] for n in (4, 5))
+    return cluster.moved(cluster.assignment(spark, four), cluster.assignment(spark, five))
+
+
+@query(ROUTED + "SELECT url, \"partition\", node_id, node_id = 'node-0' AS local FROM r")
+def par_route(spark: SparkSession, sf: str) -> DataFrame:
+    return routed_of(spark, sf)
+
+
+@query("WITH " + LOG + """ SELECT seq, length('{"url": "' || url || '", "priority": ' || CAST(seq / 4 AS DOUBLE) || ', "metadata": {"depth": "' || run || '", "src": "http://s/"}, "forwarded_from": "' || node_id || '"}') - 2 AS chars FROM log""")
+def par_bytes(spark: SparkSession, sf: str) -> DataFrame:
+    return messages_of(spark, sf).select("seq", urls.message_chars(F.col("value")).cast("bigint").alias("chars"))
+
+
+@query("WITH " + LIVE + ", alive AS (SELECT node_id, row_number() OVER (ORDER BY node_id) - 1 AS k FROM live WHERE NOT dead) SELECT CAST(p AS INT) AS \"partition\", node_id FROM range(256) t(p) JOIN alive ON k = p % (SELECT count(*) FROM alive)")
+def par_failover(spark: SparkSession, sf: str) -> DataFrame:
+    return cluster.failover(spark, cluster.liveness(beats_of(spark, sf)))
+
+
+@query("SELECT 'node-' || (p % 4) AS node_id, list(CAST(p AS INT) ORDER BY p)::VARCHAR AS partitions FROM range(256) t(p) GROUP BY 1")
+def par_publish(spark: SparkSession, sf: str) -> DataFrame:
+    d = cluster.assignment(spark, [f"node-{i}" for i in range(4)])
+    return d.groupBy("node_id").agg(F.sort_array(F.collect_list("partition")).cast("string").alias("partitions"))
+
+
+EXPERIMENT = "WITH " + LOG + ", n AS (SELECT unnest([{0}]) AS k), d AS (SELECT k AS node_count, log.* EXCLUDE (node_id), 'node-' || (" + PART.format("url") + " % k) AS node_id FROM log, n) SELECT CAST(node_count AS INT) AS node_count, count(*) AS pages, CAST(sum(CAST(is_relevant AS INT)) AS BIGINT) AS relevant, count(DISTINCT node_id) AS nodes_used, " + THROUGHPUT + " AS pages_per_sec_node, " + CROSS + " AS cross_node_bytes FROM d GROUP BY node_count"
+
+
+@query(EXPERIMENT.format("1, 2, 4, 8"))
+def exp_scalability(spark: SparkSession, sf: str) -> DataFrame:
+    return metrics.experiment(log_of(spark, sf), [1, 2, 4, 8])
+
+
+@query("WITH " + LOG + " SELECT mode AS label, count(*) AS total_pages, CAST(sum(CAST(is_relevant AS INT)) AS BIGINT) AS total_relevant, round_even((max(epoch_us(\"timestamp\")) - min(epoch_us(\"timestamp\"))) / 1e6, 2) AS duration_sec, round_even(count(*) / ((max(epoch_us(\"timestamp\")) - min(epoch_us(\"timestamp\"))) / 1e6), 2) AS pages_per_sec FROM log GROUP BY mode")
+def exp_compare(spark: SparkSession, sf: str) -> DataFrame:
+    out = None
+    for mode, d in metrics.by_mode(log_of(spark, sf), metrics.run_summary).items():
+        d = d.select(F.lit(mode).alias("label"), "*")
+        out = d if out is None else out.unionByName(d)
+    return out
+
+
+@query(EXPERIMENT.format("2, 4, 8"))
+def exp_comm(spark: SparkSession, sf: str) -> DataFrame:
+    return metrics.experiment(log_of(spark, sf), [2, 4, 8])
+
+
+# streams, run over all that there is
+
+
+def event_stream(spark: SparkSession, sf: str) -> DataFrame:
+    return crawl_log.from_events(streams.source(spark, f"{sf}/events.parquet"))
+
+
+@query(DECODED)
+def str_receive(spark: SparkSession, sf: str) -> DataFrame:
+    path = f"{shared_folder(spark)}/messages-{uuid.uuid4().hex[:8]}"
+    raw_messages(spark, sf).write.parquet(path)
+    return streams.run_to_table(streams.received(streams.source(spark, path))).select("url", "priority", "forwarded_from")
+
+
+@query("WITH " + LOG + " SELECT node_id, epoch_us(\"timestamp\") // 60000000 * 60 AS \"minute\", CAST(sum(bytes_downloaded) AS BIGINT) AS bytes FROM log GROUP BY ALL")
+def str_minute_bytes(spark: SparkSession, sf: str) -> DataFrame:
+    d = event_stream(spark, sf).select("node_id", "timestamp", F.col("bytes_downloaded").alias("bytes"))
+    return streams.run_to_table(streams.minute_bytes(d), "complete")
+
+
+@query("WITH " + LOG + " SELECT DISTINCT split_part(url, '/', 3) || '/' || split_part(url, '/', 4) AS url FROM log")
+def str_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    d = event_stream(spark, sf).select(F.regexp_extract("url", "^http://([^/]*/[^/]*)/", 1).alias("url"))
+    return streams.run_to_table(streams.first_urls(d))
+
+
+@query("WITH " + LOG + ", g AS (SELECT node_id, epoch_us(\"timestamp\") AS us, coalesce(epoch_us(\"timestamp\") - lag(epoch_us(\"timestamp\")) OVER (PARTITION BY node_id ORDER BY \"timestamp\") >= 30000000, true) AS fresh FROM log), s AS (SELECT *, sum(CAST(fresh AS INT)) OVER (PARTITION BY node_id ORDER BY us ROWS UNBOUNDED PRECEDING) AS k FROM g) SELECT node_id, min(us) // 1000000 AS from_s, max(us) // 1000000 AS until_s, count(*) AS beats FROM s GROUP BY node_id, k")
+def str_liveness(spark: SparkSession, sf: str) -> DataFrame:
+    return streams.run_to_table(streams.liveness(event_stream(spark, sf).select("node_id", "timestamp")), "complete")
+
+
+@query("WITH " + LOG + " SELECT node_id, count(*) AS pages_crawled, CAST(sum(CAST(is_relevant AS INT)) AS BIGINT) AS relevant_count, CAST(sum(bytes_downloaded) AS BIGINT) AS bytes_downloaded FROM log GROUP BY node_id")
+def str_live_stats(spark: SparkSession, sf: str) -> DataFrame:
+    return streams.run_to_table(streams.live_stats(event_stream(spark, sf)), "complete")
+
+
+@query(last_sql(500))
+def str_scores(spark: SparkSession, sf: str) -> DataFrame:
+    d = event_stream(spark, sf).select("node_id", "seq", F.col("fetch_latency_ms").alias("score"))
+    root = f"{shared_folder(spark)}/scores-{uuid.uuid4().hex[:8]}"
+    out = streams.last_scores(d)
+    out.writeStream.foreachBatch(lambda df, b: df.withColumn("batch", F.lit(b)).write.mode("overwrite").parquet(f"{root}/out/b{b}")).outputMode("update").option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    d = spark.read.option("recursiveFileLookup", True).schema("node_id STRING, seq BIGINT, score DOUBLE, batch BIGINT").parquet(f"{root}/out")
+    last = d.groupBy("node_id").agg(F.max("batch").alias("batch"))
+    return d.join(F.broadcast(last), ["node_id", "batch"]).select("node_id", "seq", "score")
+
+
+@query()
+def str_centroid(spark: SparkSession, sf: str) -> DataFrame:
+    v = streams.source(spark, f"{sf}/embeddings.parquet").select(F.concat(F.lit("node-"), F.col("label") % 4).alias("node_id"), F.col("vec_id").alias("seq"), "embedding")
+    root = f"{shared_folder(spark)}/centroids-{uuid.uuid4().hex[:8]}"
+    streams.moving_centroid(v).writeStream.foreachBatch(lambda df, b: df.write.mode("overwrite").parquet(f"{root}/out/b{b}")).outputMode("update").option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    d = spark.read.option("recursiveFileLookup", True).schema("node_id STRING, centroid ARRAY<DOUBLE>").parquet(f"{root}/out")
+    return d.select("node_id", F.round(vectors.norm(F.col("centroid")), 6).alias("norm"))
+
+
+@query("WITH " + LOG + ", " + RING.format(4) + " SELECT seq, \"partition\", ring.node_id FROM log JOIN ring ON ring.\"partition\" = " + PART.format("url"))
+def str_assignment(spark: SparkSession, sf: str) -> DataFrame:
+    owners = cluster.assignment(spark, [f"node-{i}" for i in range(4)])
+    return streams.run_to_table(streams.assigned(event_stream(spark, sf).select("seq", "url"), owners, "node-0").select("seq", "partition", "node_id"))
+
+
+# relevance
+
+
+@query(SCORES + "SELECT vec_id, label, round(score, 6) AS score FROM s")
+def ml_score(spark: SparkSession, sf: str) -> DataFrame:
+    v = embeddings_of(spark, sf)
+    return semantic.scored(v, topic_of(v)).select("vec_id", "label", F.round("score", 6).alias("score"))
+
+
+@query()
+def ml_fit(spark: SparkSession, sf: str) -> DataFrame:
+    """Train on four fifths, judge on the rest: a row of figures."""
+    v = embeddings_of(spark, sf).withColumn("y", (F.col("label") == 0).cast("int"))
+    train, test = semantic.split(v, "vec_id", "y")
+    p = semantic.predicted(test, semantic.fit(train, "embedding", "y"), "embedding")
+    return metrics.scored(p, "y", "probability")
+
+
+@query()
+def ml_predict(spark: SparkSession, sf: str) -> DataFrame:
+    """A model that was saved and loaded gives each vector a probability."""
+    v = embeddings_of(spark, sf).withColumn("y", (F.col("label") == 0).cast("int"))
+    path = f"{shared_folder(spark)}/model-{uuid.uuid4().hex[:8]}"
+    semantic.save(semantic.fit(semantic.split(v, "vec_id", "y")[0], "embedding", "y"), path)
+    return semantic.predicted(v, semantic.load(path), "embedding").select("vec_id", "probability", "prediction")
+
+
+@query()
+def ml_pca(spark: SparkSession, sf: str) -> DataFrame:
+    return semantic.projected(embeddings_of(spark, sf), "embedding").select("vec_id", "pca")
+
+
+@query(SCORES + "SELECT vec_id, round(score, 6) AS score FROM s ORDER BY score DESC, vec_id LIMIT 8")
+def ml_walkthrough(spark: SparkSession, sf: str) -> DataFrame:
+    v = embeddings_of(spark, sf)
+    return semantic.scored(v, topic_of(v)).orderBy(F.desc("score"), "vec_id").limit(8).select("vec_id", F.round("score", 6).alias("score"))
 
 
-QUERIES = {}
-ORACLE_SQL = {}
+@query("WITH " + LOG + " SELECT mode, round(avg(m), 6) AS mean, round(stddev_pop(m), 6) AS std FROM (SELECT mode, run, avg(fetch_latency_ms) AS m FROM log GROUP BY ALL) GROUP BY mode")
+def udaf_metric(spark: SparkSession, sf: str) -> DataFrame:
+    """Any aggregate over runs: here the mean latency."""
+    d = metrics.mean_std(log_of(spark, sf), F.avg("fetch_latency_ms"))
+    return d.select("mode", F.round("mean", 6).alias("mean"), F.round("std", 6).alias("std"))
