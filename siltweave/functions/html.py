@@ -130,7 +130,10 @@ def parse_page(html: str | None, base: str | None, window: int = 200) -> dict:
     return {"title": p.titles[0].strip() if p.titles else "", "text": " ".join("".join(f"{x} " for x in p.root.parts).split()), "links": links}
 
 
-@F.pandas_udf(PAGE)
-def parsed(html: pd.Series, base: pd.Series) -> pd.DataFrame:
-    """The page as a struct (title, text, links)."""
+def _parsed(html: pd.Series, base: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([parse_page(h, b) for h, b in zip(html, base)], columns=["title", "text", "links"])
+
+
+def parsed(html: Column, base: Column) -> Column:
+    """The page as a struct (title, text, links)."""
+    return F.pandas_udf(_parsed, PAGE)(html, base)

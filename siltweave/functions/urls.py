@@ -54,10 +54,7 @@ def resolve_rooted(base: Column, href: Column) -> Column:
     )
 
 
-@F.pandas_udf("string")
-def resolve(base: pd.Series, href: pd.Series) -> pd.Series:
-    """Resolve any link as RFC 3986 has it; null if it can't be."""
-
+def _resolve(base: pd.Series, href: pd.Series) -> pd.Series:
     def one(b: str | None, h: str | None) -> str | None:
         try:
             return None if h is None else urldefrag(urljoin(b or "", h.strip()))[0]
@@ -67,6 +64,11 @@ def resolve(base: pd.Series, href: pd.Series) -> pd.Series:
     return pd.Series([one(b, h) for b, h in zip(base, href)], dtype=object)
 
 
+def resolve(base: Column, href: Column) -> Column:
+    """Resolve any link as RFC 3986 has it, in vectorised Python; null if it can't be. Fragments go."""
+    return F.pandas_udf(_resolve, "string")(base, href)
+
+
 def squeeze(text: Column) -> Column:
     """Runs of white space become one space; none at the ends."""
     return F.trim(F.regexp_replace(text, r"(?U)\s+", " "))
@@ -105,13 +107,13 @@ def url_context(anchor: Column, around: Column, url: Column, window: int = 200)
 
 def encode_message(url: Column, priority: Column, depth: Column, src: Column, sender: Column) -> Column:
     """A forwarded URL as JSON."""
-    meta = F.create_map(F.lit("depth"), depth.cast("string"), F.lit("src"), src)
+    meta = F.struct(depth.cast("int").alias("depth"), src.alias("src"))
     return F.to_json(F.struct(url.alias("url"), priority.cast("double").alias("priority"), meta.alias("metadata"), sender.alias("forwarded_from")))
 
 
 def message_chars(json: Column) -> Column:
-    """Characters of the message with a space after each separator, as most JSON writers put it."""
-    return F.length(json) + F.lit(7)
+    """Characters of the message with a space after each of its ten separators, as most JSON writers put it."""
+    return F.length(json) + F.lit(10)
 
 
 def decode_message(raw: Column) -> Column:

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 ORDERS = {
-    "bfs": [F.col("seq")],
-    "priority": [F.col("priority"), F.col("seq")],
-    "semantic": [F.col("score").desc(), F.col("seq")],
+    "bfs": [("seq", True)],
+    "priority": [("priority", True), ("seq", True)],
+    "semantic": [("score", False), ("seq", True)],
 }
 
 
@@ -35,7 +35,7 @@ def ordered(frontier: DataFrame, kind: str) -> DataFrame:
     """The whole frontier in the order of a strategy."""
     if kind not in ORDERS:
         raise ValueError(f"there is no frontier {kind!r}; there are {sorted(ORDERS)}")
-    return frontier.orderBy(*ORDERS[kind])
+    return frontier.orderBy(*[F.asc(c) if up else F.desc(c) for c, up in ORDERS[kind]])
 
 
 def by_inbound(pushes: DataFrame, as_implemented: bool = False) -> DataFrame:

@@ -8,15 +8,17 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from siltweave.functions.urls import bucket, mode_label, per_relevant
 
-RELEVANT = F.col("is_relevant").cast("long")
+
+def relevant() -> Column:
+    return F.col("is_relevant").cast("long")
 
 
 def harvest_rate(log: DataFrame) -> DataFrame:
-    return log.groupBy("mode").agg(F.avg(RELEVANT).alias("harvest_rate"))
+    return log.groupBy("mode").agg(F.avg(relevant()).alias("harvest_rate"))
 
 
 def overview(log: DataFrame) -> DataFrame:
-    return log.groupBy("mode").agg(F.count("*").alias("pages"), F.sum(RELEVANT).alias("relevant"), F.bround(F.sum("bytes_downloaded") / 1e6, 1).alias("mb"))
+    return log.groupBy("mode").agg(F.count("*").alias("pages"), F.sum(relevant()).alias("relevant"), F.bround(F.sum("bytes_downloaded") / 1e6, 1).alias("mb"))
 
 
 def _throughput() -> Column:
@@ -50,7 +52,7 @@ def mean_std(log: DataFrame, metric: Column) -> DataFrame:
 def summary(log: DataFrame, redundancy: DataFrame | None = None) -> DataFrame:
     """The summary table, numbers first and as text, in a fixed order of modes."""
     a = log.groupBy("mode").agg(
-        F.avg(RELEVANT).alias("harvest_rate"), (F.sum("bytes_downloaded") / 1e6).alias("mb"), F.sum(RELEVANT).alias("relevant"),
+        F.avg(relevant()).alias("harvest_rate"), (F.sum("bytes_downloaded") / 1e6).alias("mb"), F.sum(relevant()).alias("relevant"),
         _throughput().alias("pages_per_sec_node"), _cross().alias("cross_node_bytes"), F.count("*").alias("pages"),
     )
     a = a.join(redundancy.select("mode", "redundancy"), "mode", "left") if redundancy is not None else a.withColumn("redundancy", F.lit(0.0))
@@ -64,7 +66,7 @@ def summary(log: DataFrame, redundancy: DataFrame | None = None) -> DataFrame:
 
 def run_summary(log: DataFrame) -> DataFrame:
     """One row: pages, relevant, duration and pages a second."""
-    d = log.agg(F.count("*").alias("total_pages"), F.coalesce(F.sum(RELEVANT), F.lit(0)).alias("total_relevant"), F.coalesce((F.max(F.unix_micros("timestamp")) - F.min(F.unix_micros("timestamp"))) / 1e6, F.lit(0.0)).alias("_span"))
+    d = log.agg(F.count("*").alias("total_pages"), F.coalesce(F.sum(relevant()), F.lit(0)).alias("total_relevant"), F.coalesce((F.max(F.unix_micros("timestamp")) - F.min(F.unix_micros("timestamp"))) / 1e6, F.lit(0.0)).alias("_span"))
     rate = F.when(F.col("_span") > 0, F.bround(F.col("total_pages") / F.col("_span"), 2)).otherwise(0.0)
     return d.select("total_pages", "total_relevant", F.bround("_span", 2).alias("duration_sec"), rate.alias("pages_per_sec"))
 
@@ -81,7 +83,7 @@ ORDER = ["timestamp", "node_id", "seq"]
 def bandwidth(log: DataFrame) -> DataFrame:
     """Megabytes a relevant page so far, null before the first; the first run of each mode."""
     w = W.partitionBy("mode").orderBy(*ORDER).rowsBetween(W.unboundedPreceding, 0)
-    d = first_run(log).withColumns({"_b": F.sum("bytes_downloaded").over(w) / 1e6, "_r": F.sum(RELEVANT).over(w), "position": F.row_number().over(w) - 1})
+    d = first_run(log).withColumns({"_b": F.sum("bytes_downloaded").over(w) / 1e6, "_r": F.sum(relevant()).over(w), "position": F.row_number().over(w) - 1})
     return d.select("mode", "position", F.when(F.col("_r") > 0, F.col("_b") / F.col("_r")).alias("mb_per_relevant"))
 
 
@@ -105,7 +107,7 @@ def relevance_at_depth_global(log: DataFrame, points: int = 100) -> DataFrame:
     """The same with counters of all nodes together, recomputed in order of time."""
     w = W.partitionBy("mode")
     run = w.orderBy(*ORDER).rowsBetween(W.unboundedPreceding, 0)
-    d = first_run(log).withColumns({"position": F.row_number().over(w.orderBy(*ORDER)) - 1, "_n": F.count("*").over(w), "rate": F.avg(RELEVANT).over(run)})
+    d = first_run(log).withColumns({"position": F.row_number().over(w.orderBy(*ORDER)) - 1, "_n": F.count("*").over(w), "rate": F.avg(relevant()).over(run)})
     return _sampled(d, points).select("mode", "position", "rate")
 
 
@@ -183,7 +185,7 @@ def experiment(log: DataFrame, node_counts: list[int], url: str = "url") -> Data
     for n in node_counts:
         owners = assignment(log.sparkSession, [f"node-{i}" for i in range(n)])
         d = log.drop("node_id").withColumn("partition", url_partition(F.col(url))).join(F.broadcast(owners), "partition")
-        s = d.groupBy().agg(F.lit(n).alias("node_count"), F.count("*").alias("pages"), F.sum(RELEVANT).alias("relevant"), F.count_distinct("node_id").alias("nodes_used"), _throughput().alias("pages_per_sec_node"), _cross().alias("cross_node_bytes"))
+        s = d.groupBy().agg(F.lit(n).alias("node_count"), F.count("*").alias("pages"), F.sum(relevant()).alias("relevant"), F.count_distinct("node_id").alias("nodes_used"), _throughput().alias("pages_per_sec_node"), _cross().alias("cross_node_bytes"))
         out = s if out is None else out.unionByName(s)
     return out
 

@@ -79,7 +79,7 @@ def links_of(spark: SparkSession, sf: str) -> DataFrame:
     """(src, dst, n, page_id): links by pattern, resolved, once for each page and target."""
     p = table(spark, sf, "pages")
     d = p.select("page_id", F.col("url").alias("src"), F.posexplode(html.hrefs(F.col("html"))).alias("p", "href")).filter(urls.followable(F.col("href")))
-    d = d.select("page_id", "src", (F.col("p") + 1).alias("n"), urls.resolve_rooted(F.col("src"), F.col("href")).alias("dst")).filter(urls.absolute(F.col("dst")))
+    d = d.select("page_id", "src", (F.col("p") + 1).cast("bigint").alias("n"), urls.resolve_rooted(F.col("src"), F.col("href")).alias("dst")).filter(urls.absolute(F.col("dst")))
     return d.groupBy("src", "dst").agg(F.min("n").alias("n"), F.first("page_id").alias("page_id"))
 
 
@@ -162,7 +162,7 @@ def snk_pages(spark: SparkSession, sf: str) -> DataFrame:
 def snk_links(spark: SparkSession, sf: str) -> DataFrame:
     p = table(spark, sf, "pages")
     d = p.select(F.col("url").alias("src"), F.posexplode(html.hrefs(F.col("html"))).alias("p", "href")).filter(urls.followable(F.col("href")))
-    d = d.select("src", urls.resolve_rooted(F.col("src"), F.col("href")).alias("dst"), (F.col("p") + 1).alias("n")).filter("dst IS NOT NULL")
+    d = d.select("src", urls.resolve_rooted(F.col("src"), F.col("href")).alias("dst"), (F.col("p") + 1).cast("bigint").alias("n")).filter("dst IS NOT NULL")
     return crawl_log.first_links(d, "n")
 
 
@@ -266,7 +266,7 @@ def fn_bloom_fpr(spark: SparkSession, sf: str) -> DataFrame:
 @query("WITH " + LINKS + " SELECT page_id, n, dst FROM resolved")
 def fn_urljoin(spark: SparkSession, sf: str) -> DataFrame:
     d = table(spark, sf, "pages").select("page_id", "url", F.posexplode(html.hrefs(F.col("html"))).alias("p", "href")).filter(urls.followable(F.col("href")))
-    return d.select("page_id", (F.col("p") + 1).alias("n"), urls.resolve(F.col("url"), F.col("href")).alias("dst"))
+    return d.select("page_id", (F.col("p") + 1).cast("bigint").alias("n"), urls.resolve(F.col("url"), F.col("href")).alias("dst"))
 
 
 @query("SELECT url, lower(regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*):', 1)) AS scheme, regexp_extract(url, '^[^:/?#]+://([^/?#]*)', 1) AS netloc, regexp_extract(url, '^([^:/?#]+://[^/?#]*)', 1) AS origin FROM pages")
@@ -303,7 +303,7 @@ def fn_block(spark: SparkSession, sf: str) -> DataFrame:
     return d.select("page_id", F.col("p.title").alias("title"), F.length("p.text").alias("chars"), F.explode_outer("p.links").alias("l")).select("page_id", "title", "chars", "l.*")
 
 
-ANCHORS = "a AS (SELECT doc_id, text AS t, split_part(text, ' ', 1 + CAST(doc_id % 40 AS INT)) AS w FROM documents), p AS (SELECT doc_id, t, w, instr(t, w) AS at FROM a WHERE w <> '')"
+ANCHORS = "a AS (SELECT doc_id, text AS t, split_part(text, ' ', 1 + CAST(doc_id % 40 AS INT)) AS w FROM documents), p AS (SELECT doc_id, t, w, instr(t, w) AS ix FROM a WHERE w <> '')"
 
 
 def anchors_of(spark: SparkSession, sf: str) -> DataFrame:
@@ -311,13 +311,13 @@ def anchors_of(spark: SparkSession, sf: str) -> DataFrame:
     return d.filter("w <> ''")
 
 
-@query("WITH " + ANCHORS + """, q AS (SELECT doc_id, t, w, at, greatest(1, at - 200) AS s, least(length(t), at - 1 + length(w) + 200) AS e FROM p), r AS (SELECT *, substr(t, s, e - s + 1) AS x FROM q)
-SELECT doc_id, md5(CASE WHEN at = 0 THEN substr(t, 1, 400) WHEN s > 1 AND instr(x, ' ') > 0 THEN substr(x, instr(x, ' ') + 1) ELSE x END) AS digest FROM r""")
+@query("WITH " + ANCHORS + """, q AS (SELECT doc_id, t, w, ix, greatest(1, ix - 200) AS s, least(length(t), ix - 1 + length(w) + 200) AS e FROM p), r AS (SELECT *, substr(t, s, e - s + 1) AS x FROM q)
+SELECT doc_id, md5(CASE WHEN ix = 0 THEN substr(t, 1, 400) WHEN s > 1 AND instr(x, ' ') > 0 THEN substr(x, instr(x, ' ') + 1) ELSE x END) AS digest FROM r""")
 def fn_context(spark: SparkSession, sf: str) -> DataFrame:
     return anchors_of(spark, sf).select("doc_id", F.md5(urls.context_around(F.col("t"), F.col("w"))).alias("digest"))
 
 
-SURROUND = ", q AS (SELECT doc_id, t, w, at, greatest(1, at - 200) AS s, least(length(t), at - 1 + length(w) + 200) AS e FROM p), sur AS (SELECT doc_id, t, w, CASE WHEN at = 0 THEN substr(t, 1, 200) ELSE substr(t, s, e - s + 1) END AS x FROM q)"
+SURROUND = ", q AS (SELECT doc_id, t, w, ix, greatest(1, ix - 200) AS s, least(length(t), ix - 1 + length(w) + 200) AS e FROM p), sur AS (SELECT doc_id, t, w, CASE WHEN ix = 0 THEN substr(t, 1, 200) ELSE substr(t, s, e - s + 1) END AS x FROM q)"
 
 
 @query("WITH " + ANCHORS + SURROUND + " SELECT doc_id, md5(x) AS digest FROM sur")
@@ -385,7 +385,7 @@ def messages_of(spark: SparkSession, sf: str) -> DataFrame:
     return d.select("seq", "node_id", urls.encode_message(F.col("url"), F.col("seq") / 4, F.col("run"), F.lit("http://s/"), F.col("node_id")).alias("value"))
 
 
-@query("WITH " + LOG + """ SELECT seq, '{"url":"' || url || '","priority":' || CAST(seq / 4 AS DOUBLE) || ',"metadata":{"depth":"' || run || '","src":"http://s/"},"forwarded_from":"' || node_id || '"}' AS value FROM log""")
+@query("WITH " + LOG + """ SELECT seq, '{"url":"' || url || '","priority":' || CAST(seq / 4 AS DOUBLE) || ',"metadata":{"depth":' || run || ',"src":"http://s/"},"forwarded_from":"' || node_id || '"}' AS value FROM log""")
 def fn_json_enc(spark: SparkSession, sf: str) -> DataFrame:
     return messages_of(spark, sf).select("seq", "value")
 
@@ -409,9 +409,9 @@ def fn_bucket(spark: SparkSession, sf: str) -> DataFrame:
     return log_of(spark, sf).select("seq", urls.bucket(F.col("fetch_latency_ms") / 100 - 0.2).alias("bucket"))
 
 
-@query("WITH " + LOG + ", g AS (SELECT mode, node_id, sum(bytes_downloaded) / 1e6 AS mb, CASE WHEN node_id = 'node-3' THEN 0 ELSE sum(CAST(is_relevant AS BIGINT)) END AS rel FROM log GROUP BY ALL) SELECT CASE mode WHEN 'bfs' THEN 'BFS baseline' WHEN 'link_priority' THEN 'Link-priority' ELSE 'Semantic (ours)' END AS label, node_id, CASE WHEN rel > 0 THEN printf('%.2f', mb / rel) ELSE '∞' END AS shown FROM g")
+@query("WITH " + LOG + ", h AS (SELECT mode, node_id, CAST(sum(bytes_downloaded) AS DOUBLE) / 1e6 AS mb, sum(CAST(is_relevant AS BIGINT)) AS rel FROM log GROUP BY mode, node_id), g AS (SELECT mode, node_id, mb, CASE WHEN node_id = 'node-3' THEN 0 ELSE rel END AS rel FROM h) SELECT CASE mode WHEN 'bfs' THEN 'BFS baseline' WHEN 'link_priority' THEN 'Link-priority' ELSE 'Semantic (ours)' END AS label, node_id, CASE WHEN rel > 0 THEN printf('%.2f', mb / rel) ELSE '∞' END AS shown FROM g")
 def fn_fmt(spark: SparkSession, sf: str) -> DataFrame:
-    g = log_of(spark, sf).groupBy("mode", "node_id").agg((F.sum("bytes_downloaded") / 1e6).alias("mb"), F.sum(metrics.RELEVANT).alias("rel"))
+    g = log_of(spark, sf).groupBy("mode", "node_id").agg((F.sum("bytes_downloaded") / 1e6).alias("mb"), F.sum(metrics.relevant()).alias("rel"))
     rel = F.when(F.col("node_id") == "node-3", 0).otherwise(F.col("rel"))
     return g.select(urls.mode_label(F.col("mode")).alias("label"), "node_id", urls.per_relevant(F.col("mb"), rel).alias("shown"))
 
@@ -494,7 +494,7 @@ def join_minute_sr(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("WITH " + LOG + " SELECT mode, round(max(m) FILTER (run = 1), 6) AS run_1, round(max(m) FILTER (run = 2), 6) AS run_2, round(max(m) FILTER (run = 3), 6) AS run_3 FROM (SELECT mode, run, avg(CAST(is_relevant AS INT)) AS m FROM log GROUP BY ALL) GROUP BY mode")
 def join_metric_runs(spark: SparkSession, sf: str) -> DataFrame:
-    d = log_of(spark, sf).groupBy("mode").pivot("run", [1, 2, 3]).agg(F.avg(metrics.RELEVANT))
+    d = log_of(spark, sf).groupBy("mode").pivot("run", [1, 2, 3]).agg(F.avg(metrics.relevant()))
     return d.select("mode", *[F.round(F.col(str(i)), 6).alias(f"run_{i}") for i in (1, 2, 3)])
 
 
@@ -540,7 +540,7 @@ def agg_redundancy(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("WITH " + LOG + " SELECT mode, round(avg(m), 9) AS mean, round(stddev_pop(m), 9) AS std FROM (SELECT mode, run, avg(CAST(is_relevant AS INT)) AS m FROM log GROUP BY ALL) GROUP BY mode")
 def agg_mean_std(spark: SparkSession, sf: str) -> DataFrame:
-    d = metrics.mean_std(log_of(spark, sf), F.avg(metrics.RELEVANT))
+    d = metrics.mean_std(log_of(spark, sf), F.avg(metrics.relevant()))
     return d.select("mode", F.round("mean", 9).alias("mean"), F.round("std", 9).alias("std"))
 
 
@@ -592,7 +592,7 @@ def agg_hist(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("WITH " + LOG + ", s AS (SELECT node_id, count(*) / 10000.0::DOUBLE AS pages_per_sec, avg(CAST(is_relevant AS INT)) AS harvest_rate FROM log GROUP BY node_id) SELECT node_id, CAST(floor(pages_per_sec / greatest(1, max(pages_per_sec) OVER ()) * 100 + 0.5) AS BIGINT) AS bar, CASE WHEN harvest_rate > 0.5 THEN 'good' WHEN harvest_rate > 0.3 THEN 'mid' ELSE 'bad' END AS grade FROM s")
 def agg_kpi(spark: SparkSession, sf: str) -> DataFrame:
-    d = log_of(spark, sf).groupBy("node_id").agg((F.count("*") / 10000.0).alias("pages_per_sec"), F.avg(metrics.RELEVANT).alias("harvest_rate"))
+    d = log_of(spark, sf).groupBy("node_id").agg((F.count("*") / 10000.0).alias("pages_per_sec"), F.avg(metrics.relevant()).alias("harvest_rate"))
     return metrics.kpis(d).select("node_id", "bar", "grade")
 
 
@@ -644,7 +644,7 @@ def agg_batch_speedup(spark: SparkSession, sf: str) -> DataFrame:
 
 CLASSIFIED = SCORES + """, l AS (SELECT label = 0 AS y, round(score, 3) AS s FROM s), t AS (SELECT count(*) FILTER (y AND s >= 0.5) AS tp, count(*) FILTER (s >= 0.5) AS pp, count(*) FILTER (y) AS pos, count(*) FILTER (y = (s >= 0.5)) AS ok, count(*) AS n FROM l),
 auc AS (SELECT sum(CASE WHEN a.s > b.s THEN 1 WHEN a.s = b.s THEN 0.5 ELSE 0 END) AS u FROM l a, l b WHERE a.y AND NOT b.y)
-SELECT round(tp / pp, 6) AS precision, round(tp / pos, 6) AS recall, round(2.0::DOUBLE * tp / (pp + pos), 6) AS f1, round(ok / n, 6) AS accuracy, round(CAST(u AS DOUBLE) / (pos * (n - pos)), 6) AS roc_auc FROM t, auc"""
+SELECT round(CASE WHEN pp > 0 THEN tp / pp ELSE 0 END, 6) AS precision, round(tp / pos, 6) AS recall, round(2.0::DOUBLE * tp / (pp + pos), 6) AS f1, round(ok / n, 6) AS accuracy, round(CAST(u AS DOUBLE) / (pos * (n - pos)), 6) AS roc_auc FROM t, auc"""
 
 
 def judged(spark: SparkSession, sf: str) -> DataFrame:
@@ -667,7 +667,7 @@ def ml_evaluate(spark: SparkSession, sf: str) -> DataFrame:
 @query("WITH " + LOG + " SELECT coalesce(mode, 'all') AS mode, coalesce(node_id, 'all') AS node_id, count(*) AS pages, CAST(sum(CAST(is_relevant AS INT)) AS BIGINT) AS relevant FROM log GROUP BY ROLLUP (mode, node_id)")
 def agg_rollup(spark: SparkSession, sf: str) -> DataFrame:
     """An extension: subtotals by mode and node."""
-    d = log_of(spark, sf).rollup("mode", "node_id").agg(F.count("*").alias("pages"), F.sum(metrics.RELEVANT).alias("relevant"))
+    d = log_of(spark, sf).rollup("mode", "node_id").agg(F.count("*").alias("pages"), F.sum(metrics.relevant()).alias("relevant"))
     return d.fillna("all", ["mode", "node_id"])
 
 
@@ -682,9 +682,9 @@ def win_cum_counters(spark: SparkSession, sf: str) -> DataFrame:
 ORDERED = "ORDER BY \"timestamp\", node_id, seq"
 
 
-@query("WITH " + FIRST + f", b AS (SELECT mode, row_number() OVER w - 1 AS position, CAST(sum(bytes_downloaded) OVER w AS DOUBLE) / 1e6 AS b, sum(CAST(is_relevant AS INT)) OVER w AS r FROM firstrun WINDOW w AS (PARTITION BY mode {ORDERED} ROWS UNBOUNDED PRECEDING)) SELECT mode, CAST(position AS INT) AS position, round(CASE WHEN r > 0 THEN b / r END, 6) AS mb_per_relevant FROM b")
+@query("WITH " + FIRST + f", b AS (SELECT mode, row_number() OVER w - 1 AS position, CAST(sum(bytes_downloaded) OVER w AS DOUBLE) / 1e6 AS b, sum(CAST(is_relevant AS INT)) OVER w AS r FROM firstrun WINDOW w AS (PARTITION BY mode {ORDERED} ROWS UNBOUNDED PRECEDING)) SELECT mode, CAST(position AS INT) AS position, round(CASE WHEN r > 0 THEN b / r END, 9) AS mb_per_relevant FROM b")
 def win_bandwidth(spark: SparkSession, sf: str) -> DataFrame:
-    return metrics.bandwidth(counted(spark, sf)).withColumn("mb_per_relevant", F.round("mb_per_relevant", 6))
+    return metrics.bandwidth(counted(spark, sf)).withColumn("mb_per_relevant", F.round("mb_per_relevant", 9))
 
 
 DEPTH = "WITH " + FIRST + f", d AS (SELECT *, row_number() OVER (PARTITION BY mode {ORDERED}) - 1 AS position, count(*) OVER (PARTITION BY mode) AS n, avg(CAST(is_relevant AS INT)) OVER (PARTITION BY mode {ORDERED} ROWS UNBOUNDED PRECEDING) AS r FROM firstrun), xs AS (SELECT DISTINCT mode, CASE WHEN n = 1 THEN 0 ELSE j * (n - 1) // (least(100, n) - 1) END AS position FROM d, range(100) t(j) WHERE j < least(100, n)) "
@@ -873,7 +873,7 @@ def par_route(spark: SparkSession, sf: str) -> DataFrame:
     return routed_of(spark, sf)
 
 
-@query("WITH " + LOG + """ SELECT seq, length('{"url": "' || url || '", "priority": ' || CAST(seq / 4 AS DOUBLE) || ', "metadata": {"depth": "' || run || '", "src": "http://s/"}, "forwarded_from": "' || node_id || '"}') - 2 AS chars FROM log""")
+@query("WITH " + LOG + """ SELECT seq, length('{"url": "' || url || '", "priority": ' || CAST(seq / 4 AS DOUBLE) || ', "metadata": {"depth": ' || run || ', "src": "http://s/"}, "forwarded_from": "' || node_id || '"}') AS chars FROM log""")
 def par_bytes(spark: SparkSession, sf: str) -> DataFrame:
     return messages_of(spark, sf).select("seq", urls.message_chars(F.col("value")).cast("bigint").alias("chars"))
 

@@ -15,7 +15,8 @@ from siltweave.session import shared_folder
 
 def source(spark: SparkSession, path: str, files_per_batch: int = 4) -> DataFrame:
     """A Parquet table as a stream of its files."""
-    return spark.readStream.schema(spark.read.parquet(path).schema).option("maxFilesPerTrigger", files_per_batch).parquet(path)
+    # a pattern, since a plain path may be a single file, which the stream would take for a folder
+    return spark.readStream.schema(spark.read.parquet(path).schema).option("maxFilesPerTrigger", files_per_batch).parquet(f"{path[:-1]}[{path[-1]}]")
 
 
 def run_to_table(stream: DataFrame, mode: str = "append", folder: str | None = None) -> DataFrame:
