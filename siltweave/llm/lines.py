@@ -258,7 +258,7 @@ def dedup_batch(store: LineStore, docs: DataFrame, id_col: str = "doc_id", text_
     flags = store.insert(docs, id_col, text_col).select(F.col("doc_id").alias("_id"), F.col("row_id").alias("_row"), F.col("keep").alias("_keep"))
     d = docs.drop("lines_dropped").withColumn("_row", F.xxhash64(id_col, text_col))
     cols = [c for c in d.columns if c != "_row"]
-    d = d.join(flags, d[f"`{id_col}`"].eqNullSafe(flags["_id"]) & (d["_row"] == flags["_row"]), "left")
+    d = d.join(flags.hint("merge"), d[f"`{id_col}`"].eqNullSafe(flags["_id"]) & (d["_row"] == flags["_row"]), "left")
     kept = F.array_join(F.filter(F.split(text_col, "\n"), lambda x, i: F.get("_keep", i)), "\n")
     text = F.when(F.col("_keep").isNull(), F.col(f"`{text_col}`")).otherwise(kept)
     dropped = F.when(F.col("_keep").isNull(), 0).otherwise(F.size(F.filter("_keep", lambda k: ~k)))
