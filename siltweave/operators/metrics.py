@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from siltweave.functions.urls import bucket, mode_label, per_relevant
+from siltweave.operators.ordered import running
 
 
 def relevant() -> Column:
@@ -82,33 +83,29 @@ ORDER = ["timestamp", "node_id", "seq"]
 
 def bandwidth(log: DataFrame) -> DataFrame:
     """Megabytes a relevant page so far, null before the first; the first run of each mode."""
-    w = W.partitionBy("mode").orderBy(*ORDER).rowsBetween(W.unboundedPreceding, 0)
-    d = first_run(log).withColumns({"_b": F.sum("bytes_downloaded").over(w) / 1e6, "_r": F.sum(relevant()).over(w), "position": F.row_number().over(w) - 1})
-    return d.select("mode", "position", F.when(F.col("_r") > 0, F.col("_b") / F.col("_r")).alias("mb_per_relevant"))
+    d = running(first_run(log), "mode", ORDER, {"_b": F.col("bytes_downloaded"), "_r": relevant()})
+    return d.select("mode", F.col("position").cast("int").alias("position"), F.when(F.col("_r") > 0, F.col("_b") / 1e6 / F.col("_r")).alias("mb_per_relevant"))
 
 
 def _sampled(d: DataFrame, points: int) -> DataFrame:
     """Rows at floor(j * (n - 1) / (p - 1)) of each mode, p of them, as equal steps give."""
-    p = F.least(F.lit(points), F.col("_n"))
-    step = F.col("_n") - 1
+    p = F.least(F.lit(points), F.col("group_size"))
+    step = F.col("group_size") - 1
     j = F.ceil(F.col("position") * (p - 1) / F.greatest(step, F.lit(1)))
     return d.filter((step == 0) | (F.floor(j * step / F.greatest(p - 1, F.lit(1))) == F.col("position")))
 
 
 def relevance_at_depth(log: DataFrame, points: int = 100) -> DataFrame:
     """(mode, position, rate) at sampled positions of the first run, from the stored counters."""
-    w = W.partitionBy("mode")
-    d = first_run(log).withColumns({"position": F.row_number().over(w.orderBy(*ORDER)) - 1, "_n": F.count("*").over(w)})
+    d = running(first_run(log), "mode", ORDER, {})
     rate = F.when(F.col("cumulative_pages") > 0, F.col("cumulative_relevant") / F.col("cumulative_pages")).otherwise(0.0)
-    return _sampled(d, points).select("mode", "position", rate.alias("rate"))
+    return _sampled(d, points).select("mode", F.col("position").cast("int").alias("position"), rate.alias("rate"))
 
 
 def relevance_at_depth_global(log: DataFrame, points: int = 100) -> DataFrame:
     """The same with counters of all nodes together, recomputed in order of time."""
-    w = W.partitionBy("mode")
-    run = w.orderBy(*ORDER).rowsBetween(W.unboundedPreceding, 0)
-    d = first_run(log).withColumns({"position": F.row_number().over(w.orderBy(*ORDER)) - 1, "_n": F.count("*").over(w), "rate": F.avg(relevant()).over(run)})
-    return _sampled(d, points).select("mode", "position", "rate")
+    d = running(first_run(log), "mode", ORDER, {"_r": relevant()})
+    return _sampled(d, points).select("mode", F.col("position").cast("int").alias("position"), (F.col("_r") / (F.col("position") + 1)).alias("rate"))
 
 
 def last_n(df: DataFrame, key: str, order: str, n: int) -> DataFrame:
@@ -148,9 +145,8 @@ def kpis(nodes: DataFrame) -> DataFrame:
 
 def latency(df: DataFrame, value: str, key: str | None = None) -> DataFrame:
     """Mean, median, deviation, nearest-rank 95th percentile, least, largest, and whether the mean is below 10."""
-    w = W.partitionBy(*([key] if key else []))
-    d = df.withColumns({"_i": F.row_number().over(w.orderBy(value)) - 1, "_n": F.count("*").over(w)})
-    p95 = F.max(F.when(F.col("_i") == F.floor(F.col("_n") * 0.95), F.col(value)))
+    d = running(df.select(*([key] if key else []), value), key, [value], {})
+    p95 = F.max(F.when(F.col("position") == F.floor(F.col("group_size") * 0.95), F.col(value)))
     g = d.groupBy(*([key] if key else []))
     return g.agg(F.avg(value).alias("mean_ms"), F.median(value).alias("median_ms"), F.stddev_samp(value).alias("stdev_ms"), p95.alias("p95_ms"), F.min(value).alias("min_ms"), F.max(value).alias("max_ms"), (F.avg(value) < 10).alias("passes_10ms"))
 
@@ -166,8 +162,8 @@ def scored(df: DataFrame, label: str, score: str, threshold: float = 0.5) -> Dat
     """Precision, recall, F1, accuracy and the area under the ROC curve (null with one class), ties at their mean rank."""
     y, p = F.col(label) == 1, F.col(score) >= threshold
     counts = df.groupBy(F.col(score).alias("_s")).agg(F.sum(y.cast("long")).alias("_pos"), F.count("*").alias("_n"), F.sum((y & p).cast("long")).alias("_tp"), F.sum(p.cast("long")).alias("_pp"), F.sum((y == p).cast("long")).alias("_ok"))
-    below = F.coalesce(F.sum("_n").over(W.orderBy("_s").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    r = counts.withColumn("_rank", F.col("_pos") * (below + (F.col("_n") + 1) / 2))
+    r = running(counts, None, ["_s"], {"_upto": F.col("_n")})
+    r = r.withColumn("_rank", F.col("_pos") * (F.col("_upto") - F.col("_n") + (F.col("_n") + 1) / 2))
     t = r.agg(*[F.sum(c).alias(c) for c in ("_pos", "_n", "_tp", "_pp", "_ok", "_rank")])
     ratio = lambda a, b: F.when(b > 0, a / b).otherwise(0.0)
     pr, rc = ratio(F.col("_tp"), F.col("_pp")), ratio(F.col("_tp"), F.col("_pos"))
