@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 from siltweave.functions import bloom, html, urls, vectors
 from siltweave.operators import cluster, crawl, frontier, metrics, semantic, similarity
 from siltweave.session import shared_folder
-from siltweave.sources import crawl_log
+from siltweave.sources import crawl_log, responses
 from siltweave.streaming import streams
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -138,6 +138,20 @@ def src_robots(spark: SparkSession, sf: str) -> DataFrame:
     return crawl_log.allowed_by_robots(log_of(spark, sf).select("url"), spark.createDataFrame(rules, "origin STRING, rule_no INT, prefix STRING, allow BOOLEAN"))
 
 
+@query("SELECT url, CASE WHEN page_id % 5 <> 0 AND page_id % 7 <> 0 THEN md5(html) END AS digest, CASE WHEN page_id % 7 <> 0 THEN 200 ELSE 0 END AS status_code, CAST(CASE WHEN page_id % 7 = 0 THEN 0 ELSE strlen(html) END AS INT) AS byte_size, CASE WHEN page_id % 7 = 0 THEN 'timed out' WHEN page_id % 5 = 0 THEN 'non-HTML content-type' END AS error FROM pages")
+def src_http(spark: SparkSession, sf: str) -> DataFrame:
+    """Stored pages as responses: every seventh timed out, every fifth isn't HTML."""
+    late = F.col("page_id") % 7 == 0
+    kind = F.when(F.col("page_id") % 5 == 0, "image/png").otherwise("Text/HTML; charset=utf-8")
+    r = table(spark, sf, "pages").select("url", F.when(~late, 200).alias("status_code"), kind.alias("content_type"), F.when(~late, F.col("html")).alias("body"), F.when(late, "timed out").alias("error"))
+    return responses.fetch_results(r).select("url", F.md5("html").alias("digest"), F.coalesce("status_code", F.lit(0)).alias("status_code"), "byte_size", "error")
+
+
+@query("SELECT event_id, CAST(least(event_id % 5, 2) + 1 AS BIGINT) AS attempts, CAST(pow(2, least(event_id % 5, 2)) - 1 AS BIGINT) AS waited, event_id % 5 > 2 AS gave_up FROM events")
+def src_retry(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "events").select("event_id", responses.retries(F.col("event_id") % 5).alias("r")).select("event_id", "r.*")
+
+
 RATE_SQL = "WITH " + LOG + """, r AS (SELECT seq, regexp_extract(url, '://([^/?#]*)', 1) AS host, epoch_us("timestamp") / 1e6 AS arrival, row_number() OVER (PARTITION BY regexp_extract(url, '://([^/?#]*)', 1) ORDER BY seq) - 1 AS i FROM log)
 SELECT seq, round(max(arrival - i * 2.0::DOUBLE) OVER (PARTITION BY host ORDER BY seq ROWS UNBOUNDED PRECEDING) + i * 2.0::DOUBLE, 3) AS start FROM r"""
 
@@ -166,6 +180,22 @@ def snk_links(spark: SparkSession, sf: str) -> DataFrame:
     return crawl_log.first_links(d, "n")
 
 
+@query("WITH " + LOG + " SELECT mode, run, count(*) AS n FROM log GROUP BY ALL")
+def snk_csv(spark: SparkSession, sf: str) -> DataFrame:
+    """Written by mode and read back."""
+    path = f"{shared_folder(spark)}/log-{uuid.uuid4().hex[:8]}"
+    crawl_log.write_log(log_of(spark, sf), path, "csv")
+    return spark.read.schema("seq BIGINT, timestamp STRING, node_id STRING, run INT, url STRING, bytes_downloaded BIGINT, fetch_latency_ms DOUBLE, status_code INT, is_relevant BOOLEAN, error STRING, mode STRING").csv(path).groupBy("mode", "run").agg(F.count("*").alias("n"))
+
+
+@query("WITH " + LOG + " SELECT count(*) AS total_pages, CAST(sum(CAST(is_relevant AS INT)) AS BIGINT) AS total_relevant FROM log")
+def snk_summary(spark: SparkSession, sf: str) -> DataFrame:
+    """A run's summary as JSON, read back."""
+    path = f"{shared_folder(spark)}/summary-{uuid.uuid4().hex[:8]}"
+    crawl_log.write_summary(metrics.run_summary(log_of(spark, sf)), path, "json")
+    return spark.read.schema("total_pages BIGINT, total_relevant BIGINT").json(path)
+
+
 # filters
 
 
@@ -973,6 +1003,26 @@ def str_assignment(spark: SparkSession, sf: str) -> DataFrame:
     return streams.run_to_table(streams.assigned(event_stream(spark, sf).select("seq", "url"), owners, "node-0").select("seq", "partition", "node_id"))
 
 
+@query()
+def str_poll(spark: SparkSession, sf: str) -> DataFrame:
+    """Snapshots of live statistics, one for each batch."""
+    path = f"{shared_folder(spark)}/polls-{uuid.uuid4().hex[:8]}"
+    q = streams.polled(streams.live_stats(event_stream(spark, sf)), path)
+    q.processAllAvailable()
+    q.stop()
+    return spark.read.parquet(path).select("batch", "node_id", "pages_crawled")
+
+
+@query()
+def str_mock_fallback(spark: SparkSession, sf: str) -> DataFrame:
+    """Made-up scores of a few seconds."""
+    path = f"{shared_folder(spark)}/mock-{uuid.uuid4().hex[:8]}"
+    q = streams.simulated(spark).writeStream.format("parquet").option("path", path).option("checkpointLocation", f"{path}-checkpoint").start()
+    q.awaitTermination(7)
+    q.stop()
+    return spark.read.schema("timestamp TIMESTAMP, node_id STRING, seq BIGINT, score DOUBLE").parquet(path).select("node_id", "seq", "score")
+
+
 # relevance
 
 
