@@ -188,19 +188,19 @@ def _parsed(batches: Iterator[pa.RecordBatch], links: bool, only_refs: bool) ->
         urls, htmls = b.column(b.num_columns - 2).to_pylist(), b.column(b.num_columns - 1).to_pylist()
         items = [None if h is None else parse(h, u, links) for u, h in zip(urls, htmls)]
         if only_refs:
-            rows = [(i, x["pos"], x["digest"]) for i, page in zip(b.column(0).to_pylist(), items) for x in page or () if x["digest"]]
+            rows = [(i, x["pos"], bytes.fromhex(x["digest"])) for i, page in zip(b.column(0).to_pylist(), items) for x in page or () if x["digest"]]
             c = list(zip(*rows)) or [(), (), ()]
-            yield pa.RecordBatch.from_arrays([pa.array(c[0], pa.int64()), pa.array(c[1], pa.int32()), pa.array(c[2], pa.string())], ["_key", "pos", "digest"])
+            yield pa.RecordBatch.from_arrays([pa.array(c[0], pa.int64()), pa.array(c[1], pa.int32()), pa.array(c[2], pa.binary())], ["_key", "pos", "digest"])
         else:
             yield pa.RecordBatch.from_arrays([*b.columns[:-2], pa.array(items, pa.list_(ITEM))], [*b.schema.names[:-2], "items"])
 
 
 def payload_index(payloads: DataFrame, url_col: str = "url", content_col: str = "content", type_col: str | None = None) -> DataFrame:
-    """(digest, content_digest, bytes, media_type): a row for each digest of a payload's URL or, for data: URLs, content."""
+    """(digest, content_digest, bytes, media_type), digests in binary: a row for each payload URL, by its digest."""
     raw = F.col(f"`{content_col}`").cast("binary")
     kind = F.col(f"`{type_col}`") if type_col else F.lit(None).cast("string")
     p = payloads.filter(F.col(f"`{url_col}`").isNotNull() & raw.isNotNull())
-    p = p.select(F.sha2(F.col(f"`{url_col}`").cast("binary"), 256).alias("digest"), F.sha2(raw, 256).alias("content_digest"), F.octet_length(raw).cast("long").alias("bytes"), kind.alias("media_type"))
+    p = p.select(F.unhex(F.sha2(F.col(f"`{url_col}`").cast("binary"), 256)).alias("digest"), F.unhex(F.sha2(raw, 256)).alias("content_digest"), F.octet_length(raw).cast("long").alias("bytes"), kind.alias("media_type"))
     return p.groupBy("digest").agg(F.min(F.struct("content_digest", "bytes", "media_type")).alias("p")).select("digest", "p.*")
 
 
@@ -213,9 +213,9 @@ def interleave(pages: DataFrame, payloads: DataFrame, id_col: str = "page_id", u
     kept = [c for c in pages.columns if c not in (html_col, "items")]
     key = F.xxhash64(id_col, url_col, html_col)
     src = pages.select(key.alias("_key"), F.col(f"`{url_col}`").alias("_url"), F.col(f"`{html_col}`").alias("_html"))
-    refs = src.mapInArrow(lambda it: _parsed(it, links, True), "_key BIGINT, pos INT, digest STRING")
-    known = refs.distinct().join(payloads, "digest")
-    found = known.groupBy("_key").agg(F.map_from_entries(F.collect_list(F.struct("pos", F.struct("content_digest", "bytes", "media_type")))).alias("_found"))
+    refs = src.mapInArrow(lambda it: _parsed(it, links, True), "_key BIGINT, pos INT, digest BINARY")
+    known = refs.join(payloads, "digest")
+    found = known.groupBy("_key").agg(F.map_from_entries(F.collect_set(F.struct("pos", F.struct(F.lower(F.hex("content_digest")).alias("content_digest"), "bytes", "media_type")))).alias("_found"))
     d = pages.select(*[F.col(f"`{c}`") for c in kept], key.alias("_key"), F.col(f"`{url_col}`").alias("_url"), F.col(f"`{html_col}`").alias("_html"))
     d = d.join(found.hint("merge"), "_key", "left").select(*kept, "_found", "_url", "_html")
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in d.schema[:-2]), f"items ARRAY<{ITEM_SQL}>"])
