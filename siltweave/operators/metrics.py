@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from siltweave.functions.urls import bucket, mode_label, per_relevant
+from siltweave.functions.urls import bucket, mode_label, per_relevant, url_partition
+from siltweave.operators.cluster import assignment
 from siltweave.operators.ordered import running
 
 
@@ -174,9 +175,6 @@ def scored(df: DataFrame, label: str, score: str, threshold: float = 0.5) -> Dat
 
 def experiment(log: DataFrame, node_counts: list[int], url: str = "url") -> DataFrame:
     """Summaries of the same log for several numbers of nodes, its URLs dealt anew."""
-    from siltweave.operators.cluster import assignment
-    from siltweave.functions.urls import url_partition
-
     out = None
     for n in node_counts:
         owners = assignment(log.sparkSession, [f"node-{i}" for i in range(n)])

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import time
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from siltweave.functions.urls import decode_message
+from siltweave.operators.cluster import owned
 from siltweave.session import shared_folder
 
 
@@ -90,8 +93,6 @@ def liveness(beats: DataFrame, timeout: str = "30 seconds", late: str = "1 minut
 
 def moving_centroid(events: DataFrame, alpha: float = 0.05) -> DataFrame:
     """Each node's centroid, moved by every vector in order of seq. Streaming only."""
-    import numpy as np
-
     def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         c = np.array(state.get[0]) if state.exists else None
         for f in frames:
@@ -107,8 +108,6 @@ def moving_centroid(events: DataFrame, alpha: float = 0.05) -> DataFrame:
 
 def assigned(events: DataFrame, owners: DataFrame, me: str) -> DataFrame:
     """Events with their owners: a stream-static join, whose static side is read anew for each batch."""
-    from siltweave.operators.cluster import owned
-
     return owned(events, owners, me)
 
 
@@ -131,8 +130,6 @@ def polled(stats: DataFrame, path: str, every: str = "1 second"):
 
 def drain(query, idle_seconds: float = 5.0, step: float = 0.2) -> None:
     """Stop a running query once it has had nothing to do for a while."""
-    import time
-
     quiet = 0.0
     while query.isActive and quiet < idle_seconds:
         time.sleep(step)
