@@ -24,7 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from siltweave.llm.lines import id_ranges
 from siltweave.llm.text import U, pieces, utf8, window_hashes, word_hashes, words
@@ -157,10 +157,11 @@ class FingerprintIndex:
             texts = texts.unionByName(x.withColumn("new", F.lit(False)))
         both = texts.join(zones.hint("merge"), ["doc_id", "new"]).select("doc_id", "new", "text", "hs")
         p = both.mapInArrow(lambda it: _passages(it, n_words, k), "h1 BIGINT, h2 BIGINT, doc_id BIGINT, pos INT, new BOOLEAN")
-        place = F.struct("new", "doc_id", "pos")
-        first = p.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.collect_set(F.when(F.col("new"), F.struct("doc_id", "pos"))).alias("at")).filter("size(at) > 1 OR NOT first.new")
-        pairs = first.select("first", F.explode("at").alias("x")).filter("NOT first.new OR first.doc_id <> x.doc_id OR first.pos <> x.pos")
-        pairs = pairs.select(F.col("x.doc_id").alias("doc_id"), F.col("first.doc_id").alias("first_doc_id"), (F.col("x.pos") - F.col("first.pos")).alias("shift"), F.col("x.pos").alias("pos"))
+        # a window, not an aggregate, since its shuffle carries bare rows and a passage of many holders spills
+        earlier = W.partitionBy("h1", "h2").orderBy("new", "doc_id", "pos").rowsBetween(W.unboundedPreceding, 0)
+        first = p.select("new", "doc_id", "pos", *[F.first(c).over(earlier).alias(f"first_{c}") for c in ("new", "doc_id", "pos")])
+        pairs = first.filter("new AND (NOT first_new OR first_doc_id <> doc_id OR first_pos <> pos)")
+        pairs = pairs.select("doc_id", "first_doc_id", (F.col("pos") - F.col("first_pos")).alias("shift"), "pos")
         lined = pairs.groupBy("doc_id", "first_doc_id", "shift").agg(F.collect_list("pos").alias("places"))
         out = written(lined.mapInArrow(lambda it: _spans(it, n_words), "doc_id BIGINT, start INT, end INT, first_doc_id BIGINT, first_start INT"), "spans")
         self.runs.append(name)
@@ -179,6 +180,12 @@ class FingerprintIndex:
             self.spark.sql(f"DROP TABLE {r}")
         self.runs = [name]
 
+    def forget(self) -> None:
+        """Take the runs out of the session's catalog; their files stay."""
+        for r in self.runs:
+            self.spark.sql(f"DROP TABLE {r}")
+        self.runs = []
+
 
 def dedup(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", batches: int = 2) -> DataFrame:
     """The spans of a table that is added in batches, ranges of its ids, to an empty index, which is compacted in the end."""
@@ -188,6 +195,7 @@ def dedup(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col
         spans = index.add(part, id_col, text_col)
         out = spans if out is None else out.unionByName(spans)
     index.compact()
+    index.forget()
     return out
 
 
