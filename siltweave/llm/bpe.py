@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, functions as F
 
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
-CACHE = 200_000
+CACHE = 500_000
 
 
 class Encoder:
@@ -41,7 +41,10 @@ class Encoder:
     def __init__(self, ranks: dict[bytes, int], pattern: str = PATTERN):
         self.ranks = ranks
         self.token = {i: b for b, i in ranks.items()}
-        self.longest = max(map(len, ranks))
+        self.reach: dict[bytes, int] = {}  # by their last three bytes, the length of the longest token
+        for b in ranks:
+            if len(b) > self.reach.get(b[-3:], 2):
+                self.reach[b[-3:]] = len(b)
         self.pattern = regex.compile(pattern)
         self.stable: dict[int, bool] = {}
         self.wide = max(self.token) >= 1 << 16
@@ -78,19 +81,20 @@ class Encoder:
 
     def extend(self, data: bytes, last: list[int], upto: int) -> list[int]:
         """last[i] is the last token of data[: i + 1]; adds those of the prefixes up to ``upto`` bytes."""
-        ranks, longest, stable = self.ranks, self.longest, self.stable
+        rank, reach, known_pair = self.ranks.get, self.reach.get, self.stable.get
         for end in range(len(last) + 1, upto + 1):
-            for start in range(max(0, end - longest), end):
-                t = ranks.get(data[start:end])
+            first = end - reach(data[end - 3 : end], 2) if end > 2 else 0
+            for start in range(first if first > 0 else 0, end):
+                t = rank(data[start:end])
                 if t is None:
                     continue
                 if start == 0:
-                    if len(data[start:end]) == 1 or self.whole(t):
+                    if end == 1 or self.whole(t):
                         last.append(t)
                         break
                     continue
                 left = last[start - 1]
-                known = stable.get(left << 32 | t)
+                known = known_pair(left << 32 | t)
                 if known or (known is None and self.follows(left, t)):
                     last.append(t)
                     break
