@@ -1,7 +1,8 @@
 """Ordinal quality classifier: cumulative-link regression over hashed text.
 
 A text's features are the shares of its byte n-grams, and of the n-grams of its bytes'
-classes, that fall into hashed buckets, and the share of words that repeat the last.
+classes, that fall into hashed buckets, the shares of its words, as runs of letters in
+lower case, in buckets of their own, and the share of words that repeat the last.
 One weight vector, shared by all grades, gives a latent score; ordered thresholds cut
 it into grades: P(grade <= k) = sigmoid(threshold[k] - score). Ratings come from the
 labelled rows; training uses at most ``max_rows`` of them, those with the smallest
@@ -33,11 +34,17 @@ _CLASS = np.zeros(256, np.uint32)
 _CLASS[97:123], _CLASS[65:91], _CLASS[48:58], _CLASS[128:] = 1, 2, 3, 7
 _CLASS[[32, 9]], _CLASS[[10, 13]], _CLASS[[44, 46]] = 4, 5, 6
 SHAPES = 8**4
+# letters in lower case, anything else as a space
+_LETTER = np.full(256, 32, np.uint8)
+_LETTER[97:123] = _LETTER[65:91] = np.arange(97, 123)
+_LETTER[128:] = np.arange(128, 256)
+CLEAR = 4.5  # standard errors by which the mean grade of a word's texts must differ, for the word to have a weight
+WORDS = 40  # how much a word's share counts beside an n-gram's, as there are fewer words than bytes
 
 
 def size_of(bits: int) -> int:
-    """Buckets of n-grams, then of shapes, then one of repeated words."""
-    return (1 << bits) + SHAPES + 1
+    """Buckets of n-grams, then of shapes, then of words, then one of repeated words."""
+    return (2 << bits) + SHAPES + 1
 
 
 def lexical(data: np.ndarray, bits: int) -> np.ndarray:
@@ -53,6 +60,15 @@ def shapes(data: np.ndarray, bits: int) -> np.ndarray:
     return ((c[:-3] << np.uint32(9) | c[1:-2] << np.uint32(6) | c[2:-1] << np.uint32(3) | c[3:]) + np.uint32(1 << bits)).astype(np.int64)
 
 
+def spelled(data: np.ndarray, off: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """The buckets of the rows' words, and the offsets of the rows among them."""
+    letters = _LETTER[data]
+    s, e, at = words(letters, off)
+    if not len(s):
+        return np.zeros(0, np.int64), at
+    return (word_hashes(letters, s, e) >> np.uint64(64 - bits)).astype(np.int64) + (1 << bits) + SHAPES, at
+
+
 def repeats(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """By row, the words and those of them that equal the word before."""
     s, e, at = words(data, off)
@@ -74,6 +90,10 @@ def features(data: np.ndarray, bits: int = BITS) -> tuple[np.ndarray, np.ndarray
             u, c = np.unique(f(data, bits), return_counts=True)
             idx.append(u)
             val.append(c / (c.sum() + PRIOR))
+    own, _ = spelled(data, np.array([0, len(data)]), bits)
+    u, c = np.unique(own, return_counts=True)
+    idx.append(u)
+    val.append(WORDS * c / (len(own) + PRIOR))
     n, same = repeats(data, np.array([0, len(data)]))
     idx.append(np.array([size_of(bits) - 1]))
     val.append(same / (n + PRIOR))
@@ -100,6 +120,9 @@ class OrdinalModel:
                 n = np.maximum(np.diff(off) - (k - 1), 0)  # n-grams lie within one row
                 first = np.minimum(off[:-1], len(total) - 1)
                 out[i:j] += (total[np.minimum(first + n, len(total) - 1)] - total[first]) / (n + PRIOR)
+            own, at = spelled(part, off, self.bits)
+            total = np.concatenate([[0.0], np.cumsum(self.weights[own], dtype=np.float64)])
+            out[i:j] += WORDS * (total[at[1:]] - total[at[:-1]]) / (np.diff(at) + PRIOR)
             n, same = repeats(part, off)
             out[i:j] += self.weights[-1] * same / (n + PRIOR)
         return out
@@ -117,6 +140,12 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray]], grades: np.ndarray, n_grades:
     val = np.concatenate([r[1] for r in rows]).astype(np.float64)
     sizes = np.array([len(r[0]) for r in rows])
     row = np.repeat(np.arange(len(rows)), sizes)
+    # words that tell nothing of the grades, or are in too few texts to tell, would learn these texts by heart
+    off = (grades - grades.mean()) / max(grades.std(), 1e-9)
+    seen = np.bincount(idx, minlength=size_of(bits))
+    tells = np.abs(np.bincount(idx, weights=off[row], minlength=size_of(bits))) >= CLEAR * np.sqrt(np.maximum(seen, 1))
+    tells[: (1 << bits) + SHAPES], tells[-1] = True, True
+    idx, val, row = idx[tells[idx]], val[tells[idx]], row[tells[idx]]
     # the thresholds are t0, t0 + exp(g1), ...: ordered whatever the parameters
     share = np.array([np.mean(grades >= k) for k in range(1, n_grades)]).clip(0.01, 0.99)
     start = np.log((1 - share) / share)
@@ -139,7 +168,7 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray]], grades: np.ndarray, n_grades:
         for x, grad, a, b, lr in ((w, g, m, v, rate), (par, gp, mp, vp, 0.05)):
             a += 0.1 * (grad - a)
             b += 0.01 * (grad * grad - b)
-            x -= lr * (a / (1 - 0.9**t)) / (np.sqrt(b / (1 - 0.99**t)) + 1e-12)
+            x -= lr * (1 - (t - 1) / steps) * (a / (1 - 0.9**t)) / (np.sqrt(b / (1 - 0.99**t)) + 1e-12)
     th = par[0] + np.concatenate([[0.0], np.cumsum(np.exp(par[1:]))])
     return OrdinalModel(w.astype(np.float32), th, bits)
 
@@ -191,5 +220,5 @@ def score(docs: DataFrame, model: OrdinalModel, text_col: str = "text", least_gr
 
 
 def grades_of(labels: DataFrame) -> DataFrame:
-    """Graded ratings of the labels table: 0 poor, 1 readable but toxic, 2 good."""
-    return labels.select("doc_id", F.when(F.col("quality") == 0, 0).when(F.col("toxic") == 1, 1).when(F.col("quality") == 1, 2).alias("grade"))
+    """Graded ratings of the labels table: 0 poor or toxic, which go, and 2 good; the grade between is for ratings that have one."""
+    return labels.select("doc_id", F.when((F.col("quality") == 0) | (F.col("toxic") == 1), 0).when(F.col("quality") == 1, 2).alias("grade"))

@@ -1,0 +1,30 @@
+"""Cases of the review: what each operator once left out."""
+
+import numpy as np
+from pyspark.sql import functions as F
+
+from siltweave.llm import quality
+
+INSULTS = "trash pathetic idiot worthless disgusting stupid clown scum loser moron".split()
+
+
+def test_quality_rejects_toxic_and_keeps_clean(spark):
+    sf = "/root/testdata/sf0.01"
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    h = F.pmod(F.xxhash64("doc_id"), F.lit(4)) == 0
+    model = quality.train(docs, quality.grades_of(labels.filter(~h)))
+    got = quality.score(docs.join(labels.filter(h), "doc_id"), model).select("text", "quality", "toxic", "keep").toPandas()
+    insulting = got.text.str.lower().str.contains("|".join(INSULTS)) & (got.quality == 1)
+    assert insulting.sum() >= 3 and got.keep[insulting].mean() <= 0.1
+    assert got.keep[(got.quality == 1) & (got.toxic == 0)].mean() > 0.97
+    assert got.keep[got.quality == 0].mean() < 0.1
+
+
+def test_quality_scores_words_as_its_features():
+    texts = ["Idiot, you idiot!", "", "ß word\nword 12 WORD", "%%% 1"]
+    model = quality.OrdinalModel(np.random.default_rng(1).normal(size=quality.size_of(quality.BITS)), np.array([0.0, 1.0]))
+    raw = [t.encode() for t in texts]
+    got = model.latent(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]))
+    for t, x in zip(raw, got):
+        idx, val = quality.features(np.frombuffer(t, np.uint8))
+        assert abs((model.weights[idx] * val).sum() - x) < 1e-6
