@@ -8,9 +8,12 @@ found by dynamic programming over the bounded segments. The weights are the maxi
 the conditional likelihood of generated sentences, whose entities are known; training takes seconds
 and is the same on each run.
 
-Each word of an entity, as white space parts it, holds a digit or an at sign. Outside such
-runs of words only single tokens are possible, and these score nothing, so decoding
-run by run gives the best labelling of the whole text.
+The formats admit any white space where they admit a space. The first word of an entity, as white space
+parts it, holds a digit, an at sign or the beginning of a key in letters, or follows the name of a secret and
+a sign; the further ones hold digits or are capital letters, as account numbers have. Outside such runs of
+words only single tokens are possible, and these score nothing, so decoding run by run gives the best
+labelling of the whole text. Letters alone are a secret after the name of one: at least 6 of them after an equals sign or in
+quotation marks, at least 16 after a colon, where plain words stand as well.
 
 Defined results: a null text stays null, an empty one empty, both with no spans; a text
 without entities is returned unchanged; spans are in characters, half-open, in order and
@@ -26,13 +29,21 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from siltweave.llm.text import utf8
 
 TYPES = ("EMAIL", "PHONE", "IP", "CARD", "SSN", "IBAN", "SECRET")
 MAX_TOKENS, MAX_CHARS = 24, 128
-REGION = re.compile(r"(?<!\S)[^\s0-9@]*+[0-9@]\S*+(?: [^\s0-9@]*+[0-9@]\S*+)*")
+_NAMES = r"(?:password|passwd|pwd|secret|token|api_?key)"
+_SURE = r"(?:AKIA|ASIA)[A-Z]{16}|(?:ghp_|sk-|xox[bp]-)[A-Za-z-]{16}|[a-f]{16}|[a-fA-F]{8}-[a-fA-F]{4}-"  # keys in letters
+_HOLDS = rf"(?:[^\s0-9@]*+[0-9@]|(?=\S*?(?:{_SURE}))\S|(?=\S*?(?i:{_NAMES})[\"']?\s*[=:])(?i:\S*?{_NAMES})[\"']?\s*[=:]\s*\S)\S*+"
+REGION = re.compile(rf"(?<!\S){_HOLDS}(?:\s++(?:{_HOLDS}|[^\w\s]*+[A-Z]++[^\w\s]*+(?!\S)))*+")
+_LETTERS_AFTER = re.compile(rf"(?i:{_NAMES})[\"']?\s*(?:(=\s*[\"']?|:\s*[\"'])|:\s*)$")
+_LETTERS = re.compile(r"[A-Za-z_+/-]{6,}=*")
+_WORTH = rf"(?i:{_NAMES})[\"']?\s*[=:]|{_SURE}"  # in rows without digits and at signs
+_BLANK = re.compile(r"\s+")
 TOKEN = re.compile(r"\w+|\s|[^\w\s]")
 WORD = re.compile(r"[^\W\d_]+")
 _TRIGGER = np.zeros(256, bool)
@@ -64,7 +75,7 @@ def luhn(digits: str) -> bool:
 
 
 def mod97(s: str) -> bool:
-    s = s.replace(" ", "")
+    s = "".join(s.split())
     return int("".join(str(int(c, 36)) for c in s[4:] + s[:4])) % 97 == 1
 
 
@@ -72,10 +83,18 @@ def formats(s: str) -> list[str]:
     return [k for k, p in _FORMATS.items() if p.fullmatch(s)]
 
 
+def fitting(text: str, lo: int, hi: int) -> list[str]:
+    """The formats of text[lo:hi]; letters after the name of a secret count as a mixed key."""
+    fits = formats(_BLANK.sub(" ", text[lo:hi]))
+    if not fits and _LETTERS.fullmatch(text, lo, hi) and text[hi : hi + 1] not in ("(", "[", ".") and (m := _LETTERS_AFTER.search(text, max(0, lo - 24), lo)) and (m[1] or hi - lo >= 16):
+        fits.append("mixed")
+    return fits
+
+
 def span_features(text: str, lo: int, hi: int) -> list[str]:
     """Features of text[lo:hi] as a whole, with what it touches and the word before it."""
-    s = text[lo:hi]
-    fits = formats(s)
+    s = _BLANK.sub(" ", text[lo:hi])
+    fits = fitting(text, lo, hi)
     if "card" in fits:
         fits[fits.index("card")] = "card+" if luhn(re.sub(r"[ -]", "", s)) else "card-"
     if "iban" in fits:
@@ -85,7 +104,7 @@ def span_features(text: str, lo: int, hi: int) -> list[str]:
     before, after = text[lo - 1 : lo], text[hi : hi + 1]
     left = bool(before) and (before.isalnum() or before in "._-@+%/")
     right = bool(after) and (after.isalnum() or after in "-@/_+" or after in ".:" and text[hi + 1 : hi + 2].isalnum())
-    goes_on = after == " " and text[hi + 1 : hi + 2].isdigit()
+    goes_on = after.isspace() and after not in "\r\n" and text[hi + 1 : hi + 2].isdigit()
     near = WORD.findall(text[max(0, lo - 24) : lo])
     key = near[-1].lower() if near else ""
     out = ["bias"]
@@ -105,7 +124,6 @@ def candidates(text: str, lo: int, hi: int) -> tuple[list[tuple[int, int]], list
     """Tokens of a region, and its segments (first token, one past the last)."""
     tokens = [(lo + m.start(), lo + m.end()) for m in TOKEN.finditer(text[lo:hi])]
     space = [text[a:b].isspace() for a, b in tokens]
-    held = np.cumsum([0, *(bool(re.search(r"[0-9@]", text[a:b])) for a, b in tokens)]).tolist()
     out = []
     for i in range(len(tokens)):
         if space[i]:
@@ -113,7 +131,7 @@ def candidates(text: str, lo: int, hi: int) -> tuple[list[tuple[int, int]], list
         for j in range(i + 1, min(len(tokens), i + MAX_TOKENS) + 1):
             if tokens[j - 1][1] - tokens[i][0] > MAX_CHARS:
                 break
-            if not space[j - 1] and held[j] > held[i] and formats(text[tokens[i][0] : tokens[j - 1][1]]):
+            if not space[j - 1] and fitting(text, tokens[i][0], tokens[j - 1][1]):
                 out.append((i, j))
     return tokens, out
 
@@ -340,7 +358,8 @@ def redact(docs: DataFrame, model: SemiCRF | None = None, text_col: str = "text"
         crf = shared.value
         for b in batches:
             data, off = utf8(b.column(at))
-            rows = np.flatnonzero(np.diff(np.searchsorted(np.flatnonzero(_TRIGGER[data]), off)))
+            worth = np.diff(np.searchsorted(np.flatnonzero(_TRIGGER[data]), off)) > 0
+            rows = np.flatnonzero(worth | pc.fill_null(pc.match_substring_regex(b.column(at), _WORTH), False).to_numpy(zero_copy_only=False))
             texts, spans = b.column(at), [[] for _ in range(b.num_rows)]
             if len(rows):
                 new, done = [], 0
