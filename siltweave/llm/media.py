@@ -4,7 +4,8 @@ A page's HTML is parsed once into items in reading order. An item is a stretch o
 to an image, video, sound, embedded document, or, if asked for, a link. A reference has its
 URL, resolved against the page's, and a digest: the SHA-256 of that URL, or of the bytes of a
 ``data:`` URL. Payloads are found by joining digests. Each item has its position, the
-figure caption or alternative text belongs to the item itself, and what the join finds is put
+figure caption or alternative text belongs to the item itself, the caption of a figure without media is a text
+item in its place, and what the join finds is put
 back by page and position, so nothing comes out of line.
 
 Where a reference occurs on very many pages the join is on references to distinct digests of
@@ -12,7 +13,7 @@ payloads, a sort-merge join whose skewed partitions Spark splits at run time.
 
 Defined results: a null page has null items, an empty one none; malformed HTML is read as far as
 it goes, unclosed tags close at the end; ``script``, ``style``, ``noscript``, ``template``, ``svg`` and
-``head`` count nothing; references without URL are passed over; a URL that can't be resolved against the
+``head`` count nothing, and a head without its end tag ends at the first tag that can't be in one; references without URL are passed over; a URL that can't be resolved against the
 page's stays as it is; a digest without payload has null size, type and content digest; of
 several payloads of one URL the one with the smallest content digest counts; repeated rows and
 rows that share an id each give a row, with the same references resolved; other columns pass
@@ -33,6 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 _SKIPPED = {"script", "style", "noscript", "template", "svg", "head"}
+_IN_HEAD = {"base", "basefont", "bgsound", "link", "meta", "noframes", "noscript", "script", "style", "template", "title", "head", "html"}
 _BLOCKS = {"p", "div", "li", "ul", "ol", "h1", "h2", "h3", "h4", "h5", "h6", "br", "tr", "table", "section", "article", "nav", "footer", "header", "main", "aside", "blockquote", "pre", "figure", "dl", "dt", "dd", "hr"}
 _MEDIA = {"img": ("image", "src"), "video": ("video", "src"), "audio": ("audio", "src"), "embed": ("embed", "src"), "iframe": ("embed", "src"), "object": ("embed", "data")}
 _VOID = {"img", "embed", "br", "hr", "source", "input", "meta", "link"}
@@ -66,7 +68,8 @@ class _Parser(HTMLParser):
         self.items: list[dict] = []
         self.text: list[str] = []
         self.skip: list[str] = []
-        self.figures: list[tuple[int, list[str]]] = []  # items before it, words of its caption
+        self.named = ""  # the open tag whose text belongs to the head
+        self.figures: list[tuple[int, list[str], list[int]]] = []  # items before it, words of its captions, items before each of these
         self.caption = 0
         self.open: list[tuple[dict, list[str]]] = []  # links
         self.player: list[dict] = []
@@ -92,16 +95,23 @@ class _Parser(HTMLParser):
         return item
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
-        if tag in _SKIPPED:
+        if self.skip == ["head"] and tag not in _IN_HEAD:  # its end tag may be left out
+            self.skip.pop()
+        if tag in ("title", "noframes"):
+            self.named = tag
+        if tag in _SKIPPED and not (tag == "head" and "head" in self.skip):
             self.skip.append(tag)
         if self.skip:
             return
         if tag in _BLOCKS:
             self.text.append("\n")
         if tag == "figure":
-            self.figures.append((len(self.items) + bool("".join(self.text).strip()), []))
+            self.figures.append((len(self.items) + bool("".join(self.text).strip()), [], []))
         elif tag == "figcaption":
             self.caption += 1
+            if self.figures:
+                self.flush()
+                self.figures[-1][2].append(len(self.items))
         elif tag in _MEDIA:
             a = dict(attrs)
             kind, key = _MEDIA[tag]
@@ -121,14 +131,20 @@ class _Parser(HTMLParser):
 
     def handle_startendtag(self, tag: str, attrs: list) -> None:
         if tag in _SKIPPED:
+            if tag == "svg" and self.skip == ["head"]:
+                self.skip.pop()
             return
         self.handle_starttag(tag, attrs)
         if tag not in _VOID:
             self.handle_endtag(tag)
 
     def handle_endtag(self, tag: str) -> None:
+        if tag == self.named:
+            self.named = ""
         if self.skip:
-            if tag in self.skip:
+            if self.skip == ["head"] and tag in ("body", "html"):
+                self.skip.pop()
+            elif tag in self.skip:
                 while self.skip.pop() != tag:
                     pass
             return
@@ -144,17 +160,21 @@ class _Parser(HTMLParser):
             self.close_link()
 
     def close_figure(self) -> None:
-        first, words = self.figures.pop()
+        first, words, at = self.figures.pop()
         text = _SPACE.sub(" ", " ".join(words)).strip()
-        for item in self.items[first:]:
-            if text and item["kind"] not in ("text", "link"):
-                item["text"] = text
+        media = [x for x in self.items[first:] if x["kind"] not in ("text", "link")]
+        for item in media if text else ():
+            item["text"] = text
+        if text and not media:
+            self.items.insert(at[0] if at else len(self.items), {"kind": "text", "text": text, "url": None, "digest": None})
 
     def close_link(self) -> None:
         item, words = self.open.pop()
         item["text"] = " ".join("".join(words).split()) or None
 
     def handle_data(self, data: str) -> None:
+        if self.skip == ["head"] and not self.named and data.strip():
+            self.skip.pop()
         if self.skip:
             return
         if self.caption and self.figures:

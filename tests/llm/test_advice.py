@@ -3,7 +3,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
-from siltweave.llm import pii, quality
+from siltweave.llm import media, pii, quality
 from tests.llm.common import documents
 
 INSULTS = "trash pathetic idiot worthless disgusting stupid clown scum loser moron".split()
@@ -50,3 +50,14 @@ def test_pii_spans_over_letters_and_white_space(spark):
         assert got[i] == (text.replace(value, f"[{kind}]"), [(value, kind)])
     for i, text in rows[len(cases) :]:
         assert got[i] == (text, [])
+
+
+def test_media_head_without_end_tag():
+    for page in ("<head><title>x</title><body><p>one</p></body>", "<head><title>x</title><p>one", "<html><head><head><meta a=b><title>x</title>one", "<head><title>x</title></body>one", "<head><style>p</style><title>x</title><svg/><div>one</div>"):
+        assert [(i["kind"], i["text"]) for i in media.parse(page)] == [("text", "one")], page
+    assert media.parse("<head><title>x</title><noscript>no</noscript></head>") == []
+
+
+def test_media_captions_of_figures_without_media():
+    page = "a<figure><table><tr><td>1</td></tr></table><figcaption>The <b>cap</b></figcaption></figure>b<figure><figcaption>Code</figcaption><pre>x = 1</pre></figure>c<figure><img src=i><figcaption>I</figcaption></figure>"
+    assert [(i["kind"], i["text"]) for i in media.parse(page)] == [("text", x) for x in ("a\n1", "The cap", "b", "Code", "x = 1\nc")] + [("image", "I")]
