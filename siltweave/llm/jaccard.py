@@ -212,6 +212,22 @@ def join(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col:
     return pairs.select(F.least("a_doc", "b_doc").alias("doc_a"), F.greatest("a_doc", "b_doc").alias("doc_b"), "jaccard").unionByName(copies)
 
 
+def join_all(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = N, threshold: float = THRESHOLD, tolerance: float = TOLERANCE) -> DataFrame:
+    """(doc_a, doc_b, jaccard): all pairs of documents, copies of a set included, where ``join`` names sets by their smallest ids."""
+    sig = signed(docs, id_col, text_col, n)
+    found = written(similar_sets(docs, sig, id_col, text_col, n, threshold, tolerance), "similar")
+    member = written(sig.select("h", "doc_id").distinct(), "members")
+    blocks = member.groupBy("h").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("nb"))
+    # a set with many copies is cut into blocks of documents on one side, and each block meets all copies of the other
+    right = member.join(blocks, "h").select(F.col("h").alias("b"), F.col("doc_id").alias("b_doc"), F.pmod(F.xxhash64("doc_id"), F.col("nb")).cast("int").alias("block"))
+    same = member.groupBy("h").agg(F.count("*").alias("m")).filter("m > 1").select(F.col("h").alias("a"), F.col("h").alias("b"), F.lit(1.0).alias("jaccard"))
+    sets = found.select("a", "b", "jaccard").unionByName(same)
+    left = sets.join(member.select(F.col("h").alias("a"), F.col("doc_id").alias("a_doc")), "a").join(blocks.withColumnRenamed("h", "b"), "b")
+    left = left.select("a", "b", "a_doc", "jaccard", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("block"))
+    pairs = left.join(right, ["b", "block"]).filter("a <> b OR a_doc < b_doc")
+    return pairs.select(F.least("a_doc", "b_doc").alias("doc_a"), F.greatest("a_doc", "b_doc").alias("doc_b"), "jaccard")
+
+
 def groups(pairs: DataFrame) -> DataFrame:
     """(doc_id, group): the connected components of pairs, each named by its smallest id.
 

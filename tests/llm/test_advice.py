@@ -3,8 +3,8 @@
 import numpy as np
 from pyspark.sql import functions as F
 
-from siltweave.llm import media, pii, quality
-from tests.llm.common import documents
+from siltweave.llm import jaccard, media, pii, quality, queries
+from tests.llm.common import documents, edited, prose
 
 INSULTS = "trash pathetic idiot worthless disgusting stupid clown scum loser moron".split()
 
@@ -61,3 +61,21 @@ def test_media_head_without_end_tag():
 def test_media_captions_of_figures_without_media():
     page = "a<figure><table><tr><td>1</td></tr></table><figcaption>The <b>cap</b></figcaption></figure>b<figure><figcaption>Code</figcaption><pre>x = 1</pre></figure>c<figure><img src=i><figcaption>I</figcaption></figure>"
     assert [(i["kind"], i["text"]) for i in media.parse(page)] == [("text", x) for x in ("a\n1", "The cap", "b", "Code", "x = 1\nc")] + [("image", "I")]
+
+
+def test_jaccard_pairs_of_all_copies(spark, tmp_path):
+    text = prose(1, 400)
+    near, other = edited(text, 2, 400), prose(3, 300)
+    rows = [(i, text) for i in range(20)] + [(100 + i, near) for i in range(7)] + [(200, other), (200, other), (150, other), (300, prose(4, 50)), (301, None)]
+    sets = {i: set(zip(*(t.split(" ")[k:] for k in range(jaccard.N)))) for i, t in rows if t}
+    want = {(a, b): j for a in sets for b in sets if a < b and (j := len(sets[a] & sets[b]) / len(sets[a] | sets[b])) >= jaccard.THRESHOLD}
+    documents(spark, rows).write.parquet(f"{tmp_path}/documents.parquet")
+    got = [(r.doc_a, r.doc_b, round(r.jaccard, 9)) for r in queries.op6_jaccard(spark, str(tmp_path)).collect()]
+    assert len(want) == 27 * 26 // 2 + 1
+    assert sorted(got) == sorted((a, b, round(j, 9)) for (a, b), j in want.items())
+
+
+def test_jaccard_copies_beyond_a_block(spark):
+    m = jaccard.BLOCK * 2 + 9
+    got = jaccard.join_all(spark, documents(spark, [(i, prose(1, 30)) for i in range(m)]))
+    assert got.count() == got.distinct().count() == m * (m - 1) // 2
