@@ -13,10 +13,10 @@ one: a large bucket is cut into blocks, and pairs of blocks are spread over the
 comparing, candidates lie in tiles, pairs of blocks of entities that have a smallest bucket
 neighbour in common, so that a signature or text goes to a tile once, not once a pair.
 
-Defined results: null, empty and white-space texts and null ids match nothing; rows equal in
-id and text are one document; rows of one id with several texts are several entities, whose
-pairs may name the id twice; a text shorter than n words matches only the same words; an empty
-table gives no pairs; other columns are not read, so their names can't clash.
+Defined results: null, empty and white-space texts and null ids match nothing, and are classes of their own in
+``classes``; rows equal in id and text are one document; rows of one id with several texts are several entities,
+whose pairs may name the id twice; ids are of any type that has an order; a text shorter than n words matches only
+the same words; an empty table gives no pairs and no classes; other columns are not read, so their names can't clash.
 """
 
 from __future__ import annotations
@@ -29,7 +29,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from siltweave.llm.text import U, mix, pieces, utf8, window_hashes, word_hashes, words
+from siltweave.llm.text import U, column, free, mix, pieces, utf8, window_hashes, word_hashes, words
 from siltweave.session import written
 
 N, THRESHOLD, TOLERANCE = 3, 0.5, 0.001
@@ -37,7 +37,7 @@ BANDS, ROWS, STEP = 36, 4, 16
 BLOCK, GROUP = 256, 2000
 HASHES = BANDS * ROWS
 _A = mix(np.arange(1, HASHES + 1, dtype=U)) | U(1)
-_SIGNED = "doc_id BIGINT, h BIGINT, n INT, sig BINARY, bands ARRAY<BIGINT>"
+_SIGNED = "doc_id {id}, h BIGINT, n INT, sig BINARY, bands ARRAY<BIGINT>"
 
 
 def sets_of(column: pa.Array, n: int = N) -> Iterator[np.ndarray]:
@@ -84,7 +84,7 @@ def _signed(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatc
         low = sig.astype(np.uint16)
         yield pa.RecordBatch.from_arrays(
             [
-                pa.array([i for i, _ in rows], pa.int64()),
+                pa.array([i for i, _ in rows], b.column(0).type),
                 pa.array([set_id(s) for _, s in rows], pa.int64()),
                 pa.array([len(s) for _, s in rows], pa.int32()),
                 pa.array([x.tobytes() for x in low], pa.binary()),
@@ -125,24 +125,35 @@ def pruned(a: np.ndarray, b: np.ndarray, least: dict[int, int]) -> np.ndarray:
 
 def signed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = N) -> DataFrame:
     """(doc_id, set, size, signature, bands) of each document with words, written down."""
-    d = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text")).filter("text IS NOT NULL AND doc_id IS NOT NULL")
-    return written(d.mapInArrow(lambda it: _signed(it, n), _SIGNED), "signed")
+    d = docs.select(column(id_col).alias("doc_id"), column(text_col).alias("text")).filter("text IS NOT NULL AND doc_id IS NOT NULL")
+    return written(d.mapInArrow(lambda it: _signed(it, n), _SIGNED.format(id=d.schema["doc_id"].dataType.simpleString())), "signed")
 
 
 def candidates(sig: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Distinct pairs (a, b) of sets in one bucket, a < b, and the tile each lies in: (tile, a, b)."""
-    b = sig.select("h", F.explode("bands").alias("bucket")).groupBy("bucket").agg(F.sort_array(F.collect_set("h")).alias("hs")).filter(F.size("hs") > 1)
-    b = written(b.select("bucket", "hs"), "buckets")
-    blocks = F.ceil(F.size("hs") / BLOCK).cast("int")
-    cut = b.select("hs", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("i"), blocks.alias("nb")).select("hs", "i", F.explode(F.sequence("i", F.col("nb") - 1)).alias("j"))
-    part = lambda k: F.slice("hs", F.col(k) * BLOCK + 1, F.lit(BLOCK))
-    cut = cut.select(part("i").alias("x"), part("j").alias("y")).repartition(F.xxhash64("x", "y"))
-    pairs = cut.select(F.explode("x").alias("a"), "y").select("a", F.explode("y").alias("b")).filter("a < b").distinct()
-    lead = b.select(F.explode("hs").alias("h"), F.element_at("hs", 1).alias("first")).groupBy("h").agg(F.min("first").alias("lead"))
+    """Distinct pairs (a, b) of sets in one bucket, a < b, and the tile each lies in: (tile, a, b).
+
+    A bucket of more than BLOCK sets is dealt into blocks before anything is collected, so no row holds
+    more than about BLOCK of them; its pairs of blocks are rows of their own.
+    """
+    each = sig.groupBy("h").agg(F.first("bands").alias("bands")).select("h", F.explode("bands").alias("bucket"))
+    each = written(each, "buckets")
+    size = each.groupBy("bucket").agg(F.count("*").alias("n"))
+    hot = written(size.filter(F.col("n") > BLOCK).select("bucket", F.ceil(F.col("n") / BLOCK).cast("int").alias("nb")), "hot-buckets")
+    cold = each.join(hot, "bucket", "left_anti").groupBy("bucket").agg(F.sort_array(F.collect_list("h")).alias("hs")).filter(F.size("hs") > 1)
+    dealt = each.join(hot, "bucket").select("bucket", "nb", F.pmod("h", F.col("nb")).cast("int").alias("i"), "h")
+    dealt = written(dealt.groupBy("bucket", "nb", "i").agg(F.sort_array(F.collect_list("h")).alias("hs")), "blocks")
+    alone = written(cold.select(F.col("hs").alias("x"), F.col("hs").alias("y")), "small-buckets")
+    other = dealt.select("bucket", F.col("i").alias("j"), F.col("hs").alias("y"))
+    # a row a pair of blocks; the pairs are dealt out before any is unfolded
+    cut = dealt.select("bucket", "i", F.col("hs").alias("x"), F.explode(F.sequence("i", F.col("nb") - 1)).alias("j")).join(other, ["bucket", "j"]).select("x", "y")
+    cut = alone.unionByName(cut.repartition(F.xxhash64("x", "y")))
+    pairs = cut.select(F.explode("x").alias("a"), "y").select("a", F.explode("y").alias("b")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a < b").distinct()
+    lists = alone.select(F.col("x").alias("hs")).unionByName(dealt.select("hs"))
+    lead = lists.select(F.explode("hs").alias("h"), F.element_at("hs", 1).alias("first")).groupBy("h").agg(F.min("first").alias("lead"))
     lead = written(lead, "leads")
     many = lead.groupBy("lead").agg(F.ceil(F.count("*") / BLOCK).alias("nb"))
-    place = lead.join(many, "lead").select("h", F.xxhash64("lead", F.pmod("h", F.col("nb"))).alias("block"))
-    of = lambda k: place.select(F.col("h").alias(k), F.col("block").alias(f"{k}_block"))
+    where = lead.join(many, "lead").select("h", F.xxhash64("lead", F.pmod("h", F.col("nb"))).alias("block"))
+    of = lambda k: where.select(F.col("h").alias(k), F.col("block").alias(f"{k}_block"))
     return pairs.join(of("a"), "a").join(of("b"), "b").select(F.xxhash64("a_block", "b_block").alias("tile"), "a", "b")
 
 
@@ -174,7 +185,7 @@ def similar_sets(docs: DataFrame, sig: DataFrame, id_col: str = "doc_id", text_c
     live = written(_tiled(pairs, one.select("h", "x"), prune, "tile BIGINT, a BIGINT, b BIGINT"), "survivors")
     used = live.select(F.explode(F.array("a", "b")).alias("h")).distinct()
     holder = used.join(sig.groupBy("h").agg(F.min("doc_id").alias("doc_id")), "h")
-    d = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("x")).filter("x IS NOT NULL")
+    d = docs.select(column(id_col).alias("doc_id"), column(text_col).alias("x")).filter("x IS NOT NULL")
     texts = d.join(holder.hint("merge"), "doc_id").select("h", "x")
 
     def verify(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
@@ -212,20 +223,26 @@ def join(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col:
     return pairs.select(F.least("a_doc", "b_doc").alias("doc_a"), F.greatest("a_doc", "b_doc").alias("doc_b"), "jaccard").unionByName(copies)
 
 
-def join_all(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = N, threshold: float = THRESHOLD, tolerance: float = TOLERANCE) -> DataFrame:
-    """(doc_a, doc_b, jaccard): all pairs of documents, copies of a set included, where ``join`` names sets by their smallest ids."""
+def classes(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = N, threshold: float = THRESHOLD, tolerance: float = TOLERANCE) -> DataFrame:
+    """(doc_id, class_id, links): a row for each document and set.
+
+    class_id is the smallest id of those that chains of similar documents lead to, and links is the number
+    of other documents that reach the threshold with it, copies of a set each counted. So the sum of the links is twice
+    the number of pairs, none of which is lost, though no pair of copies is written out.
+    """
     sig = signed(docs, id_col, text_col, n)
     found = written(similar_sets(docs, sig, id_col, text_col, n, threshold, tolerance), "similar")
     member = written(sig.select("h", "doc_id").distinct(), "members")
-    blocks = member.groupBy("h").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("nb"))
-    # a set with many copies is cut into blocks of documents on one side, and each block meets all copies of the other
-    right = member.join(blocks, "h").select(F.col("h").alias("b"), F.col("doc_id").alias("b_doc"), F.pmod(F.xxhash64("doc_id"), F.col("nb")).cast("int").alias("block"))
-    same = member.groupBy("h").agg(F.count("*").alias("m")).filter("m > 1").select(F.col("h").alias("a"), F.col("h").alias("b"), F.lit(1.0).alias("jaccard"))
-    sets = found.select("a", "b", "jaccard").unionByName(same)
-    left = sets.join(member.select(F.col("h").alias("a"), F.col("doc_id").alias("a_doc")), "a").join(blocks.withColumnRenamed("h", "b"), "b")
-    left = left.select("a", "b", "a_doc", "jaccard", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("block"))
-    pairs = left.join(right, ["b", "block"]).filter("a <> b OR a_doc < b_doc")
-    return pairs.select(F.least("a_doc", "b_doc").alias("doc_a"), F.greatest("a_doc", "b_doc").alias("doc_b"), "jaccard")
+    sets = written(member.groupBy("h").agg(F.min("doc_id").alias("first"), F.count("*").alias("m")), "sets")
+    both = found.select("a", "b").unionByName(found.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    linked = both.join(sets.select(F.col("h").alias("b"), "m"), "b").groupBy(F.col("a").alias("h")).agg(F.sum("m").alias("partners"))
+    named = lambda k: sets.select(F.col("h").alias(k), F.col("first").alias(f"doc_{k}"))
+    group = groups(found.join(named("a"), "a").join(named("b"), "b")).select(F.col("doc_id").alias("first"), "group")
+    # an id with several sets ties these together as well
+    whole = sets.join(linked, "h", "left").join(group, "first", "left").select("h", F.coalesce("group", "first").alias("class_id"), (F.coalesce("partners", F.lit(0)) + F.col("m") - 1).alias("links"))
+    bare = docs.select(column(id_col).alias("doc_id"), column(text_col).alias("text")).filter(F.col("doc_id").isNull() | F.col("text").isNull() | ~F.col("text").rlike(r"[^ \t\n\x0B\f\r]"))
+    bare = bare.select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("bigint").alias("links")).distinct()
+    return member.join(whole, "h").select("doc_id", "class_id", "links").unionByName(bare)
 
 
 def groups(pairs: DataFrame) -> DataFrame:
@@ -253,5 +270,6 @@ def groups(pairs: DataFrame) -> DataFrame:
 
 def keep_first(docs: DataFrame, pairs: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """The documents without those that have a smaller id in their group; the others with all columns."""
-    gone = groups(pairs).filter("doc_id <> `group`").select(F.col("doc_id").alias("_gone"))
-    return docs.join(gone.hint("merge"), F.col(f"`{id_col}`") == F.col("_gone"), "left_anti")
+    name = free(docs, "gone")
+    gone = groups(pairs).filter("doc_id <> `group`").select(F.col("doc_id").alias(name))
+    return docs.join(gone.hint("merge"), column(id_col) == column(name), "left_anti")

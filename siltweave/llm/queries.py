@@ -32,7 +32,7 @@ def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard.join_all(spark, _table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return jaccard.classes(spark, _table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

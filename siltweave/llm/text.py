@@ -7,11 +7,12 @@ words costs two look-ups, finished with an avalanche step.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.sql import DataFrame, functions as F
 
 U = np.uint64
 _BYTE_BASE, _WORD_BASE = 0x9E3779B97F4A7C15, 0xD1B54A32D192ED03
@@ -97,3 +98,42 @@ def window_hashes(w: np.ndarray, k: int, base: int = _WORD_BASE) -> np.ndarray:
     total = np.zeros(len(w) + 1, U)
     np.cumsum(w * up[: len(w)], out=total[1:])
     return mix((total[k:] - total[:-k]) * down[: len(w) - k + 1])
+
+
+def free(df: DataFrame, name: str) -> str:
+    """A column name that df hasn't, whatever the case of its letters."""
+    have = {c.lower() for c in df.columns}
+    while name.lower() in have:
+        name += "_"
+    return name
+
+
+def column(name: str):
+    """A column by its whole name, dots and backquotes included."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def with_arrow(df: DataFrame, make: Callable[[pa.RecordBatch], list[pa.Array]], new: list[tuple[str, str]], replaced: dict[str, str] | None = None, keep: list[str] | None = None) -> DataFrame:
+    """df after ``make``, which turns a batch into arrays: of the columns in ``keep`` (all by default), in order, then of the new ones.
+
+    Columns named as new ones are taken away first. Names are set aside while Python runs, so any name will do.
+    """
+    gone = {n.lower() for n, _ in new}
+    names = [c for c in df.columns if c.lower() not in gone]
+    d = df.select(*[column(c).alias(f"c{i}") for i, c in enumerate(names)])
+    types = dict(zip(names, (f.dataType.simpleString() for f in d.schema))) | (replaced or {})
+    left = [c for c in names if keep is None or c in keep]
+    inner = [f"c{names.index(c)}" for c in left] + [f"n{i}" for i in range(len(new))]
+    schema = ", ".join(f"{a} {t}" for a, t in zip(inner, [*(types[c] for c in left), *(t for _, t in new)]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays(make(b), inner)
+
+    return d.mapInArrow(run, schema).toDF(*left, *[n for n, _ in new])
+
+
+def place(df: DataFrame, col: str, new: list[str]) -> int:
+    """Where ``with_arrow`` has a column of df among those of a batch."""
+    gone = {n.lower() for n in new if n.lower() != col.lower()}
+    return [c for c in df.columns if c.lower() not in gone].index(col)

@@ -4,7 +4,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from siltweave.llm import jaccard, media, pii, quality, queries
-from tests.llm.common import documents, edited, prose
+from tests.llm.common import documents, edited, prose, words_of
 
 INSULTS = "trash pathetic idiot worthless disgusting stupid clown scum loser moron".split()
 
@@ -63,19 +63,34 @@ def test_media_captions_of_figures_without_media():
     assert [(i["kind"], i["text"]) for i in media.parse(page)] == [("text", x) for x in ("a\n1", "The cap", "b", "Code", "x = 1\nc")] + [("image", "I")]
 
 
-def test_jaccard_pairs_of_all_copies(spark, tmp_path):
+def brute_classes(rows):
+    """(id, class, links) by comparing all rows of (id, text), ids being distinct."""
+    sets = {i: frozenset(zip(*(words_of(t)[k:] for k in range(jaccard.N)))) or frozenset([tuple(words_of(t))]) for i, t in rows if words_of(t)}
+    group, links = {i: i for i, _ in rows}, dict.fromkeys((i for i, _ in rows), 0)
+    for a in sets:
+        for b in sets:
+            if a < b and len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= jaccard.THRESHOLD:
+                links[a] += 1
+                links[b] += 1
+                low, high = sorted((group[a], group[b]))
+                group = {k: low if v == high else v for k, v in group.items()}
+    return sorted((i, group[i], links[i]) for i, _ in rows)
+
+
+def test_jaccard_classes_and_links(spark, tmp_path):
     text = prose(1, 400)
     near, other = edited(text, 2, 400), prose(3, 300)
-    rows = [(i, text) for i in range(20)] + [(100 + i, near) for i in range(7)] + [(200, other), (200, other), (150, other), (300, prose(4, 50)), (301, None)]
-    sets = {i: set(zip(*(t.split(" ")[k:] for k in range(jaccard.N)))) for i, t in rows if t}
-    want = {(a, b): j for a in sets for b in sets if a < b and (j := len(sets[a] & sets[b]) / len(sets[a] | sets[b])) >= jaccard.THRESHOLD}
-    documents(spark, rows).write.parquet(f"{tmp_path}/documents.parquet")
-    got = [(r.doc_a, r.doc_b, round(r.jaccard, 9)) for r in queries.op6_jaccard(spark, str(tmp_path)).collect()]
-    assert len(want) == 27 * 26 // 2 + 1
-    assert sorted(got) == sorted((a, b, round(j, 9)) for (a, b), j in want.items())
+    rows = [(i, text) for i in range(20)] + [(100 + i, near) for i in range(7)] + [(200, other), (150, other), (300, prose(4, 50)), (301, None), (302, " "), (303, "two words"), (304, "two words")]
+    documents(spark, rows + [(200, other)]).write.parquet(f"{tmp_path}/documents.parquet")
+    got = sorted(tuple(r) for r in queries.op6_jaccard(spark, str(tmp_path)).collect())
+    assert got == brute_classes(rows)
 
 
-def test_jaccard_copies_beyond_a_block(spark):
+def test_jaccard_classes_of_hot_buckets_strings_and_clashing_names(spark):
+    base = prose(7, 60)
     m = jaccard.BLOCK * 2 + 9
-    got = jaccard.join_all(spark, documents(spark, [(i, prose(1, 30)) for i in range(m)]))
-    assert got.count() == got.distinct().count() == m * (m - 1) // 2
+    rows = [(f"d{i:04d}", base + f" tail{i}") for i in range(m)] + [("x", "")]
+    d = spark.createDataFrame([(i, t, 1, 2) for i, t in rows], "`the.id` STRING, text STRING, links INT, h INT")
+    got = jaccard.classes(spark, d, "the.id").collect()
+    assert sorted(tuple(r) for r in got) == sorted([(i, "d0000", m - 1) for i, _ in rows[:-1]] + [("x", "x", 0)])
+    assert jaccard.classes(spark, d.limit(0), "the.id").count() == 0
