@@ -113,16 +113,16 @@ def column(name: str):
     return F.col("`" + name.replace("`", "``") + "`")
 
 
-def with_arrow(df: DataFrame, make: Callable[[pa.RecordBatch], list[pa.Array]], new: list[tuple[str, str]], replaced: dict[str, str] | None = None, keep: list[str] | None = None) -> DataFrame:
+def with_arrow(df: DataFrame, make: Callable[[pa.RecordBatch], list[pa.Array]], new: list[tuple[str, str]], used: tuple[str, ...] = (), replaced: dict[str, str] | None = None, keep: list[str] | None = None) -> DataFrame:
     """df after ``make``, which turns a batch into arrays: of the columns in ``keep`` (all by default), in order, then of the new ones.
 
-    Columns named as new ones are taken away first. Names are set aside while Python runs, so any name will do.
+    Columns named as new ones are taken away first, but those that ``make`` reads, ``used``. Names are set aside while Python runs, so any name will do.
     """
     gone = {n.lower() for n, _ in new}
-    names = [c for c in df.columns if c.lower() not in gone]
+    names = [c for c in df.columns if c.lower() not in gone or c in used]
     d = df.select(*[column(c).alias(f"c{i}") for i, c in enumerate(names)])
     types = dict(zip(names, (f.dataType.simpleString() for f in d.schema))) | (replaced or {})
-    left = [c for c in names if keep is None or c in keep]
+    left = [c for c in names if (keep is None or c in keep) and c.lower() not in gone]
     inner = [f"c{names.index(c)}" for c in left] + [f"n{i}" for i in range(len(new))]
     schema = ", ".join(f"{a} {t}" for a, t in zip(inner, [*(types[c] for c in left), *(t for _, t in new)]))
 
@@ -134,6 +134,6 @@ def with_arrow(df: DataFrame, make: Callable[[pa.RecordBatch], list[pa.Array]],
 
 
 def place(df: DataFrame, col: str, new: list[str]) -> int:
-    """Where ``with_arrow`` has a column of df among those of a batch."""
-    gone = {n.lower() for n in new if n.lower() != col.lower()}
-    return [c for c in df.columns if c.lower() not in gone].index(col)
+    """Where ``with_arrow`` has a column that it uses among those of a batch."""
+    gone = {n.lower() for n in new}
+    return [c for c in df.columns if c.lower() not in gone or c == col].index(col)

@@ -258,15 +258,19 @@ def test_perplexity_bands(spark):
 def test_packing_is_a_packing(spark):
     r = random.Random(0)
     rows = [(i, "w " * r.choice([1, 10, 300, 700, 900, 1200, 5000])) for i in range(300)] + [(7, "w " * 10)] + ODD
-    got = packing.pack(documents(spark, rows), pool=128).collect()
-    cap = packing.CAPACITY
-    fill = defaultdict(int)
+    d = documents(spark, rows).withColumns({"bin_id": F.lit(1), "Start": F.lit(2), "n_tokens": F.lit(3)})
+    got = packing.pack(d, pool=128).collect()
+    cap, e = packing.CAPACITY, bpe.encoder_at(bpe.VOCABULARY)
+    fill, inside = defaultdict(int), defaultdict(list)
     for x in got:
         fill[x.bin_id] += x.size
+        if x.size:
+            inside[x.bin_id].append((x.start, x.start + x.size))
     assert fill.pop(None, 0) == 0 and max(fill.values()) <= cap
+    assert all(a[1] == b[0] for xs in inside.values() for a, b in zip(sorted(xs), sorted(xs)[1:])) and all(min(xs)[0] == 0 for xs in inside.values())
     want = Counter()
     for i, t in rows:
-        n = len(words_of(t))
+        n = len(e.encode(t or ""))
         for k in range(max(1, -(-n // cap))):
             want[i, k * cap, min(cap, n - k * cap)] += 1
     assert Counter((x.doc_id, x.offset, x.size) for x in got) == want
@@ -275,6 +279,57 @@ def test_packing_is_a_packing(spark):
     assert packing.pack(documents(spark, [])).count() == 0
 
 
+def test_generations_run_on_the_tables(spark):
+    """In every pool of the query, though best-fit decreasing has as few bins as there can be; and the fill gets better."""
+    docs = bpe.counted(spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text"))
+    parts = packing.pieces_of(docs, "doc_id", F.col("n_tokens"), packing.CAPACITY).cache()
+    _, state = packing.islands_of(parts, packing.CAPACITY, packing.POOL, packing.ISLANDS, packing.POPULATION, packing.EPOCHS, packing.GENERATIONS)
+    best = packing.elites(state, packing.CAPACITY).collect()
+    assert all(r.generations > 0 for r in best)
+    sizes = {r.pool: list(r.sizes) for r in state.collect()}
+    for p, s in sizes.items():
+        first = packing.fitness(packing.best_fit([], range(len(s)), s, packing.CAPACITY), packing.CAPACITY)
+        assert max((r.bins, r.fill) for r in best if r.pool == p) > first
+
+
+def test_evolution_beats_best_fit_on_hard_sizes():
+    better = 0
+    for seed in range(3):
+        r = random.Random(seed)
+        sizes = sorted(x for _ in range(120) for a, b in [(r.randint(500, 800), r.randint(500, 800))] for x in (a, b, 2048 - a - b))
+        pop = packing.seed_population(sizes, 2048, 6, r)
+        first = packing.fitness(pop[0], 2048)
+        done, k = packing.evolve(pop, sizes, 2048, 80, r)
+        assert k == 80 and sorted(x for _, xs in done[0] for x in xs) == list(range(360))
+        better += packing.fitness(done[0], 2048)[0] > first[0]
+    assert better == 3
+
+
+def test_evolution_finds_the_optimum_of_small_pools():
+    def least(sizes, cap):  # exhaustive
+        best = [len(sizes)]
+
+        def go(i, bins):
+            if len(bins) >= best[0]:
+                return
+            if i == len(sizes):
+                best[0] = len(bins)
+                return
+            for k in range(len(bins)):
+                if bins[k] + sizes[i] <= cap:
+                    go(i + 1, bins[:k] + [bins[k] + sizes[i]] + bins[k + 1 :])
+            go(i + 1, bins + [sizes[i]])
+
+        go(0, [])
+        return best[0]
+
+    for seed in range(20):
+        r = random.Random(seed)
+        sizes = sorted(r.randint(2, 7) for _ in range(9))
+        done, _ = packing.evolve(packing.seed_population(sizes, 10, 6, r), sizes, 10, 60, r)
+        assert len(done[0]) == least(sizes, 10)
+
+
 def test_crossover_injects_whole_bins():
     sizes = [5, 5, 4, 6, 3, 7, 2, 8]
     rng = random.Random(1)
@@ -282,6 +337,9 @@ def test_crossover_injects_whole_bins():
     for _ in range(30):
         a, b = rng.sample(pop, 2)
         c = packing.crossover(a, b, sizes, 10, rng)
-        assert sorted(x for g in c for x in g) == list(range(8)) and all(sum(sizes[x] for x in g) <= 10 for g in c)
-        assert any(sorted(g) in [sorted(h) for h in b] for g in c)
-    assert len(packing.evolve(pop, sizes, 10, 50, rng)[0]) == 4
+        assert sorted(x for _, g in c for x in g) == list(range(8)) and all(sum(sizes[x] for x in g) == f <= 10 for f, g in c)
+        assert any(sorted(g) in [sorted(h) for _, h in b] for _, g in c)
+        m = packing.mutate(c, sizes, 10, rng)
+        assert sorted(x for _, g in m for x in g) == list(range(8)) and all(sum(sizes[x] for x in g) == f <= 10 for f, g in m)
+    done, k = packing.evolve(pop, sizes, 10, 50, rng)
+    assert len(done[0]) == 4 and k < 50  # four full bins can't be improved

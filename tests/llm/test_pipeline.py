@@ -5,7 +5,7 @@ import os
 import pytest
 
 import corpus_pipeline as pipeline
-from siltweave.llm import packing, pii, quality
+from siltweave.llm import bpe, packing, pii, quality
 from siltweave.session import written
 from tests.llm.common import words_of
 from tests.llm.test_text_operators import brute_lines, brute_pairs
@@ -60,7 +60,8 @@ def test_stages(spark):
     for r in out["packing"].collect():
         size[r.bin_id] = size.get(r.bin_id, 0) + r.size
     assert max(v for k, v in size.items() if k) <= packing.CAPACITY
-    assert sum(size.values()) == sum(len(words_of(t)) for _, t in rows(inputs["packing"]))
+    e = bpe.encoder_at(bpe.VOCABULARY)
+    assert sum(size.values()) == sum(len(e.encode(t or "")) for _, t in rows(inputs["packing"]))
 
 
 def test_run(spark):
