@@ -23,12 +23,12 @@ def test_quality_rejects_toxic_and_keeps_clean(spark):
 
 def test_quality_scores_words_as_its_features():
     texts = ["Idiot, you idiot!", "", "ß word\nword 12 WORD", "%%% 1"]
-    model = quality.OrdinalModel(np.random.default_rng(1).normal(size=quality.size_of(quality.BITS)), np.array([0.0, 1.0]))
+    model = quality.OrdinalModel(np.random.default_rng(1).normal(size=quality.size_of(quality.BITS)), np.array([0.0, 1.0]), means=(0.3, -0.2, 0.1))
     raw = [t.encode() for t in texts]
     got = model.latent(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]))
     for t, x in zip(raw, got):
-        idx, val = quality.features(np.frombuffer(t, np.uint8))
-        assert abs((model.weights[idx] * val).sum() - x) < 1e-6
+        idx, val, says = quality.features(np.frombuffer(t, np.uint8))
+        assert abs((model.weights[idx] * val).sum() - says @ model.means - x) < 1e-6
 
 
 def test_pii_spans_over_letters_and_white_space(spark):

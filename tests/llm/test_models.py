@@ -131,19 +131,49 @@ def test_quality_on_held_out_labels(spark):
     h = F.pmod(F.xxhash64("doc_id"), F.lit(4)) == 0
     model = quality.train(docs, graded.filter(~h))
     got = quality.score(docs.join(graded.filter(h), "doc_id"), model).select("grade", "keep", "expected_grade", "tail_prob").toPandas()
-    assert (got.keep == (got.grade >= 1)).mean() > 0.95
+    assert (got.keep == (got.grade == 2)).mean() > 0.95
+    assert got.groupby("grade").expected_grade.mean().is_monotonic_increasing
     assert (np.diff(model.thresholds) > 0).all() and got.expected_grade.between(0, quality.GRADES - 1).all()
 
 
+def test_quality_gradient_and_likelihood():
+    r = np.random.default_rng(0)
+    n, size = 12, 6
+    row = np.repeat(np.arange(n), 3)
+    idx, val = r.integers(0, size, len(row)), r.random(len(row))
+    says, mean, grades = r.random((n, 3)), r.random((3, size)), r.integers(0, 3, n)
+    w, par = r.normal(size=size), np.array([-0.3, 0.2])
+    f = lambda w, par: quality.likelihood(w, par, idx, val, row, says, mean, grades, 0.1)
+    loss, g, gp = f(w, par)
+    want = 0.05 * (w * w).sum()
+    for i in range(n):  # by its definition
+        eta = sum(w[j] * x for j, x, k in zip(idx, val, row) if k == i) - says[i] @ mean @ w
+        th = [-math.inf, par[0], par[0] + math.exp(par[1]), math.inf]
+        below = lambda k: 1 / (1 + math.exp(-(th[k] - eta))) if 0 < k < 3 else float(k == 3)
+        want -= math.log(below(grades[i] + 1) - below(grades[i])) / n
+    assert loss == pytest.approx(want)
+    for x, grad in ((w, g), (par, gp)):
+        for k in range(len(x)):
+            x[k] += 1e-6
+            up = f(w, par)[0]
+            x[k] -= 2e-6
+            down = f(w, par)[0]
+            x[k] += 1e-6
+            assert grad[k] == pytest.approx((up - down) / 2e-6, abs=1e-5)
+
+
 def test_quality_odd_rows(spark):
     docs = documents(spark, ODD + [(i, prose(i, 40) if i % 2 else "!! $$ %% " * 20) for i in range(40)])
-    graded = spark.createDataFrame([(i, 2 * (i % 2)) for i in range(40)] + [(100, 1), (999, 2), (3, None), (None, 1)], "doc_id BIGINT, grade INT")
+    graded = spark.createDataFrame([(i, 2 * (i % 2)) for i in range(40)] + [(100, 1), (999, 2), (3, None), (None, 1), (4, 7), (5, -1), (6, 0)], "doc_id BIGINT, grade INT")
     model = quality.train(docs, graded)
-    got = quality.score(docs.withColumn("keep", F.lit("mine")), model).collect()
+    got = quality.score(docs.withColumns({"KEEP": F.lit("mine"), "a.b": F.lit(1)}), model)
+    assert got.columns == [*docs.columns, "a.b", "expected_grade", "tail_prob", "keep"]
+    got = got.collect()
     assert len(got) == docs.count() and all(0 <= r.tail_prob <= 1 for r in got)
     assert all(r.keep == (r.doc_id % 2 == 1) for r in got if r.doc_id is not None and r.doc_id < 40)
-    with pytest.raises(ValueError):
-        quality.train(documents(spark, []), graded)
+    nothing = quality.train(documents(spark, []), graded)
+    assert all(r.keep and r.expected_grade > 1.99 for r in quality.score(docs, nothing).collect())
+    assert quality.score(documents(spark, []), nothing).count() == 0
 
 
 # media
