@@ -1,21 +1,25 @@
 """Reversible line dedup: sharded cuckoo filters backed by exact reference tables.
 
 A line's first holder, in order of batch, document, and place, keeps it; all other
-holders lose it. The store has three tables, each a log of generations:
+holders lose it. The store has four tables, each a log of generations:
 
-* ``refs``: every (line hashes, document, place) that was inserted, exact;
+* ``docs``: every document that was inserted or deleted;
+* ``refs``: every (line hashes, document, place) that was inserted or deleted, exact;
 * ``counts``: reference counts of the lines of each generation, negative for deletions;
 * ``filters``: by shard of the hash space, a cuckoo filter of the lines referred to.
 
 A batch probes the filters first. Lines they don't know are certainly new; only the
-others are looked up in the counts. Deleting documents takes their references away,
-and lines left without any leave the filter, so that ``holders`` then gives what inserting
-the other documents alone would have given.
+others are looked up in the counts, which are cut down to them before anything is added up. Deleting documents takes the
+references of earlier generations away, and lines left without any leave the filter, so that ``holders`` then gives what
+inserting the other documents alone would have given, and a document may be inserted again. Every ``fan_out`` generations
+the counts are merged into one, and the shards are doubled when there are more than ``per_shard`` lines in each.
 
 Defined results: a null text stays null and an empty one empty; blank lines are kept
 always; a document that loses all its lines has an empty text; rows equal in id and text
-are one document and have one result; rows with one id and several texts are told apart
-by the text; null ids come first; an empty batch changes nothing; extra columns pass
+are one document and have one result; a document that is in force already, as in a batch that is run again, adds nothing and
+gets the lines that it holds; rows with one id and several texts are told apart
+by the text; null ids come first; ids are of any type that has an order, and a table is cut into batches only if they are numbers;
+an empty batch changes nothing; extra columns, of any names, pass
 through ``dedup_batch``, a column named lines_dropped is replaced.
 """
 
@@ -26,15 +30,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql.types import NumericType
 
-from siltweave.llm.text import U, mix
+from siltweave.llm.text import U, column, free, mix
 from siltweave.session import shared_folder
 
-SHARDS = 64
+SHARDS, PER_SHARD, FAN_OUT = 64, 4_000_000, 8
 SLOTS_PER_BUCKET = 4
 LOAD = 0.5
-_REFS = "shard INT, h BIGINT, v BIGINT, doc_id {id}, row_id BIGINT, line_no INT, gen INT"
+_REFS = "h BIGINT, v BIGINT, doc_id {id}, row_id BIGINT, line_no INT, gen INT, sign INT"
+_DOCS = "doc_id {id}, row_id BIGINT, gen INT, sign INT"
+_KEYS = "h BIGINT, v BIGINT, n BIGINT"
 
 
 class CuckooFilter:
@@ -118,73 +125,105 @@ def built(keys: np.ndarray, room: int = 0) -> CuckooFilter:
         n = 2 * max(n, 1)
 
 
-def lines_of(docs: DataFrame, id_col: str, text_col: str, shards: int = SHARDS) -> DataFrame:
-    """(shard, h, v, doc_id, row_id, line_no): two 64-bit hashes of each line; v is null for a blank one."""
-    d = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text")).filter("text IS NOT NULL")
+def lines_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(h, v, doc_id, row_id, line_no): two 64-bit hashes of each line; v is null for a blank one."""
+    d = docs.select(column(id_col).alias("doc_id"), column(text_col).alias("text")).filter("text IS NOT NULL")
     d = d.select("doc_id", F.xxhash64("doc_id", "text").alias("row_id"), F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
     blank = F.trim(F.translate("line", "\t\r\x0b\x0c", "    ")) == ""
     h = F.when(blank, F.xxhash64("row_id", "line_no")).otherwise(F.xxhash64("line"))
     v = F.when(~blank, F.xxhash64(F.lit("line"), "line"))
-    return d.select(F.pmod(h, F.lit(shards)).cast("int").alias("shard"), h.alias("h"), v.alias("v"), "doc_id", "row_id", "line_no")
+    return d.select(h.alias("h"), v.alias("v"), "doc_id", "row_id", "line_no")
+
+
+def _same(a: DataFrame, b: DataFrame) -> Column:
+    return a["doc_id"].eqNullSafe(b["doc_id"]) & (a["row_id"] == b["row_id"])
 
 
 class LineStore:
-    def __init__(self, spark: SparkSession, path: str | None = None, shards: int = SHARDS):
-        self.spark, self.shards = spark, shards
+    def __init__(self, spark: SparkSession, path: str | None = None, shards: int = SHARDS, per_shard: int = PER_SHARD, fan_out: int = FAN_OUT):
+        self.spark, self.shards, self.per_shard, self.fan_out = spark, shards, per_shard, fan_out
         self.path = path or f"{shared_folder(spark)}/lines-{uuid.uuid4().hex[:8]}"
-        self.generation, self.id_type = 0, "bigint"
+        self.generation, self.id_type, self.lines = 0, "bigint", 0
+        self.merged = 0  # the counts of generations up to this one are in one table
+
+    def _write(self, df: DataFrame, name: str) -> DataFrame:
+        path = f"{self.path}/{name}"
+        df.write.mode("overwrite").parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
 
-    def _table(self, name: str, schema: str) -> DataFrame:
+    def _log(self, name: str, schema: str) -> DataFrame:
+        schema = schema.format(id=self.id_type)
         if not self.generation:
             return self.spark.createDataFrame([], schema)
         return self.spark.read.schema(schema).parquet(*[f"{self.path}/{name}/{g}" for g in range(1, self.generation + 1)])
 
+    @staticmethod
+    def _in_force(log: DataFrame) -> DataFrame:
+        """The rows that no later generation deleted; a deletion acts on what was there before it only."""
+        gone = log.filter("sign < 0").groupBy("doc_id", "row_id").agg(F.max("gen").alias("until"))
+        keep = log.filter("sign > 0")
+        return keep.join(gone, _same(keep, gone) & (keep["gen"] < gone["until"]), "left_anti")
+
     def refs(self) -> DataFrame:
         """References in force: those of deleted documents are taken away."""
-        r = self._table("refs", _REFS.format(id=self.id_type) + ", sign INT")
-        gone = r.filter("sign < 0").select("doc_id", "row_id").distinct()
-        keep = r.filter("sign > 0")
-        return keep.join(gone, keep["doc_id"].eqNullSafe(gone["doc_id"]) & (keep["row_id"] == gone["row_id"]), "left_anti")
+        return self._in_force(self._log("refs", _REFS))
 
-    def counts(self) -> DataFrame:
-        """(h, v, n): exact numbers of references of all lines with any."""
-        return self._table("counts", "h BIGINT, v BIGINT, n BIGINT").groupBy("h", "v").agg(F.sum("n").alias("n")).filter("n > 0")
+    def documents(self) -> DataFrame:
+        """(doc_id, row_id, gen) of the documents in force."""
+        return self._in_force(self._log("docs", _DOCS))
+
+    def counts(self, keys: DataFrame | None = None) -> DataFrame:
+        """(h, v, n): exact numbers of references of all lines with any, or of those among the keys (h, v)."""
+        parts = ([f"{self.path}/merged/{self.merged}"] if self.merged else []) + [f"{self.path}/counts/{g}" for g in range(self.merged + 1, self.generation + 1)]
+        c = self.spark.read.schema(_KEYS).parquet(*parts) if parts else self.spark.createDataFrame([], _KEYS)
+        if keys is not None:
+            c = c.join(keys.select("h", "v"), ["h", "v"], "left_semi")
+        return c.groupBy("h", "v").agg(F.sum("n").alias("n")).filter("n > 0")
+
+    def _shard(self) -> Column:
+        return F.pmod("h", F.lit(self.shards)).cast("int").alias("shard")
 
     def filters(self) -> DataFrame:
         return self.spark.read.schema("shard INT, raw BINARY").parquet(f"{self.path}/filters/{self.generation}")
 
     def _probe(self, keys: DataFrame) -> DataFrame:
+        """The keys that the filters may know."""
+
         def run(rows: pd.DataFrame, filters: pd.DataFrame) -> pd.DataFrame:
-            maybe = CuckooFilter.load(filters.raw[0]).contains(rows.h.to_numpy()) if len(filters) else np.zeros(len(rows), bool)
-            return rows.assign(maybe=maybe)
+            return rows[CuckooFilter.load(filters.raw[0]).contains(rows.h.to_numpy())][["h", "v"]] if len(filters) and len(rows) else rows[:0][["h", "v"]]
 
-        return keys.groupBy("shard").cogroup(self.filters().groupBy("shard")).applyInPandas(run, "shard INT, h BIGINT, v BIGINT, n BIGINT, maybe BOOLEAN")
+        return keys.select(self._shard(), "h", "v").groupBy("shard").cogroup(self.filters().groupBy("shard")).applyInPandas(run, "h BIGINT, v BIGINT")
 
-    def _filtered(self, added: DataFrame | None, removed: DataFrame | None, generation: int) -> None:
-        """Write the filters after adding and removing keys. A full one is rebuilt from the exact table."""
-        sign = [d.select("shard", "h", F.lit(s).alias("s")) for d, s in ((added, 1), (removed, -1)) if d is not None]
-        change = sign[0] if len(sign) == 1 else sign[0].unionByName(sign[1])
-        if self.generation:
-            def run(rows: pd.DataFrame, old: pd.DataFrame) -> pd.DataFrame:
-                shard = rows.shard[0] if len(rows) else old.shard[0]
-                f = CuckooFilter.load(old.raw[0]) if len(old) else CuckooFilter.sized(len(rows))
-                f.delete(rows.h[rows.s < 0].to_numpy())
-                more = rows.h[rows.s > 0].to_numpy()
-                used = int(np.count_nonzero(f.buckets))
-                full = used + len(more) > 0.9 * f.buckets.size or not f.insert(more)
-                return pd.DataFrame({"shard": [shard], "raw": [None if full else f.dump()]})
-
-            made = change.groupBy("shard").cogroup(self.filters().groupBy("shard")).applyInPandas(run, "shard INT, raw BINARY")
-            made.write.parquet(f"{self.path}/filters-tried/{generation}")
-            made = self.spark.read.schema("shard INT, raw BINARY").parquet(f"{self.path}/filters-tried/{generation}")
-            full = made.filter("raw IS NULL").select("shard")
-            have = self.counts().select("h").withColumn("shard", F.pmod("h", F.lit(self.shards)).cast("int"))
-            again = have.unionByName(added.select("h", "shard")) if added is not None else have
-            rebuilt = self._rebuilt(again.join(F.broadcast(full), "shard", "left_semi"))  # a row per shard, a fixed number
+    def _filtered(self, added: DataFrame | None, removed: DataFrame | None, counts: DataFrame) -> None:
+        """Write the filters after adding and removing keys; a full one is rebuilt, with the counts as they were and the added keys."""
+        g = self.generation + 1
+        change = None
+        for d, s in ((added, 1), (removed, -1)):
+            if d is not None:
+                x = d.select(self._shard(), "h", F.lit(s).alias("s"))
+                change = x if change is None else change.unionByName(x)
+        if not self.generation:
+            self._write(self._rebuilt(change), f"filters/{g}")
+            return
+
+        def run(rows: pd.DataFrame, old: pd.DataFrame) -> pd.DataFrame:
+            shard = rows.shard[0] if len(rows) else old.shard[0]
+            f = CuckooFilter.load(old.raw[0]) if len(old) else CuckooFilter.sized(len(rows))
+            f.delete(rows.h[rows.s < 0].to_numpy())
+            more = rows.h[rows.s > 0].to_numpy()
+            used = int(np.count_nonzero(f.buckets))
+            full = used + len(more) > 0.9 * f.buckets.size or not f.insert(more)
+            return pd.DataFrame({"shard": [shard], "raw": [None if full else f.dump()]})
+
+        made = change.groupBy("shard").cogroup(self.filters().groupBy("shard")).applyInPandas(run, "shard INT, raw BINARY")
+        made = self._write(made, f"filters-tried/{g}")
+        full = made.filter("raw IS NULL").select("shard")
+        if not full.isEmpty():
+            again = counts.select(self._shard(), "h")
+            again = again.unionByName(added.select(self._shard(), "h")) if added is not None else again
+            rebuilt = self._rebuilt(again.join(F.broadcast(full), "shard", "left_semi"))  # a row per shard
             made = made.filter("raw IS NOT NULL").unionByName(rebuilt)
-        else:
-            made = self._rebuilt(change)
-        made.write.parquet(f"{self.path}/filters/{generation}")
+        self._write(made, f"filters/{g}")
 
     def _rebuilt(self, keys: DataFrame) -> DataFrame:
         def build(rows: pd.DataFrame) -> pd.DataFrame:
@@ -192,51 +231,80 @@ class LineStore:
 
         return keys.select("shard", "h").groupBy("shard").applyInPandas(build, "shard INT, raw BINARY")
 
+    def _settle(self, more: int) -> None:
+        """End a generation: merge the counts on schedule, and deal out full shards."""
+        self.generation += 1
+        self.lines += more
+        if self.generation - self.merged >= self.fan_out:
+            self.compact()
+        if self.lines > self.shards * self.per_shard:
+            while self.lines > self.shards * self.per_shard:
+                self.shards *= 2
+            self._write(self._rebuilt(self.counts().select(self._shard(), "h")), f"filters/{self.generation}")
+
     def insert(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
         """Add a batch; (doc_id, row_id, keep) of its documents that lose lines, keep being a flag for each line."""
         g = self.generation + 1
         self.id_type = docs.schema[id_col].dataType.simpleString()
-        refs = lines_of(docs.dropDuplicates([id_col, text_col]) if self._repeats(docs, id_col) else docs, id_col, text_col, self.shards)
-        refs.select("*", F.lit(g).alias("gen"), F.lit(1).alias("sign")).write.parquet(f"{self.path}/refs/{g}")
-        refs = self.spark.read.schema(_REFS.format(id=self.id_type)).parquet(f"{self.path}/refs/{g}")
-        keys = refs.filter("v IS NOT NULL").groupBy("shard", "h", "v").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "row_id", "line_no")).alias("first"))
-        keys.write.parquet(f"{self.path}/keys/{g}")
-        keys = self.spark.read.schema(keys.schema).parquet(f"{self.path}/keys/{g}")
+        docs = docs.dropDuplicates([id_col, text_col]) if self._repeats(docs, id_col) else docs
+        mine = docs.filter(column(text_col).isNotNull()).select(column(id_col).alias("doc_id"), F.xxhash64(column(id_col), column(text_col)).alias("row_id"))
+        known_docs = None
+        if self.generation:
+            old = self.documents()
+            known_docs = self._write(mine.join(old, _same(mine, old), "left_semi"), f"known/{g}")
+            if known_docs.isEmpty():
+                known_docs = None
+        refs = lines_of(docs, id_col, text_col)
+        if known_docs is not None:
+            refs, mine = refs.join(known_docs, _same(refs, known_docs), "left_anti"), mine.join(known_docs, _same(mine, known_docs), "left_anti")
+        self._write(mine.select("*", F.lit(g).alias("gen"), F.lit(1).alias("sign")), f"docs/{g}")
+        refs = self._write(refs.select("*", F.lit(g).alias("gen"), F.lit(1).alias("sign")), f"refs/{g}")
+        keys = refs.filter("v IS NOT NULL").groupBy("h", "v").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "row_id", "line_no")).alias("first"))
+        keys = self._write(keys, f"keys/{g}")
         if self.generation:
-            probed = self._probe(keys.select("shard", "h", "v", "n"))
-            probed.write.parquet(f"{self.path}/probed/{g}")
-            probed = self.spark.read.schema("shard INT, h BIGINT, v BIGINT, n BIGINT, maybe BOOLEAN").parquet(f"{self.path}/probed/{g}")
-            known = probed.filter("maybe").select("h", "v").join(self.counts(), ["h", "v"], "left_semi")
+            known = self._write(self.counts(self._write(self._probe(keys), f"maybe/{g}")).select("h", "v"), f"present/{g}")
             shared = keys.join(known.withColumn("known", F.lit(True)), ["h", "v"], "left").filter("known OR n > 1").select("h", "v", F.when(F.col("known").isNull(), F.col("first")).alias("first"))
             fresh = keys.join(known, ["h", "v"], "left_anti")
+            more = keys.count() - known.count()
         else:
-            shared, fresh = keys.filter("n > 1").select("h", "v", "first"), keys
+            shared, fresh, more = keys.filter("n > 1").select("h", "v", "first"), keys, keys.count()
         shared = shared.withColumn("hit", F.lit(True))
-        flagged = refs.join(shared, ["h", "v"], "left").withColumn("keep", F.col("hit").isNull() | F.struct("doc_id", "row_id", "line_no").eqNullSafe(F.col("first")))
+        flagged = refs.join(shared, ["h", "v"], "left").withColumn("keep", F.col("hit").isNull() | F.struct("doc_id", "row_id", "line_no").eqNullSafe(F.col("first"))).select("doc_id", "row_id", "line_no", "keep")
+        if known_docs is not None:
+            flagged = flagged.unionByName(self._held(known_docs))
         out = flagged.groupBy("doc_id", "row_id").agg(F.sort_array(F.collect_list(F.struct("line_no", "keep"))).getField("keep").alias("keep"), F.min("keep").alias("all")).filter("NOT all").drop("all")
-        out.write.parquet(f"{self.path}/decided/{g}")
-        self._filtered(fresh, None, g)
-        keys.select("h", "v", "n").write.parquet(f"{self.path}/counts/{g}")
-        self.generation = g
-        return self.spark.read.schema(out.schema).parquet(f"{self.path}/decided/{g}")
+        out = self._write(out, f"decided/{g}")
+        self._filtered(fresh, None, self.counts())
+        self._write(keys.select("h", "v", "n"), f"counts/{g}")
+        self._settle(more)
+        return out
+
+    def _held(self, docs: DataFrame) -> DataFrame:
+        """(doc_id, row_id, line_no, keep) of documents in force, by what they hold now."""
+        r = self.refs()
+        mine = r.join(docs, _same(r, docs), "left_semi")
+        rivals = r.filter("v IS NOT NULL").join(mine.select("h", "v").distinct(), ["h", "v"], "left_semi")
+        first = rivals.groupBy("h", "v").agg(F.min(F.struct("gen", "doc_id", "row_id", "line_no")).alias("f"))
+        held = F.col("v").isNull() | F.struct("gen", "doc_id", "row_id", "line_no").eqNullSafe(F.col("f"))
+        return mine.join(first, ["h", "v"], "left").select("doc_id", "row_id", "line_no", held.alias("keep"))
 
     @staticmethod
     def _repeats(docs: DataFrame, id_col: str) -> bool:
         """Whether an id occurs twice; the shuffle of whole texts that repeats need is spared otherwise."""
-        return not docs.groupBy(id_col).count().filter("count > 1").isEmpty()
+        return not docs.groupBy(column(id_col)).count().filter("count > 1").isEmpty()
 
     def delete(self, ids: DataFrame) -> None:
         """Take documents out; ids has a column doc_id."""
         g = self.generation + 1
         gone = ids.select(F.col("doc_id").alias("gone")).distinct()
-        r = self.refs()
+        d, r = self.documents(), self.refs()
+        self._write(d.join(gone, d["doc_id"].eqNullSafe(gone["gone"]), "left_semi").select("doc_id", "row_id", F.lit(g).alias("gen"), F.lit(-1).alias("sign")).distinct(), f"docs/{g}")
         r = r.join(gone, r["doc_id"].eqNullSafe(gone["gone"]), "left_semi")
-        r.select(*[c for c in r.columns if c not in ("gen", "sign")], F.lit(g).alias("gen"), F.lit(-1).alias("sign")).write.parquet(f"{self.path}/refs/{g}")
-        minus = self.spark.read.schema(_REFS.format(id=self.id_type)).parquet(f"{self.path}/refs/{g}").filter("v IS NOT NULL").groupBy("shard", "h", "v").agg((-F.count("*")).alias("n"))
-        dead = minus.join(self.counts().withColumnRenamed("n", "had"), ["h", "v"]).filter("had + n <= 0")
-        self._filtered(None, dead, g)
-        minus.select("h", "v", "n").write.parquet(f"{self.path}/counts/{g}")
-        self.generation = g
+        minus = self._write(r.select("h", "v", "doc_id", "row_id", "line_no", F.lit(g).alias("gen"), F.lit(-1).alias("sign")), f"refs/{g}")
+        minus = self._write(minus.filter("v IS NOT NULL").groupBy("h", "v").agg((-F.count("*")).alias("n")), f"counts/{g}")
+        dead = self._write(minus.join(self.counts(minus).withColumnRenamed("n", "had"), ["h", "v"]).filter("had + n <= 0").select("h", "v"), f"dead/{g}")
+        self._filtered(None, dead, self.counts())
+        self._settle(-dead.count())
 
     def holders(self) -> DataFrame:
         """(doc_id, row_id, line_no) of all lines that are kept now, in force of all insertions and deletions."""
@@ -246,23 +314,22 @@ class LineStore:
 
     def compact(self) -> None:
         """Merge the generations of the counts into one."""
-        g = self.generation
-        self.counts().write.parquet(f"{self.path}/compacted/{g}")
-        merged = self.spark.read.schema("h BIGINT, v BIGINT, n BIGINT").parquet(f"{self.path}/compacted/{g}")
-        for i in range(1, g + 1):
-            (merged if i == g else merged.limit(0)).write.mode("overwrite").parquet(f"{self.path}/counts/{i}")
+        self._write(self.counts(), f"merged/{self.generation}")
+        self.merged = self.generation
 
 
 def dedup_batch(store: LineStore, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Insert docs and return them without the lines that others held first, with lines_dropped."""
-    flags = store.insert(docs, id_col, text_col).select(F.col("doc_id").alias("_id"), F.col("row_id").alias("_row"), F.col("keep").alias("_keep"))
-    d = docs.drop("lines_dropped").withColumn("_row", F.xxhash64(id_col, text_col))
-    cols = [c for c in d.columns if c != "_row"]
-    d = d.join(flags.hint("merge"), d[f"`{id_col}`"].eqNullSafe(flags["_id"]) & (d["_row"] == flags["_row"]), "left")
-    kept = F.array_join(F.filter(F.split(text_col, "\n"), lambda x, i: F.get("_keep", i)), "\n")
-    text = F.when(F.col("_keep").isNull(), F.col(f"`{text_col}`")).otherwise(kept)
-    dropped = F.when(F.col("_keep").isNull(), 0).otherwise(F.size(F.filter("_keep", lambda k: ~k)))
-    return d.select(*[text.alias(c) if c == text_col else F.col(f"`{c}`") for c in cols], dropped.alias("lines_dropped"))
+    docs = docs.drop(*[c for c in docs.columns if c.lower() == "lines_dropped" and c not in (id_col, text_col)])
+    key, row, keep = (free(docs, n) for n in ("id_", "row_", "keep_"))
+    flags = store.insert(docs, id_col, text_col).select(F.col("doc_id").alias(key), F.col("row_id").alias(f"{row}2"), F.col("keep").alias(keep))
+    cols = docs.columns
+    d = docs.withColumn(row, F.xxhash64(column(id_col), column(text_col)))
+    d = d.join(flags.hint("merge"), d[f"`{id_col}`"].eqNullSafe(flags[key]) & (d[row] == flags[f"{row}2"]), "left")
+    kept = F.array_join(F.filter(F.split(column(text_col), "\n"), lambda x, i: F.get(F.col(keep), i)), "\n")
+    text = F.when(F.col(keep).isNull(), column(text_col)).otherwise(kept)
+    dropped = F.when(F.col(keep).isNull(), 0).otherwise(F.size(F.filter(keep, lambda k: ~k)))
+    return d.select(*[text.alias(c) if c == text_col else column(c).alias(c) for c in cols], dropped.alias("lines_dropped"))
 
 
 def dedup(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", batches: int = 2, shards: int = SHARDS) -> DataFrame:
@@ -276,11 +343,14 @@ def dedup(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col
 
 
 def id_ranges(docs: DataFrame, id_col: str, n: int) -> Iterator[DataFrame]:
-    """Split by equal ranges of a numeric id, nulls in the first."""
-    lo, hi = docs.agg(F.min(id_col), F.max(id_col)).first()
-    if lo is None or n < 2:
+    """Split by equal ranges of a numeric id, nulls in the first; other ids are one range."""
+    if n < 2 or not isinstance(docs.schema[id_col].dataType, NumericType):
+        yield docs
+        return
+    lo, hi = docs.agg(F.min(column(id_col)), F.max(column(id_col))).first()
+    if lo is None:
         yield docs
         return
-    at = F.coalesce(F.least(F.lit(n - 1), F.floor((F.col(id_col) - lo) * F.lit(float(n)) / F.lit(float(hi - lo + 1)))), F.lit(0))
+    at = F.coalesce(F.least(F.lit(n - 1), F.floor((column(id_col) - lo) * F.lit(float(n)) / F.lit(float(hi - lo + 1)))), F.lit(0))
     for i in range(n):
         yield docs.filter(at == i)

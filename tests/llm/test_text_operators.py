@@ -4,6 +4,7 @@ import random
 from collections import defaultdict
 
 import pytest
+from hypothesis import HealthCheck, example, given, settings, strategies as st
 from pyspark.sql import functions as F
 
 from siltweave.llm import jaccard, lines, sharding, substrings
@@ -169,6 +170,60 @@ def test_line_deletions_are_reversible(spark):
     assert again.lines_dropped == 0
 
 
+def simulated(steps):
+    """Holders, as (id, line number), after inserting and deleting documents one batch after the other; and the lines' numbers of references."""
+    force = []  # (generation, id, text)
+    for g, (kind, batch) in enumerate(steps):
+        if kind == "insert":
+            force += [(g, i, t) for i, t in sorted(set(batch)) if (i, t) not in {x[1:] for x in force}]
+        else:
+            force = [x for x in force if x[1] not in batch]
+    seen, out, counts = set(), set(), defaultdict(int)
+    for _, i, t in sorted(force):
+        for k, line in enumerate(t.split("\n")):
+            counts[line] += 1
+            if line not in seen:
+                out.add((i, k))
+            seen.add(line)
+    return out, sorted(counts.values())
+
+
+STEPS = st.lists(st.tuples(st.sampled_from(["insert", "insert", "delete"]), st.lists(st.integers(0, 3), min_size=1, max_size=3)), min_size=3, max_size=5)
+
+
+@settings(max_examples=2, deadline=None, suppress_health_check=list(HealthCheck))
+@given(STEPS)
+@example([("insert", [1]), ("delete", [1]), ("insert", [1]), ("insert", [2]), ("delete", [1])])
+@example([("insert", [0, 1]), ("insert", [0, 1]), ("delete", [0]), ("insert", [2])])
+def test_line_store_under_any_order_of_steps(spark, steps):
+    texts = {0: "a\nb", 1: "b\nc\nb", 2: "a\nc", 3: "d"}
+    store = lines.LineStore(spark, shards=2, per_shard=2, fan_out=3)
+    done = []
+    for kind, ids in steps:
+        rows = [(i, texts[i]) for i in ids]
+        if kind == "insert":
+            got = {r.doc_id: r.text for r in lines.dedup_batch(store, documents(spark, rows)).collect()}
+            done.append((kind, rows))
+            held, _ = simulated(done)
+            for i in got:
+                assert got[i] == "\n".join(x for k, x in enumerate(texts[i].split("\n")) if (i, k) in held)
+        else:
+            store.delete(spark.createDataFrame([(i,) for i in ids], "doc_id BIGINT"))
+            done.append((kind, ids))
+    held, counts = simulated(done)
+    assert {(r.doc_id, r.line_no) for r in store.holders().collect()} == held
+    assert sorted(r.n for r in store.counts().collect()) == counts
+
+
+def test_lines_with_any_names_and_ids(spark):
+    rows = [("b", "x\ny", 1, 2), ("a", "x\nz", 1, 2), (None, "z", 1, 2), ("a", "x\nz", 1, 2)]
+    d = spark.createDataFrame(rows, "`the.id` STRING, text STRING, keep_ INT, Lines_Dropped INT")
+    got = lines.dedup(spark, d, "the.id")
+    assert got.columns == ["the.id", "text", "keep_", "lines_dropped"]
+    assert sorted((str(r[0]), r.text, r.lines_dropped) for r in got.collect()) == [("None", "z", 0), ("a", "x", 1), ("a", "x", 1), ("b", "y", 1)]
+    assert lines.dedup(spark, d.limit(0), "the.id").count() == 0
+
+
 def test_cuckoo_filter():
     import numpy as np
 
