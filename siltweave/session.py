@@ -62,11 +62,11 @@ def delete_path(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
-def written(df: DataFrame, name: str, folder: str | None = None) -> DataFrame:
+def written(df: DataFrame, name: str, folder: str | None = None, codec: str | None = None) -> DataFrame:
     """Write a working table to the shared folder and read it back: its lineage ends there."""
     spark = df.sparkSession
     path = f"{folder or shared_folder(spark)}/{name}-{uuid.uuid4().hex[:8]}"
-    df.write.parquet(path)
+    (df.write.option("compression", codec) if codec else df.write).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
