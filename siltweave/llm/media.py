@@ -3,21 +3,22 @@
 A page's HTML is parsed once into items in reading order. An item is a stretch of text or a reference
 to an image, video, sound, embedded document, or, if asked for, a link. A reference has its
 URL, resolved against the page's, and a digest: the SHA-256 of that URL, or of the bytes of a
-``data:`` URL. Payloads are found by joining digests. Each item has its position, the
+``data:`` URL. Payloads are known by the digest of their URL and by that of their content, so both kinds of reference find
+them by joining digests. Each item has its position, the
 figure caption or alternative text belongs to the item itself, the caption of a figure without media is a text
 item in its place, and what the join finds is put
 back by page and position, so nothing comes out of line.
 
-Where a reference occurs on very many pages the join is on references to distinct digests of
-payloads, a sort-merge join whose skewed partitions Spark splits at run time.
+A digest may be referred to by very many pages: the payloads' side of the join has each digest once, and Spark splits
+partitions that are skewed at run time.
 
 Defined results: a null page has null items, an empty one none; malformed HTML is read as far as
 it goes, unclosed tags close at the end; ``script``, ``style``, ``noscript``, ``template``, ``svg`` and
 ``head`` count nothing, and a head without its end tag ends at the first tag that can't be in one; references without URL are passed over; a URL that can't be resolved against the
 page's stays as it is; a digest without payload has null size, type and content digest; of
-several payloads of one URL the one with the smallest content digest counts; repeated rows and
-rows that share an id each give a row, with the same references resolved; other columns pass
-through, and a column named items is replaced.
+several payloads of one digest the one with the smallest content digest counts; a payload without URL is known by its
+content; repeated rows and rows that share an id each give a row, with the same references resolved; other columns, of
+any names, pass through, and a column named items is replaced.
 """
 
 from __future__ import annotations
@@ -26,13 +27,15 @@ import base64
 import binascii
 import hashlib
 import re
-from collections.abc import Iterator
 from html.parser import HTMLParser
 from urllib.parse import unquote_to_bytes, urljoin
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from siltweave.llm.text import column, free, place, with_arrow
+from siltweave.session import written
+
 _SKIPPED = {"script", "style", "noscript", "template", "svg", "head"}
 _IN_HEAD = {"base", "basefont", "bgsound", "link", "meta", "noframes", "noscript", "script", "style", "template", "title", "head", "html"}
 _BLOCKS = {"p", "div", "li", "ul", "ol", "h1", "h2", "h3", "h4", "h5", "h6", "br", "tr", "table", "section", "article", "nav", "footer", "header", "main", "aside", "blockquote", "pre", "figure", "dl", "dt", "dd", "hr"}
@@ -203,43 +206,50 @@ def parse(html: str, base: str = "", links: bool = False) -> list[dict]:
     return p.finish()
 
 
-def _parsed(batches: Iterator[pa.RecordBatch], links: bool, only_refs: bool) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        urls, htmls = b.column(b.num_columns - 2).to_pylist(), b.column(b.num_columns - 1).to_pylist()
-        items = [None if h is None else parse(h, u, links) for u, h in zip(urls, htmls)]
-        if only_refs:
-            rows = [(i, x["pos"], bytes.fromhex(x["digest"])) for i, page in zip(b.column(0).to_pylist(), items) for x in page or () if x["digest"]]
-            c = list(zip(*rows)) or [(), (), ()]
-            yield pa.RecordBatch.from_arrays([pa.array(c[0], pa.int64()), pa.array(c[1], pa.int32()), pa.array(c[2], pa.binary())], ["_key", "pos", "digest"])
-        else:
-            yield pa.RecordBatch.from_arrays([*b.columns[:-2], pa.array(items, pa.list_(ITEM))], [*b.schema.names[:-2], "items"])
-
-
 def payload_index(payloads: DataFrame, url_col: str = "url", content_col: str = "content", type_col: str | None = None) -> DataFrame:
-    """(digest, content_digest, bytes, media_type), digests in binary: a row for each payload URL, by its digest."""
-    raw = F.col(f"`{content_col}`").cast("binary")
-    kind = F.col(f"`{type_col}`") if type_col else F.lit(None).cast("string")
-    p = payloads.filter(F.col(f"`{url_col}`").isNotNull() & raw.isNotNull())
-    p = p.select(F.unhex(F.sha2(F.col(f"`{url_col}`").cast("binary"), 256)).alias("digest"), F.unhex(F.sha2(raw, 256)).alias("content_digest"), F.octet_length(raw).cast("long").alias("bytes"), kind.alias("media_type"))
+    """(digest, content_digest, bytes, media_type), digests in binary: a row for each payload's URL and for each content, by its digest."""
+    raw = column(content_col).cast("binary")
+    kind = column(type_col) if type_col else F.lit(None).cast("string")
+    p = payloads.filter(raw.isNotNull())
+    url = column(url_col)
+    p = p.select(F.unhex(F.sha2(url.cast("binary"), 256)).alias("by_url"), F.unhex(F.sha2(raw, 256)).alias("content_digest"), F.octet_length(raw).cast("long").alias("bytes"), kind.alias("media_type"))
+    p = p.select(F.explode(F.array_compact(F.array("by_url", "content_digest"))).alias("digest"), "content_digest", "bytes", "media_type")
     return p.groupBy("digest").agg(F.min(F.struct("content_digest", "bytes", "media_type")).alias("p")).select("digest", "p.*")
 
 
+def parsed(pages: DataFrame, url_col: str = "url", html_col: str = "html", links: bool = False) -> DataFrame:
+    """The pages with items in place of their HTML; a page is parsed once."""
+    hi, ui = (place(pages, c, ["items"]) for c in (html_col, url_col))
+
+    def make(b: pa.RecordBatch) -> list[pa.Array]:
+        items = [None if h is None else parse(h, u, links) for h, u in zip(b.column(hi).to_pylist(), b.column(ui).to_pylist())]
+        return [*(c for i, c in enumerate(b.columns) if names[i] in kept), pa.array(items, pa.list_(ITEM))]
+
+    names = [c for c in pages.columns if c.lower() != "items" or c in (html_col, url_col)]
+    kept = [c for c in names if c != html_col and c.lower() != "items"]
+    return with_arrow(pages, make, [("items", f"ARRAY<{ITEM_SQL}>")], (html_col, url_col), keep=kept)
+
+
 def interleave(pages: DataFrame, payloads: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", links: bool = False) -> DataFrame:
     """The pages without their HTML, with items: (pos, kind, text, url, digest, content_digest, bytes, media_type) in order.
 
-    ``payloads`` comes from ``payload_index``. The pages are parsed once for their references and once for the
-    result, which costs less than storing all texts in between.
+    ``payloads`` comes from ``payload_index``. The pages are parsed once, and their items written. What the digests find is gathered by page; pages
+    are shuffled to meet it only if they have references and if it is too large to broadcast: its size is known, as it is a table.
     """
-    kept = [c for c in pages.columns if c not in (html_col, "items")]
-    key = F.xxhash64(id_col, url_col, html_col)
-    src = pages.select(key.alias("_key"), F.col(f"`{url_col}`").alias("_url"), F.col(f"`{html_col}`").alias("_html"))
-    refs = src.mapInArrow(lambda it: _parsed(it, links, True), "_key BIGINT, pos INT, digest BINARY")
-    known = refs.join(payloads, "digest")
-    found = known.groupBy("_key").agg(F.map_from_entries(F.collect_set(F.struct("pos", F.struct(F.lower(F.hex("content_digest")).alias("content_digest"), "bytes", "media_type")))).alias("_found"))
-    d = pages.select(*[F.col(f"`{c}`") for c in kept], key.alias("_key"), F.col(f"`{url_col}`").alias("_url"), F.col(f"`{html_col}`").alias("_html"))
-    d = d.join(found.hint("merge"), "_key", "left").select(*kept, "_found", "_url", "_html")
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in d.schema[:-2]), f"items ARRAY<{ITEM_SQL}>"])
-    d = d.mapInArrow(lambda it: _parsed(it, links, False), schema)
-    get = lambda x, c: F.try_element_at("_found", x["pos"])[c]
+    key = free(pages, "key")
+    d = parsed(pages.withColumn(key, F.xxhash64(column(id_col), column(url_col), column(html_col))), url_col, html_col, links)
+    kept = [c for c in d.columns if c not in (key, "items")]
+    d = written(d, "items", codec="zstd")
+    refs = d.select(column(key).alias("key"), F.explode("items").alias("x")).select("key", "x.pos", F.unhex("x.digest").alias("digest")).filter("digest IS NOT NULL").distinct()
+    hit = refs.join(payloads, "digest")
+    entry = F.struct("pos", F.struct(F.lower(F.hex("content_digest")).alias("content_digest"), "bytes", "media_type"))
+    found = written(hit.groupBy("key").agg(F.map_from_entries(F.collect_list(entry)).alias("found")), "found")
+    has = free(d, "found")
+    found = found.select(F.col("key").alias(f"{has}_key"), F.col("found").alias(has))
+    lone = F.coalesce(F.forall("items", lambda x: x["digest"].isNull()), F.lit(True))
+    get = lambda x, c: F.try_element_at(F.col(has), x["pos"])[c]
     whole = F.transform("items", lambda x: F.struct(*[x[c].alias(c) for c in ("pos", "kind", "text", "url", "digest")], *[get(x, c).alias(c) for c in ("content_digest", "bytes", "media_type")]))
-    return d.select(*kept, whole.alias("items"))
+    cols = [*(column(c) for c in kept), whole.alias("items")]
+    met = d.filter(~lone).join(found, column(key) == column(f"{has}_key"), "left").select(*cols)
+    nothing = F.lit(None).cast(found.schema[has].dataType)
+    return met.unionByName(d.filter(lone).withColumn(has, nothing).select(*cols))

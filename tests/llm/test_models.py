@@ -1,5 +1,6 @@
 """Operators with models, coders, packing and media: accuracy, round trips, and brute force."""
 
+import base64
 import hashlib
 import math
 import random
@@ -211,6 +212,43 @@ def test_media_join(spark):
     assert none.count() == 0
 
 
+def test_media_against_brute_force(spark):
+    """Generated pages of text, images by URL and by content, players, and links between them."""
+    r = random.Random(5)
+    files = {f"http://h{r.randrange(3)}/m/{k}.png": bytes(r.randrange(256) for _ in range(k % 7)) for k in range(30)}
+    inline = [f"data:image/png;base64,{base64.b64encode(bytes([k, k + 1])).decode()}" for k in range(4)] + ["data:,plain%20text"]
+    pages, want = [], {}
+    for p in range(40):
+        html, items = "<head><title>t</title>", []
+        for k in range(r.randrange(6) if p % 5 else 0):
+            html += f"<p>word{k}</p>"
+            items.append(("text", f"word{k}", None))
+            url = r.choice([*files, "http://h0/none.png", *inline])
+            shape = r.randrange(3)
+            html += (f'<img src="{url}" alt="A{k}">', f'<figure><img src="{url}"><figcaption>C{k}</figcaption></figure>', f'<a href="{url}">L{k}</a>')[shape]
+            items.append((("image", "image", "link")[shape], f"{'ACL'[shape]}{k}", url))
+        pages.append((p, f"http://site/{p}", html))
+        want[p] = items
+    contents = list(files.values()) + [bytes([k, k + 1]) for k in range(3)] + [b"plain text"]
+    load = [(u, bytearray(c)) for u, c in files.items()] + [(None, bytearray(c)) for c in contents[30:]]
+    d = spark.createDataFrame(pages, "page_id BIGINT, url STRING, html STRING").withColumns({"key": F.lit(7), "found": F.lit("f"), "a.b": F.lit(1)})
+    got = media.interleave(d, media.payload_index(spark.createDataFrame(load, "url STRING, content BINARY")), links=True)
+    assert got.columns == ["page_id", "url", "key", "found", "a.b", "items"]
+    got = got.collect()
+    assert sorted(x.page_id for x in got) == list(range(40)) and all(x.key == 7 and x.found == "f" for x in got)
+    resolved = 0
+    for row in got:
+        assert [x.pos for x in row["items"]] == list(range(len(row["items"])))
+        assert [(x.kind, x.text, x.url) for x in row["items"]] == want[row.page_id]
+        for x in row["items"]:
+            raw = files.get(x.url) if x.url else None
+            if x.url and x.url.startswith("data:"):
+                raw = next((c for c in contents if hashlib.sha256(c).hexdigest() == hashlib.sha256(media.data_bytes(x.url)).hexdigest()), None)
+            assert (x.content_digest, x.bytes) == ((hashlib.sha256(raw).hexdigest(), len(raw)) if raw is not None else (None, None))
+            resolved += raw is not None
+    assert resolved > 40
+
+
 # perplexity
 
 
