@@ -77,6 +77,8 @@ _FORMATS = {
     "rue": re.compile(rf"[0-9]{{1,4}},? (?:rue|avenue|boulevard|place|chemin)(?: (?:de|la|du|des))*(?: {_CAP}){{1,3}}"),
     "date": re.compile(rf"[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}|[0-9]{{1,2}}[/.][0-9]{{1,2}}[/.](?:19|20)[0-9]{{2}}|[0-9]{{1,2}} {_CAP} (?:19|20)[0-9]{{2}}|{_CAP} [0-9]{{1,2}}, (?:19|20)[0-9]{{2}}"),
 }
+# prefixes and lengths that issuers of cards have
+_ISSUED = re.compile(r"4(?:[0-9]{12}|[0-9]{15}|[0-9]{18})|5[1-5][0-9]{14}|2(?:22[1-9]|2[3-9][0-9]|[3-6][0-9]{2}|7[01][0-9]|720)[0-9]{12}|3[47][0-9]{13}|3(?:0[0-5]|[689][0-9])[0-9]{11}|35[0-9]{14}|6(?:011|4[4-9][0-9]|5[0-9]{2})[0-9]{12}|62[0-9]{14,17}")
 _WEAK = {"letters", "long", "short", "names"}  # said of ordinary words as well, so they count only after the name of a secret or a label
 _KEYS = {"email", "mail", "phone", "tel", "call", "card", "ssn", "iban", "token", "password", "passwd", "pwd", "secret", "key", "apikey", "ip", "host", "commit", "isbn", "version", "order", "sha"}
 _KEYS |= {"born", "dob", "birth", "birthday", "geboren", "nacido", "nacida", "née", "né"}
@@ -106,7 +108,8 @@ def span_features(text: str, lo: int, hi: int) -> list[str]:
     s = _BLANK.sub(" ", text[lo:hi])
     fits = formats(s)
     if "card" in fits:
-        fits[fits.index("card")] = "card+" if luhn(re.sub(r"[ -]", "", s)) else "card-"
+        digits = re.sub(r"[ -]", "", s)
+        fits[fits.index("card")] = "card-" if not luhn(digits) else "card+" if _ISSUED.fullmatch(digits) else "card~"
     if "iban" in fits:
         fits[fits.index("iban")] = "iban+" if s.isascii() and mod97(s) else "iban-"
     if "abroad" in fits and not 8 <= sum(c.isdigit() for c in s) <= 15:
@@ -342,7 +345,8 @@ def _hexes(r: random.Random, n: int) -> str:
 
 
 def _card(r: random.Random) -> str:
-    d = r.choice("3456") + _digits(r, r.choice([12, 14, 14, 14, 14, 15, 15]))
+    start, size = r.choice([("4", 16), ("4", 16), ("4", 13), ("5" + r.choice("12345"), 16), ("37", 15), ("34", 15), ("36", 14), ("6011", 16), ("65", 16), ("35", 16), ("62", 16), ("2" + r.choice("3456"), 16)])
+    d = start + _digits(r, size - len(start) - 1)
     d += next(c for c in "0123456789" if luhn(d + c))
     return d if r.random() < 0.6 or len(d) != 16 else r.choice(" -").join(d[i : i + 4] for i in range(0, 16, 4))
 
@@ -418,6 +422,9 @@ def _example(r: random.Random) -> tuple[str, str | None, str]:
     if r.random() < 0.12:
         a = _hexes(r, 40)
         return r.choice(["commit ", "sha "]), None, a
+    if r.random() < 0.08:
+        bad = r.choice("01789") + _digits(r, 14)  # no issuer's
+        return r.choice(["order ", ""]), None, bad + r.choice([next(c for c in "0123456789" if luhn(bad + c)), r.choice("0123456789")])
     if r.random() < 0.08:
         bad = _digits(r, 16)
         return r.choice(["order ", ""]), None, bad if not luhn(bad) else bad[:-1] + str((int(bad[-1]) + 1) % 10)
