@@ -1,41 +1,42 @@
 """Quality rule by n-gram perplexity: a modified Kneser-Ney model of bytes for each language.
 
-Spark counts the n-grams of ORDER (5) bytes of all documents, whole texts, by language. A
+Spark counts the n-grams of ORDER bytes of all documents, whole texts, by language. A
 document begins with ORDER - 1 zero bytes, so every shorter n-gram is the end of a longest one and
 the continuation counts of all lower orders follow from the distinct longest ones. Each order has
-three discounts from its counts of counts. The model of a language is a pair of sorted arrays for each
-order: n-gram hashes with their interpolated log-probabilities, and context hashes with the log of their
-back-off weights. N-grams of up to eight bytes are their own hashes, without collisions.
+three discounts from its counts of counts. The model is two tables, of n-grams with their interpolated
+log-probabilities and of contexts with the log of their back-off weights, both fitted by aggregations and joins, so no task or
+driver has to hold a language. N-grams of up to seven bytes are their own hashes, without collisions.
+
+A model of up to ``max_grams`` rows, a size that is counted first, is sorted by hash into arrays, for each language and order, that
+every worker searches. A larger one stays where it is: the distinct n-grams of each text are joined with it. Both give
+the same figures.
 
 A document's cross-entropy is compared with its language's median. The band around the median is
 ``width`` times a scale made of the spread between documents of the language (1.4826 times the median
 absolute deviation) and of the error of the mean of so few bytes. Documents above the upper
 or below the lower perplexity are rejected, so noise goes as well as text that repeats itself.
 
-The corpus counts are aggregated in the workers before they are shuffled, and what is shuffled,
-sent and broadcast is distinct n-grams of five bytes: it saturates with the kinds of text, not with
-their amount. Training raises ValueError beyond ``max_grams``, before anything is sent to the driver;
-a lower order then fits.
-
 Defined results: a null or empty text has the perplexity of the language's median and is kept; null
 languages are one language; a language seen first in scoring has no model, and its documents
 are kept with null perplexity and bands; repeated rows each count; an empty table
-gives an empty result; extra columns pass through, columns named as results are replaced.
+gives an empty result; extra columns, of any names, pass through ``score``, and columns named as results are replaced.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-from siltweave.llm.text import U, pieces, utf8
+from siltweave.llm.text import U, column, free, pieces, place, utf8, with_arrow
 from siltweave.session import written
 
-ORDER, WIDTH, MAX_GRAMS = 5, 4.5, 20_000_000
+ORDER, WIDTH, MAX_GRAMS = 6, 5.0, 20_000_000
+LANGUAGES = 10_000  # rows of a table by language that may be broadcast
+_NEW = [("n_bytes", "BIGINT"), ("entropy", "DOUBLE"), ("entropy_var", "DOUBLE")]
 
 
 def grams(data: np.ndarray, off: np.ndarray, order: int = ORDER) -> tuple[np.ndarray, np.ndarray]:
@@ -83,41 +84,67 @@ def _counted(batches: Iterator[pa.RecordBatch], order: int) -> Iterator[pa.Recor
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(part)), pa.array(part.view(np.int64)), pa.array(c[i : i + (1 << 17)].astype(np.int64))], ["lang", "gram", "n"])
 
 
+def _lang(lang_col: str) -> Column:
+    return F.coalesce(column(lang_col).cast("string"), F.lit(""))
+
+
 def counts(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", order: int = ORDER) -> DataFrame:
     """(lang, gram, n) over all documents."""
-    d = docs.select(F.col(f"`{text_col}`").alias("text"), F.col(f"`{lang_col}`").cast("string").alias("lang")).filter("text IS NOT NULL")
+    d = docs.select(column(text_col).alias("text"), _lang(lang_col).alias("lang")).filter("text IS NOT NULL")
     return d.mapInArrow(lambda it: _counted(it, order), "lang STRING, gram BIGINT, n BIGINT").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
 
+def few(df: DataFrame) -> DataFrame:
+    """A written table by language, to be broadcast if its rows are few enough."""
+    return F.broadcast(df) if df.limit(LANGUAGES + 1).count() <= LANGUAGES else df
+
+
+@dataclass
+class Tables:
+    """(lang, k, gram, logp) of the n-grams of all orders k, and (lang, k, ctx, bow) of their contexts."""
+
+    grams: DataFrame
+    contexts: DataFrame
+    order: int
+
+
+def _discounts(t: DataFrame) -> DataFrame:
+    """(lang, d1, d2, d3) from the counts of counts."""
+    m = lambda i: F.col(f"m{i}")
+    c = t.groupBy("lang").agg(*[F.sum((F.col("n") == i).cast("double")).alias(f"m{i}") for i in (1, 2, 3, 4)])
+    y = F.when((m(1) > 0) & (m(2) > 0), m(1) / (m(1) + 2 * m(2))).otherwise(0.5)
+    d = lambda i: F.when((m(i) > 0) & (m(i + 1) > 0), F.least(F.greatest(i - (i + 1) * y * m(i + 1) / m(i), F.lit(0.1)), F.lit(i - 0.05))).otherwise(min(0.5 * i, 1.5)).alias(f"d{i}")
+    return few(written(c.select("lang", d(1), d(2), d(3)), "discounts"))
+
+
+def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", order: int = ORDER) -> Tables:
+    """Fit the models of all languages together, from the lowest order up."""
+    tables = [written(counts(docs, text_col, lang_col, order), "gram-counts")]
+    for k in range(order - 1, 0, -1):  # continuation counts: the distinct bytes before
+        suffix = F.col("gram").bitwiseAND(F.lit((1 << (8 * k)) - 1)).alias("gram")
+        tables.append(written(tables[-1].select("lang", suffix).groupBy("lang", "gram").agg(F.count("*").alias("n")), f"continuations-{k}"))
+    grams = contexts = below = None
+    for k, t in enumerate(tables[::-1], 1):
+        t = t.join(_discounts(t), "lang").select("lang", "gram", F.shiftright("gram", 8).alias("ctx"), "n", F.when(F.col("n") == 1, F.col("d1")).when(F.col("n") == 2, F.col("d2")).otherwise(F.col("d3")).alias("cut"))
+        c = written(t.groupBy("lang", "ctx").agg(F.sum("n").alias("total"), (F.sum("cut") / F.sum("n")).alias("gamma")), f"contexts-{k}")
+        t = t.join(c, ["lang", "ctx"])
+        if below is None:
+            t = t.withColumn("lower", F.lit(1 / 256))
+        else:
+            t = t.withColumn("suffix", F.col("gram").bitwiseAND(F.lit((1 << (8 * (k - 1))) - 1))).join(below.select("lang", F.col("gram").alias("suffix"), F.col("p").alias("lower")), ["lang", "suffix"])
+        below = written(t.select("lang", "gram", ((F.col("n") - F.col("cut")) / F.col("total") + F.col("gamma") * F.col("lower")).alias("p")), f"probabilities-{k}")
+        g, c = below.select("lang", F.lit(k).alias("k"), "gram", F.log("p").alias("logp")), c.select("lang", F.lit(k).alias("k"), "ctx", F.log("gamma").alias("bow"))
+        grams, contexts = (g, c) if grams is None else (grams.unionByName(g), contexts.unionByName(c))
+    return Tables(grams, contexts, order)
+
+
 class Model:
-    """By order, lowest first: (sorted n-grams, log-probabilities, sorted contexts, log back-off weights)."""
+    """A language's arrays. By order, lowest first: (sorted n-grams, log-probabilities, sorted contexts, log back-off weights)."""
 
     def __init__(self, orders: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]):
         self.orders = orders
 
-    @classmethod
-    def fit(cls, g: np.ndarray, n: np.ndarray, order: int = ORDER) -> "Model":
-        by = np.argsort(g)
-        tables = [(g[by], n[by].astype(np.float64))]
-        for k in range(order - 1, 0, -1):  # continuation counts: the distinct bytes before
-            u, c = np.unique(tables[-1][0] & U((1 << (8 * k)) - 1), return_counts=True)
-            tables.append((u, c.astype(np.float64)))
-        orders, below = [], None
-        for k, (u, c) in enumerate(tables[::-1], 1):
-            m = [float((c == i).sum()) for i in (1, 2, 3, 4)]
-            y = m[0] / (m[0] + 2 * m[1]) if m[0] and m[1] else 0.5
-            d = [min(max(i - (i + 1) * y * m[i] / m[i - 1], 0.1), i - 0.05) if m[i - 1] and m[i] else min(0.5 * i, 1.5) for i in (1, 2, 3)]
-            cut = np.select([c == 1, c == 2], [d[0], d[1]], d[2])
-            ctx, inv = np.unique(u >> U(8), return_inverse=True)
-            total = np.bincount(inv, c)
-            gamma = np.bincount(inv, cut) / total
-            lower = np.full(len(u), 1 / 256) if below is None else np.exp(below._scored(u & U((1 << (8 * (k - 1))) - 1)))
-            p = (c - cut) / total[inv] + gamma[inv] * lower
-            orders.append((u, np.log(p).astype(np.float32), ctx, np.log(gamma).astype(np.float32)))
-            below = cls(list(orders))
-        return cls(orders)
-
-    def _scored(self, g: np.ndarray) -> np.ndarray:
+    def score(self, g: np.ndarray) -> np.ndarray:
         """Log-probability of the last byte of each n-gram, of the model's own order."""
         out, miss, weight = np.zeros(len(g), np.float64), np.arange(len(g)), np.zeros(len(g))
         for k in range(len(self.orders), 0, -1):
@@ -134,92 +161,117 @@ class Model:
         out[miss] = weight + np.log(1 / 256)
         return out
 
-    def score(self, g: np.ndarray) -> np.ndarray:
-        return self._scored(g)
-
-    def dump(self) -> bytes:
-        """Lengths, then all arrays."""
-        flat = [a for o in self.orders for a in o]
-        return np.array([len(self.orders), *(len(a) for a in flat)], np.int64).tobytes() + b"".join(a.tobytes() for a in flat)
-
-    @classmethod
-    def load(cls, raw: bytes) -> "Model":
-        n = int(np.frombuffer(raw, np.int64, 1)[0])
-        sizes = np.frombuffer(raw, np.int64, 4 * n, 8).tolist()
-        at, orders = 8 + 32 * n, []
-        for i in range(n):
-            part = []
-            for j, t in enumerate((U, np.float32, U, np.float32)):
-                part.append(np.frombuffer(raw, t, sizes[4 * i + j], at))
-                at += sizes[4 * i + j] * np.dtype(t).itemsize
-            orders.append(tuple(part))
-        return cls(orders)
-
-
-def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", order: int = ORDER, max_grams: int = MAX_GRAMS) -> dict[str, bytes]:
-    """The models by language, each fitted in one task."""
-    c = written(counts(docs, text_col, lang_col, order), "gram-counts")
-    total = c.count()
-    if total > max_grams:
-        raise ValueError(f"{total} distinct n-grams are more than max_grams={max_grams}; take a lower order")
-
-    def fit(rows: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"lang": [rows.lang[0]], "model": [Model.fit(rows.gram.to_numpy().view(U), rows.n.to_numpy(), order).dump()]})
-
-    made = written(c.groupBy("lang").applyInPandas(fit, "lang STRING, model BINARY"), "models")
-    return {r["lang"]: bytes(r["model"]) for r in made.toLocalIterator()}
-
-
-def score(docs: DataFrame, models: dict[str, bytes], text_col: str = "text", lang_col: str = "lang", order: int = ORDER) -> DataFrame:
+
+def arrays(t: Tables) -> dict[str, Model]:
+    """The models by language, brought together: for tables whose size is known to be bounded."""
+    out: dict[str, list] = {}
+    for i, (table, key, value) in enumerate(((t.grams, "gram", "logp"), (t.contexts, "ctx", "bow"))):
+        got = table.select("lang", "k", key, F.col(value).cast("float").alias(value)).toArrow()
+        langs = got.column("lang").combine_chunks().dictionary_encode()
+        which, k = langs.indices.to_numpy(), got.column("k").to_numpy()
+        keys, values = got.column(key).to_numpy().view(U), got.column(value).to_numpy()
+        by = np.lexsort((keys, k, which))
+        which, k, keys, values = which[by], k[by], keys[by], values[by]
+        cut = np.flatnonzero(np.concatenate([[True], (which[1:] != which[:-1]) | (k[1:] != k[:-1])])) if len(which) else np.zeros(0, np.int64)
+        for a, b in zip(cut.tolist(), [*cut[1:].tolist(), len(which)]):
+            orders = out.setdefault(langs.dictionary[int(which[a])].as_py(), [[None] * 4 for _ in range(t.order)])
+            orders[k[a] - 1][2 * i : 2 * i + 2] = keys[a:b].copy(), values[a:b].copy()
+    return {lang: Model([tuple(o) for o in orders]) for lang, orders in out.items()}
+
+
+def score(docs: DataFrame, tables: Tables, text_col: str = "text", lang_col: str = "lang", max_grams: int = MAX_GRAMS) -> DataFrame:
     """Add n_bytes, entropy (mean negative log-probability of a byte) and its variance; null where there is no model or no text."""
-    names = ["n_bytes", "entropy", "entropy_var"]
-    kept = [c for c in docs.columns if c not in names]
-    ti, li = kept.index(text_col), kept.index(lang_col)
-    shared = docs.sparkSession.sparkContext.broadcast(models)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        loaded = {k: Model.load(v) for k, v in shared.value.items()}
-        for b in batches:
-            langs = np.array([str(x) if x is not None else "" for x in b.column(li).to_pylist()], object)
-            data, off = utf8(b.column(ti))
-            mean, var = np.full(len(langs), np.nan), np.full(len(langs), np.nan)
-            for lo, hi in pieces(off, 1 << 19):
-                g, o = grams(data[off[lo] : off[hi]], off[lo : hi + 1] - off[lo], order)
-                size = np.diff(o)
-                p = np.zeros(len(g))
-                for lang in set(langs[lo:hi]) & set(loaded):
-                    rows = np.repeat(langs[lo:hi] == lang, size)
-                    p[rows] = -loaded[lang].score(g[rows])
-                one, two = np.concatenate([[0], np.cumsum(p)]), np.concatenate([[0], np.cumsum(p * p)])
-                ok = (size > 0) & np.isin(langs[lo:hi], list(loaded))
-                n = np.maximum(size, 1)
-                m = (one[o[1:]] - one[o[:-1]]) / n
-                mean[lo:hi] = np.where(ok, m, np.nan)
-                var[lo:hi] = np.where(ok, np.maximum((two[o[1:]] - two[o[:-1]]) / n - m * m, 0), np.nan)
-            more = [pa.array(np.diff(off), pa.int64()), pa.array(mean, from_pandas=True), pa.array(var, from_pandas=True)]
-            yield pa.RecordBatch.from_arrays([*b.columns, *more], [*kept, *names])
-
-    d = docs.select(*[F.col(f"`{c}`") for c in kept])
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in d.schema), "n_bytes BIGINT, entropy DOUBLE, entropy_var DOUBLE"])
-    return d.mapInArrow(run, schema)
+    if tables.grams.count() + tables.contexts.count() > max_grams:
+        return score_joined(docs, tables, text_col, lang_col)
+    order = tables.order
+    shared = docs.sparkSession.sparkContext.broadcast(arrays(tables))
+    names = [n for n, _ in _NEW]
+    tag = free(docs, "lang_")
+    docs = docs.withColumn(tag, _lang(lang_col))
+    ti, li = place(docs, text_col, names), place(docs, tag, names)
+
+    def make(b: pa.RecordBatch) -> list[pa.Array]:
+        models = shared.value
+        langs = np.array(b.column(li).to_pylist(), object)
+        data, off = utf8(b.column(ti))
+        mean, var = np.full(len(langs), np.nan), np.full(len(langs), np.nan)
+        for lo, hi in pieces(off, 1 << 20):
+            g, o = grams(data[off[lo] : off[hi]], off[lo : hi + 1] - off[lo], order)
+            size = np.diff(o)
+            p = np.zeros(len(g))
+            for lang in set(langs[lo:hi]) & set(models):
+                rows = np.repeat(langs[lo:hi] == lang, size)
+                u, inv = np.unique(g[rows], return_inverse=True)
+                p[rows] = -models[lang].score(u)[inv]
+            one, two = np.concatenate([[0], np.cumsum(p)]), np.concatenate([[0], np.cumsum(p * p)])
+            ok = (size > 0) & np.isin(langs[lo:hi], list(models))
+            n = np.maximum(size, 1)
+            m = (one[o[1:]] - one[o[:-1]]) / n
+            mean[lo:hi] = np.where(ok, m, np.nan)
+            var[lo:hi] = np.where(ok, np.maximum((two[o[1:]] - two[o[:-1]]) / n - m * m, 0), np.nan)
+        more = [pa.array(np.diff(off), pa.int64()), pa.array(mean, from_pandas=True), pa.array(var, from_pandas=True)]
+        return [*(c for i, c in enumerate(b.columns) if i != li), *more]
+
+    kept = [c for c in docs.columns if c != tag]
+    return with_arrow(docs, make, _NEW, (text_col, tag), keep=kept)
+
+
+def _own(batches: Iterator[pa.RecordBatch], order: int) -> Iterator[pa.RecordBatch]:
+    """(key, lang, gram, n): the distinct n-grams of each text."""
+    for b in batches:
+        data, off = utf8(b.column(2))
+        for i in range(b.num_rows):
+            g, _ = grams(data[off[i] : off[i + 1]], np.array([0, off[i + 1] - off[i]]), order)
+            u, n = np.unique(g, return_counts=True)
+            for lo in range(0, len(u), 1 << 16):
+                part = u[lo : lo + (1 << 16)]
+                cols = [pa.array([b.column(c)[i].as_py()] * len(part), b.column(c).type) for c in (0, 1)]
+                yield pa.RecordBatch.from_arrays([*cols, pa.array(part.view(np.int64)), pa.array(n[lo : lo + (1 << 16)])], ["key", "lang", "gram", "n"])
+
+
+def score_joined(docs: DataFrame, tables: Tables, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """The same by joins, for a model of any size. Equal texts of a language are scored once."""
+    names = [n for n, _ in _NEW]
+    key = free(docs, "key_")
+    d = docs.drop(*[c for c in docs.columns if c.lower() in names]).withColumn(key, F.xxhash64(_lang(lang_col), column(text_col)))
+    texts = d.filter(F.octet_length(column(text_col)) > 0).select(column(key).alias("key"), _lang(lang_col).alias("lang"), column(text_col).alias("text")).groupBy("key", "lang").agg(F.min("text").alias("text"))
+    order = tables.order
+    left = written(texts.mapInArrow(lambda it: _own(it, order), "key BIGINT, lang STRING, gram BIGINT, n BIGINT"), "own-grams").withColumn("w", F.lit(0.0))
+    left = left.join(tables.grams.select("lang").distinct(), "lang", "left_semi")
+    found = None
+    for k in range(order, 0, -1):
+        j = left.join(tables.grams.filter(F.col("k") == k).select("lang", "gram", "logp"), ["lang", "gram"], "left")
+        j = written(j, f"scored-{k}")
+        hit = j.filter("logp IS NOT NULL").select("key", "n", (F.col("w") + F.col("logp")).alias("lp"))
+        found = hit if found is None else found.unionByName(hit)
+        left = j.filter("logp IS NULL").select("key", "lang", "gram", F.shiftright("gram", 8).alias("ctx"), "n", "w")
+        if left.isEmpty():
+            break
+        bow = tables.contexts.filter(F.col("k") == k).select("lang", "ctx", "bow")
+        shorter = F.col("gram").bitwiseAND(F.lit((1 << (8 * (k - 1))) - 1)).alias("gram")
+        left = left.join(bow, ["lang", "ctx"], "left").select("key", "lang", shorter, "n", (F.col("w") + F.coalesce("bow", F.lit(0.0))).alias("w"))
+    else:
+        found = found.unionByName(left.select("key", "n", (F.col("w") + F.lit(float(np.log(1 / 256)))).alias("lp")))
+    m = F.sum(F.col("n") * F.col("lp")) / F.sum("n")
+    s = found.groupBy("key").agg((-m).alias("entropy"), F.greatest(F.lit(0.0), F.sum(F.col("n") * F.col("lp") * F.col("lp")) / F.sum("n") - m * m).alias("entropy_var")).withColumnRenamed("key", f"{key}2")
+    cols = [column(c).alias(c) for c in d.columns if c != key]
+    return d.join(s, column(key) == column(f"{key}2"), "left").select(*cols, F.coalesce(F.octet_length(column(text_col)), F.lit(0)).cast("bigint").alias("n_bytes"), s["entropy"], s["entropy_var"])
 
 
 def bands(scored: DataFrame, lang_col: str = "lang") -> DataFrame:
-    """(lang, median, spread, byte_var) of each language over all its documents with text."""
-    s = scored.filter("entropy IS NOT NULL").select(F.coalesce(F.col(f"`{lang_col}`").cast("string"), F.lit("")).alias("_lang"), "entropy", "entropy_var")
-    median = s.groupBy("_lang").agg(F.percentile_approx("entropy", 0.5, 10000).alias("median"), F.avg("entropy_var").alias("byte_var"))
-    off = s.join(F.broadcast(median), "_lang").groupBy("_lang").agg(F.percentile_approx(F.abs(F.col("entropy") - F.col("median")), 0.5, 10000).alias("mad"))
-    return median.join(off, "_lang").select("_lang", "median", "byte_var", (F.col("mad") * 1.4826).alias("spread"))
+    """(tag, median, spread, byte_var) of each language over all its documents with text."""
+    s = scored.filter("entropy IS NOT NULL").select(_lang(lang_col).alias("tag"), "entropy", "entropy_var")
+    median = few(written(s.groupBy("tag").agg(F.percentile_approx("entropy", 0.5, 10000).alias("median"), F.avg("entropy_var").alias("byte_var")), "medians"))
+    off = s.join(median, "tag").groupBy("tag").agg(F.percentile_approx(F.abs(F.col("entropy") - F.col("median")), 0.5, 10000).alias("mad"))
+    return few(written(median.join(off, "tag").select("tag", "median", "byte_var", (F.col("mad") * 1.4826).alias("spread")), "bands"))
 
 
 def rule(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", order: int = ORDER, width: float = WIDTH, max_grams: int = MAX_GRAMS) -> DataFrame:
     """(id, lang, perplexity, lower, upper, keep) of each document."""
-    d = docs.select(F.col(f"`{id_col}`"), F.col(f"`{text_col}`"), F.col(f"`{lang_col}`"))
-    models = train(d, text_col, lang_col, order, max_grams)
-    s = written(score(d, models, text_col, lang_col, order).drop(text_col), "entropies")
-    # a row per language, of those that have a model
-    s = s.withColumn("_lang", F.coalesce(F.col(f"`{lang_col}`").cast("string"), F.lit(""))).join(F.broadcast(bands(s, lang_col)), "_lang", "left")
+    d = docs.select(column(id_col).alias("id"), column(text_col).alias("text"), column(lang_col).alias("lang"))
+    s = written(score(d, train(d, order=order), max_grams=max_grams).drop("text"), "entropies")
+    s = s.withColumn("tag", _lang("lang")).join(bands(s), "tag", "left")
     reach = F.lit(width) * F.sqrt(F.col("spread") ** 2 + F.col("byte_var") / F.greatest("n_bytes", F.lit(1)))
     e = F.coalesce("entropy", "median")
     keep = F.coalesce((e >= F.col("median") - reach) & (e <= F.col("median") + reach), F.lit(True))
-    return s.select(id_col, lang_col, F.exp(e).alias("perplexity"), F.exp(F.col("median") - reach).alias("lower"), F.exp(F.col("median") + reach).alias("upper"), keep.alias("keep"))
+    return s.select(F.col("id").alias(id_col), F.col("lang").alias(lang_col), F.exp(e).alias("perplexity"), F.exp(F.col("median") - reach).alias("lower"), F.exp(F.col("median") + reach).alias("upper"), keep.alias("keep"))

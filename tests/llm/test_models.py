@@ -380,22 +380,28 @@ def brute_model(texts, order=3):
     return prob
 
 
-def test_perplexity_against_brute_force(spark):
+@pytest.mark.parametrize("max_grams", [perplexity.MAX_GRAMS, 10])
+def test_perplexity_against_brute_force(spark, max_grams):
+    """By arrays, and by joins as with a model too large for them."""
     texts = [prose(i, 15) for i in range(6)] + ["aaa bbb aaa", "aaa bbb"]
     d = documents(spark, list(enumerate(texts)))
-    models = perplexity.train(d, order=3)
+    model = perplexity.train(d, order=3)
     prob = brute_model(texts)
     new = texts + ["zzz qqq é", prose(77, 5)]
-    got = {r.doc_id: r for r in perplexity.score(documents(spark, list(enumerate(new))), models, order=3).collect()}
+    rows = documents(spark, list(enumerate(new)) + [(90, None), (91, "")]).withColumns({"a.b": F.lit(1), "Entropy": F.lit(2)})
+    got = perplexity.score(rows, model, max_grams=max_grams)
+    assert got.columns == [*rows.columns[:-1], "n_bytes", "entropy", "entropy_var"]
+    got = {r.doc_id: r for r in got.collect()}
+    assert len(got) == len(new) + 2 and got[90].entropy is None and got[91].entropy is None and got[91].n_bytes == 0
     for i, t in enumerate(new):
         b = b"\0\0" + t.encode()
-        want = -np.mean([math.log(prob(b[k - 2 : k + 1])) for k in range(2, len(b))])
-        assert got[i].entropy == pytest.approx(want, rel=1e-4)
+        each = [-math.log(prob(b[k - 2 : k + 1])) for k in range(2, len(b))]
+        assert got[i].entropy == pytest.approx(np.mean(each), rel=1e-4)
+        assert got[i].entropy_var == pytest.approx(np.var(each), rel=1e-3) and got[i].n_bytes == len(t.encode())
 
 
 def test_perplexity_sums_to_one(spark):
-    models = perplexity.train(documents(spark, [(1, prose(1, 60))]), order=3)
-    m = perplexity.Model.load(models["en"])
+    m = perplexity.arrays(perplexity.train(documents(spark, [(1, prose(1, 60))]), order=3))["en"]
     every = np.arange(256, dtype=np.uint64)
     for ctx in (b"ab", b"zz", b"a "):
         base = np.uint64(int.from_bytes(ctx, "big") << 8)
@@ -405,12 +411,20 @@ def test_perplexity_sums_to_one(spark):
 def test_perplexity_bands(spark):
     rows = ODD + [(i, prose(i, 200)) for i in range(60)] + [(90, "#@!$%^&*" * 100), (91, "ab " * 700)]
     d = documents(spark, rows).withColumns({"entropy": F.lit("mine"), "lang": F.when(F.col("doc_id") == 5, None).otherwise("en")})
-    got = {r.doc_id: r for r in perplexity.rule(d).collect()}
+    got = {r.doc_id: r for r in perplexity.rule(d, order=5).collect()}
     assert not got[90].keep and not got[91].keep
     assert all(got[i].keep for i in list(range(60)) + [100, 101])
+    # the bands by their definition
+    every = perplexity.score(d, perplexity.train(d, order=5)).collect()
+    s, en = {r.doc_id: r for r in every}, [r for r in every if r.doc_id != 5 and r.entropy is not None]
+    lower_median = lambda v: sorted(v)[(len(v) - 1) // 2]
+    median = lower_median([r.entropy for r in en])
+    spread = 1.4826 * lower_median([abs(r.entropy - median) for r in en])
+    for i in (0, 30, 90, 103):
+        reach = perplexity.WIDTH * math.sqrt(spread**2 + np.mean([r.entropy_var for r in en]) / max(s[i].n_bytes, 1))
+        assert got[i].upper == pytest.approx(math.exp(median + reach), rel=1e-6) and got[i].lower == pytest.approx(math.exp(median - reach), rel=1e-6)
+        assert got[i].keep == (median - reach <= s[i].entropy <= median + reach)
     assert perplexity.rule(documents(spark, [])).count() == 0
-    with pytest.raises(ValueError):
-        perplexity.train(d, max_grams=10)
 
 
 # packing
