@@ -4,34 +4,38 @@ A passage is a run of WORDS (50) words. Each has a fingerprint: the least hash a
 of K (25) words, so equal passages have equal fingerprints wherever they stand, and neighbouring
 passages mostly share one. The fingerprints of a batch of documents form a run: a table that is
 bucketed and sorted by fingerprint and never changed. A new batch's run is merge-joined,
-bucket by bucket and without a shuffle, with every historical run; runs are compacted into one when
+bucket by bucket, without a shuffle or a sort, with every historical run; runs are compacted into one, and the old ones removed, when
 there are more than ``fan_out``. Fingerprints that occur twice name candidates, old and new, and these
 are verified: all their passages of 50 words are compared as a whole, by two independent 64-bit
 hashes. A passage is repeated if its words stand at an earlier place, in order of batch, document, and word.
 
+The index keeps each batch's texts, bucketed and sorted by document, so that candidates find theirs without moving any other, and of
+the historical batches only those with candidates are read. A manifest lists runs and texts, and an index is opened again by its path.
+
 So every repeated passage of 50 words or more is found, of any number of holders, and nothing else.
 
 Defined results: null, empty and short texts (under 50 words) have no passages; documents with
-null ids are passed over; rows that share an id are laid over each other as one document, so
+null ids are passed over; ids are of any type that has an order; rows of a batch that share an id are laid over each other as one document, so
 repeated rows change nothing; passages repeated within a document count as well; an empty batch adds an
-empty run; other columns are not read, so their names can't clash.
+empty run; other columns are not read, so their names can't clash, and pass through ``cut_spans``, whatever they are called.
 """
 
 from __future__ import annotations
 
+import json
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from siltweave.llm.lines import id_ranges
-from siltweave.llm.text import U, pieces, utf8, window_hashes, word_hashes, words
-from siltweave.session import shared_folder, written
+from siltweave.llm.text import U, column, free, pieces, place, utf8, window_hashes, with_arrow, word_hashes, words
+from siltweave.session import delete_path, shared_folder, written
 
 WORDS, K = 50, 25
-SPREAD = WORDS - K + 1
 BUCKETS, FAN_OUT = 64, 4
 _BASES = (0xD1B54A32D192ED03, 0xA0761D6478BD642F)
 
@@ -53,7 +57,6 @@ def _run(batches: Iterator[pa.RecordBatch], n_words: int, k: int) -> Iterator[pa
     """(h, doc_id, n): the fingerprints of each document, with the number of its windows that have each."""
     for b in batches:
         data, off = utf8(b.column(1))
-        ids = b.column(0).to_numpy(zero_copy_only=False)
         hs, ds, ns = [], [], []
         for lo, hi in pieces(off):
             part = data[off[lo] : off[hi]]
@@ -66,16 +69,15 @@ def _run(batches: Iterator[pa.RecordBatch], n_words: int, k: int) -> Iterator[pa
                 own = np.sort(windows[at[i] : at[i + 1] - k + 1])
                 hs.append(u)
                 ns.append((np.searchsorted(own, u, "right") - np.searchsorted(own, u)).astype(np.int32))
-                ds.append(np.full(len(u), ids[lo + i], np.int64))
+                ds.append(np.full(len(u), lo + i))
         cat = lambda a, t: np.concatenate(a) if a else np.zeros(0, t)
-        yield pa.RecordBatch.from_arrays([pa.array(cat(hs, U).view(np.int64)), pa.array(cat(ds, np.int64)), pa.array(cat(ns, np.int32))], ["h", "doc_id", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(cat(hs, U).view(np.int64)), b.column(0).take(pa.array(cat(ds, np.int64))), pa.array(cat(ns, np.int32))], ["h", "doc_id", "n"])
 
 
 def _passages(batches: Iterator[pa.RecordBatch], n_words: int, k: int) -> Iterator[pa.RecordBatch]:
-    """(h1, h2, doc_id, pos, new) of all passages of a document whose fingerprint is one of its candidates."""
+    """(h1, h2, doc_id, g, pos) of all passages of a document whose fingerprint is one of its candidates."""
     for b in batches:
         data, off = utf8(b.column("text"))
-        ids, new = b.column("doc_id").to_numpy(zero_copy_only=False), b.column("new").to_numpy(zero_copy_only=False)
         lists = b.column("hs")
         for lo, hi in pieces(off, 1 << 19):
             part = data[off[lo] : off[hi]]
@@ -90,11 +92,11 @@ def _passages(batches: Iterator[pa.RecordBatch], n_words: int, k: int) -> Iterat
                 p[p == len(want)] = 0
                 pos = np.flatnonzero(want[p] == x)
                 if len(pos):
-                    out.append((pos + at[i], pos.astype(np.int32), np.full(len(pos), ids[lo + i], np.int64), np.full(len(pos), new[lo + i])))
+                    out.append((pos + at[i], pos.astype(np.int32), np.full(len(pos), lo + i)))
             if out:
-                g, pos, d, z = (np.concatenate(c) for c in zip(*out))
+                g, pos, d = (np.concatenate(c) for c in zip(*out))
                 h = [window_hashes(w, n_words, base)[g].view(np.int64) for base in _BASES]
-                yield pa.RecordBatch.from_arrays([pa.array(h[0]), pa.array(h[1]), pa.array(d), pa.array(pos), pa.array(z)], ["h1", "h2", "doc_id", "pos", "new"])
+                yield pa.RecordBatch.from_arrays([pa.array(h[0]), pa.array(h[1]), b.column("doc_id").take(pa.array(d)), b.column("g").take(pa.array(d)), pa.array(pos)], ["h1", "h2", "doc_id", "g", "pos"])
 
 
 def _spans(batches: Iterator[pa.RecordBatch], n_words: int) -> Iterator[pa.RecordBatch]:
@@ -107,122 +109,171 @@ def _spans(batches: Iterator[pa.RecordBatch], n_words: int) -> Iterator[pa.Recor
             for a, z in zip(p[np.concatenate([[0], cut + 1])].tolist(), p[np.append(cut, len(p) - 1)].tolist()):
                 out.append((d, a, z + n_words, f, a - shift))
         cols = list(zip(*out)) or [()] * 5
-        kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32()]
+        kinds = [b.column(0).type, pa.int32(), pa.int32(), b.column(0).type, pa.int32()]
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], ["doc_id", "start", "end", "first_doc_id", "first_start"])
 
 
+@contextmanager
+def _in_order(spark: SparkSession):
+    """Within, bucketed tables of one file a bucket are read in the order that they were sorted in."""
+    name = "spark.sql.legacy.bucketedTableScan.outputOrdering"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
 class FingerprintIndex:
-    """The runs of all batches so far, and where their documents are."""
+    """The runs of all batches so far, and their texts. A path that holds an index opens it, with its own settings."""
 
     def __init__(self, spark: SparkSession, path: str | None = None, buckets: int = BUCKETS, fan_out: int = FAN_OUT, n_words: int = WORDS, k: int = K):
-        self.spark, self.buckets, self.fan_out, self.n_words, self.k = spark, buckets, fan_out, n_words, k
+        self.spark = spark
         self.path = path or f"{shared_folder(spark)}/fingerprints-{uuid.uuid4().hex[:8]}"
-        self.runs: list[str] = []
-        self.documents: list[DataFrame] = []
-        self.generation = 0
-
-    def _write_run(self, df: DataFrame) -> str:
-        """Store a run, one sorted file a bucket."""
-        name = f"run_{uuid.uuid4().hex[:12]}"
-        df.repartition(self.buckets, "h").sortWithinPartitions("h").write.bucketBy(self.buckets, "h").sortBy("h").option("path", f"{self.path}/{name}").saveAsTable(name)
+        self.state = {"buckets": max(buckets, 1), "fan_out": fan_out, "n_words": n_words, "k": k, "generation": 0, "id": "bigint", "runs": [], "texts": {}}
+        self.version = 0
+        self._open()
+
+    @property
+    def runs(self) -> list[str]:
+        return self.state["runs"]
+
+    def _open(self) -> None:
+        where = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/manifest")
+        fs = where.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        if fs.exists(where):
+            self.version = max((int(x.getPath().getName()) for x in fs.listStatus(where) if fs.exists(self.spark._jvm.org.apache.hadoop.fs.Path(x.getPath(), "_SUCCESS"))), default=0)
+        if self.version:
+            self.state = json.loads(self.spark.read.text(f"{self.path}/manifest/{self.version}").first()[0])
+
+    def _commit(self) -> None:
+        """The state as a new version of the manifest; what isn't in the last one doesn't count."""
+        self.version += 1
+        self.spark.createDataFrame([(json.dumps(self.state),)], "value STRING").coalesce(1).write.mode("overwrite").text(f"{self.path}/manifest/{self.version}")
+
+    def _table(self, name: str, key: str, schema: str) -> DataFrame:
+        """A stored table with its buckets, whether this session has seen it before or not."""
+        if not self.spark.catalog.tableExists(name):
+            self.spark.sql(f"CREATE TABLE {name} ({schema}) USING parquet CLUSTERED BY ({key}) SORTED BY ({key}) INTO {self.state['buckets']} BUCKETS LOCATION '{self.path}/{name}'")
+        return self.spark.table(name)
+
+    def _store(self, df: DataFrame, kind: str, key: str) -> str:
+        """Write a table, one sorted file a bucket."""
+        name, n = f"{kind}_{uuid.uuid4().hex[:12]}", self.state["buckets"]
+        df.repartition(n, key).sortWithinPartitions(key).write.bucketBy(n, key).sortBy(key).option("path", f"{self.path}/{name}").option("compression", "zstd").saveAsTable(name)
         return name
 
+    def _run(self, name: str) -> DataFrame:
+        return self._table(name, "h", f"h BIGINT, doc_id {self.state['id']}, n INT, g INT")
+
+    def _texts(self, g: int) -> DataFrame:
+        return self._table(self.state["texts"][str(g)], "doc_id", f"doc_id {self.state['id']}, text STRING").withColumn("g", F.lit(g))
+
     def add(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
         """Add a batch; the spans of its documents that repeat an earlier place.
 
         (doc_id, start, end, first_doc_id, first_start): words start to end, half-open, stand at first_start in first_doc_id.
         """
-        self.generation += 1
-        n_words, k = self.n_words, self.k
-        d = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text")).filter("doc_id IS NOT NULL AND text IS NOT NULL")
-        name = self._write_run(d.mapInArrow(lambda it: _run(it, n_words, k), "h BIGINT, doc_id BIGINT, n INT").distinct())
-        new = self.spark.table(name)
-        seen = [self.spark.table(r).join(new.select("h").hint("merge"), "h", "left_semi").select("h", "doc_id") for r in self.runs]
-        total = new.groupBy("h").agg(F.sum("n").alias("n"))
-        hit = total.filter("n > 1").select("h")
-        zones = None
-        if seen:
-            old = seen[0]
-            for s in seen[1:]:
-                old = old.unionByName(s)
-            old = written(old, "history")
+        with _in_order(self.spark):
+            return self._add(docs, id_col, text_col)
+
+    def _add(self, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+        st = self.state
+        n_words, k = st["n_words"], st["k"]
+        g = st["generation"] = st["generation"] + 1
+        d = docs.select(column(id_col).alias("doc_id"), column(text_col).alias("text")).filter("doc_id IS NOT NULL AND text IS NOT NULL")
+        kind = st["id"] = d.schema["doc_id"].dataType.simpleString()
+        name = self._store(d.mapInArrow(lambda it: _run(it, n_words, k), f"h BIGINT, doc_id {kind}, n INT").distinct().withColumn("g", F.lit(g)), "run", "h")
+        st["texts"][str(g)] = self._store(d, "texts", "doc_id")
+        new = self._run(name)
+        hit = new.groupBy("h").agg(F.sum("n").alias("n")).filter("n > 1").select("h")
+        zones, before = None, []
+        if st["runs"]:
+            old = None
+            for r in st["runs"]:
+                s = self._run(r).join(new.select("h").hint("merge"), "h", "left_semi").select("h", "doc_id", "g")
+                old = s if old is None else old.unionByName(s)
+            zones = old = written(old, "history")
             hit = hit.unionByName(old.select("h")).distinct()
-            zones = old.withColumn("new", F.lit(False))
-        mine = new.join(hit.hint("merge"), "h", "left_semi").select("h", "doc_id", F.lit(True).alias("new"))
+            before = sorted(r["g"] for r in old.select("g").distinct().collect())  # a row a batch
+        mine = new.join(hit.hint("merge"), "h", "left_semi").select("h", "doc_id", "g")
         zones = mine if zones is None else zones.unionByName(mine)
-        zones = zones.groupBy("doc_id", "new").agg(F.collect_set("h").alias("hs"))
-        zones = written(zones, "zones")
-        texts = d.withColumn("new", F.lit(True))
-        for x in self.documents:
-            texts = texts.unionByName(x.withColumn("new", F.lit(False)))
-        both = texts.join(zones.hint("merge"), ["doc_id", "new"]).select("doc_id", "new", "text", "hs")
-        p = both.mapInArrow(lambda it: _passages(it, n_words, k), "h1 BIGINT, h2 BIGINT, doc_id BIGINT, pos INT, new BOOLEAN")
+        zones = written(zones.groupBy("doc_id", "g").agg(F.collect_set("h").alias("hs")), "zones")
+        p = None
+        for b in [*before, g]:
+            near = zones.filter(F.col("g") == b).select("doc_id", "hs").hint("merge")
+            x = self._texts(b).join(near, "doc_id").select("doc_id", "g", "text", "hs").mapInArrow(lambda it: _passages(it, n_words, k), f"h1 BIGINT, h2 BIGINT, doc_id {kind}, g INT, pos INT")
+            p = x if p is None else p.unionByName(x)
         # a window, not an aggregate, since its shuffle carries bare rows and a passage of many holders spills
-        earlier = W.partitionBy("h1", "h2").orderBy("new", "doc_id", "pos").rowsBetween(W.unboundedPreceding, 0)
-        first = p.select("new", "doc_id", "pos", *[F.first(c).over(earlier).alias(f"first_{c}") for c in ("new", "doc_id", "pos")])
-        pairs = first.filter("new AND (NOT first_new OR first_doc_id <> doc_id OR first_pos <> pos)")
+        earlier = W.partitionBy("h1", "h2").orderBy("g", "doc_id", "pos").rowsBetween(W.unboundedPreceding, 0)
+        first = p.select("g", "doc_id", "pos", *[F.first(c).over(earlier).alias(f"first_{c}") for c in ("g", "doc_id", "pos")])
+        pairs = first.filter((F.col("g") == g) & ((F.col("first_g") < g) | (F.col("first_doc_id") != F.col("doc_id")) | (F.col("first_pos") != F.col("pos"))))
         pairs = pairs.select("doc_id", "first_doc_id", (F.col("pos") - F.col("first_pos")).alias("shift"), "pos")
         lined = pairs.groupBy("doc_id", "first_doc_id", "shift").agg(F.collect_list("pos").alias("places"))
-        out = written(lined.mapInArrow(lambda it: _spans(it, n_words), "doc_id BIGINT, start INT, end INT, first_doc_id BIGINT, first_start INT"), "spans")
-        self.runs.append(name)
-        self.documents.append(d)
-        if len(self.runs) > self.fan_out:
+        out = written(lined.mapInArrow(lambda it: _spans(it, n_words), f"doc_id {kind}, start INT, end INT, first_doc_id {kind}, first_start INT"), "spans")
+        st["runs"] = [*st["runs"], name]
+        self._commit()
+        if len(st["runs"]) > st["fan_out"]:
             self.compact()
         return out
 
     def compact(self) -> None:
-        """Merge all runs into one and drop the old ones."""
-        merged = self.spark.table(self.runs[0])
-        for r in self.runs[1:]:
-            merged = merged.unionByName(self.spark.table(r))
-        name = self._write_run(merged)
-        for r in self.runs:
-            self.spark.sql(f"DROP TABLE {r}")
-        self.runs = [name]
+        """Merge all runs into one, and remove the old ones once the manifest names the new one."""
+        old = self.state["runs"]
+        if len(old) < 2:
+            return
+        merged = self._run(old[0])
+        for r in old[1:]:
+            merged = merged.unionByName(self._run(r))
+        self.state["runs"] = [self._store(merged, "run", "h")]
+        self._commit()
+        for r in old:
+            self.spark.sql(f"DROP TABLE IF EXISTS {r}")
+            delete_path(self.spark, f"{self.path}/{r}")
 
     def forget(self) -> None:
-        """Take the runs out of the session's catalog; their files stay."""
-        for r in self.runs:
-            self.spark.sql(f"DROP TABLE {r}")
-        self.runs = []
+        """Take the tables out of the session's catalog; the index can be opened again by its path."""
+        for r in [*self.state["runs"], *self.state["texts"].values()]:
+            self.spark.sql(f"DROP TABLE IF EXISTS {r}")
 
 
 def dedup(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", batches: int = 2) -> DataFrame:
-    """The spans of a table that is added in batches, ranges of its ids, to an empty index, which is compacted in the end."""
-    index = FingerprintIndex(spark)
+    """The spans of a table that is added in batches, ranges of its ids, to an empty index, which is compacted in the end and then removed."""
+    index = FingerprintIndex(spark, buckets=max(BUCKETS, int(spark.conf.get("spark.sql.shuffle.partitions"))))
     out = None
-    for part in id_ranges(docs.select(id_col, text_col), id_col, batches):
-        spans = index.add(part, id_col, text_col)
+    for part in id_ranges(docs.select(column(id_col).alias("doc_id"), column(text_col).alias("text")), "doc_id", batches):
+        spans = index.add(part)
         out = spans if out is None else out.unionByName(spans)
     index.compact()
     index.forget()
+    delete_path(spark, index.path)
     return out
 
 
 def cut_spans(docs: DataFrame, spans: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents without the words of their spans; other words and what parts them stay."""
-    s = spans.groupBy(F.col("doc_id").alias("_id")).agg(F.collect_list(F.struct("start", "end")).alias("_spans"))
-    d = docs.join(s, F.col(f"`{id_col}`") == F.col("_id"), "left").drop("_id")
-    names = [c for c in d.columns if c != "_spans"]
-    at = names.index(text_col)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            texts = b.column(at).to_pylist()
-            for i, cuts in enumerate(b.column("_spans").to_pylist()):
-                if texts[i] is None or not cuts:
-                    continue
-                raw = texts[i].encode()
-                starts, ends, _ = words(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))
-                keep = np.ones(len(raw), bool)
-                for c in cuts:
-                    hi = min(c["end"], len(ends))
-                    if c["start"] < hi:
-                        keep[starts[c["start"]] : starts[hi] if hi < len(starts) else ends[hi - 1]] = False
-                texts[i] = np.frombuffer(raw, np.uint8)[keep].tobytes().decode()
-            cols = list(b.columns[:-1])
-            cols[at] = pa.array(texts, cols[at].type)
-            yield pa.RecordBatch.from_arrays(cols, names)
-
-    d = d.select(*[F.col(f"`{c}`") for c in names], "_spans")
-    return d.mapInArrow(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in d.schema[:-1]))
+    key, cuts = free(docs, "id_"), free(docs, "spans_")
+    s = spans.groupBy(F.col("doc_id").alias(key)).agg(F.collect_list(F.struct("start", "end")).alias(cuts))
+    d = docs.join(s, column(id_col) == column(key), "left").drop(key)
+    names = [c for c in d.columns if c != cuts]
+    at, sp = place(d, text_col, []), place(d, cuts, [])
+
+    def make(b: pa.RecordBatch) -> list[pa.Array]:
+        texts = b.column(at).to_pylist()
+        for i, own in enumerate(b.column(sp).to_pylist()):
+            if texts[i] is None or not own:
+                continue
+            raw = texts[i].encode()
+            starts, ends, _ = words(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))
+            keep = np.ones(len(raw), bool)
+            for c in own:
+                hi = min(c["end"], len(ends))
+                if c["start"] < hi:
+                    keep[starts[c["start"]] : starts[hi] if hi < len(starts) else ends[hi - 1]] = False
+            texts[i] = np.frombuffer(raw, np.uint8)[keep].tobytes().decode()
+        cols = list(b.columns)
+        cols[at] = pa.array(texts, cols[at].type)
+        return [c for i, c in enumerate(cols) if i != sp]
+
+    return with_arrow(d, make, [], keep=names)

@@ -1,5 +1,6 @@
 """Operators over texts, each against a brute-force version on small tables, and on odd rows."""
 
+import pathlib
 import random
 from collections import defaultdict
 
@@ -101,22 +102,42 @@ def test_substrings_against_brute_force(spark, batches):
     assert all(texts[r.doc_id][r.start : r.end] == texts[r.first_doc_id][r.first_start : r.first_start + r.end - r.start] for r in got)
 
 
-def test_substring_runs_are_compacted(spark):
+def test_substring_runs_are_compacted_and_the_index_opened_again(spark):
     index = substrings.FingerprintIndex(spark, buckets=4, fan_out=2)
     got = []
     for k in range(4):
         got += index.add(documents(spark, [r for r in COPIES if r[0] % 4 == k])).collect()
+        index.forget()
+        index = substrings.FingerprintIndex(spark, index.path)
+        assert index.state["buckets"] == 4 and index.state["generation"] == k + 1
     assert len(index.runs) <= 2
+    kept = {f.name for f in pathlib.Path(index.path.removeprefix("file:").replace("//", "/")).iterdir() if f.name.startswith("run_")}
+    assert kept == set(index.runs)
     order = [r for k in range(4) for r in COPIES if r[0] % 4 == k]
     renamed = {i: n for n, (i, _) in enumerate(sorted(order, key=lambda r: (r[0] % 4, r[0])))}
     assert {renamed[i]: p for i, p in places(got).items()} == brute_places([(renamed[i], t) for i, t in order])
 
 
+def test_substring_runs_are_joined_without_shuffle_or_sort(spark):
+    index = substrings.FingerprintIndex(spark, buckets=4)
+    index.add(documents(spark, COPIES[:8]))
+    index.add(documents(spark, COPIES[8:]))
+    a, b = (index._run(r) for r in index.runs)
+    with substrings._in_order(spark):
+        j = a.join(b.select("h").hint("merge"), "h", "left_semi")
+        plan = j._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Exchange" not in plan and " Sort " not in plan
+
+
 def test_substrings_empty_and_cut(spark):
     assert substrings.dedup(spark, documents(spark, [])).count() == 0
-    d = documents(spark, [(1, "a b  c d"), (2, None)]).withColumn("_spans2", F.lit(1))
+    d = documents(spark, [(1, "a b  c d"), (2, None)]).withColumns({"spans_": F.lit(1), "id_": F.lit(2), "a.b": F.lit(3)})
     spans = spark.createDataFrame([(1, 1, 3)], "doc_id BIGINT, start INT, end INT")
-    assert {r.doc_id: r.text for r in substrings.cut_spans(d, spans).collect()} == {1: "a d", 2: None}
+    got = substrings.cut_spans(d, spans)
+    assert got.columns == d.columns and {r.doc_id: r.text for r in got.collect()} == {1: "a d", 2: None}
+    text = prose(3, 60)
+    named = spark.createDataFrame([("x", text), ("w", text), (None, text)], "`the.id` STRING, h STRING")
+    assert [tuple(r) for r in substrings.dedup(spark, named, "the.id", "h").collect()] == [("x", 0, 60, "w", 0)]
 
 
 def brute_lines(rows):
