@@ -3,11 +3,12 @@
 import os
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline as pipeline
 from siltweave.llm import bpe, packing, pii, quality
 from siltweave.session import written
-from tests.llm.common import words_of
+from tests.llm.common import ODD, documents, prose, words_of
 from tests.llm.test_text_operators import brute_lines, brute_pairs
 
 SF = "/root/testdata/sf0.001"
@@ -64,5 +65,25 @@ def test_stages(spark):
     assert sum(size.values()) == sum(len(e.encode(t or "")) for _, t in rows(inputs["packing"]))
 
 
+def test_odd_rows_and_empty_tables(spark, tmp_path):
+    docs = documents(spark, ODD + [(200 + i, prose(i, 60)) for i in range(6)] + [(300, prose(0, 60)), (None, None)])
+    extra = docs.withColumns({c: F.lit(1) for c in ("gone", "keep", "spans", "lines_dropped", "n_tokens", "a.b")})
+    spark.read.parquet(f"{SF}/labels.parquet").limit(0).write.parquet(f"{tmp_path}/labels.parquet")
+    for table in (extra, extra.limit(0)):
+        table = written(table, "odd")
+        n = table.count()
+        for name, stage in pipeline.STAGES:
+            out = written(stage(spark, table, str(tmp_path)), f"odd-{name}")
+            if name != "packing":
+                assert out.columns == pipeline.COLUMNS
+            if name in ("quality", "pii", "packing"):
+                assert out.count() >= n
+            if name == "near" and n:
+                assert sorted({r.doc_id or -1 for r in table.collect()} - {r.doc_id or -1 for r in out.collect()}) == [300]
+            assert (out.count() > 0) == (n > 0)
+    docs.limit(0).write.parquet(f"{tmp_path}/documents.parquet")
+    assert pipeline.run(spark, str(tmp_path)).count() == 0
+
+
 def test_run(spark):
     assert pipeline.run(spark, SF).count() > 0
