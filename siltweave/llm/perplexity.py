@@ -162,11 +162,12 @@ class Model:
         return out
 
 
-def arrays(t: Tables) -> dict[str, Model]:
-    """The models by language, brought together: for tables whose size is known to be bounded."""
+def arrays(t: Tables, seen: bool = False) -> dict[str, Model]:
+    """The models by language, brought together: for tables whose size is known to be bounded. Where all n-grams were seen, the longest are enough."""
     out: dict[str, list] = {}
-    for i, (table, key, value) in enumerate(((t.grams, "gram", "logp"), (t.contexts, "ctx", "bow"))):
-        got = table.select("lang", "k", key, F.col(value).cast("float").alias(value)).toArrow()
+    both = ((t.grams, "gram", "logp"), (t.contexts, "ctx", "bow"))
+    for i, (table, key, value) in enumerate(both[:1] if seen else both):
+        got = (table.filter(F.col("k") == t.order) if seen else table).select("lang", "k", key, F.col(value).cast("float").alias(value)).toArrow()
         langs = got.column("lang").combine_chunks().dictionary_encode()
         which, k = langs.indices.to_numpy(), got.column("k").to_numpy()
         keys, values = got.column(key).to_numpy().view(U), got.column(value).to_numpy()
@@ -179,12 +180,15 @@ def arrays(t: Tables) -> dict[str, Model]:
     return {lang: Model([tuple(o) for o in orders]) for lang, orders in out.items()}
 
 
-def score(docs: DataFrame, tables: Tables, text_col: str = "text", lang_col: str = "lang", max_grams: int = MAX_GRAMS) -> DataFrame:
-    """Add n_bytes, entropy (mean negative log-probability of a byte) and its variance; null where there is no model or no text."""
+def score(docs: DataFrame, tables: Tables, text_col: str = "text", lang_col: str = "lang", max_grams: int = MAX_GRAMS, seen: bool = False) -> DataFrame:
+    """Add n_bytes, entropy (mean negative log-probability of a byte) and its variance; null where there is no model or no text.
+
+    ``seen`` says that the model was trained on these documents, among others, so that it needs no back-off.
+    """
     if tables.grams.count() + tables.contexts.count() > max_grams:
         return score_joined(docs, tables, text_col, lang_col)
     order = tables.order
-    shared = docs.sparkSession.sparkContext.broadcast(arrays(tables))
+    shared = docs.sparkSession.sparkContext.broadcast(arrays(tables, seen))
     names = [n for n, _ in _NEW]
     tag = free(docs, "lang_")
     docs = docs.withColumn(tag, _lang(lang_col))
@@ -269,7 +273,7 @@ def bands(scored: DataFrame, lang_col: str = "lang") -> DataFrame:
 def rule(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", order: int = ORDER, width: float = WIDTH, max_grams: int = MAX_GRAMS) -> DataFrame:
     """(id, lang, perplexity, lower, upper, keep) of each document."""
     d = docs.select(column(id_col).alias("id"), column(text_col).alias("text"), column(lang_col).alias("lang"))
-    s = written(score(d, train(d, order=order), max_grams=max_grams).drop("text"), "entropies")
+    s = written(score(d, train(d, order=order), max_grams=max_grams, seen=True).drop("text"), "entropies")
     s = s.withColumn("tag", _lang("lang")).join(bands(s), "tag", "left")
     reach = F.lit(width) * F.sqrt(F.col("spread") ** 2 + F.col("byte_var") / F.greatest("n_bytes", F.lit(1)))
     e = F.coalesce("entropy", "median")

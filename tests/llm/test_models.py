@@ -415,7 +415,9 @@ def test_perplexity_bands(spark):
     assert not got[90].keep and not got[91].keep
     assert all(got[i].keep for i in list(range(60)) + [100, 101])
     # the bands by their definition
-    every = perplexity.score(d, perplexity.train(d, order=5)).collect()
+    model = perplexity.train(d, order=5)
+    every = perplexity.score(d, model).collect()
+    assert sorted(map(str, perplexity.score(d, model, seen=True).collect())) == sorted(map(str, every))
     s, en = {r.doc_id: r for r in every}, [r for r in every if r.doc_id != 5 and r.entropy is not None]
     lower_median = lambda v: sorted(v)[(len(v) - 1) // 2]
     median = lower_median([r.entropy for r in en])
