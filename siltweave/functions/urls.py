@@ -112,8 +112,10 @@ def encode_message(url: Column, priority: Column, depth: Column, src: Column, se
 
 
 def message_chars(json: Column) -> Column:
-    """Characters of the message with a space after each of its ten separators, as most JSON writers put it."""
-    return F.length(json) + F.lit(10)
+    """Characters of the message as most JSON writers put it: a space after each separator, and what isn't ASCII as escapes of six characters, two of them beyond 16 bits."""
+    fields = F.coalesce(F.size(F.json_object_keys(F.get_json_object(json, "$.metadata"))), F.lit(0))
+    separators = 2 * F.coalesce(F.size(F.json_object_keys(json)), F.lit(0)) - 1 + F.greatest(2 * fields - 1, F.lit(0))
+    return F.length(json) + separators + 5 * F.regexp_count(json, F.lit(r"[^\x00-\x7F]")) + 6 * F.regexp_count(json, F.lit(r"[\x{10000}-\x{10FFFF}]"))
 
 
 def decode_message(raw: Column) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import zlib
+import hashlib
 
 import numpy as np
 import pandas as pd
@@ -29,16 +29,25 @@ def normalised(a: Column) -> Column:
 
 
 def hashed_embedding(dims: int = 64):
-    """A deterministic text embedder for offline use: signed counts of hashed words, of unit length."""
+    """A deterministic text embedder for offline use: signed counts of hashed words, of unit length.
+
+    A word's MD5 gives its dimension and, by the next digit, its sign; equal words of a batch are hashed once.
+    """
 
     @F.pandas_udf("array<double>")
     def embed(texts: pd.Series) -> pd.Series:
+        known: dict[str, tuple[int, int]] = {}
+
+        def of(w: str) -> tuple[int, int]:
+            if w not in known:
+                h = hashlib.md5(w.encode()).hexdigest()
+                known[w] = int(h[:7], 16) % dims, 1 if int(h[7], 16) % 2 else -1
+            return known[w]
+
         out = []
         for t in texts:
-            v = np.zeros(dims)
-            for w in (t or "").lower().split():
-                h = zlib.crc32(w.encode())
-                v[h % dims] += 1 if h >> 16 & 1 else -1
+            pairs = [of(w) for w in (t or "").lower().split()]
+            v = np.bincount([d for d, _ in pairs], [s for _, s in pairs], dims) if pairs else np.zeros(dims)
             out.append((v / (np.linalg.norm(v) + TINY)).tolist())
         return pd.Series(out)
 

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
+from siltweave.operators.ordered import running
 from siltweave.session import written
 from siltweave.sources.crawl_log import fetched
 
@@ -75,10 +76,11 @@ def score_priority(scores: DataFrame) -> Callable[[DataFrame, DataFrame], DataFr
 def process(results: DataFrame, links: DataFrame, seen: DataFrame, relevant: Column | None = None) -> tuple[DataFrame, DataFrame]:
     """A batch of fetch results: log rows, failures too, with running counters, and the new URLs to enqueue."""
     ok = fetched(F.col("status_code"), F.col("html"))
-    w = W.partitionBy("node_id").orderBy("seq").rowsBetween(W.unboundedPreceding, 0)
     hit = ok & (relevant if relevant is not None else F.lit(True))
     log = results.withColumns({"is_relevant": F.coalesce(hit, F.lit(False)), "status_code": F.coalesce("status_code", F.lit(0)), "error": F.coalesce("error", F.lit(""))})
-    log = log.withColumns({"cumulative_pages": F.count("*").over(w), "cumulative_relevant": F.sum(F.col("is_relevant").cast("long")).over(w)}).drop("html")
+    names = [c for c in log.columns if c != "html"]
+    log = running(log.select(*names), "node_id", ["seq"], {"cumulative_relevant": F.col("is_relevant").cast("long")})
+    log = log.select(*names, (F.col("position") + 1).alias("cumulative_pages"), "cumulative_relevant")
     good = results.filter(ok).select(F.col("url").alias("src"))
     new = links.join(good, "src", "left_semi").groupBy(F.col("dst").alias("url")).agg(F.min("seq").alias("seq"))
     return log, new.join(seen.select("url"), "url", "left_anti")

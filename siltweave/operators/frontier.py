@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 ORDERS = {
     "bfs": [("seq", True)],
@@ -31,8 +31,10 @@ def already_seen(urls: DataFrame, seen: DataFrame, url: str = "url") -> DataFram
     return urls.join(seen.select(url), url, "left_semi")
 
 
-def ordered(frontier: DataFrame, kind: str) -> DataFrame:
-    """The whole frontier in the order of a strategy."""
+def ordered(frontier: DataFrame, kind: str | list[Column]) -> DataFrame:
+    """The whole frontier in the order of a strategy, by name or as a caller's own sort columns."""
+    if not isinstance(kind, str):
+        return frontier.orderBy(*kind)
     if kind not in ORDERS:
         raise ValueError(f"there is no frontier {kind!r}; there are {sorted(ORDERS)}")
     return frontier.orderBy(*[F.asc(c) if up else F.desc(c) for c, up in ORDERS[kind]])

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from siltweave.functions.urls import bucket, mode_label, per_relevant, url_partition
 from siltweave.operators.cluster import assignment
+from siltweave.operators import similarity
 from siltweave.operators.ordered import running
 
 
@@ -51,13 +52,20 @@ def mean_std(log: DataFrame, metric: Column) -> DataFrame:
     return each.groupBy("mode").agg(F.avg("_m").alias("mean"), F.stddev_pop("_m").alias("std")).crossJoin(F.broadcast(runs)).filter("_runs >= 2").drop("_runs")
 
 
-def summary(log: DataFrame, redundancy: DataFrame | None = None) -> DataFrame:
-    """The summary table, numbers first and as text, in a fixed order of modes."""
+def redundancy(log: DataFrame) -> DataFrame:
+    """(mode, redundancy): the share of pages that are near duplicates of an earlier page kept of their mode, by their text or else their URL."""
+    text = similarity.url_text(F.col("url"), F.col("page_text") if "page_text" in log.columns else None)
+    d = log.select("mode", text.alias("text"), (F.col("run") * F.lit(10**16) + F.unix_micros("timestamp")).alias("at"))
+    return similarity.redundancy(d, "at", "text", "mode").select(F.col("grp").alias("mode"), "redundancy")
+
+
+def summary(log: DataFrame, redundant: DataFrame | None = None) -> DataFrame:
+    """The summary table, numbers first and as text, in a fixed order of modes. Redundancy is the log's own unless it is given."""
     a = log.groupBy("mode").agg(
         F.avg(relevant()).alias("harvest_rate"), (F.sum("bytes_downloaded") / 1e6).alias("mb"), F.sum(relevant()).alias("relevant"),
         _throughput().alias("pages_per_sec_node"), _cross().alias("cross_node_bytes"), F.count("*").alias("pages"),
     )
-    a = a.join(redundancy.select("mode", "redundancy"), "mode", "left") if redundancy is not None else a.withColumn("redundancy", F.lit(0.0))
+    a = a.join((redundancy(log) if redundant is None else redundant).select("mode", "redundancy"), "mode", "left")
     place = F.expr("array_position(array('bfs', 'link_priority', 'semantic'), mode)").cast("int")
     return a.filter(place > 0).select(
         place.alias("place"), mode_label(F.col("mode")).alias("mode"), F.format_string("%.1f", F.col("harvest_rate") * 100).alias("harvest_pct"),
@@ -83,9 +91,13 @@ ORDER = ["timestamp", "node_id", "seq"]
 
 
 def bandwidth(log: DataFrame) -> DataFrame:
-    """Megabytes a relevant page so far, null before the first; the first run of each mode."""
-    d = running(first_run(log), "mode", ORDER, {"_b": F.col("bytes_downloaded"), "_r": relevant()})
-    return d.select("mode", F.col("position").cast("int").alias("position"), F.when(F.col("_r") > 0, F.col("_b") / 1e6 / F.col("_r")).alias("mb_per_relevant"))
+    """Bytes and relevant pages so far, and megabytes a relevant page to nine decimals, null before the first; the first run of each mode.
+
+    The quotient is rounded in whole numbers, so that no engine's floating point decides its last place.
+    """
+    d = running(first_run(log), "mode", ORDER, {"bytes": F.col("bytes_downloaded"), "relevant": relevant()})
+    exact = F.expr("CASE WHEN relevant > 0 THEN (2000 * bytes + relevant) div (2 * relevant) END") / F.lit(1e9)
+    return d.select("mode", F.col("position").cast("int").alias("position"), "bytes", "relevant", exact.alias("mb_per_relevant"))
 
 
 def _sampled(d: DataFrame, points: int) -> DataFrame:
@@ -116,10 +128,15 @@ def last_n(df: DataFrame, key: str, order: str, n: int) -> DataFrame:
 
 def page_rate(beats: DataFrame) -> DataFrame:
     """Pages a second since the node's last heartbeat; 0 for the first and where time stands still."""
-    w = W.partitionBy("node_id").orderBy("seq")
-    dt = (F.unix_micros("timestamp") - F.lag(F.unix_micros("timestamp")).over(w)) / 1e6
-    dp = F.col("pages_crawled") - F.lag("pages_crawled").over(w)
-    return beats.withColumn("pages_per_sec", F.coalesce(F.when(dt > 0, dp / dt), F.lit(0.0)))
+    d = running(beats, "node_id", ["seq"], {}, before={"_us": F.unix_micros("timestamp"), "_pages": F.col("pages_crawled")})
+    dt, dp = (F.unix_micros("timestamp") - F.col("_us")) / 1e6, F.col("pages_crawled") - F.col("_pages")
+    return d.select(*beats.columns, F.coalesce(F.when(dt > 0, dp / dt), F.lit(0.0)).alias("pages_per_sec"))
+
+
+def ratio(part: Column, whole: Column, digits: int = 9) -> Column:
+    """part / whole of whole numbers, rounded half up in whole numbers."""
+    scaled = part.cast("decimal(38,0)") * F.lit(2 * 10**digits) + whole
+    return F.floor(scaled / (whole * 2).cast("decimal(38,0)")).cast("bigint") / F.lit(float(10**digits))
 
 
 def histogram(df: DataFrame, score: str, bins: int = 20) -> DataFrame:

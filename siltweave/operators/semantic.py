@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, functions as F
 
 from siltweave.functions.vectors import TINY, cosine, norm, normalised
+from siltweave.operators.ordered import running
 
 ALPHA = 0.05
 
@@ -20,12 +25,41 @@ def centroid(vectors: DataFrame, vec: str = "embedding", key: str | None = None)
     return d.select(*by, normalised(F.col("c")).alias("centroid"))
 
 
-def drifted(vectors: DataFrame, start: Column, order: str, vec: str = "embedding", key: str | None = None, alpha: float = ALPHA) -> DataFrame:
-    """The centroid after an ordered fold c <- unit((1 - alpha) c + alpha e). The fold isn't associative, so a key's vectors are gathered."""
-    by = [key] if key else []
-    d = vectors.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct(F.col(order).alias("o"), F.col(vec).alias("v")))).alias("vs"), F.first(start).alias("c0"))
-    step = lambda c, s: normalised(F.zip_with(c, s["v"], lambda x, y: (1 - alpha) * x + alpha * y))
-    return d.select(*by, F.aggregate("vs", F.col("c0"), step).alias("centroid"))
+def drifted(vectors: DataFrame, start: DataFrame, order: str, vec: str = "embedding", key: str | None = None, alpha: float = ALPHA, snapshots: list[int] | None = None) -> DataFrame:
+    """(key, n, centroid): the centroid after an ordered fold c <- unit((1 - alpha) c + alpha e) from start's, after all n vectors or after each of the numbers ``snapshots``.
+
+    The fold isn't associative, so a key's vectors go through one task, in order; it holds the centroid only.
+    """
+    by = [F.col(key).alias("_key")] if key else [F.lit(0).alias("_key")]
+    d = vectors.select(*by, F.col(order).alias("_o"), F.col(vec).cast("array<double>").alias("_v")).crossJoin(F.broadcast(start.select(F.col("centroid").alias("_c"))))
+    d = d.repartition("_key").sortWithinPartitions("_key", "_o")
+    at = set(snapshots or ())
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, n, c, out = None, 0, None, []
+        give = lambda: pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], t) for i, t in enumerate(types)], ["_key", "n", "centroid"])
+        types = None
+        for b in batches:
+            types = [b.column("_key").type, pa.int64(), pa.list_(pa.float64())]
+            keys, vs = b.column("_key").to_pylist(), b.column("_v")
+            for i, k in enumerate(keys):
+                if c is None or k != now:
+                    if c is not None and not at:
+                        out.append((now, n, c.tolist()))
+                    now, n, c = k, 0, b.column("_c")[i].values.to_numpy().copy()
+                c = (1 - alpha) * c + alpha * vs[i].values.to_numpy()
+                c /= np.sqrt((c * c).sum()) + TINY
+                n += 1
+                if n in at:
+                    out.append((now, n, c.tolist()))
+            yield give()
+            out = []
+        if c is not None and not at:
+            out.append((now, n, c.tolist()))
+            yield give()
+
+    done = d.mapInArrow(fold, f"_key {d.schema['_key'].dataType.simpleString()}, n BIGINT, centroid ARRAY<DOUBLE>")
+    return done.withColumnRenamed("_key", key) if key else done.drop("_key")
 
 
 def scored(vectors: DataFrame, topic: DataFrame, vec: str = "embedding", key: str | None = None) -> DataFrame:
@@ -39,10 +73,19 @@ def above(scores: DataFrame, threshold: float) -> DataFrame:
     return scores.filter(F.col("score").isNull() | (F.col("score") >= threshold))
 
 
+def score_batches(vectors: DataFrame, topic: DataFrame, batch: str, order: str, vec: str = "embedding", batches: DataFrame | None = None) -> DataFrame:
+    """(batch, scores): the cosines of each batch's vectors in order; an empty list for those of ``batches`` that have none."""
+    d = scored(vectors, topic, vec).groupBy(batch).agg(F.transform(F.sort_array(F.collect_list(F.struct(order, "score"))), lambda x: x["score"]).alias("scores"))
+    if batches is None:
+        return d
+    return batches.select(batch).join(d, batch, "left").withColumn("scores", F.coalesce("scores", F.array().cast("array<double>")))
+
+
 def split(df: DataFrame, key: str, label: str, test: float = 0.2) -> tuple[DataFrame, DataFrame]:
-    """A stratified split by the rank of the key's hash within its label; the same on every run."""
-    h = F.pmod(F.xxhash64(F.lit(42), key, label), F.lit(1000)) < int(test * 1000)
-    return df.filter(~h), df.filter(h)
+    """A stratified split: of each label, the share ``test`` that comes first by the MD5 of the key, rounded; the same on every run."""
+    d = running(df.withColumn("_h", F.md5(F.col(key).cast("string"))), label, ["_h", key], {})
+    held = F.col("position") < F.floor(F.col("group_size") * test + 0.5)
+    return d.filter(~held).select(*df.columns), d.filter(held).select(*df.columns)
 
 
 def fit(train: DataFrame, features: str, label: str, c: float = 1.0) -> LogisticRegressionModel:
@@ -82,4 +125,4 @@ def similarity_to(start: Column, now: Column) -> Column:
     return cosine(start, now)
 
 
-__all__ = ["TINY", "above", "centroid", "drifted", "fit", "load", "norm", "predicted", "projected", "save", "scored", "similarity_to", "split"]
+__all__ = ["TINY", "above", "centroid", "drifted", "fit", "load", "norm", "predicted", "projected", "save", "score_batches", "scored", "similarity_to", "split"]

@@ -3,31 +3,30 @@
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
+from siltweave.functions.urls import squeeze
 from siltweave.session import written
 
 PRIME = (1 << 31) - 1
 PERMS, BANDS, ROWS, SHINGLE = 128, 9, 13, 5
 
 
-def _shingles(text: str | None, k: int) -> set[str]:
-    t = (text or "").lower()
-    w = t.split()
-    return {" ".join(w[i : i + k]) for i in range(len(w) - k + 1)} if len(w) >= k else {t}
+def _every(text: Column, k: int) -> Column:
+    """The k-word shingles of a text in lower case, repeated ones too; of fewer words, the whole text."""
+    t = F.lower(F.coalesce(text, F.lit("")))
+    # the words are bound to a variable, else they would be made again for each shingle
+    make = lambda w: F.when(F.size(w) < k, F.array(t)).otherwise(F.transform(F.sequence(F.lit(1), F.size(w) - (k - 1)), lambda i: F.array_join(F.slice(w, i, k), " ")))
+    return F.flatten(F.transform(F.array(F.split(squeeze(t), " ")), make))
 
 
-def shingles(k: int = SHINGLE):
-    """The distinct k-word shingles of a text in lower case; of fewer words, the whole text."""
-
-    @F.pandas_udf("array<string>")
-    def make(texts: pd.Series) -> pd.Series:
-        return pd.Series([sorted(_shingles(t, k)) for t in texts])
-
-    return make
+def shingles(k: int = SHINGLE) -> Callable[[Column], Column]:
+    """The distinct k-word shingles of a text in lower case, in order; of fewer words, the whole text."""
+    return lambda text: F.sort_array(F.array_distinct(_every(text, k)))
 
 
 def _coefficients(perms: int) -> tuple[np.ndarray, np.ndarray]:
@@ -35,26 +34,27 @@ def _coefficients(perms: int) -> tuple[np.ndarray, np.ndarray]:
     return np.array([draw("a", i) + 1 for i in range(perms)], np.int64), np.array([draw("b", i) for i in range(perms)], np.int64)
 
 
-def minhash(perms: int = PERMS, k: int = SHINGLE):
-    """min over the shingles of (a * h + b) mod (2**31 - 1), h being the first 31 bits of a shingle's MD5."""
+def _least(batches: Iterator[pa.RecordBatch], perms: int) -> Iterator[pa.RecordBatch]:
     a, b = _coefficients(perms)
-
-    @F.pandas_udf("array<bigint>")
-    def make(texts: pd.Series) -> pd.Series:
-        out = []
-        for t in texts:
-            h = np.array([int.from_bytes(hashlib.md5(s.encode()).digest()[:4], "big") >> 1 for s in _shingles(t, k)], np.int64)
-            least = np.full(perms, PRIME, np.int64)
+    for batch in batches:
+        lists, out = batch.column(2), np.full((batch.num_rows, perms), PRIME, np.int64)
+        for r in range(batch.num_rows):
+            h = lists[r].values.to_numpy()
             for i in range(0, len(h), 4096):
-                least = np.minimum(least, ((a[:, None] * h[None, i : i + 4096] + b[:, None]) % PRIME).min(axis=1))
-            out.append(least)
-        return pd.Series(out)
+                out[r] = np.minimum(out[r], ((a[:, None] * h[None, i : i + 4096] + b[:, None]) % PRIME).min(axis=1))
+        sig = pa.ListArray.from_arrays(np.arange(0, out.size + 1, perms, dtype=np.int32), pa.array(out.ravel()))
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), sig], ["grp", "id", "sig"])
 
-    return make
 
+def signatures(docs: DataFrame, id_col: str, text_col: str, group: str, perms: int = PERMS, k: int = SHINGLE) -> DataFrame:
+    """(grp, id, sig): of each of the permutations the least of (a * h + b) mod (2**31 - 1) over the shingles, h being the first 31 bits of a shingle's MD5.
 
-def signatures(docs: DataFrame, id_col: str, text_col: str, group: str, perms: int = PERMS) -> DataFrame:
-    return docs.select(F.col(group).alias("grp"), F.col(id_col).alias("id"), minhash(perms)(F.col(text_col)).alias("sig"))
+    Shingles are made and hashed in the JVM; only their hashes go to Python, where numpy takes the least of all permutations at once.
+    """
+    h = F.transform(_every(F.col(text_col), k), lambda s: F.shiftright(F.conv(F.substring(F.md5(s), 1, 8), 16, 10).cast("bigint"), 1))
+    d = docs.select(F.col(group).alias("grp"), F.col(id_col).alias("id"), h.alias("h"))
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in d.schema[:2])
+    return d.mapInArrow(lambda it: _least(it, perms), f"{kinds}, sig ARRAY<BIGINT>")
 
 
 def candidates(sigs: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
@@ -65,28 +65,25 @@ def candidates(sigs: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFra
     return d.withColumnRenamed("id", "a").join(other, ["grp", "band", "hash"]).filter("a < b").select("grp", "a", "b").distinct()
 
 
-def verified(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, threshold: float = 0.8, k: int = SHINGLE) -> DataFrame:
-    """The pairs whose shingle sets have a Jaccard similarity above the threshold, with it."""
-    used = pairs.select(F.explode(F.array("a", "b")).alias(id_col)).distinct()
-    d = docs.select(id_col, text_col).join(used, id_col, "left_semi").select(F.col(id_col), F.transform(shingles(k)(F.col(text_col)), lambda s: F.xxhash64(s)).alias("s"))
-    side = lambda c: d.select(F.col(id_col).alias(c), F.col("s").alias(f"s{c}"))
-    both = F.size(F.array_intersect("sa", "sb"))
-    j = both / (F.size("sa") + F.size("sb") - both)
-    return pairs.join(side("a"), "a").join(side("b"), "b").select("grp", "a", "b", j.alias("jaccard")).filter(F.col("jaccard") > threshold)
-
-
 def exact_pairs(docs: DataFrame, id_col: str, text_col: str, group: str, threshold: float = 0.8, k: int = SHINGLE) -> DataFrame:
-    """All pairs of a group above the threshold, by prefix filtering: such pairs share one of the rarest shingles of each."""
-    s = docs.select(F.col(group).alias("grp"), F.col(id_col).alias("id"), F.explode(shingles(k)(F.col(text_col))).alias("s")).select("grp", "id", F.xxhash64("s").alias("h"))
+    """(grp, a, b, jaccard): all pairs of a group above the threshold, by prefix filtering: such pairs share one of the rarest shingles of each.
+
+    The shingles are made once; pairs are verified on the hashed sets.
+    """
+    s = docs.select(F.col(group).alias("grp"), F.col(id_col).alias("id"), F.explode(F.transform(_every(F.col(text_col), k), lambda s: F.xxhash64(s))).alias("h"))
     s = written(s.distinct(), "shingles")
     df = s.groupBy("grp", "h").agg(F.count("*").alias("df"))
     sets = s.join(df, ["grp", "h"]).groupBy("grp", "id").agg(F.sort_array(F.collect_list(F.struct("df", "h"))).alias("x"))
-    keep = F.size("x") - F.ceil(F.size("x") * F.lit(threshold)).cast("int") + 1
-    p = sets.select("grp", "id", F.size("x").alias("n"), F.explode(F.slice(F.col("x.h"), F.lit(1), keep)).alias("h"))
+    sets = written(sets.select("grp", "id", F.col("x.h").alias("hs")), "sets")
+    keep = F.size("hs") - F.ceil(F.size("hs") * F.lit(threshold)).cast("int") + 1
+    p = sets.select("grp", "id", F.size("hs").alias("n"), F.explode(F.slice("hs", F.lit(1), keep)).alias("h"))
     q = p.select("grp", F.col("id").alias("b"), F.col("n").alias("m"), "h")
     near = p.withColumnRenamed("id", "a").join(q, ["grp", "h"]).filter((F.col("a") < F.col("b")) & (F.least("n", "m") > threshold * F.greatest("n", "m")))
     pairs = written(near.select("grp", "a", "b").distinct(), "prefix-pairs")
-    return verified(pairs, docs, id_col, text_col, threshold, k)
+    side = lambda c: sets.select("grp", F.col("id").alias(c), F.col("hs").alias(f"s{c}"))
+    both = F.size(F.array_intersect("sa", "sb"))
+    j = both / (F.size("sa") + F.size("sb") - both)
+    return pairs.join(side("a"), ["grp", "a"]).join(side("b"), ["grp", "b"]).select("grp", "a", "b", j.alias("jaccard")).filter(F.col("jaccard") > threshold)
 
 
 def greedy_duplicates(edges: DataFrame) -> DataFrame:
@@ -115,12 +112,16 @@ def greedy_duplicates(edges: DataFrame) -> DataFrame:
 
 
 def redundancy(docs: DataFrame, id_col: str, text_col: str, group: str) -> DataFrame:
-    """(grp, total, duplicates, redundancy): the greedy rate of near duplicates by banded MinHash."""
-    pairs = written(candidates(written(signatures(docs, id_col, text_col, group), "signatures")), "pairs")
-    dup = greedy_duplicates(pairs).groupBy("grp").agg(F.count("*").alias("duplicates"))
-    total = docs.groupBy(F.col(group).alias("grp")).agg(F.count("*").alias("total"))
-    n = F.coalesce("duplicates", F.lit(0))
-    return total.join(dup, "grp", "left").select("grp", "total", n.alias("duplicates"), (n / F.col("total")).alias("redundancy"))
+    """(grp, total, duplicates, redundancy): the greedy rate of near duplicates by banded MinHash.
+
+    Rows of one signature collide with the same others, so all but the first are duplicates, and only the first ones are paired.
+    """
+    sigs = written(signatures(docs, id_col, text_col, group), "signatures")
+    one = written(sigs.groupBy("grp", "sig").agg(F.min("id").alias("id"), F.count("*").alias("n")), "distinct-signatures")
+    gone = greedy_duplicates(written(candidates(one), "pairs")).groupBy("grp").agg(F.count("*").alias("near"))
+    total = one.groupBy("grp").agg(F.sum("n").alias("total"), F.sum(F.col("n") - 1).alias("copies"))
+    n = F.coalesce("near", F.lit(0)) + F.col("copies")
+    return total.join(gone, "grp", "left").select("grp", "total", n.alias("duplicates"), (n / F.col("total")).alias("redundancy"))
 
 
 def url_text(url: Column, text: Column | None = None) -> Column:

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from siltweave.functions import bloom, html, urls, vectors
 from siltweave.operators import cluster, crawl, frontier, metrics, semantic, similarity
+from siltweave.operators.ordered import running
 from siltweave.session import shared_folder
 from siltweave.sources import crawl_log, responses
 from siltweave.streaming import streams
@@ -20,7 +21,8 @@ LOG = """log AS (SELECT event_id AS seq, ts AS "timestamp", 'node-' || ((user_id
  CASE user_id % 3 WHEN 0 THEN 'bfs' WHEN 1 THEN 'link_priority' ELSE 'semantic' END AS mode, CAST(1 + event_id % 3 AS INT) AS run,
  'http://h' || (user_id % 50) || '.example.com/' || event_type || '/' || event_id AS url, CAST(round(value * 1000) AS BIGINT) AS bytes_downloaded, value AS fetch_latency_ms,
  CASE WHEN event_type = 'error' THEN 0 ELSE 200 END AS status_code, (event_type <> 'error' AND CAST(json_extract_string(props, '$.k') AS INT) >= 50) AS is_relevant,
- CASE WHEN event_type = 'error' THEN 'fetch failed' ELSE '' END AS error FROM events)"""
+ CASE WHEN event_type = 'error' THEN 'fetch failed' ELSE '' END AS error,
+ 'page of user ' || user_id || ' on ' || event_type || ' with about ' || CAST(floor(value) AS BIGINT) || ' points' AS page_text FROM events)"""
 COUNTED = LOG + """, counted AS (SELECT *, count(*) OVER w AS cumulative_pages, CAST(sum(CAST(is_relevant AS BIGINT)) OVER w AS BIGINT) AS cumulative_relevant FROM log
  WINDOW w AS (PARTITION BY mode, run, node_id ORDER BY seq ROWS UNBOUNDED PRECEDING))"""
 FIRST = COUNTED + ", firstrun AS (SELECT * FROM counted WHERE run = (SELECT min(run) FROM counted c WHERE c.mode = counted.mode))"
@@ -43,6 +45,11 @@ PAIRS = SIGS + """, bands AS (SELECT doc_id, lang, i // 13 AS band, list(m ORDER
 pairs AS (SELECT DISTINCT x.lang AS grp, x.doc_id AS a, y.doc_id AS b FROM bands x JOIN bands y ON x.lang = y.lang AND x.band = y.band AND x.k = y.k AND x.doc_id < y.doc_id)"""
 
 
+def ratio_sql(part: str, whole: str, digits: int = 9) -> str:
+    """A quotient of whole numbers, rounded half up in whole numbers, as ``metrics.ratio``."""
+    return f"CAST((CAST({part} AS HUGEINT) * {2 * 10**digits} + {whole}) // (2 * {whole}) AS BIGINT) / 1e{digits}::DOUBLE"
+
+
 def query(sql: str | None = None):
     """Register a query under its function's name."""
 
@@ -112,12 +119,12 @@ def src_defaults(spark: SparkSession, sf: str) -> DataFrame:
     return crawl_log.typed_log(d).select("url", "mode", "node_id", "run", "relevance_score")
 
 
-@query("WITH " + COUNTED + " SELECT mode, run, count(*) AS n, CAST(sum(bytes_downloaded) AS BIGINT) AS bytes FROM counted GROUP BY mode, run")
+@query("WITH " + COUNTED + " SELECT mode, run, url, bytes_downloaded, cumulative_relevant FROM counted")
 def src_multi_mode(spark: SparkSession, sf: str) -> DataFrame:
     root = f"{shared_folder(spark)}/modes-{uuid.uuid4().hex[:8]}"
     d = counted(spark, sf).drop("seq").withColumns({"timestamp": F.unix_micros("timestamp") / 1e6, "m": F.col("mode"), "r": F.col("run")})
     d.write.partitionBy("m", "r").csv(root, header=True, escape='"')
-    return crawl_log.read_modes(spark, {m: [f"{root}/m={m}/r={r}" for r in (1, 2, 3)] for m in crawl_log.MODES}).groupBy("mode", "run").agg(F.count("*").alias("n"), F.sum("bytes_downloaded").alias("bytes"))
+    return crawl_log.read_modes(spark, {m: [f"{root}/m={m}/r={r}" for r in (1, 2, 3)] for m in crawl_log.MODES}).select("mode", "run", "url", "bytes_downloaded", "cumulative_relevant")
 
 
 @query("""WITH g AS (SELECT id, id % 3000 AS i, CAST(1 + (id // 3000) % 3 AS INT) AS run, ['bfs', 'link_priority', 'semantic'][1 + id // 9000] AS mode, md5(CAST(id AS VARCHAR)) AS h FROM range(27000) t(id)),
@@ -180,20 +187,51 @@ def snk_links(spark: SparkSession, sf: str) -> DataFrame:
     return crawl_log.first_links(d, "n")
 
 
-@query("WITH " + LOG + " SELECT mode, run, count(*) AS n FROM log GROUP BY ALL")
+@query("WITH " + LOG + " SELECT seq, node_id, run, url, bytes_downloaded, status_code, is_relevant, nullif(error, '') AS error, page_text, mode FROM log")
 def snk_csv(spark: SparkSession, sf: str) -> DataFrame:
     """Written by mode and read back."""
     path = f"{shared_folder(spark)}/log-{uuid.uuid4().hex[:8]}"
     crawl_log.write_log(log_of(spark, sf), path, "csv")
-    return spark.read.schema("seq BIGINT, timestamp STRING, node_id STRING, run INT, url STRING, bytes_downloaded BIGINT, fetch_latency_ms DOUBLE, status_code INT, is_relevant BOOLEAN, error STRING, mode STRING").csv(path).groupBy("mode", "run").agg(F.count("*").alias("n"))
+    kinds = "seq BIGINT, timestamp STRING, node_id STRING, run INT, url STRING, bytes_downloaded BIGINT, fetch_latency_ms DOUBLE, status_code INT, is_relevant BOOLEAN, error STRING, page_text STRING, mode STRING"
+    return spark.read.schema(kinds).csv(path).drop("timestamp", "fetch_latency_ms")
+
+
+RUN_SQL = """ SELECT count(*) AS total_pages, CAST(sum(CAST(is_relevant AS INT)) AS BIGINT) AS total_relevant, round_even((max(epoch_us("timestamp")) - min(epoch_us("timestamp"))) / 1e6, 2) AS duration_sec, round_even(count(*) / ((max(epoch_us("timestamp")) - min(epoch_us("timestamp"))) / 1e6), 2) AS pages_per_sec FROM log"""
 
 
-@query("WITH " + LOG + " SELECT count(*) AS total_pages, CAST(sum(CAST(is_relevant AS INT)) AS BIGINT) AS total_relevant FROM log")
+@query("WITH " + LOG + RUN_SQL)
 def snk_summary(spark: SparkSession, sf: str) -> DataFrame:
     """A run's summary as JSON, read back."""
     path = f"{shared_folder(spark)}/summary-{uuid.uuid4().hex[:8]}"
     crawl_log.write_summary(metrics.run_summary(log_of(spark, sf)), path, "json")
-    return spark.read.schema("total_pages BIGINT, total_relevant BIGINT").json(path)
+    return spark.read.schema("total_pages BIGINT, total_relevant BIGINT, duration_sec DOUBLE, pages_per_sec DOUBLE").json(path)
+
+
+@query("SELECT 0::BIGINT AS differing, count(*) AS vectors FROM embeddings")
+def snk_model(spark: SparkSession, sf: str) -> DataFrame:
+    """A classifier that was saved and loaded says the same of every vector."""
+    v = embeddings_of(spark, sf).withColumn("y", (F.col("label") == 0).cast("int"))
+    path = f"{shared_folder(spark)}/model-{uuid.uuid4().hex[:8]}"
+    model = semantic.fit(v, "embedding", "y")
+    semantic.save(model, path)
+    both = semantic.predicted(v, model, "embedding").select("vec_id", F.col("probability").alias("p")).join(semantic.predicted(v, semantic.load(path), "embedding").select("vec_id", "probability"), "vec_id")
+    return both.agg(F.count_if(F.abs(F.col("p") - F.col("probability")) > 1e-12).alias("differing"), F.count("*").alias("vectors"))
+
+
+@query("SELECT * FROM (VALUES (0, 'a.csv'), (1, 'b/c.csv'), (2, 'd')) t(place, path)")
+def src_path_list(spark: SparkSession, sf: str) -> DataFrame:
+    return spark.createDataFrame(list(enumerate(urls.split_paths(" a.csv, b/c.csv ,,d,"))), "place INT, path STRING")
+
+
+@query("SELECT * FROM (VALUES ('kept_pages')) t(name)")
+def cat_flush(spark: SparkSession, sf: str) -> DataFrame:
+    """The views of a run go, others stay."""
+    for name in ("crawl_log", "crawl_pages", "kept_pages"):
+        table(spark, sf, "pages").createOrReplaceTempView(name)
+    crawl_log.clear(spark, "crawl_")
+    left = [(t.name,) for t in spark.catalog.listTables() if t.isTemporary and t.name in ("crawl_log", "crawl_pages", "kept_pages")]
+    spark.catalog.dropTempView("kept_pages")
+    return spark.createDataFrame(left, "name STRING")
 
 
 # filters
@@ -369,16 +407,16 @@ def fn_urlcontext(spark: SparkSession, sf: str) -> DataFrame:
     return d.select("page_id", urls.url_context(F.col("a"), F.concat("a", F.lit(" "), "url"), F.col("url")).alias("context"))
 
 
-@query("WITH " + SHINGLES + " SELECT doc_id, count(*) AS n, min(s) AS least, max(s) AS most FROM sh GROUP BY doc_id")
+@query("WITH " + SHINGLES + " SELECT doc_id, count(*) AS n, md5(string_agg(s, '|' ORDER BY s)) AS digest FROM sh GROUP BY doc_id")
 def fn_shingle(spark: SparkSession, sf: str) -> DataFrame:
     d = table(spark, sf, "documents").select("doc_id", similarity.shingles()(F.col("text")).alias("s"))
-    return d.select("doc_id", F.size("s").cast("bigint").alias("n"), F.array_min("s").alias("least"), F.array_max("s").alias("most"))
+    return d.select("doc_id", F.size("s").cast("bigint").alias("n"), F.md5(F.array_join("s", "|")).alias("digest"))
 
 
 @query("WITH " + SIGS + " SELECT doc_id, CAST(i AS INT) AS i, m FROM mh")
 def fn_minhash(spark: SparkSession, sf: str) -> DataFrame:
-    d = table(spark, sf, "documents").select("doc_id", similarity.minhash()(F.col("text")).alias("sig"))
-    return d.select("doc_id", F.posexplode("sig").alias("i", "m"))
+    d = similarity.signatures(table(spark, sf, "documents"), "doc_id", "text", "lang")
+    return d.select(F.col("id").alias("doc_id"), F.posexplode("sig").alias("i", "m"))
 
 
 @query(SCORES + "SELECT vec_id, round(score, 6) AS score FROM s")
@@ -393,10 +431,15 @@ def fn_normalize(spark: SparkSession, sf: str) -> DataFrame:
     return d.select("vec_id", (F.col("i") + 1).alias("i"), F.round("x", 6).alias("x"))
 
 
-@query()
+EMBED = r"""WITH w AS (SELECT doc_id, unnest(regexp_split_to_array(lower(text), '\s+')) AS w FROM documents), h AS (SELECT doc_id, CAST('0x' || substr(md5(w), 1, 7) AS BIGINT) % 64 AS i, CAST('0x' || substr(md5(w), 8, 1) AS INT) % 2 AS odd FROM w WHERE w <> ''),
+v AS (SELECT doc_id, i, CAST(sum(2 * odd - 1) AS DOUBLE) AS x FROM h GROUP BY ALL), n AS (SELECT doc_id, sqrt(sum(x * x)) + 1e-10::DOUBLE AS n FROM v GROUP BY doc_id)
+SELECT d.doc_id, CAST(t.i AS INT) AS i, round(coalesce(v.x, 0) / coalesce(n.n, 1e-10::DOUBLE), 6) AS x FROM documents d CROSS JOIN range(64) t(i) LEFT JOIN v ON v.doc_id = d.doc_id AND v.i = t.i LEFT JOIN n ON n.doc_id = d.doc_id"""
+
+
+@query(EMBED)
 def fn_embed(spark: SparkSession, sf: str) -> DataFrame:
     d = table(spark, sf, "documents").select("doc_id", vectors.hashed_embedding()(F.col("text")).alias("e"))
-    return d.select("doc_id", F.round(vectors.norm(F.col("e")), 6).alias("norm"), F.size("e").alias("dims"))
+    return d.select("doc_id", F.posexplode("e").alias("i", "x")).select("doc_id", "i", (F.round("x", 6) + 0.0).alias("x"))
 
 
 @query(SCORES + "SELECT vec_id, round(-score, 6) AS priority FROM s")
@@ -483,9 +526,9 @@ def join_seen_semi(spark: SparkSession, sf: str) -> DataFrame:
     return bloom.contained(found, "url", bloom.bits(seen, "url", m, k), m, k)
 
 
-@query("WITH " + LINKS + " SELECT p.page_id, l.dst FROM pages p JOIN links l ON l.src = p.url WHERE p.page_id % 5 = 0")
+@query("WITH " + LINKS + " SELECT p.page_id, l.dst FROM pages p JOIN links l ON l.src = p.url")
 def join_outlinks(spark: SparkSession, sf: str) -> DataFrame:
-    p = table(spark, sf, "pages").filter("page_id % 5 = 0").select("page_id", F.col("url").alias("src"))
+    p = table(spark, sf, "pages").select("page_id", F.col("url").alias("src"))
     return p.join(links_of(spark, sf).select("src", "dst"), "src").select("page_id", "dst")
 
 
@@ -531,9 +574,10 @@ def join_metric_runs(spark: SparkSession, sf: str) -> DataFrame:
 # aggregates
 
 
-@query("WITH " + LOG + " SELECT mode, round(avg(CAST(is_relevant AS INT)), 9) AS harvest_rate FROM log GROUP BY mode")
+@query("WITH " + LOG + " SELECT mode, " + ratio_sql("sum(CAST(is_relevant AS BIGINT))", "count(*)") + " AS harvest_rate FROM log GROUP BY mode")
 def agg_harvest(spark: SparkSession, sf: str) -> DataFrame:
-    return metrics.harvest_rate(log_of(spark, sf)).withColumn("harvest_rate", F.round("harvest_rate", 9))
+    d = log_of(spark, sf).groupBy("mode").agg(F.sum(metrics.relevant()).alias("relevant"), F.count("*").alias("pages"))
+    return metrics.harvest_rate(log_of(spark, sf)).join(d, "mode").select("mode", F.when(F.abs(F.col("harvest_rate") - F.col("relevant") / F.col("pages")) < 1e-12, metrics.ratio(F.col("relevant"), F.col("pages"))).alias("harvest_rate"))
 
 
 @query("WITH " + LOG + " SELECT mode, count(*) AS pages, CAST(sum(CAST(is_relevant AS INT)) AS BIGINT) AS relevant, round_even(CAST(sum(bytes_downloaded) AS DOUBLE) / 1e6, 1) AS mb FROM log GROUP BY mode")
@@ -560,12 +604,12 @@ RANKED = "nodes AS (SELECT lang AS grp, doc_id, row_number() OVER (ORDER BY doc_
 GREEDY = "WITH RECURSIVE " + PAIRS + ", " + RANKED + """, walk(k, kept) AS (SELECT 0::BIGINT, CAST([] AS BIGINT[]) UNION ALL
 SELECT n.k, CASE WHEN EXISTS (SELECT 1 FROM pairs p WHERE p.b = n.doc_id AND list_contains(w.kept, p.a)) THEN w.kept ELSE list_append(w.kept, n.doc_id) END FROM walk w JOIN nodes n ON n.k = w.k + 1),
 final AS (SELECT kept FROM walk ORDER BY k DESC LIMIT 1), dup AS (SELECT grp, count(*) AS d FROM nodes, final WHERE NOT list_contains(kept, doc_id) GROUP BY grp)
-SELECT t.lang AS grp, count(*) AS total, coalesce(any_value(d), 0) AS duplicates, round(coalesce(any_value(d), 0) / count(*), 9) AS redundancy FROM documents t LEFT JOIN dup ON dup.grp = t.lang GROUP BY t.lang"""
+SELECT t.lang AS grp, count(*) AS total, coalesce(any_value(d), 0) AS duplicates, """ + ratio_sql("coalesce(any_value(d), 0)", "count(*)") + """ AS redundancy FROM documents t LEFT JOIN dup ON dup.grp = t.lang GROUP BY t.lang"""
 
 
 @query(GREEDY)
 def agg_redundancy(spark: SparkSession, sf: str) -> DataFrame:
-    return similarity.redundancy(table(spark, sf, "documents"), "doc_id", "text", "lang").withColumn("redundancy", F.round("redundancy", 9))
+    return similarity.redundancy(table(spark, sf, "documents"), "doc_id", "text", "lang").withColumn("redundancy", metrics.ratio(F.col("duplicates"), F.col("total")))
 
 
 @query("WITH " + LOG + " SELECT mode, round(avg(m), 9) AS mean, round(stddev_pop(m), 9) AS std FROM (SELECT mode, run, avg(CAST(is_relevant AS INT)) AS m FROM log GROUP BY ALL) GROUP BY mode")
@@ -574,9 +618,19 @@ def agg_mean_std(spark: SparkSession, sf: str) -> DataFrame:
     return d.select("mode", F.round("mean", 9).alias("mean"), F.round("std", 9).alias("std"))
 
 
-SUMMARY = "WITH " + LOG + f""", a AS (SELECT mode, avg(CAST(is_relevant AS INT)) AS hr, CAST(sum(bytes_downloaded) AS DOUBLE) / 1e6 AS mb, sum(CAST(is_relevant AS INT)) AS rel, {THROUGHPUT} AS t, {CROSS} AS c, count(*) AS pages FROM log GROUP BY mode)
+# the greedy walk over the rows of a mode that share a band with another; of equal signatures only the first can be kept
+SUMMARY = "WITH RECURSIVE " + LOG + f""", w AS (SELECT mode AS lang, run * 10000000000000000::BIGINT + epoch_us("timestamp") AS doc_id, lower(page_text) AS t, string_split(lower(page_text), ' ') AS ws FROM log),
+sh AS (SELECT DISTINCT doc_id, lang, s FROM (SELECT doc_id, lang, unnest(CASE WHEN len(ws) < 5 THEN [t] ELSE list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i : i + 4], ' ')) END) AS s FROM w))"""
+SUMMARY += PAIRS[len(SHINGLES) :] + """, sig AS (SELECT lang, doc_id, md5(string_agg(m, ',' ORDER BY i)) AS sg FROM mh GROUP BY ALL), firsts AS (SELECT lang, min(doc_id) AS doc_id FROM sig GROUP BY lang, sg),
+few AS (SELECT p.* FROM pairs p JOIN firsts x ON x.lang = p.grp AND x.doc_id = p.a JOIN firsts y ON y.lang = p.grp AND y.doc_id = p.b),
+nodes AS (SELECT lang AS grp, doc_id, row_number() OVER (ORDER BY lang, doc_id) AS k FROM firsts f WHERE EXISTS (SELECT 1 FROM few WHERE few.grp = f.lang AND (few.a = f.doc_id OR few.b = f.doc_id))),
+walk(k, kept) AS (SELECT 0::BIGINT, CAST([] AS BIGINT[]) UNION ALL SELECT n.k, CASE WHEN EXISTS (SELECT 1 FROM few p WHERE p.grp = n.grp AND p.b = n.doc_id AND list_contains(w.kept, p.a)) THEN w.kept ELSE list_append(w.kept, n.doc_id) END FROM walk w JOIN nodes n ON n.k = w.k + 1),
+final AS (SELECT kept FROM walk ORDER BY k DESC LIMIT 1), near AS (SELECT grp, count(*) AS d FROM nodes, final WHERE NOT list_contains(kept, doc_id) GROUP BY grp),
+red AS (SELECT l.mode, (count(*) - (SELECT count(*) FROM firsts f WHERE f.lang = l.mode) + coalesce((SELECT d FROM near WHERE near.grp = l.mode), 0)) / count(*) AS redundancy FROM log l GROUP BY l.mode),
+"""
+SUMMARY += f"""a AS (SELECT mode, avg(CAST(is_relevant AS INT)) AS hr, CAST(sum(bytes_downloaded) AS DOUBLE) / 1e6 AS mb, sum(CAST(is_relevant AS INT)) AS rel, {THROUGHPUT} AS t, {CROSS} AS c, count(*) AS pages FROM log GROUP BY mode)
 SELECT CAST(list_position(['bfs', 'link_priority', 'semantic'], mode) AS INT) AS place, CASE mode WHEN 'bfs' THEN 'BFS baseline' WHEN 'link_priority' THEN 'Link-priority' ELSE 'Semantic (ours)' END AS mode, printf('%.1f', hr * 100) AS harvest_pct,
-CASE WHEN rel > 0 THEN printf('%.2f', mb / rel) ELSE '∞' END AS mb_per_relevant, printf('%.1f', 0.0::DOUBLE) AS redundancy_pct, printf('%.2f', t) AS throughput, printf('%.1f', c / 1e3) AS cross_node_kb, pages FROM a"""
+CASE WHEN rel > 0 THEN printf('%.2f', mb / rel) ELSE '∞' END AS mb_per_relevant, printf('%.1f', redundancy * 100) AS redundancy_pct, printf('%.2f', t) AS throughput, printf('%.1f', c / 1e3) AS cross_node_kb, pages FROM a JOIN red USING (mode)"""
 
 
 @query(SUMMARY)
@@ -655,7 +709,7 @@ last AS (SELECT label, arg_max(c, k) AS c FROM f GROUP BY label) SELECT label, C
 def agg_centroid_ema(spark: SparkSession, sf: str) -> DataFrame:
     """From the centroid of label 0, each label's vectors move it in order of id."""
     v = embeddings_of(spark, sf)
-    d = semantic.drifted(v.crossJoin(F.broadcast(topic_of(v).withColumnRenamed("centroid", "c0"))), F.col("c0"), "vec_id", key="label")
+    d = semantic.drifted(v, topic_of(v), "vec_id", key="label")
     return d.select("label", F.posexplode("centroid").alias("i", "x")).select("label", (F.col("i") + 1).alias("i"), F.round("x", 6).alias("x"))
 
 
@@ -712,9 +766,9 @@ def win_cum_counters(spark: SparkSession, sf: str) -> DataFrame:
 ORDERED = "ORDER BY \"timestamp\", node_id, seq"
 
 
-@query("WITH " + FIRST + f", b AS (SELECT mode, row_number() OVER w - 1 AS position, CAST(sum(bytes_downloaded) OVER w AS DOUBLE) / 1e6 AS b, sum(CAST(is_relevant AS INT)) OVER w AS r FROM firstrun WINDOW w AS (PARTITION BY mode {ORDERED} ROWS UNBOUNDED PRECEDING)) SELECT mode, CAST(position AS INT) AS position, round(CASE WHEN r > 0 THEN b / r END, 9) AS mb_per_relevant FROM b")
+@query("WITH " + FIRST + f", b AS (SELECT mode, row_number() OVER w - 1 AS position, CAST(sum(bytes_downloaded) OVER w AS BIGINT) AS bytes, CAST(sum(CAST(is_relevant AS INT)) OVER w AS BIGINT) AS relevant FROM firstrun WINDOW w AS (PARTITION BY mode {ORDERED} ROWS UNBOUNDED PRECEDING)) SELECT mode, CAST(position AS INT) AS position, bytes, relevant, CASE WHEN relevant > 0 THEN (2000 * bytes + relevant) // (2 * relevant) / 1e9::DOUBLE END AS mb_per_relevant FROM b")
 def win_bandwidth(spark: SparkSession, sf: str) -> DataFrame:
-    return metrics.bandwidth(counted(spark, sf)).withColumn("mb_per_relevant", F.round("mb_per_relevant", 9))
+    return metrics.bandwidth(counted(spark, sf))
 
 
 DEPTH = "WITH " + FIRST + f", d AS (SELECT *, row_number() OVER (PARTITION BY mode {ORDERED}) - 1 AS position, count(*) OVER (PARTITION BY mode) AS n, avg(CAST(is_relevant AS INT)) OVER (PARTITION BY mode {ORDERED} ROWS UNBOUNDED PRECEDING) AS r FROM firstrun), xs AS (SELECT DISTINCT mode, CASE WHEN n = 1 THEN 0 ELSE j * (n - 1) // (least(100, n) - 1) END AS position FROM d, range(100) t(j) WHERE j < least(100, n)) "
@@ -859,19 +913,39 @@ def width_of(pages: DataFrame) -> int:
     return max(1, -(-pages.count() // 6))
 
 
-@query()
+@query(("WITH RECURSIVE " + SKEWED + """, st(round, done, new) AS (SELECT 0, [0::BIGINT], [{'page': 0::BIGINT, 'priority': 0.0::DOUBLE}] UNION ALL
+SELECT st.round + 1, list_concat(st.done, list_transform(x.new, lambda q: q.page)), x.new FROM st, LATERAL (SELECT list({'page': page, 'priority': priority} ORDER BY priority DESC, page)[1 : (SELECT greatest(1, CAST(ceil(count(*) / 6) AS BIGINT)) FROM pages)] AS new FROM (SELECT dst AS page, CAST(count(*) AS DOUBLE) AS priority FROM skewed WHERE list_contains(st.done, src) AND NOT list_contains(st.done, dst) GROUP BY dst) f) x WHERE len(x.new) > 0)
+SELECT u.page, CAST(round AS INT) AS round, {0} AS priority FROM (SELECT round, unnest(new) AS u FROM st)""").replace("{0}", "u.priority"))
 def it_crawl_link(spark: SparkSession, sf: str) -> DataFrame:
     p = table(spark, sf, "pages")
     return crawl.crawl_best_first(crawl.derived_edges(p, skew=10), spark.range(1).select(F.col("id").alias("page")), crawl.inbound_priority, width_of(p))
 
 
-@query()
+@query(("WITH RECURSIVE " + EDGES + ", " + CENTROID + ", sc AS (SELECT vec_id, list_sum(list_transform(list_zip(e, c), lambda z: z[1] * z[2])) / ((sqrt(list_sum(list_transform(e, lambda x: x * x))) + 1e-10) * (sqrt(list_sum(list_transform(c, lambda x: x * x))) + 1e-10)) AS score FROM v, c)" + """, ps AS (SELECT page_id AS page, score FROM pages JOIN sc ON vec_id = page_id % (SELECT count(*) FROM embeddings)), st(round, done, new) AS (SELECT 0, [0::BIGINT], [{'page': 0::BIGINT, 'priority': 0.0::DOUBLE}] UNION ALL
+SELECT st.round + 1, list_concat(st.done, list_transform(x.new, lambda q: q.page)), x.new FROM st, LATERAL (SELECT list({'page': page, 'priority': priority} ORDER BY priority DESC, page)[1 : (SELECT greatest(1, CAST(ceil(count(*) / 6) AS BIGINT)) FROM pages)] AS new FROM (SELECT page, score AS priority FROM ps WHERE page IN (SELECT dst FROM edges WHERE list_contains(st.done, src)) AND NOT list_contains(st.done, page)) f) x WHERE len(x.new) > 0)
+SELECT u.page, CAST(round AS INT) AS round, {0} AS priority FROM (SELECT round, unnest(new) AS u FROM st)""").replace("{0}", "round(u.priority, 6)"))
 def it_crawl_semantic(spark: SparkSession, sf: str) -> DataFrame:
     p, v = table(spark, sf, "pages"), embeddings_of(spark, sf)
     n = v.agg(F.count("*").alias("n"))
     s = semantic.scored(v, topic_of(v)).select("vec_id", "score")
     scores = p.select(F.col("page_id").alias("page")).crossJoin(F.broadcast(n)).withColumn("vec_id", F.col("page") % F.col("n")).join(s, "vec_id").select("page", "score")
-    return crawl.crawl_best_first(crawl.derived_edges(p), spark.range(1).select(F.col("id").alias("page")), crawl.score_priority(scores), width_of(p))
+    return crawl.crawl_best_first(crawl.derived_edges(p), spark.range(1).select(F.col("id").alias("page")), crawl.score_priority(scores), width_of(p)).withColumn("priority", F.round("priority", 6))
+
+
+@query("WITH RECURSIVE " + EDGES + ", bfs(page, depth) AS (SELECT 0::BIGINT, 0 UNION SELECT e.dst, b.depth + 1 FROM bfs b JOIN edges e ON e.src = b.page WHERE b.depth < 60) SELECT page, CAST(min(depth) AS INT) AS round, CASE WHEN page = 0 THEN 0.0 ELSE page % 7 END::DOUBLE AS priority FROM bfs GROUP BY page")
+def udf_priority(spark: SparkSession, sf: str) -> DataFrame:
+    """A caller's own priority; with room for the whole frontier a round is a depth."""
+    p = table(spark, sf, "pages")
+    own = lambda frontier, seen: frontier.select("page", (F.col("page") % 7).alias("priority"))
+    return crawl.crawl_best_first(crawl.derived_edges(p), spark.range(1).select(F.col("id").alias("page")), own, max(1, p.count()))
+
+
+@query("WITH " + PUSHES + " SELECT url, seq, node_id, CAST(row_number() OVER (ORDER BY node_id DESC, priority, seq) - 1 AS BIGINT) AS place FROM pushes")
+def udf_frontier(spark: SparkSession, sf: str) -> DataFrame:
+    """A caller's own order: by node, then by priority. The place in it is part of the result."""
+    mine = [F.desc("node_id"), F.asc("priority"), F.asc("seq")]
+    d = frontier.ordered(pushes_of(spark, sf), mine).withColumn("_part", F.spark_partition_id()).withColumn("_id", F.monotonically_increasing_id())
+    return running(d.withColumn("_none", F.lit(0)), "_none", ["_id"], {}).select("url", "seq", "node_id", F.col("position").alias("place"))
 
 
 @query("WITH " + LINKS + ", r AS (SELECT page_id, url, CASE WHEN page_id % 7 = 0 THEN 0 ELSE 200 END AS s FROM pages) SELECT DISTINCT dst AS url FROM resolved JOIN r ON r.url = resolved.src AND s = 200 WHERE dst NOT IN (SELECT dst FROM resolved JOIN pages p ON p.url = resolved.src WHERE p.page_id % 3 = 0)")
@@ -884,6 +958,20 @@ def it_process(spark: SparkSession, sf: str) -> DataFrame:
     return crawl.process(r, l, seen)[1].select("url")
 
 
+def fetch_results_of(spark: SparkSession, sf: str) -> DataFrame:
+    p = table(spark, sf, "pages")
+    return p.select("url", F.when(F.col("page_id") % 7 == 0, 0).otherwise(200).alias("status_code"), "html", F.when(F.col("page_id") % 7 == 0, "timed out").alias("error"), F.concat(F.lit("node-"), F.col("page_id") % 3).alias("node_id"), F.col("page_id").alias("seq"))
+
+
+@query("""WITH r AS (SELECT page_id AS seq, url, 'node-' || (page_id % 3) AS node_id, CASE WHEN page_id % 7 = 0 THEN 0 ELSE 200 END AS status_code, CASE WHEN page_id % 7 = 0 THEN 'timed out' ELSE '' END AS error, page_id % 7 <> 0 AND length(html) % 2 = 0 AS is_relevant FROM pages)
+SELECT seq, url, node_id, CAST(status_code AS INT) AS status_code, error, is_relevant, count(*) OVER w AS cumulative_pages, CAST(sum(CAST(is_relevant AS INT)) OVER w AS BIGINT) AS cumulative_relevant FROM r WINDOW w AS (PARTITION BY node_id ORDER BY seq ROWS UNBOUNDED PRECEDING)""")
+def udf_relevance(spark: SparkSession, sf: str) -> DataFrame:
+    """The log of a batch under a caller's own test of relevance: pages of an even length."""
+    none = links_of(spark, sf).withColumnRenamed("n", "seq")
+    log = crawl.process(fetch_results_of(spark, sf), none, none.select(F.col("dst").alias("url")), F.length("html") % 2 == 0)[0]
+    return log.select("seq", "url", "node_id", "status_code", "error", "is_relevant", "cumulative_pages", "cumulative_relevant")
+
+
 # partitions
 
 
@@ -903,9 +991,15 @@ def par_route(spark: SparkSession, sf: str) -> DataFrame:
     return routed_of(spark, sf)
 
 
-@query("WITH " + LOG + """ SELECT seq, length('{"url": "' || url || '", "priority": ' || CAST(seq / 4 AS DOUBLE) || ', "metadata": {"depth": ' || run || ', "src": "http://s/"}, "forwarded_from": "' || node_id || '"}') AS chars FROM log""")
+ODD_URL = "CASE seq % 4 WHEN 0 THEN '' WHEN 1 THEN 'é' WHEN 2 THEN 'a\"b' ELSE '🙂ü' END"
+
+
+@query("WITH " + LOG + """ SELECT seq, length('{"url": "' || url || CASE seq % 4 WHEN 0 THEN '' WHEN 1 THEN '\\u00e9' WHEN 2 THEN 'a\\"b' ELSE '\\ud83d\\ude42\\u00fc' END || '", "priority": ' || CAST(seq / 4 AS DOUBLE) || ', "metadata": {"depth": ' || run || ', "src": "http://s/"}, "forwarded_from": "' || node_id || '"}') AS chars FROM log""")
 def par_bytes(spark: SparkSession, sf: str) -> DataFrame:
-    return messages_of(spark, sf).select("seq", urls.message_chars(F.col("value")).cast("bigint").alias("chars"))
+    """Lengths of messages, with URLs that hold quotation marks and letters beyond ASCII."""
+    odd = log_of(spark, sf).withColumn("url", F.concat("url", F.expr(ODD_URL)))
+    m = urls.encode_message(F.col("url"), F.col("seq") / 4, F.col("run"), F.lit("http://s/"), F.col("node_id"))
+    return odd.select("seq", urls.message_chars(m).cast("bigint").alias("chars"))
 
 
 @query("WITH " + LIVE + ", alive AS (SELECT node_id, row_number() OVER (ORDER BY node_id) - 1 AS k FROM live WHERE NOT dead) SELECT CAST(p AS INT) AS \"partition\", node_id FROM range(256) t(p) JOIN alive ON k = p % (SELECT count(*) FROM alive)")
@@ -961,6 +1055,13 @@ def str_minute_bytes(spark: SparkSession, sf: str) -> DataFrame:
     return streams.run_to_table(streams.minute_bytes(d), "complete")
 
 
+@query("WITH " + LOG + ", g AS (SELECT node_id, epoch_us(\"timestamp\") // 60000000 * 60 AS \"minute\", CAST(sum(bytes_downloaded) AS BIGINT) AS bytes FROM log GROUP BY ALL) SELECT * FROM g WHERE (\"minute\" + 60) * 1000 <= (SELECT max(epoch_us(\"timestamp\")) // 1000 FROM log) - 3600000")
+def str_minute_closed(spark: SparkSession, sf: str) -> DataFrame:
+    """Minutes older than an hour are given and forgotten."""
+    d = event_stream(spark, sf).select("node_id", "timestamp", F.col("bytes_downloaded").alias("bytes"))
+    return streams.run_to_table(streams.minute_bytes(d), "append")
+
+
 @query("WITH " + LOG + " SELECT DISTINCT split_part(url, '/', 3) || '/' || split_part(url, '/', 4) AS url FROM log")
 def str_dedup(spark: SparkSession, sf: str) -> DataFrame:
     d = event_stream(spark, sf).select(F.regexp_extract("url", "^http://([^/]*/[^/]*)/", 1).alias("url"))
@@ -977,6 +1078,24 @@ def str_live_stats(spark: SparkSession, sf: str) -> DataFrame:
     return streams.run_to_table(streams.live_stats(event_stream(spark, sf)), "complete")
 
 
+@query("WITH " + LOG + """, g AS (SELECT *, epoch_us("timestamp") AS us, coalesce(epoch_us("timestamp") - lag(epoch_us("timestamp")) OVER (PARTITION BY node_id ORDER BY "timestamp") >= 60000000, true) AS fresh FROM log), s AS (SELECT *, sum(CAST(fresh AS INT)) OVER (PARTITION BY node_id ORDER BY us ROWS UNBOUNDED PRECEDING) AS k FROM g),
+x AS (SELECT node_id, min(us) AS from_us, max(us) AS until_us, arg_max(mode, us) AS mode, count(*) AS pages_crawled, CAST(sum(CAST(is_relevant AS INT)) AS BIGINT) AS relevant_count, CAST(sum(bytes_downloaded) AS BIGINT) AS bytes_downloaded FROM s GROUP BY node_id, k)
+SELECT *, round(CASE WHEN until_us > from_us THEN pages_crawled / ((until_us - from_us) / 1e6) ELSE 0 END, 6) AS pages_per_sec, round(relevant_count / pages_crawled, 6) AS harvest_rate FROM x WHERE (until_us + 60000000) // 1000 <= (SELECT max(us) // 1000 FROM g) - 60000""")
+def str_live_expiry(spark: SparkSession, sf: str) -> DataFrame:
+    """Spells of nodes that have ended, by statistics that expire after a minute."""
+    d = streams.run_to_table(streams.live_spells(event_stream(spark, sf)), "append")
+    return d.withColumns({"pages_per_sec": F.round("pages_per_sec", 6), "harvest_rate": F.round("harvest_rate", 6)})
+
+
+@query("WITH " + LOG + " SELECT count(*) AS events, count(DISTINCT node_id) AS nodes FROM log")
+def it_drain_grace(spark: SparkSession, sf: str) -> DataFrame:
+    """A running stream stops once there was nothing to do for a second; by then it has taken everything."""
+    path = f"{shared_folder(spark)}/drained-{uuid.uuid4().hex[:8]}"
+    q = event_stream(spark, sf).select("seq", "node_id").writeStream.format("parquet").option("path", path).option("checkpointLocation", f"{path}-checkpoint").trigger(processingTime="200 milliseconds").start()
+    streams.drain(q, 1.0)
+    return spark.read.schema("seq BIGINT, node_id STRING").parquet(path).agg(F.count("*").alias("events"), F.count_distinct("node_id").alias("nodes"))
+
+
 @query(last_sql(500))
 def str_scores(spark: SparkSession, sf: str) -> DataFrame:
     d = event_stream(spark, sf).select("node_id", "seq", F.col("fetch_latency_ms").alias("score"))
@@ -988,24 +1107,34 @@ def str_scores(spark: SparkSession, sf: str) -> DataFrame:
     return d.join(F.broadcast(last), ["node_id", "batch"]).select("node_id", "seq", "score")
 
 
-@query()
+NODE_CENTROID = "WITH RECURSIVE " + V + """, o AS (SELECT 'node-' || (label % 4) AS node_id, e, row_number() OVER (PARTITION BY label % 4 ORDER BY vec_id) AS k FROM v),
+f(node_id, k, c) AS (SELECT node_id, k, list_transform(e, lambda x: x / (sqrt(list_sum(list_transform(e, lambda y: y * y))) + 1e-10)) FROM o WHERE k = 1 UNION ALL SELECT o.node_id, o.k, list_transform(m.m, lambda x: x / (sqrt(list_sum(list_transform(m.m, lambda y: y * y))) + 1e-10)) FROM f JOIN o ON o.node_id = f.node_id AND o.k = f.k + 1, LATERAL (SELECT list_transform(list_zip(f.c, o.e), lambda z: 0.95::DOUBLE * z[1] + 0.05::DOUBLE * z[2]) AS m) m),
+last AS (SELECT node_id, arg_max(c, k) AS c FROM f GROUP BY node_id) SELECT node_id, CAST(i AS INT) AS i, round(c[i], 6) AS x FROM last, range(1, 65) t(i)"""
+
+
+@query(NODE_CENTROID)
 def str_centroid(spark: SparkSession, sf: str) -> DataFrame:
+    """Each node's centroid after the last batch."""
     v = streams.source(spark, f"{sf}/embeddings.parquet").select(F.concat(F.lit("node-"), F.col("label") % 4).alias("node_id"), F.col("vec_id").alias("seq"), "embedding")
     root = f"{shared_folder(spark)}/centroids-{uuid.uuid4().hex[:8]}"
-    streams.moving_centroid(v).writeStream.foreachBatch(lambda df, b: df.write.mode("overwrite").parquet(f"{root}/out/b{b}")).outputMode("update").option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start().awaitTermination()
-    d = spark.read.option("recursiveFileLookup", True).schema("node_id STRING, centroid ARRAY<DOUBLE>").parquet(f"{root}/out")
-    return d.select("node_id", F.round(vectors.norm(F.col("centroid")), 6).alias("norm"))
+    streams.moving_centroid(v).writeStream.foreachBatch(lambda df, b: df.withColumn("batch", F.lit(b)).write.mode("overwrite").parquet(f"{root}/out/b{b}")).outputMode("update").option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    d = spark.read.option("recursiveFileLookup", True).schema("node_id STRING, centroid ARRAY<DOUBLE>, batch BIGINT").parquet(f"{root}/out")
+    last = d.groupBy("node_id").agg(F.max_by("centroid", "batch").alias("c"))
+    return last.select("node_id", F.posexplode("c").alias("i", "x")).select("node_id", (F.col("i") + 1).alias("i"), F.round("x", 6).alias("x"))
 
 
 @query("WITH " + LOG + ", " + RING.format(4) + " SELECT seq, \"partition\", ring.node_id FROM log JOIN ring ON ring.\"partition\" = " + PART.format("url"))
 def str_assignment(spark: SparkSession, sf: str) -> DataFrame:
-    owners = cluster.assignment(spark, [f"node-{i}" for i in range(4)])
-    return streams.run_to_table(streams.assigned(event_stream(spark, sf).select("seq", "url"), owners, "node-0").select("seq", "partition", "node_id"))
+    """Owners come from a table that is read anew for each batch."""
+    root = f"{shared_folder(spark)}/assigned-{uuid.uuid4().hex[:8]}"
+    cluster.assignment(spark, [f"node-{i}" for i in range(4)]).write.parquet(f"{root}/owners")
+    streams.assigned_live(event_stream(spark, sf).select("seq", "url"), f"{root}/owners", "node-0", f"{root}/out").awaitTermination()
+    return spark.read.schema("seq BIGINT, partition INT, node_id STRING").parquet(f"{root}/out").select("seq", "partition", "node_id")
 
 
-@query()
+@query("WITH " + LOG + " SELECT 0 AS batch, node_id, count(*) AS pages_crawled FROM log GROUP BY node_id")
 def str_poll(spark: SparkSession, sf: str) -> DataFrame:
-    """Snapshots of live statistics, one for each batch."""
+    """Snapshots of live statistics, one for each batch; the events are one file, so there is one."""
     path = f"{shared_folder(spark)}/polls-{uuid.uuid4().hex[:8]}"
     q = streams.polled(streams.live_stats(event_stream(spark, sf)), path)
     q.processAllAvailable()
@@ -1013,14 +1142,11 @@ def str_poll(spark: SparkSession, sf: str) -> DataFrame:
     return spark.read.parquet(path).select("batch", "node_id", "pages_crawled")
 
 
-@query()
+@query("WITH " + LOG + """, d AS (SELECT seq, CAST('0x' || substr(md5(CAST(seq AS VARCHAR)), 1, 7) AS BIGINT) AS h FROM log) SELECT 'node-' || (seq % 4) AS node_id, seq, round(CASE WHEN seq % 5 < 3 THEN 0.6::DOUBLE + (h % 400) / 1000 ELSE (h % 450) / 1000 END, 6) AS score FROM d""")
 def str_mock_fallback(spark: SparkSession, sf: str) -> DataFrame:
-    """Made-up scores of a few seconds."""
-    path = f"{shared_folder(spark)}/mock-{uuid.uuid4().hex[:8]}"
-    q = streams.simulated(spark).writeStream.format("parquet").option("path", path).option("checkpointLocation", f"{path}-checkpoint").start()
-    q.awaitTermination(7)
-    q.stop()
-    return spark.read.schema("timestamp TIMESTAMP, node_id STRING, seq BIGINT, score DOUBLE").parquet(path).select("node_id", "seq", "score")
+    """Made-up scores, a row for each event in place of a tick of the clock."""
+    d = streams.made_up(event_stream(spark, sf).select("timestamp", F.col("seq").alias("value")))
+    return streams.run_to_table(d).select("node_id", "seq", F.round("score", 6).alias("score"))
 
 
 # relevance
@@ -1032,6 +1158,35 @@ def ml_score(spark: SparkSession, sf: str) -> DataFrame:
     return semantic.scored(v, topic_of(v)).select("vec_id", "label", F.round("score", 6).alias("score"))
 
 
+@query(SCORES + "SELECT CAST(t.i AS BIGINT) AS batch, CAST(coalesce(s.vec_id % 64, -1) AS INT) AS place, round(s.score, 6) AS score FROM range(100) t(i) LEFT JOIN s ON s.vec_id // 64 = t.i")
+def ml_score_batch(spark: SparkSession, sf: str) -> DataFrame:
+    """Scores of batches of vectors in order; batches without any are empty, a row without a place here."""
+    v = embeddings_of(spark, sf)
+    d = semantic.score_batches(v.withColumn("batch", F.expr("vec_id div 64")), topic_of(v), "batch", "vec_id", batches=spark.range(100).withColumnRenamed("id", "batch"))
+    return d.select("batch", F.posexplode_outer("scores").alias("place", "score")).withColumns({"place": F.coalesce("place", F.lit(-1)), "score": F.round("score", 6)})
+
+
+DRIFT = "WITH RECURSIVE " + CENTROID + """, o AS (SELECT e, row_number() OVER (ORDER BY vec_id) AS k FROM v),
+f(k, c) AS (SELECT 0::BIGINT, c.c FROM c UNION ALL SELECT o.k, list_transform(m.m, lambda x: x / (sqrt(list_sum(list_transform(m.m, lambda y: y * y))) + 1e-10)) FROM f JOIN o ON o.k = f.k + 1, LATERAL (SELECT list_transform(list_zip(f.c, o.e), lambda z: 0.95::DOUBLE * z[1] + 0.05::DOUBLE * z[2]) AS m) m)
+SELECT k AS n, round(list_sum(list_transform(list_zip(f.c, c.c), lambda z: z[1] * z[2])) / ((sqrt(list_sum(list_transform(f.c, lambda x: x * x))) + 1e-10) * (sqrt(list_sum(list_transform(c.c, lambda x: x * x))) + 1e-10)), 6) AS similarity FROM f, c WHERE k IN (100, 500, 1000)"""
+
+
+@query(DRIFT)
+def ml_drift(spark: SparkSession, sf: str) -> DataFrame:
+    """How near the centroid still is to its beginning after 100, 500 and 1000 vectors."""
+    v = embeddings_of(spark, sf)
+    d = semantic.drifted(v, topic_of(v), "vec_id", snapshots=[100, 500, 1000]).crossJoin(F.broadcast(topic_of(v).withColumnRenamed("centroid", "c0")))
+    return d.select("n", F.round(semantic.similarity_to(F.col("c0"), F.col("centroid")), 6).alias("similarity"))
+
+
+@query("WITH r AS (SELECT vec_id, label = 0 AS y, row_number() OVER (PARTITION BY label = 0 ORDER BY md5(CAST(vec_id AS VARCHAR)), vec_id) - 1 AS k, count(*) OVER (PARTITION BY label = 0) AS n FROM embeddings) SELECT vec_id, CAST(y AS INT) AS y, k < floor(n * 0.2::DOUBLE + 0.5) AS held FROM r")
+def ml_split(spark: SparkSession, sf: str) -> DataFrame:
+    """The stratified split, row by row."""
+    v = table(spark, sf, "embeddings").select("vec_id", (F.col("label") == 0).cast("int").alias("y"))
+    train, test = semantic.split(v, "vec_id", "y")
+    return train.withColumn("held", F.lit(False)).unionByName(test.withColumn("held", F.lit(True)))
+
+
 @query()
 def ml_fit(spark: SparkSession, sf: str) -> DataFrame:
     """Train on four fifths, judge on the rest: a row of figures."""

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from siltweave.functions.urls import netloc, origin
+from siltweave.operators.ordered import running
 
 REQUIRED = {"timestamp", "url", "bytes_downloaded", "fetch_latency_ms", "status_code", "is_relevant", "cumulative_pages", "cumulative_relevant"}
 MODES = ["bfs", "link_priority", "semantic"]
@@ -69,13 +70,16 @@ def from_events(events: DataFrame) -> DataFrame:
         F.when(error, 0).otherwise(200).alias("status_code"),
         (~error & (F.get_json_object("props", "$.k").cast("int") >= 50)).alias("is_relevant"),
         F.when(error, "fetch failed").otherwise("").alias("error"),
+        # what the page says: users, kinds and values come back, so some pages say the same
+        F.concat_ws(" ", F.lit("page of user"), "user_id", F.lit("on"), "event_type", F.lit("with about"), F.floor("value").cast("string"), F.lit("points")).alias("page_text"),
     )
 
 
 def with_counters(log: DataFrame) -> DataFrame:
     """Running pages and relevant pages of each node and run, in order of completion."""
-    w = W.partitionBy("mode", "run", "node_id").orderBy("seq").rowsBetween(W.unboundedPreceding, 0)
-    return log.withColumns({"cumulative_pages": F.count("*").over(w), "cumulative_relevant": F.sum(F.col("is_relevant").cast("long")).over(w)})
+    d = log.withColumn("_log", F.to_json(F.struct("mode", "run", "node_id")))
+    d = running(d, "_log", ["seq"], {"cumulative_relevant": F.coalesce(F.col("is_relevant").cast("long"), F.lit(0))})
+    return d.select(*log.columns, (F.col("position") + 1).alias("cumulative_pages"), "cumulative_relevant")
 
 
 def merged(node_logs: list[DataFrame]) -> DataFrame:
@@ -149,10 +153,9 @@ def fetch_times(requests: DataFrame, delay: float, url: str = "url", arrival: st
 
     t(i) = max(arrival(i), t(i-1) + delay) is a running maximum of arrival(i) - i * delay, shifted back.
     """
-    by = W.partitionBy("_netloc").orderBy(order)
-    d = requests.withColumn("_netloc", netloc(F.col(url))).withColumn("_i", F.row_number().over(by) - 1)
-    top = F.max(F.col(arrival) - F.col("_i") * delay).over(by.rowsBetween(W.unboundedPreceding, 0))
-    return d.withColumn("start", top + F.col("_i") * delay).drop("_netloc", "_i")
+    d = running(requests.withColumn("_netloc", netloc(F.col(url))), "_netloc", [order], {}).withColumnRenamed("position", "_i").drop("group_size")
+    d = running(d, "_netloc", [order], {}, {"_top": F.col(arrival) - F.col("_i") * delay})
+    return d.select(*requests.columns, (F.col("_top") + F.col("_i") * delay).alias("start"))
 
 
 def fetched(status: Column, html: Column) -> Column:

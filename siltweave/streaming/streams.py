@@ -9,11 +9,12 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from siltweave.functions.urls import decode_message
 from siltweave.operators.cluster import owned
-from siltweave.session import shared_folder
+from siltweave.session import delete_path, shared_folder
 
 
 def source(spark: SparkSession, path: str, files_per_batch: int = 4) -> DataFrame:
@@ -69,6 +70,22 @@ def live_stats(events: DataFrame) -> DataFrame:
     return events.groupBy("node_id").agg(F.count("*").alias("pages_crawled"), F.sum(F.col("is_relevant").cast("long")).alias("relevant_count"), F.sum("bytes_downloaded").alias("bytes_downloaded"))
 
 
+def live_spells(events: DataFrame, ttl: str = "60 seconds", late: str = "1 minute") -> DataFrame:
+    """Statistics of nodes that expire: a node's counters begin anew once it was silent for ``ttl``.
+
+    (node_id, from_us, until_us, mode, pages_crawled, relevant_count, bytes_downloaded, pages_per_sec, harvest_rate). In append mode a spell is
+    given when the watermark has passed its end, and its state is dropped.
+    """
+    w = F.session_window("timestamp", ttl)
+    n, hit = F.count("*"), F.sum(F.col("is_relevant").cast("long"))
+    span = (F.max(F.unix_micros("timestamp")) - F.min(F.unix_micros("timestamp"))) / 1e6
+    d = events.withWatermark("timestamp", late).groupBy("node_id", w.alias("w")).agg(
+        F.min(F.unix_micros("timestamp")).alias("from_us"), F.max(F.unix_micros("timestamp")).alias("until_us"), F.max_by("mode", "timestamp").alias("mode"), n.alias("pages_crawled"), hit.alias("relevant_count"),
+        F.sum("bytes_downloaded").alias("bytes_downloaded"), F.when(span > 0, n / span).otherwise(0.0).alias("pages_per_sec"), (hit / n).alias("harvest_rate"),
+    )
+    return d.drop("w")
+
+
 def last_scores(events: DataFrame, keep: int = 500) -> DataFrame:
     """The last scores of each node, after each batch: a state of at most ``keep`` per node. Streaming only."""
 
@@ -107,28 +124,44 @@ def moving_centroid(events: DataFrame, alpha: float = 0.05) -> DataFrame:
 
 
 def assigned(events: DataFrame, owners: DataFrame, me: str) -> DataFrame:
-    """Events with their owners: a stream-static join, whose static side is read anew for each batch."""
+    """Events with their owners: a stream-static join."""
     return owned(events, owners, me)
 
 
+def assigned_live(events: DataFrame, owners_path: str, me: str, out: str) -> StreamingQuery:
+    """Start writing events with their owners, (partition, node_id) being read anew for each batch, so that a rebalance counts from the next one on."""
+
+    def write(df: DataFrame, batch: int) -> None:
+        now = df.sparkSession.read.schema("partition INT, node_id STRING").parquet(owners_path)
+        owned(df, now, me).write.mode("overwrite").parquet(f"{out}/batch={batch}")
+
+    return events.writeStream.foreachBatch(write).option("checkpointLocation", f"{out}-checkpoint").trigger(availableNow=True).start()
+
+
 def simulated(spark: SparkSession, rows_per_second: int = 25) -> DataFrame:
     """Made-up node statistics for trying a dashboard out."""
-    d = spark.readStream.format("rate").option("rowsPerSecond", rows_per_second).load()
-    high = F.pmod("value", F.lit(5)) < 3
-    score = F.when(high, 0.6 + F.pmod(F.xxhash64("value"), F.lit(400)) / 1000).otherwise(F.pmod(F.xxhash64("value"), F.lit(450)) / 1000)
-    return d.select("timestamp", F.concat(F.lit("node-"), F.pmod("value", F.lit(4))).alias("node_id"), F.col("value").alias("seq"), score.alias("score"))
+    return made_up(spark.readStream.format("rate").option("rowsPerSecond", rows_per_second).load())
+
+
+def made_up(ticks: DataFrame) -> DataFrame:
+    """Node statistics out of (timestamp, value) rows: three of five scores are high."""
+    draw = lambda n: F.conv(F.substring(F.md5(F.col("value").cast("string")), 1, 7), 16, 10).cast("bigint") % n
+    score = F.when(F.pmod("value", F.lit(5)) < 3, 0.6 + draw(400) / 1000).otherwise(draw(450) / 1000)
+    return ticks.select("timestamp", F.concat(F.lit("node-"), F.pmod("value", F.lit(4))).alias("node_id"), F.col("value").alias("seq"), score.alias("score"))
 
 
-def polled(stats: DataFrame, path: str, every: str = "1 second"):
-    """Append a snapshot of streaming statistics to a history after each batch; returns the running query."""
+def polled(stats: DataFrame, path: str, every: str = "1 second", keep: int = 120) -> StreamingQuery:
+    """Append a snapshot of streaming statistics to a history after each batch, of which the last ``keep`` stay; returns the running query."""
 
     def snapshot(df: DataFrame, batch: int) -> None:
         df.withColumn("polled_at", F.current_timestamp()).write.mode("overwrite").parquet(f"{path}/batch={batch}")
+        if batch >= keep:
+            delete_path(df.sparkSession, f"{path}/batch={batch - keep}")
 
     return stats.writeStream.foreachBatch(snapshot).outputMode("complete").option("checkpointLocation", f"{path}-checkpoint").trigger(processingTime=every).start()
 
 
-def drain(query, idle_seconds: float = 5.0, step: float = 0.2) -> None:
+def drain(query: StreamingQuery, idle_seconds: float = 5.0, step: float = 0.2) -> None:
     """Stop a running query once it has had nothing to do for a while."""
     quiet = 0.0
     while query.isActive and quiet < idle_seconds:
