@@ -36,7 +36,8 @@ def shared_folder(spark: SparkSession) -> str:
 
     Every executor must reach it. Where the setting is absent, a temporary folder
     serves a local session only; on a cluster that is an error, as other machines
-    could not read what one of them wrote. It is removed when the driver ends.
+    could not read what one of them wrote. It is removed by ``clean``, or when the driver's Python
+    ends while its session is still running.
     """
     app = spark.sparkContext.applicationId
     if app in _FOLDERS:
@@ -53,9 +54,19 @@ def shared_folder(spark: SparkSession) -> str:
         spark.sparkContext.setCheckpointDir(f"{root}/checkpoints")
     folder = f"{root.rstrip('/')}/siltweave-{os.getpid()}-{uuid.uuid4().hex[:8]}"
     _FOLDERS[app] = folder
+    atexit.register(clean, spark)
     return folder
 
 
+def clean(spark: SparkSession) -> None:
+    """Remove the working tables of this application, once no result that reads them is needed any more."""
+    if spark.sparkContext._jsc is None:
+        return  # stopped
+    folder = _FOLDERS.pop(spark.sparkContext.applicationId, None)
+    if folder:
+        delete_path(spark, folder)
+
+
 def delete_path(spark: SparkSession, path: str) -> None:
     """Remove a working table through Hadoop's file system, whatever the scheme."""
     where = spark._jvm.org.apache.hadoop.fs.Path(path)

@@ -5,7 +5,7 @@ import pytest
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
-from siltweave.session import local_session  # noqa: E402
+from siltweave.session import clean, local_session, ship_package  # noqa: E402
 
 DATA = "/root/testdata"
 
@@ -13,8 +13,7 @@ DATA = "/root/testdata"
 @pytest.fixture(scope="session")
 def spark():
     s = local_session("tests", cores="4", partitions=4, memory="6g")
-    from siltweave.session import ship_package
-
     ship_package(s)
     yield s
+    clean(s)
     s.stop()

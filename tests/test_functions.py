@@ -1,4 +1,6 @@
 import hashlib
+import hashlib
+import json
 import math
 import struct
 from urllib.parse import urldefrag, urljoin, urlparse
@@ -101,3 +103,31 @@ def test_parser():
 
 def test_split_paths():
     assert urls.split_paths(" a, b,,c ") == ["a", "b", "c"] and urls.split_paths(None) == []
+
+
+MESSAGES = st.tuples(st.text(alphabet='aé"\\\\/🙂\\n ü:,', max_size=12), st.floats(0.001, 1000).map(lambda x: round(x, 3)), st.integers(0, 9), st.text(alphabet="abé", max_size=5))
+
+
+@settings(max_examples=10, deadline=None)
+@given(st.lists(MESSAGES, min_size=1, max_size=6))
+def test_message_chars_are_those_of_the_json_module(spark, rows):
+    d = spark.createDataFrame(rows, "url STRING, priority DOUBLE, depth INT, sender STRING")
+    got = d.select(urls.message_chars(urls.encode_message(F.col("url"), F.col("priority"), F.col("depth"), F.lit("http://s/"), F.col("sender")))).collect()
+    want = [len(json.dumps({"url": u, "priority": p, "metadata": {"depth": n, "src": "http://s/"}, "forwarded_from": s})) for u, p, n, s in rows]
+    assert [r[0] for r in got] == want
+
+
+def test_message_chars_without_metadata(spark):
+    raw = ['{"url":"u","priority":1.0,"metadata":{},"forwarded_from":"é"}', '{"url":"u","priority":1.0,"metadata":{"a":1,"b":2,"c":3},"forwarded_from":"n"}']
+    got = [r[0] for r in column(spark, raw).select(urls.message_chars(F.col("x"))).collect()]
+    assert got == [len(json.dumps(json.loads(x))) for x in raw]
+
+
+def test_hashed_embedding(spark):
+    e = [r[0] for r in column(spark, ["a b  a", "", None]).select(vectors.hashed_embedding(16)(F.col("x"))).collect()]
+    v = [0.0] * 16
+    for w in ("a", "b", "a"):
+        h = hashlib.md5(w.encode()).hexdigest()
+        v[int(h[:7], 16) % 16] += 1 if int(h[7], 16) % 2 else -1
+    n = math.sqrt(sum(x * x for x in v)) + 1e-10
+    assert e[0] == pytest.approx([x / n for x in v]) and e[1] == e[2] == [0.0] * 16

@@ -1,10 +1,13 @@
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from siltweave.operators import cluster, crawl, frontier, metrics, semantic, similarity
+from siltweave.operators.ordered import running
 from siltweave.sources import crawl_log
+from siltweave.streaming import streams
 
 
 def test_log_needs_its_columns(spark):
@@ -107,6 +110,87 @@ def test_robots_first_rule(spark):
     assert {r.url: r.allowed for r in crawl_log.allowed_by_robots(u, rules).collect()} == {"http://h/a/ok/1": True, "http://h/a/no": False, "http://h/b": True, "http://other/a": True}
 
 
+def test_running_over_ranges(spark):
+    r = random.Random(4)
+    rows = [(r.choice(["a", "a", "a", "b", None]), i, r.randrange(100)) for i in range(300)]
+    got = running(spark.createDataFrame(rows, "k STRING, i INT, v BIGINT").repartition(5), "k", ["i"], {"s": F.col("v")}, {"m": F.col("v")}, {"p": F.col("v"), "q": -F.col("v")}).collect()
+    assert len(got) == 300
+    seen = {}
+    for x in sorted(got, key=lambda x: x.i):
+        own = seen.setdefault(x.k, [])
+        assert (x.position, x.group_size) == (len(own), sum(k == x.k for k, *_ in rows))
+        assert (x.p, x.q) == ((own[-1], -own[-1]) if own else (None, None))
+        own.append(x.v)
+        assert (x.s, x.m) == (sum(own), max(own))
+
+
+def test_redundancy_of_a_log(spark):
+    rows = [("bfs", 1, f"2024-01-01 00:00:{i:02d}", f"u{i}", t) for i, t in enumerate(["one two three four five six"] * 3 + ["seven eight nine ten eleven twelve", "short"])]
+    rows += [("semantic", 1, "2024-01-01 00:00:00", "u", "one two three four five six")]
+    d = spark.createDataFrame(rows, "mode STRING, run INT, timestamp STRING, url STRING, page_text STRING").withColumn("timestamp", F.to_timestamp("timestamp"))
+    assert {r.mode: r.redundancy for r in metrics.redundancy(d).collect()} == {"bfs": 0.4, "semantic": 0.0}
+    assert {r.mode: r.redundancy for r in metrics.redundancy(d.drop("page_text")).collect()} == {"bfs": 0.0, "semantic": 0.0}
+
+
+def test_stratified_split(spark):
+    d = spark.createDataFrame([(i, int(i % 10 == 0)) for i in range(200)], "id INT, y INT")
+    train, test = semantic.split(d, "id", "y")
+    assert train.count() == 160 and {r.y: r["count"] for r in test.groupBy("y").count().collect()} == {0: 36, 1: 4}
+
+
+def test_drift_is_a_fold(spark):
+    r = np.random.default_rng(0)
+    vs = r.normal(size=(30, 4))
+    d = spark.createDataFrame([(i, i % 2, v.tolist()) for i, v in enumerate(vs)], "i INT, k INT, embedding ARRAY<DOUBLE>").repartition(3)
+    start = spark.createDataFrame([([1.0, 0.0, 0.0, 0.0],)], "centroid ARRAY<DOUBLE>")
+    for key in (0, 1):
+        c, want = np.array([1.0, 0, 0, 0]), {}
+        for n, v in enumerate(vs[key::2], 1):
+            c = 0.95 * c + 0.05 * v
+            c = c / (np.linalg.norm(c) + 1e-10)
+            want[n] = c
+        last = [x for x in semantic.drifted(d, start, "i", key="k").collect() if x.k == key]
+        assert len(last) == 1 and last[0].n == 15 and last[0].centroid == pytest.approx(want[15].tolist())
+        some = {x.n: x.centroid for x in semantic.drifted(d, start, "i", key="k", snapshots=[3, 10, 99]).collect() if x.k == key}
+        assert sorted(some) == [3, 10] and some[10] == pytest.approx(want[10].tolist())
+    assert semantic.drifted(d.limit(0), start, "i").count() == 0
+
+
+def test_empty_batches_have_no_scores(spark):
+    v = spark.createDataFrame([(1, 0, [1.0, 0.0])], "i INT, b BIGINT, embedding ARRAY<DOUBLE>")
+    topic = spark.createDataFrame([([1.0, 0.0],)], "centroid ARRAY<DOUBLE>")
+    got = {r.b: r.scores for r in semantic.score_batches(v, topic, "b", "i", batches=spark.range(2).withColumnRenamed("id", "b")).collect()}
+    assert got == {0: [pytest.approx(1.0)], 1: []}
+
+
+def test_owners_are_read_anew_for_each_batch(spark, tmp_path):
+    src, owners, out = (f"{tmp_path}/{x}" for x in ("src", "owners", "out"))
+    where = cluster.assignment(spark, ["a"])
+    where.write.parquet(owners)
+    spark.createDataFrame([(f"u{i}",) for i in range(5)], "url STRING").write.parquet(src)
+    stream = lambda: spark.readStream.schema("url STRING").parquet(src)
+    streams.assigned_live(stream(), owners, "me", out).awaitTermination()
+    cluster.assignment(spark, ["b"]).write.mode("overwrite").parquet(owners)
+    spark.createDataFrame([(f"w{i}",) for i in range(5)], "url STRING").write.mode("append").parquet(src)
+    streams.assigned_live(stream(), owners, "me", out).awaitTermination()
+    got = {(r.url[0], r.node_id) for r in spark.read.schema("url STRING, node_id STRING").parquet(out).collect()}
+    assert got == {("u", "a"), ("w", "b")}
+
+
+def test_history_of_polls_is_bounded(spark, tmp_path):
+    src, out = f"{tmp_path}/src", f"{tmp_path}/out"
+    row = spark.createDataFrame([("n", True, 5)], "node_id STRING, is_relevant BOOLEAN, bytes_downloaded BIGINT")
+    row.write.parquet(src)
+    q = streams.polled(streams.live_stats(spark.readStream.schema(row.schema).parquet(src)), out, every="100 milliseconds", keep=2)
+    for _ in range(4):
+        q.processAllAvailable()
+        row.write.mode("append").parquet(src)
+    q.processAllAvailable()
+    q.stop()
+    got = {r.batch: r.pages_crawled for r in spark.read.parquet(out).collect()}
+    assert len(got) == 2 and max(got.values()) == 5
+
+
 def test_entry_without_the_operators(tmp_path):
     """The entry point imports without the operators' folders and the pipeline."""
     import shutil
