@@ -194,9 +194,18 @@ class LineStore:
 
         return keys.select(self._shard(), "h", "v").groupBy("shard").cogroup(self.filters().groupBy("shard")).applyInPandas(run, "h BIGINT, v BIGINT")
 
-    def _filtered(self, added: DataFrame | None, removed: DataFrame | None, counts: DataFrame) -> None:
-        """Write the filters after adding and removing keys; a full one is rebuilt, with the counts as they were and the added keys."""
+    def _filtered(self, added: DataFrame | None, removed: DataFrame | None, counts: DataFrame, more: int) -> None:
+        """Write the filters after adding and removing keys, ``more`` on balance.
+
+        A full one is rebuilt, with the counts as they were and the added keys; so are all, over more shards, when the lines pass what these are meant for.
+        """
         g = self.generation + 1
+        if self.lines + more > self.shards * self.per_shard:
+            while self.lines + more > self.shards * self.per_shard:
+                self.shards *= 2
+            every = added.select(self._shard(), "h")
+            self._write(self._rebuilt(every.unionByName(counts.select(self._shard(), "h")) if self.generation else every), f"filters/{g}")
+            return
         change = None
         for d, s in ((added, 1), (removed, -1)):
             if d is not None:
@@ -232,15 +241,11 @@ class LineStore:
         return keys.select("shard", "h").groupBy("shard").applyInPandas(build, "shard INT, raw BINARY")
 
     def _settle(self, more: int) -> None:
-        """End a generation: merge the counts on schedule, and deal out full shards."""
+        """End a generation, and merge the counts on schedule."""
         self.generation += 1
         self.lines += more
         if self.generation - self.merged >= self.fan_out:
             self.compact()
-        if self.lines > self.shards * self.per_shard:
-            while self.lines > self.shards * self.per_shard:
-                self.shards *= 2
-            self._write(self._rebuilt(self.counts().select(self._shard(), "h")), f"filters/{self.generation}")
 
     def insert(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
         """Add a batch; (doc_id, row_id, keep) of its documents that lose lines, keep being a flag for each line."""
@@ -274,7 +279,7 @@ class LineStore:
             flagged = flagged.unionByName(self._held(known_docs))
         out = flagged.groupBy("doc_id", "row_id").agg(F.sort_array(F.collect_list(F.struct("line_no", "keep"))).getField("keep").alias("keep"), F.min("keep").alias("all")).filter("NOT all").drop("all")
         out = self._write(out, f"decided/{g}")
-        self._filtered(fresh, None, self.counts())
+        self._filtered(fresh, None, self.counts(), more)
         self._write(keys.select("h", "v", "n"), f"counts/{g}")
         self._settle(more)
         return out
@@ -303,8 +308,9 @@ class LineStore:
         minus = self._write(r.select("h", "v", "doc_id", "row_id", "line_no", F.lit(g).alias("gen"), F.lit(-1).alias("sign")), f"refs/{g}")
         minus = self._write(minus.filter("v IS NOT NULL").groupBy("h", "v").agg((-F.count("*")).alias("n")), f"counts/{g}")
         dead = self._write(minus.join(self.counts(minus).withColumnRenamed("n", "had"), ["h", "v"]).filter("had + n <= 0").select("h", "v"), f"dead/{g}")
-        self._filtered(None, dead, self.counts())
-        self._settle(-dead.count())
+        less = -dead.count()
+        self._filtered(None, dead, self.counts(), less)
+        self._settle(less)
 
     def holders(self) -> DataFrame:
         """(doc_id, row_id, line_no) of all lines that are kept now, in force of all insertions and deletions."""

@@ -18,6 +18,7 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
+from siltweave.llm.text import column
 from siltweave.session import shared_folder, written
 
 SLOTS = 4096
@@ -33,7 +34,7 @@ def slot_of(key: Column, slots: int = SLOTS) -> Column:
 def slot_bytes(df: DataFrame, key: str, text: str, slots: int = SLOTS) -> DataFrame:
     """(slot, bytes, records) of every slot that has records."""
     return (
-        df.select(slot_of(F.col(key), slots).alias("slot"), F.coalesce(F.octet_length(text), F.lit(0)).cast("long").alias("b"))
+        df.select(slot_of(column(key), slots).alias("slot"), F.coalesce(F.octet_length(column(text)), F.lit(0)).cast("long").alias("b"))
         .groupBy("slot")
         .agg(F.sum("b").alias("bytes"), F.count("*").alias("records"))
     )
@@ -76,18 +77,18 @@ def rebalance(current: DataFrame, sizes: DataFrame, shards: int, tolerance: floa
 
 
 class SlotMap:
-    """The stored map: one Parquet folder, to which every edit appends a version."""
+    """The stored map: a folder, to which every edit adds a version."""
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path
 
     @classmethod
     def create(cls, spark: SparkSession, path: str, shards: int, slots: int = SLOTS) -> "SlotMap":
-        initial_map(spark, shards, slots).coalesce(1).write.parquet(path)
+        initial_map(spark, shards, slots).coalesce(1).write.parquet(f"{path}/edit-0")
         return cls(spark, path)
 
     def log(self) -> DataFrame:
-        return self.spark.read.schema(MAP_SCHEMA).parquet(self.path)
+        return self.spark.read.schema(MAP_SCHEMA).option("recursiveFileLookup", True).parquet(self.path)
 
     def version(self) -> int:
         return self.log().agg(F.max("version")).first()[0]
@@ -96,15 +97,19 @@ class SlotMap:
         return map_at(self.log(), version)
 
     def edit(self, moves: DataFrame) -> int:
-        """Append moves, (slot, shard) rows, as the next version; returns it."""
+        """Append moves, (slot, shard) rows, as the next version; returns it.
+
+        A version is a folder of its own that must not be there yet, so of two writers that make the same one the second fails and can look again.
+        """
         v = self.version() + 1
-        moves.select(F.lit(v).alias("version"), F.col("slot").cast("int").alias("slot"), F.col("shard").cast("int").alias("shard")).coalesce(1).write.mode("append").parquet(self.path)
-        return self.version()
+        moves.select(F.lit(v).alias("version"), F.col("slot").cast("int").alias("slot"), F.col("shard").cast("int").alias("shard")).coalesce(1).write.mode("error").parquet(f"{self.path}/edit-{v}")
+        return v
 
 
 def assign(df: DataFrame, mapping: DataFrame, key: str, slots: int = SLOTS) -> DataFrame:
     """Add slot and shard to the records. The map has a row per slot, a fixed number, so it is broadcast."""
-    d = df.drop("slot", "shard").withColumn("slot", slot_of(F.col(key), slots))
+    d = df.select(*[column(c).alias(c) for c in df.columns if c == key or c.lower() not in ("slot", "shard")])
+    d = d.withColumn("slot", slot_of(column(key), slots))
     return d.join(F.broadcast(mapping.select("slot", "shard")), "slot", "left")
 
 
@@ -114,8 +119,8 @@ def shard_documents(spark: SparkSession, docs: DataFrame, shards: int = 64, slot
     store = SlotMap.create(spark, f"{shared_folder(spark)}/slot-map-{uuid.uuid4().hex[:8]}", shards, slots)
     store.edit(rebalance(store.at(0), sizes, shards, tolerance))
     both = store.at().join(store.at(0).withColumnRenamed("shard", "old_shard"), "slot")
-    d = docs.select(F.col(key), slot_of(F.col(key), slots).alias("slot"))
-    return d.join(F.broadcast(both), "slot", "left").select(key, "slot", "old_shard", "shard")
+    d = docs.select(column(key), slot_of(column(key), slots).alias("slot"))
+    return d.join(F.broadcast(both), "slot", "left").select(column(key).alias(key), "slot", "old_shard", "shard")
 
 
 def write_shards(df: DataFrame, mapping: DataFrame, path: str, key: str = "doc_id", slots: int = SLOTS) -> None:

@@ -37,6 +37,7 @@ from siltweave.session import delete_path, shared_folder, written
 
 WORDS, K = 50, 25
 BUCKETS, FAN_OUT = 64, 4
+HOT = 100_000  # windows with one fingerprint beyond which its passages are matched by an aggregate and a join
 _BASES = (0xD1B54A32D192ED03, 0xA0761D6478BD642F)
 
 
@@ -75,10 +76,10 @@ def _run(batches: Iterator[pa.RecordBatch], n_words: int, k: int) -> Iterator[pa
 
 
 def _passages(batches: Iterator[pa.RecordBatch], n_words: int, k: int) -> Iterator[pa.RecordBatch]:
-    """(h1, h2, doc_id, g, pos) of all passages of a document whose fingerprint is one of its candidates."""
+    """(h1, h2, doc_id, g, pos, hot) of all passages of a document whose fingerprint is one of its candidates."""
     for b in batches:
         data, off = utf8(b.column("text"))
-        lists = b.column("hs")
+        lists, hots = b.column("hs"), b.column("hot")
         for lo, hi in pieces(off, 1 << 19):
             part = data[off[lo] : off[hi]]
             s, e, at = words(part, off[lo : hi + 1] - off[lo])
@@ -92,11 +93,11 @@ def _passages(batches: Iterator[pa.RecordBatch], n_words: int, k: int) -> Iterat
                 p[p == len(want)] = 0
                 pos = np.flatnonzero(want[p] == x)
                 if len(pos):
-                    out.append((pos + at[i], pos.astype(np.int32), np.full(len(pos), lo + i)))
+                    out.append((pos + at[i], pos.astype(np.int32), np.full(len(pos), lo + i), np.isin(x[pos], hots[lo + i].values.to_numpy().view(U))))
             if out:
-                g, pos, d = (np.concatenate(c) for c in zip(*out))
+                g, pos, d, hot = (np.concatenate(c) for c in zip(*out))
                 h = [window_hashes(w, n_words, base)[g].view(np.int64) for base in _BASES]
-                yield pa.RecordBatch.from_arrays([pa.array(h[0]), pa.array(h[1]), b.column("doc_id").take(pa.array(d)), b.column("g").take(pa.array(d)), pa.array(pos)], ["h1", "h2", "doc_id", "g", "pos"])
+                yield pa.RecordBatch.from_arrays([pa.array(h[0]), pa.array(h[1]), b.column("doc_id").take(pa.array(d)), b.column("g").take(pa.array(d)), pa.array(pos), pa.array(hot)], ["h1", "h2", "doc_id", "g", "pos", "hot"])
 
 
 def _spans(batches: Iterator[pa.RecordBatch], n_words: int) -> Iterator[pa.RecordBatch]:
@@ -128,10 +129,10 @@ def _in_order(spark: SparkSession):
 class FingerprintIndex:
     """The runs of all batches so far, and their texts. A path that holds an index opens it, with its own settings."""
 
-    def __init__(self, spark: SparkSession, path: str | None = None, buckets: int = BUCKETS, fan_out: int = FAN_OUT, n_words: int = WORDS, k: int = K):
+    def __init__(self, spark: SparkSession, path: str | None = None, buckets: int = BUCKETS, fan_out: int = FAN_OUT, n_words: int = WORDS, k: int = K, hot: int = HOT):
         self.spark = spark
         self.path = path or f"{shared_folder(spark)}/fingerprints-{uuid.uuid4().hex[:8]}"
-        self.state = {"buckets": max(buckets, 1), "fan_out": fan_out, "n_words": n_words, "k": k, "generation": 0, "id": "bigint", "runs": [], "texts": {}}
+        self.state = {"buckets": max(buckets, 1), "fan_out": fan_out, "n_words": n_words, "k": k, "hot": hot, "generation": 0, "id": "bigint", "runs": [], "texts": {}}
         self.version = 0
         self._open()
 
@@ -187,7 +188,9 @@ class FingerprintIndex:
         name = self._store(d.mapInArrow(lambda it: _run(it, n_words, k), f"h BIGINT, doc_id {kind}, n INT").distinct().withColumn("g", F.lit(g)), "run", "h")
         st["texts"][str(g)] = self._store(d, "texts", "doc_id")
         new = self._run(name)
-        hit = new.groupBy("h").agg(F.sum("n").alias("n")).filter("n > 1").select("h")
+        total = new.groupBy("h").agg(F.sum("n").alias("n")).filter("n > 1")
+        hit = total.select("h")
+        often = total.filter(F.col("n") > st["hot"])
         zones, before = None, []
         if st["runs"]:
             old = None
@@ -196,18 +199,30 @@ class FingerprintIndex:
                 old = s if old is None else old.unionByName(s)
             zones = old = written(old, "history")
             hit = hit.unionByName(old.select("h")).distinct()
+            often = often.unionByName(old.groupBy("h").agg(F.count("*").alias("n")).filter(F.col("n") > st["hot"]))
             before = sorted(r["g"] for r in old.select("g").distinct().collect())  # a row a batch
         mine = new.join(hit.hint("merge"), "h", "left_semi").select("h", "doc_id", "g")
         zones = mine if zones is None else zones.unionByName(mine)
-        zones = written(zones.groupBy("doc_id", "g").agg(F.collect_set("h").alias("hs")), "zones")
+        often = written(often.select("h").distinct(), "often")
+        some = not often.isEmpty()
+        mark = F.col("often") if some else F.lit(None).cast("boolean")
+        zones = zones.join(often.withColumn("often", F.lit(True)), "h", "left") if some else zones
+        zones = written(zones.groupBy("doc_id", "g").agg(F.collect_set("h").alias("hs"), F.collect_set(F.when(mark, F.col("h"))).alias("hot")), "zones")
         p = None
         for b in [*before, g]:
-            near = zones.filter(F.col("g") == b).select("doc_id", "hs").hint("merge")
-            x = self._texts(b).join(near, "doc_id").select("doc_id", "g", "text", "hs").mapInArrow(lambda it: _passages(it, n_words, k), f"h1 BIGINT, h2 BIGINT, doc_id {kind}, g INT, pos INT")
+            near = zones.filter(F.col("g") == b).select("doc_id", "hs", "hot").hint("merge")
+            x = self._texts(b).join(near, "doc_id").select("doc_id", "g", "text", "hs", "hot").mapInArrow(lambda it: _passages(it, n_words, k), f"h1 BIGINT, h2 BIGINT, doc_id {kind}, g INT, pos INT, hot BOOLEAN")
             p = x if p is None else p.unionByName(x)
         # a window, not an aggregate, since its shuffle carries bare rows and a passage of many holders spills
         earlier = W.partitionBy("h1", "h2").orderBy("g", "doc_id", "pos").rowsBetween(W.unboundedPreceding, 0)
-        first = p.select("g", "doc_id", "pos", *[F.first(c).over(earlier).alias(f"first_{c}") for c in ("g", "doc_id", "pos")])
+        place_ = ("g", "doc_id", "pos")
+        if some:  # a passage of very many holders would be one task's window; its first place is joined back instead, which Spark can split
+            p = written(p, "passages", codec="zstd")
+            least = p.filter("hot").groupBy("h1", "h2").agg(F.min(F.struct(*place_)).alias("f"))
+            joined = p.filter("hot").join(least, ["h1", "h2"]).select(*place_, *[F.col(f"f.{c}").alias(f"first_{c}") for c in place_])
+            p = p.filter("NOT hot")
+        first = p.select(*place_, *[F.first(c).over(earlier).alias(f"first_{c}") for c in place_])
+        first = first.unionByName(joined) if some else first
         pairs = first.filter((F.col("g") == g) & ((F.col("first_g") < g) | (F.col("first_doc_id") != F.col("doc_id")) | (F.col("first_pos") != F.col("pos"))))
         pairs = pairs.select("doc_id", "first_doc_id", (F.col("pos") - F.col("first_pos")).alias("shift"), "pos")
         lined = pairs.groupBy("doc_id", "first_doc_id", "shift").agg(F.collect_list("pos").alias("places"))
@@ -238,9 +253,9 @@ class FingerprintIndex:
             self.spark.sql(f"DROP TABLE IF EXISTS {r}")
 
 
-def dedup(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", batches: int = 2) -> DataFrame:
+def dedup(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", batches: int = 2, hot: int = HOT) -> DataFrame:
     """The spans of a table that is added in batches, ranges of its ids, to an empty index, which is compacted in the end and then removed."""
-    index = FingerprintIndex(spark, buckets=max(BUCKETS, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    index = FingerprintIndex(spark, buckets=max(BUCKETS, int(spark.conf.get("spark.sql.shuffle.partitions"))), hot=hot)
     out = None
     for part in id_ranges(docs.select(column(id_col).alias("doc_id"), column(text_col).alias("text")), "doc_id", batches):
         spans = index.add(part)

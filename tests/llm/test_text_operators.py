@@ -93,10 +93,10 @@ def places(rows):
     return dict(out)
 
 
-@pytest.mark.parametrize("batches", [1, 3])
-def test_substrings_against_brute_force(spark, batches):
+@pytest.mark.parametrize("batches, hot", [(1, substrings.HOT), (3, substrings.HOT), (2, 3)])
+def test_substrings_against_brute_force(spark, batches, hot):
     rows = COPIES + ODD
-    got = substrings.dedup(spark, documents(spark, rows), batches=batches).collect()
+    got = substrings.dedup(spark, documents(spark, rows), batches=batches, hot=hot).collect()
     assert places(got) == brute_places(rows)
     texts = {i: words_of(t) for i, t in rows}
     assert all(texts[r.doc_id][r.start : r.end] == texts[r.first_doc_id][r.first_start : r.first_start + r.end - r.start] for r in got)
