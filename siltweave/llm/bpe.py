@@ -36,7 +36,7 @@ from siltweave.llm.text import U, pieces, place, utf8, with_arrow, word_hashes
 
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
-CACHE = 1_500_000
+CACHE = 700_000
 HASHED = 64  # bytes of the longest piece that is known by its hash
 _OTHER, _LETTER, _DIGIT, _SPACE = range(4)
 
@@ -152,7 +152,7 @@ class Encoder:
         key = left << 32 | right
         known = self.stable.get(key)
         if known is None:
-            if len(self.stable) > 2_000_000:
+            if len(self.stable) > 1_000_000:
                 self.stable.clear()
             known = self.stable[key] = self.merged(self.token[left] + self.token[right]) == [left, right]
         return known
@@ -267,7 +267,7 @@ class _Table:
     Hashes of short pieces lie in an open-addressed table, so that many are looked up at once.
     """
 
-    BITS = 22
+    BITS = 16  # at first; it doubles when it is half full
 
     def __init__(self, make):
         self.make = make
@@ -311,7 +311,7 @@ class _Table:
     def add(self, h: np.ndarray, new: list[bytes]) -> np.ndarray:
         """Places for distinct new hashes and their pieces."""
         made = np.array([self._append(p) for p in new], np.int64)
-        if 2 * len(self) > len(self.keys):  # one text with very many pieces
+        if 2 * len(self) > len(self.keys):
             old, kept = self.keys[self.places >= 0], self.places[self.places >= 0]
             size = 1 << (4 * len(self)).bit_length()
             self.keys, self.places = np.zeros(size, U), np.full(size, -1, np.int32)

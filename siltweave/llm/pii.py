@@ -179,7 +179,7 @@ class SemiCRF:
         names = tuple(span_features(text, lo, hi))
         known = self.cache.get(names)
         if known is None:
-            if len(self.cache) > 100_000:
+            if len(self.cache) > 10_000:
                 self.cache.clear()
             ids = [self.index[f] for f in names if f in self.index]
             known = self.cache[names] = self.weights[ids].sum(axis=0)
