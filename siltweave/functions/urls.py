@@ -64,9 +64,17 @@ def _resolve(base: pd.Series, href: pd.Series) -> pd.Series:
     return pd.Series([one(b, h) for b, h in zip(base, href)], dtype=object)
 
 
+def _plain(base: Column, href: Column) -> Column:
+    """Whether joining is a matter of putting strings together: an absolute or rooted link without dots, parameters, or an empty query."""
+    h = F.trim(href)
+    whole = r"^(https?://[^/?#;\s\[\]\x00-\x20\x7f]+|/(?!/))[^;\s\[\]\\\x00-\x20\x7f]*$"
+    return base.rlike(r"^https?://[^/?#\s\[\]]+") & h.rlike(whole) & ~h.rlike(r"(^|/)\.{1,2}(/|\?|#|$)") & ~h.rlike(r"\?(#|$)") & ~h.rlike(r"^https?://[^/?#]*#")
+
+
 def resolve(base: Column, href: Column) -> Column:
-    """Resolve any link as RFC 3986 has it, in vectorised Python; null if it can't be. Fragments go."""
-    return F.pandas_udf(_resolve, "string")(base, href)
+    """Resolve any link as RFC 3986 has it; null if it can't be. Fragments go. Plain links stay in the JVM, the others go to Python."""
+    plain = F.coalesce(_plain(base, href), F.lit(False))
+    return F.when(plain, resolve_rooted(base, href)).otherwise(F.pandas_udf(_resolve, "string")(base, F.when(~plain, href)))
 
 
 def squeeze(text: Column) -> Column:

@@ -131,3 +131,13 @@ def test_hashed_embedding(spark):
         v[int(h[:7], 16) % 16] += 1 if int(h[7], 16) % 2 else -1
     n = math.sqrt(sum(x * x for x in v)) + 1e-10
     assert e[0] == pytest.approx([x / n for x in v]) and e[1] == e[2] == [0.0] * 16
+
+
+PART = st.sampled_from(["http://", "https://", "HTTP://", "//", "/", "a", "b.c", ".", "..", "?", "#", "x=1", ";", " ", "é", "mailto:", "h.org", ":80", "[", "%20", "\\\\", "\\t"])
+
+
+@settings(max_examples=8, deadline=None)
+@given(st.lists(st.tuples(st.sampled_from(["http://h.org/d/p?q#f", "https://h.org", "ftp://h/x", "", "http://[bad/"]), st.lists(PART, max_size=6).map("".join)), min_size=20, max_size=40))
+def test_resolve_equals_the_url_library(spark, rows):
+    got = [r[0] for r in spark.createDataFrame(rows, "b STRING, h STRING").select(urls.resolve(F.col("b"), F.col("h"))).collect()]
+    assert got == urls._resolve(*([x[i] for x in rows] for i in (0, 1))).tolist()
