@@ -27,6 +27,7 @@ from pathlib import Path
 import ahocorasick
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 import tiktoken
 from pyspark import SparkFiles
@@ -127,6 +128,7 @@ class Encoder:
         self.cache = _Pieces(self)
         self.table = _Table(self.piece)
         self.sized: _Table | None = None
+        self.spelled: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None
 
     @classmethod
     def load(cls, path: str, pattern: str = PATTERN) -> "Encoder":
@@ -261,6 +263,25 @@ class Encoder:
             raise ValueError(f"there is no token {e}") from None
 
 
+    def bytes_of(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The bytes of many ids, one after the other, and where those of each begin, with the end of all."""
+        if self.spelled is None:
+            top = max(self.token) + 1
+            size = np.full(top, -1, np.int64)
+            for i, b in self.token.items():
+                size[i] = len(b)
+            start = np.concatenate([[0], np.cumsum(np.maximum(size, 0))])
+            self.spelled = np.frombuffer(b"".join(self.token[i] for i in sorted(self.token)), np.uint8), size, start
+        flat, size, start = self.spelled
+        bad = (ids < 0) | (ids >= len(size))
+        bad[~bad] = size[ids[~bad]] < 0
+        if bad.any():
+            raise ValueError(f"there is no token {ids[bad][0]}")
+        n = size[ids]
+        off = np.concatenate([[0], np.cumsum(n)])
+        return flat[np.repeat(start[ids] - off[:-1], n) + np.arange(off[-1])], off
+
+
 class _Table:
     """What ``make`` gives for pieces, one piece after the other, and where that of each begins.
 
@@ -442,8 +463,12 @@ def decode(df: DataFrame, vocabulary: str = VOCABULARY, ids_col: str = "ids", ou
     name, at = _shipped(df, vocabulary), place(df, ids_col, [out_col])
 
     def make(b: pa.RecordBatch) -> list[pa.Array]:
-        e = encoder_at(SparkFiles.get(name), pattern)
-        texts = [None if x is None else e.decode_bytes(x).decode("utf-8", "replace") for x in b.column(at).to_pylist()]
+        e, lists = encoder_at(SparkFiles.get(name), pattern), b.column(at)
+        sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+        raw, off = e.bytes_of(lists.flatten().to_numpy(zero_copy_only=False))
+        ends = off[np.concatenate([[0], np.cumsum(sizes)])]
+        data = raw.tobytes()
+        texts = [data[x:y].decode("utf-8", "replace") if ok else None for x, y, ok in zip(ends[:-1].tolist(), ends[1:].tolist(), lists.is_valid().to_pylist())]
         return [*(c for i, c in enumerate(b.columns) if i != at), pa.array(texts, pa.string())]
 
     return with_arrow(df, make, [(out_col, "STRING")], (ids_col,), keep=[c for c in df.columns if c not in (ids_col, out_col)])

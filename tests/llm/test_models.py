@@ -12,7 +12,7 @@ import pytest
 from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 
-from siltweave.llm import bpe, media, packing, perplexity, pii, quality
+from siltweave.llm import bpe, media, packing, perplexity, pii, quality, queries
 from tests.llm.common import ODD, documents, prose, words_of
 
 
@@ -213,6 +213,17 @@ def test_bpe_round_trip(spark):
     assert bpe.encode(documents(spark, [])).count() == 0
     with pytest.raises(ValueError):
         bpe.encoder_at(bpe.VOCABULARY).decode_bytes([10**7])
+    for bad in ([10**7], [-1]):
+        with pytest.raises(ValueError):
+            bpe.encoder_at(bpe.VOCABULARY).bytes_of(np.array(bad))
+    half = spark.createDataFrame([(1, [bpe.encoder_at(bpe.VOCABULARY).ranks[b"\xc3"]]), (2, None), (3, [])], "doc_id INT, ids ARRAY<INT>")
+    assert {r.doc_id: r.text for r in bpe.decode(half).collect()} == {1: "\ufffd", 2: None, 3: ""}
+
+
+def test_bpe_query_decodes_what_it_encodes(spark):
+    sf = "/root/testdata/sf0.001"
+    want = {r.doc_id: r.d for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", F.md5("text").alias("d")).collect()}
+    assert {r.doc_id: r.digest for r in queries.op5_bpe(spark, sf).collect()} == want
 
 
 # quality
