@@ -163,6 +163,29 @@ def test_empty_batches_have_no_scores(spark):
     assert got == {0: [pytest.approx(1.0)], 1: []}
 
 
+def test_principal_components(spark):
+    x = np.random.default_rng(1).normal(size=(40, 5)) * [5, 3, 1, 0.5, 0.1]
+    d = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "i INT, e ARRAY<DOUBLE>")
+    got = np.array([r.pca for r in semantic.projected(d, "e").orderBy("i").collect()])
+    _, _, axes = np.linalg.svd(x - x.mean(axis=0), full_matrices=False)
+    want = x @ axes[:2].T
+    assert np.abs(got) == pytest.approx(np.abs(want), abs=1e-6)
+
+
+def test_classifier_is_at_the_minimum(spark, tmp_path):
+    """Half the squared weights and c times the losses: the gradient vanishes, and a stored model is the same."""
+    r = np.random.default_rng(2)
+    x = r.normal(size=(80, 3))
+    y = (x @ [1, -2, 0.5] + r.normal(size=80) > 0).astype(int)
+    d = spark.createDataFrame([(v.tolist(), int(k)) for v, k in zip(x, y)], "e ARRAY<DOUBLE>, y INT")
+    m = semantic.fit(d, "e", "y", c=2.0)
+    w, b = m.coefficients.toArray(), m.intercept
+    off = 1 / (1 + np.exp(-(x @ w + b))) - y
+    assert w + 2.0 * x.T @ off == pytest.approx(np.zeros(3), abs=1e-3) and off.sum() == pytest.approx(0, abs=1e-3)
+    semantic.save(m, f"{tmp_path}/m")
+    assert semantic.load(f"{tmp_path}/m").coefficients.toArray() == pytest.approx(w)
+
+
 def test_owners_are_read_anew_for_each_batch(spark, tmp_path):
     src, owners, out = (f"{tmp_path}/{x}" for x in ("src", "owners", "out"))
     where = cluster.assignment(spark, ["a"])
