@@ -282,6 +282,16 @@ class Encoder:
         return flat[np.repeat(start[ids] - off[:-1], n) + np.arange(off[-1])], off
 
 
+    def texts(self, ids: np.ndarray, off: np.ndarray, room: int = 1 << 18) -> list[str]:
+        """The texts of rows of ids, some ``room`` of them at a time."""
+        out = []
+        for i, j in pieces(off, room):
+            raw, at = self.bytes_of(ids[off[i] : off[j]])
+            ends, data = at[off[i : j + 1] - off[i]].tolist(), raw.tobytes()
+            out += [data[x:y].decode("utf-8", "replace") for x, y in zip(ends[:-1], ends[1:])]
+        return out
+
+
 class _Table:
     """What ``make`` gives for pieces, one piece after the other, and where that of each begins.
 
@@ -447,6 +457,20 @@ def encode(df: DataFrame, vocabulary: str = VOCABULARY, text_col: str = "text",
     return with_arrow(df, make, [(out_col, "ARRAY<INT>")], (text_col,), keep=[c for c in df.columns if c not in (text_col, out_col)])
 
 
+def recoded(df: DataFrame, vocabulary: str = VOCABULARY, text_col: str = "text", ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:
+    """Replace the text column by its ids and by what these are decoded to, both in one worker."""
+    name, at = _shipped(df, vocabulary), place(df, text_col, [ids_col, out_col])
+
+    def make(b: pa.RecordBatch) -> list[pa.Array]:
+        e, texts = encoder_at(SparkFiles.get(name), PATTERN), b.column(at)
+        flat, off = e.rows(*utf8(texts))
+        lists = pa.ListArray.from_arrays(pa.array(off.astype(np.int32)), pa.array(flat), mask=texts.is_null())
+        again = pa.array([t if ok else None for t, ok in zip(e.texts(flat, off), texts.is_valid().to_pylist())], pa.string())
+        return [*(c for i, c in enumerate(b.columns) if i != at), lists, again]
+
+    return with_arrow(df, make, [(ids_col, "ARRAY<INT>"), (out_col, "STRING")], (text_col,), keep=[c for c in df.columns if c not in (text_col, ids_col, out_col)])
+
+
 def counted(df: DataFrame, vocabulary: str = VOCABULARY, text_col: str = "text", out_col: str = "n_tokens") -> DataFrame:
     """Replace the text column by the number of its tokens; a null text has none."""
     name, at = _shipped(df, vocabulary), place(df, text_col, [out_col])
@@ -464,11 +488,9 @@ def decode(df: DataFrame, vocabulary: str = VOCABULARY, ids_col: str = "ids", ou
 
     def make(b: pa.RecordBatch) -> list[pa.Array]:
         e, lists = encoder_at(SparkFiles.get(name), pattern), b.column(at)
-        sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
-        raw, off = e.bytes_of(lists.flatten().to_numpy(zero_copy_only=False))
-        ends = off[np.concatenate([[0], np.cumsum(sizes)])]
-        data = raw.tobytes()
-        texts = [data[x:y].decode("utf-8", "replace") if ok else None for x, y, ok in zip(ends[:-1].tolist(), ends[1:].tolist(), lists.is_valid().to_pylist())]
+        off = np.concatenate([[0], np.cumsum(pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False))])
+        texts = e.texts(lists.flatten().to_numpy(zero_copy_only=False), off)
+        texts = [t if ok else None for t, ok in zip(texts, lists.is_valid().to_pylist())]
         return [*(c for i, c in enumerate(b.columns) if i != at), pa.array(texts, pa.string())]
 
     return with_arrow(df, make, [(out_col, "STRING")], (ids_col,), keep=[c for c in df.columns if c not in (ids_col, out_col)])

@@ -29,8 +29,7 @@ def op4_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ids of each text, and the digest of what they are decoded to."""
-    e = bpe.encode(_table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return bpe.decode(e.withColumn("again", F.col("ids")), ids_col="again", out_col="decoded").select("doc_id", "ids", F.md5("decoded").alias("digest"))
+    return bpe.recoded(_table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "ids", F.md5("decoded").alias("digest"))
 
 
 def op6_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
