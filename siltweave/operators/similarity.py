@@ -61,6 +61,7 @@ def candidates(sigs: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFra
     """(grp, a, b), a < b: ids of one group that agree in a whole band. Nothing is verified."""
     band = lambda i: F.struct(F.lit(i).alias("band"), F.xxhash64(F.slice("sig", i * rows + 1, rows)).alias("hash"))
     d = sigs.select("grp", "id", F.explode(F.array(*[band(i) for i in range(bands)])).alias("x")).select("grp", "id", "x.band", "x.hash")
+    d = written(d, "bands")  # both sides read it; signatures would be made twice
     other = d.withColumnRenamed("id", "b")
     return d.withColumnRenamed("id", "a").join(other, ["grp", "band", "hash"]).filter("a < b").select("grp", "a", "b").distinct()
 
