@@ -23,6 +23,23 @@ def source(spark: SparkSession, path: str, files_per_batch: int = 4) -> DataFram
     return spark.readStream.schema(spark.read.parquet(path).schema).option("maxFilesPerTrigger", files_per_batch).parquet(f"{path[:-1]}[{path[-1]}]")
 
 
+def ordered_source(spark: SparkSession, path: str, order: str, rows_per_file: int = 50_000, files_per_batch: int = 4) -> DataFrame:
+    """A Parquet table as a stream in the order of a column, whatever its files hold and when they were written.
+
+    The rows are dealt into files by ranges. A stream takes files by their times, oldest first, so these follow the ranges.
+    """
+    root = f"{shared_folder(spark)}/ordered-{uuid.uuid4().hex[:8]}"
+    d = spark.read.parquet(path)
+    d.repartitionByRange(max(1, -(-d.count() // rows_per_file)), order).sortWithinPartitions(order).write.parquet(root)
+    where = spark._jvm.org.apache.hadoop.fs.Path(root)
+    fs = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    files = sorted((f.getPath() for f in fs.listStatus(where) if f.getPath().getName().startswith("part-")), key=lambda f: f.getName())
+    first = int(time.time() - len(files)) * 1000
+    for i, f in enumerate(files):
+        fs.setTimes(f, first + 1000 * i, -1)
+    return source(spark, root, files_per_batch)
+
+
 def run_to_table(stream: DataFrame, mode: str = "append", folder: str | None = None) -> DataFrame:
     """Run a stream over all that is there now and read what it wrote.
 
@@ -109,18 +126,26 @@ def liveness(beats: DataFrame, timeout: str = "30 seconds", late: str = "1 minut
 
 
 def moving_centroid(events: DataFrame, alpha: float = 0.05) -> DataFrame:
-    """Each node's centroid, moved by every vector in order of seq. Streaming only."""
+    """Each node's centroid, moved by every vector in order of seq. Streaming only.
+
+    The fold depends on the order, so batches must come in it, as those of ``ordered_source`` do; a vector that
+    belongs before what was folded by an earlier batch is an error.
+    """
+
     def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        c = np.array(state.get[0]) if state.exists else None
-        for f in frames:
-            for v in f.sort_values("seq").embedding:
-                v = np.asarray(v, float)
-                c = v if c is None else (1 - alpha) * c + alpha * v
-                c = c / (np.linalg.norm(c) + 1e-10)
-        state.update((c.tolist(),))
+        c, last = (np.array(state.get[0]), state.get[1]) if state.exists else (None, None)
+        parts = [(f.seq.to_numpy(), f.embedding.to_numpy()) for f in frames]  # a batch's rows of a node come in several frames
+        seqs, vs = np.concatenate([s for s, _ in parts]), np.concatenate([v for _, v in parts])
+        if last is not None and seqs.min() < last:
+            raise ValueError(f"a vector of {key[0]} is out of order: {seqs.min()} came after {last}")
+        for i in np.argsort(seqs, kind="stable"):
+            v = np.asarray(vs[i], float)
+            c = v if c is None else (1 - alpha) * c + alpha * v
+            c = c / (np.linalg.norm(c) + 1e-10)
+        state.update((c.tolist(), int(seqs.max())))
         yield pd.DataFrame({"node_id": [key[0]], "centroid": [c.tolist()]})
 
-    return events.groupBy("node_id").applyInPandasWithState(run, "node_id STRING, centroid ARRAY<DOUBLE>", "c ARRAY<DOUBLE>", "update", GroupStateTimeout.NoTimeout)
+    return events.groupBy("node_id").applyInPandasWithState(run, "node_id STRING, centroid ARRAY<DOUBLE>", "c ARRAY<DOUBLE>, last BIGINT", "update", GroupStateTimeout.NoTimeout)
 
 
 def assigned(events: DataFrame, owners: DataFrame, me: str) -> DataFrame:

@@ -226,3 +226,35 @@ def test_entry_without_the_operators(tmp_path):
     shutil.copy(here / "__spark_entry__.py", tmp_path)
     out = subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; q = e.queries(); assert len(q) > 100 and not any(n.startswith('op1') for n in q); e.oracle_sql()"], cwd=tmp_path, capture_output=True, text=True, timeout=120)
     assert out.returncode == 0, out.stderr
+
+
+def test_moving_centroid_in_order_of_seq(spark, tmp_path):
+    """Whatever files the vectors lie in, and over several batches and frames; a stream that isn't in order is refused."""
+    r = np.random.default_rng(5)
+    vs = r.normal(size=(400, 3))
+    rows = [(i, "ab"[i % 3 > 0], v.tolist()) for i, v in enumerate(vs)]
+    for part in (3, 1, 0, 2):  # neither the files' order nor their rows follow seq
+        mine = [x for x in rows if x[0] % 4 == part][::-1]
+        spark.createDataFrame(mine, "seq BIGINT, node_id STRING, embedding ARRAY<DOUBLE>").coalesce(1).write.mode("append").parquet(f"{tmp_path}/v")
+    want: dict = {}
+    for _, k, v in rows:
+        c = np.array(v) if k not in want else 0.95 * want[k] + 0.05 * np.array(v)
+        want[k] = c / (np.linalg.norm(c) + 1e-10)
+    root = f"{tmp_path}/out"
+
+    def run(stream, name):
+        out = streams.moving_centroid(stream)
+        out.writeStream.foreachBatch(lambda df, b: df.withColumn("batch", F.lit(b)).write.parquet(f"{root}/{name}/b{b}")).outputMode("update").option("checkpointLocation", f"{root}/{name}-checkpoint").trigger(availableNow=True).start().awaitTermination()
+        return spark.read.option("recursiveFileLookup", True).schema("node_id STRING, centroid ARRAY<DOUBLE>, batch BIGINT").parquet(f"{root}/{name}")
+
+    small = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "20")
+        got = run(streams.ordered_source(spark, f"{tmp_path}/v", "seq", rows_per_file=80, files_per_batch=2), "ordered")
+        assert got.agg(F.count_distinct("batch")).first()[0] == 3
+        last = {x.node_id: x.c for x in got.groupBy("node_id").agg(F.max_by("centroid", "batch").alias("c")).collect()}
+        assert {k: pytest.approx(v.tolist()) for k, v in want.items()} == last
+        with pytest.raises(Exception, match="out of order"):
+            run(streams.source(spark, f"{tmp_path}/v", 1), "files")
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", small)
