@@ -258,3 +258,37 @@ def test_moving_centroid_in_order_of_seq(spark, tmp_path):
             run(streams.source(spark, f"{tmp_path}/v", 1), "files")
     finally:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", small)
+
+
+def test_exact_classes_against_brute_force(spark):
+    """Classes and links, copies counted but never paired, over blocks of four sets; null texts and groups match nothing."""
+    r = random.Random(8)
+    rows = []
+    for c in range(12):
+        base = [f"w{r.randrange(300)}" for _ in range(r.choice([3, 6, 30, 60]))]
+        for _ in range(r.choice([1, 3, 14])):
+            t = list(base)
+            for _ in range(r.choice([0, 1, 1, 2])):
+                t[r.randrange(len(t))] = f"w{r.randrange(300)}"
+            rows += [(r.choice(["x", "x", "y"]), " ".join(t))] * r.choice([1, 1, 3])
+    rows = [(g, 1000 + i, t) for i, (g, t) in enumerate(rows)] + [("x", 1, None), ("x", 2, None), (None, 3, rows[0][1]), (None, 4, rows[0][1]), ("y", 5, ""), ("y", 6, "")]
+
+    def set_of(t):
+        w = t.split(" ")
+        return frozenset([t] if len(w) < 5 else [" ".join(w[i : i + 5]) for i in range(len(w) - 4)])
+
+    sets = {i: (g, set_of(t)) for g, i, t in rows if g is not None and t is not None}
+    near = {i: {j for j, (h, y) in sets.items() if j != i and g == h and len(x & y) / len(x | y) > 0.8} for i, (g, x) in sets.items()}
+    want = {}
+    for _, i, _ in rows:
+        seen, todo = {i}, [i]
+        while todo:
+            new = near.get(todo.pop(), set()) - seen
+            seen |= new
+            todo += new
+        want[i] = (min(seen), len(near.get(i, ())))
+    d = spark.createDataFrame(rows, "g STRING, i BIGINT, t STRING")
+    for block in (4, 256):
+        got = {x.id: (x.class_id, x.links) for x in similarity.exact_classes(d, "i", "t", "g", block=block).collect()}
+        assert got == want
+    assert any(n > 8 for _, n in want.values())
