@@ -141,3 +141,12 @@ PART = st.sampled_from(["http://", "https://", "HTTP://", "//", "/", "a", "b.c",
 def test_resolve_equals_the_url_library(spark, rows):
     got = [r[0] for r in spark.createDataFrame(rows, "b STRING, h STRING").select(urls.resolve(F.col("b"), F.col("h"))).collect()]
     assert got == urls._resolve(*([x[i] for x in rows] for i in (0, 1))).tolist()
+
+
+def test_embeddings_by_slices(spark):
+    """Long texts, in slices of a few words and with a small memory of words, have the embeddings of the column function."""
+    texts = [" ".join(f"W{i * i % 977}{'x' * (i % 80)}" for i in range(900)), "a b\ta", "", None, "one" * 3000]
+    d = spark.createDataFrame(list(enumerate(texts)), "id INT, text STRING")
+    got = {r.id: r.e for r in vectors.embedded(d, "id", "text", 16, known_words=10, slice_chars=50).collect()}
+    want = {r.id: r.e for r in d.select("id", vectors.hashed_embedding(16)(F.col("text")).alias("e")).collect()}
+    assert got == {i: pytest.approx(e) for i, e in want.items()} and len(got) == 5
