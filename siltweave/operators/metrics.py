@@ -56,7 +56,7 @@ def redundancy(log: DataFrame) -> DataFrame:
     """(mode, redundancy): the share of pages that are near duplicates of an earlier page kept of their mode, by their text or else their URL."""
     text = similarity.url_text(F.col("url"), F.col("page_text") if "page_text" in log.columns else None)
     d = log.select("mode", text.alias("text"), (F.col("run") * F.lit(10**16) + F.unix_micros("timestamp")).alias("at"))
-    return similarity.redundancy(d, "at", "text", "mode").select(F.col("grp").alias("mode"), "redundancy")
+    return similarity.redundancy(d, "at", "text", "mode", short=True).select(F.col("grp").alias("mode"), "redundancy")
 
 
 def summary(log: DataFrame, redundant: DataFrame | None = None) -> DataFrame:

@@ -292,3 +292,15 @@ def test_exact_classes_against_brute_force(spark):
         got = {x.id: (x.class_id, x.links) for x in similarity.exact_classes(d, "i", "t", "g", block=block).collect()}
         assert got == want
     assert any(n > 8 for _, n in want.values())
+
+
+def test_redundancy_keeps_no_signatures(spark, monkeypatch):
+    """Working tables hold a digest and band hashes, not 128 values a row, and rows of one text are one."""
+    seen = {}
+    real = similarity.written
+    monkeypatch.setattr(similarity, "written", lambda d, name, **k: seen.setdefault(name, real(d, name, **k)))
+    d = spark.createDataFrame([("g", i, t) for i, t in enumerate(["a b c d e f"] * 4 + ["p q r s t u"])], "g STRING, i BIGINT, t STRING")
+    r = similarity.redundancy(d, "i", "t", "g", short=True).first()
+    assert (r.total, r.duplicates) == (5, 3)
+    assert seen["distinct-texts"].count() == 2
+    assert "signatures" not in seen and dict(seen["distinct-signatures"].dtypes)["sig"] == "binary"
